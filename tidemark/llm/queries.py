@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, tokens
+from . import decontaminate, language, mixing, quality, secrets, tokens
 from .common import documents
 
 #: The tokenizer's file; it is read where it lies, on every machine.
@@ -18,6 +19,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.fit(docs, documents(spark, sf_dir, "labels")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("item_ids")
 
@@ -26,13 +32,21 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(documents(spark, sf_dir), TOKENIZER).drop("file")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = language.fit(docs.filter(F.coalesce(~held_out, F.lit(True))))
+    found = language.identify(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(documents(spark, sf_dir))
     return plan.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op7_decontamination, op8_token_output, op10_mixing)}
+    return {f.__name__: f for f in (op3_secret_scan, op6_quality_rules, op7_decontamination, op8_token_output, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
