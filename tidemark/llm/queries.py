@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, secrets, tokens
+from . import decontaminate, language, mixing, quality, secrets, substrings, tokens
 from .common import documents
 
 #: The tokenizer's file; it is read where it lies, on every machine.
@@ -19,6 +19,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.judge(docs, quality.fit(docs, documents(spark, sf_dir, "labels")))
@@ -46,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op6_quality_rules, op7_decontamination, op8_token_output, op9_language_id, op10_mixing)}
+    return {f.__name__: f for f in (op3_secret_scan, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_token_output, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
