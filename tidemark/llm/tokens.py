@@ -1,7 +1,7 @@
 """Token ids in Arrow files of fixed-size sequences, with random access.
 
 A shard is one Arrow IPC file of record batches with two fixed-size-list columns,
-`ids` (the smallest unsigned type that holds the vocabulary) and `mask` (1 where an
+`ids` (the smallest unsigned type that holds the vocabulary) and `mask` (true where an
 id is real; only the last row of a shard is padded). Beside it lies an Arrow file
 with the place of each document. Every value lies at row // rows_per_batch,
 so a memory-mapped reader gets a sequence or a document without copying.
@@ -121,7 +121,7 @@ class ShardWriter:
         self.fs, self.path = open_fs(uri)
         self.length, self.rows, self.dtype = length, rows, dtype
         self.kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = self.fs.open_output_stream(self.path)
         self.file = pa.ipc.new_file(self.out, self.schema)
         self.index_out = self.fs.open_output_stream(self.path + ".index")
@@ -145,7 +145,7 @@ class ShardWriter:
             self.held, self.n_held = [held[to:]], len(held) - to
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
+        mask = np.arange(len(ids)) < real
         self.file.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.schema))
 
     def close(self) -> None:
@@ -173,10 +173,11 @@ class Shard:
     def _values(self, batch: int, name: str) -> np.ndarray:
         return self.file.get_batch(batch).column(name).flatten().to_numpy(zero_copy_only=True)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """A view of a sequence's ids, and of its mask, which Arrow packs as bits."""
         batch, row = divmod(i, self.rows)
         at = slice(row * self.length, (row + 1) * self.length)
-        return self._values(batch, "ids")[at], self._values(batch, "mask")[at]
+        return self._values(batch, "ids")[at], self.file.get_batch(batch).column("mask").flatten()[at]
 
     def span(self, place: int, n: int) -> Iterator[np.ndarray]:
         """Views of the ids from `place`, one for each batch that holds some."""
