@@ -68,3 +68,32 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     """Every document as many times as the mix takes it, with the columns of `docs`."""
     plan = mix_plan(docs, weights, share, cap, seed)
     return plan.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size)::DOUBLE AS s,
+         [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS rest_w,
+         1.5::DOUBLE * sum(s) OVER () - 2.0::DOUBLE * coalesce(sum(s) OVER before, 0) AS rest_t
+  FROM s WINDOW before AS (ORDER BY s / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), a AS (
+  SELECT *, 2.0::DOUBLE * s * rest_w <= rest_t * weight AS at_cap FROM r
+), t AS (
+  SELECT source, source_size,
+         CASE WHEN at_cap THEN 2.0::DOUBLE * s
+              ELSE weight * (1.5::DOUBLE * sum(s) OVER () - 2.0::DOUBLE * sum(CASE WHEN at_cap THEN s ELSE 0 END) OVER ())
+                   / sum(CASE WHEN at_cap THEN 0 ELSE weight END) OVER () END AS target
+  FROM a
+), p AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / {2**52}::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS taken FROM p
+"""
