@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, lm, mixing, quality, secrets, substrings, tokens
+from . import decontaminate, language, linededup, lm, mixing, neardup, quality, secrets, substrings, tokens
 from .common import documents
 
 #: The tokenizer's file; it is read where it lies, on every machine.
@@ -28,6 +28,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,7 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scores, op2_line_dedup, op3_secret_scan, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_token_output, op9_language_id, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_line_dedup, op3_secret_scan, op4_jaccard_join, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_token_output, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
