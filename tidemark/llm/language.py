@@ -25,6 +25,7 @@ from .quality import Words, char_grams
 #: Labelled documents of each language that are learned from: those with the smallest hashes of their ids.
 FIT_DOCS = 400
 DIM = 1 << 16
+PARTS = 16
 SWITCH = 12.0
 #: No word counts more than this against a language.
 MOST = 6.0
@@ -82,12 +83,16 @@ def fit(docs: DataFrame, docs_per_lang: int = FIT_DOCS) -> Model:
     """Learn from the text and lang of `docs`; rows where either is null are left out.
 
     The bounded sample takes, of each language, the documents with the smallest hashes;
-    ranks are cut in each task before the shuffle, so a hot language is no hot key.
+    they are ranked in parts first, so that a task ranks a bounded number of a hot language.
     """
     spark = docs.sparkSession
     known = docs.filter("lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= docs_per_lang).select("doc_id", "lang").collect()
+    order = (F.xxhash64("doc_id"), "doc_id")
+    chosen = known.select("doc_id", "lang").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= docs_per_lang).drop("rank")
+    chosen = chosen.select("doc_id", "lang").collect()
     langs = sorted({r.lang for r in chosen})
     if not langs:
         return Model([], np.zeros((DIM, 0)), np.zeros((len(NAMES), 0), bool))
