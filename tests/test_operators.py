@@ -224,3 +224,31 @@ def test_streams_match_batch(spark, tmp_path):
     assert sum(seen) == 4
     assert streams.job_sessions(df).count() == 3 and streams.progress_windows(df).count() == 2
     assert streams.latest_jobs_stream(df).count() == 3
+
+
+def test_sessions(spark, tmp_path):
+    from tidemark.operators import sessions as ses
+
+    root = f"file://{tmp_path}"
+    assert ses.sessions(spark, root).count() == 0
+    row = spark.createDataFrame([("s2", "thing", "r1")], "sid string, bk string, step string")
+    ses.save_session(row, root, "s2")
+    ses.save_session(row.withColumn("bk", F.lit("")), root, "s1")
+    assert [(r.sid, r.bk) for r in ses.sessions(spark, root).collect()] == [("s2", "thing"), ("s1", "")]
+    assert [r.sid for r in ses.with_brand(ses.sessions(spark, root)).collect()] == ["s2"]
+    got = ses.get_session(spark, root, "s2")
+    assert got.first().step == "r1" and ses.restored(got).columns[2] == "pd"
+    change = spark.createDataFrame([("s2", None, "r2"), ("s3", "new", None)], "sid string, bk string, step string")
+    assert sorted((r.sid, r.bk, r.step or "") for r in ses.merged(row, change).collect()) == [("s2", "thing", "r2"), ("s3", "new", "")]
+    ses.delete_session(spark, root, "s2")
+    assert ses.get_session(spark, root, "s2").count() == 0
+
+
+def test_chat(spark):
+    df = clustered(spark, 8)
+    hits = spark.createDataFrame([(0.5, "doc_1", "t1", "d1"), (0.9, "doc_2", "t2", "d2")], "score double, id string, title string, desc string")
+    prompt = personas.chat_prompt("why?", df, hits).first().prompt
+    assert "Cluster 4 (2 posts)" in prompt and prompt.index("t2") < prompt.index("t1") and "Personas:\nnone" in prompt
+    answers = spark.createDataFrame([("b", "x\n```MODIFIED_DATA\n[{\"cluster_id\": 2, \"personas\": [{\"name\": \"n\"}]}]\n```"), ("b", "nothing")], "bk string, answer string")
+    made = personas.written_back(answers, "20240101_000000").collect()
+    assert len(made) == 1 and made[0].personas[0].cluster_id == 2 and made[0].personas[0].personas[0].name == "n"

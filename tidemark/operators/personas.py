@@ -87,3 +87,32 @@ def parse_chat(answers: DataFrame) -> DataFrame:
     """answers with added_keywords, modified (JSON of new personas or null) and clean_answer."""
     added = parse_added_keywords("answer")
     return answers.withColumns({"added_keywords": added, "modified": modified_json("answer"), "clean_answer": strip_directives("answer")})
+
+
+CHAT = "Pipeline state:\n{state}\n\nPersonas:\n{personas}\n\nClusters:\n{clusters}\n\nRelated posts:\n{posts}\n\nQuestion: {question}\nTo add keywords, end with a line ADDED_KEYWORDS: a, b."
+NOTHING = "none"
+
+
+def post_lines(hits: DataFrame, desc_len: int = 200) -> DataFrame:
+    """One row with a line '- title | desc' for each search hit, best first."""
+    line = F.concat(F.lit("- "), dflt("title", ""), F.lit(" | "), F.substring(dflt("desc", ""), 1, desc_len), F.lit("\n"))
+    ranked = hits.select((-F.col("score")).alias("s"), "id", line.alias("line"))
+    return ranked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "id", "line"))), lambda x: x["line"]), "").alias("posts"))
+
+
+def chat_prompt(question: str, clustered: DataFrame, hits: DataFrame, state: str = "", persona_json: str = "") -> DataFrame:
+    """One row with the chat prompt; parts that are missing read as none."""
+    lines = chat_clusters(clustered).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "line"))), lambda x: x["line"]), "\n").alias("clusters"))
+    filled = lines.join(post_lines(hits))
+    text = F.lit(CHAT)
+    parts = {"state": F.lit(state), "personas": F.lit(persona_json), "clusters": F.col("clusters"), "posts": F.col("posts"), "question": F.lit(question)}
+    for name, part in parts.items():
+        text = F.replace(text, F.lit("{" + name + "}"), F.when(part == "", NOTHING).otherwise(part))
+    return filled.select(text.alias("prompt"))
+
+
+def written_back(answers: DataFrame, run: str) -> DataFrame:
+    """New persona versions from answers that hold a non-empty block of modified data; others make none."""
+    element = PERSONA_CLUSTER.replace("personas array", "personas: array", 1).replace("cluster_id int", "cluster_id: int").replace("cluster_name string", "cluster_name: string")
+    made = answers.withColumn("_m", modified_json("answer")).filter("_m IS NOT NULL")
+    return made.select("bk", F.from_json("_m", f"array<struct<{element}>>").alias("personas"), F.lit(run).alias("timestamp"))

@@ -506,6 +506,43 @@ def blank_placeholder(spark, sf_dir):
     return d.select(F.col("doc_id").alias("pos"), text.non_blank(F.when(F.col("doc_id") % 9 == 0, " 　").otherwise(F.col("source")), BLANK).alias("text"))
 
 
+@query("SELECT doc_id AS pos, coalesce(nullif(concat_ws(' | ', CASE WHEN doc_id % 2 = 0 THEN lang || ', ' || source END, CASE WHEN doc_id % 3 = 0 THEN lang END), ''), 'everyone') AS target FROM documents")
+def target_desc(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    d = views.table(spark, sf_dir, "documents")
+    groups = F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source")).otherwise(none), none, F.when(F.col("doc_id") % 3 == 0, F.array("lang")).otherwise(none)
+    return d.select(F.col("doc_id").alias("pos"), rules.target_desc(*groups).alias("target"))
+
+
+@query(f"WITH {WORDS} SELECT pos, kw, CASE WHEN pos % 8 = 3 THEN 'moved' ELSE cat END AS cat FROM w WHERE kw NOT IN (SELECT kw FROM old WHERE kw IS NOT NULL)")
+def keyword_move(spark, sf_dir):
+    """Words of one type that were not added, of which some change their category."""
+    w = first_words(spark, sf_dir)
+    left = keywords.word_types(w.withColumns({"word": F.col("kw"), "type": F.lit("adjective")}), w.filter("pos % 3 = 0").select(F.col("kw").alias("word")), "adjective")
+    moved = keywords.move_keyword(left.withColumns({"round": F.lit(1), "id": F.col("pos") % 8}), 1, 3, "moved")
+    return moved.select("pos", "kw", "cat")
+
+
+@query("WITH t AS (SELECT doc_id, source, lang FROM documents ORDER BY doc_id DESC LIMIT 10) SELECT string_agg('- ' || source || ', ' || lang || ': ' || source || ', ' || lang || chr(10), '' ORDER BY doc_id) AS examples FROM t")
+def naming_examples(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents")
+    return personas.naming_examples(d.select(F.col("doc_id").alias("pos"), F.col("source").alias("industry"), F.col("lang").alias("cluster"), F.array("source", "lang").alias("personas")))
+
+
+@query("WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') SELECT conv_id, max(turn) AS turn, arg_max(md5(text), turn) AS answer FROM c GROUP BY conv_id")
+def chat_latest(spark, sf_dir):
+    c = views.table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    return jobs.latest_by(c.select("conv_id", "turn", F.md5("text").alias("answer")), ["conv_id"], "turn")
+
+
+@query()
+def chat_prompt(spark, sf_dir):
+    """The prompt of a chat turn over clusters and the posts nearest to the question."""
+    rows = embed(views.clustered(spark, sf_dir), text.post_text(), OfflineEmbedder(64))
+    hits = vectors.search(vectors.records(rows), OfflineEmbedder(64).embed(["the house"])[0], 5)
+    return personas.chat_prompt("What do they need?", views.clustered(spark, sf_dir), hits)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts, filtered, deduplicated in order, counted by club."""
     return cafe_stats(spark, sf_dir)
