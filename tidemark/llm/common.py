@@ -52,7 +52,8 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """The store behind a URI; Hadoop's name of S3 is mapped to Arrow's."""
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def text_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
