@@ -236,7 +236,7 @@ def test_language(make, spark):
     learn = spark.createDataFrame([(i, say(k), k) for i, k in enumerate(list(sound) * 20)] + [(900, None, "xx"), (901, "abc", None)], "doc_id long, text string, lang string")
     model = language.fit(learn, 10)
     assert model.langs == sorted(sound)
-    rows = [(1, say("xx")), (2, say("yy")), (3, say("zz")), (4, None), (5, ""), (6, "12 34 !!"), (7, say("xx", 40) + " " + say("zz", 20)), (8, "漢字"), (9, say("yy", 20000))]
+    rows = [(1, say("xx")), (2, say("yy")), (3, say("zz")), (4, None), (5, ""), (6, "12 34 !! ² ½ Ⅷ _"), (7, say("xx", 40) + " " + say("zz", 20)), (8, "漢字"), (9, say("yy", 20000))]
     got = {r.doc_id: r for r in language.identify(make(rows), model).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3, 7, 9)] == ["xx", "yy", "zz", "xx", "yy"]
     assert [got[i].lang_pred for i in (4, 5, 6)] == ["und"] * 3 and got[8].lang_pred in sound

@@ -9,7 +9,6 @@ prediction, its share of the letters the score.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,6 @@ SWITCH = 12.0
 MOST = 6.0
 #: A language has a script if this share of its letters is in it.
 SCRIPT_SHARE = 0.02
-LETTER = re.compile(r"[^\W\d_]")
 #: First code points of script ranges, with the script that begins there (fixed values).
 SCRIPTS = [(0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "other"), (0x900, "Devanagari"), (0x980, "Indic"), (0xE00, "Thai"), (0xE80, "other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "other"), (0x2E80, "Han"), (0x3040, "Kana"), (0x3100, "Han"), (0x3130, "Hangul"), (0x3190, "Han"), (0xA000, "other"), (0xAC00, "Hangul"), (0xD7B0, "other"), (0xF900, "Han"), (0xFB00, "other"), (0x20000, "Han")]
 NAMES = sorted({s for _, s in SCRIPTS})
@@ -41,7 +39,7 @@ KINDS = np.array([NAMES.index(s) for _, s in SCRIPTS])
 
 def scripts_of(distinct: pa.Array) -> np.ndarray:
     """Script number of each word's first letter, -1 without one."""
-    first = np.fromiter((ord(m[0]) if (m := LETTER.search(x)) else -1 for x in distinct.to_pylist()), np.int64, len(distinct))
+    first = np.fromiter((next((ord(c) for c in x if c.isalpha()), -1) for x in distinct.to_pylist()), np.int64, len(distinct))
     return np.where(first < 0, -1, KINDS[np.searchsorted(STARTS, first, "right") - 1])
 
 
