@@ -14,20 +14,30 @@ from pyspark.sql import functions as F
 #: First hexadecimal digits of a rolling hash that end a chunk: one line in four on average (fixed values).
 CUTS = ("0", "4", "8", "c")
 LEAST_LINES = 2
+#: Parts into which each key's occurrences are dealt for joins, and occurrences that one part of a frequent key may have.
+SALTS, SPREAD = 8, 1000
 
 
-def line_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id and `chunks`, the texts of its content-defined chunks in order."""
-    lines = docs.select(F.col("doc_id").cast("long"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+def line_chunks(docs: DataFrame, *rest: str) -> DataFrame:
+    """doc_id, `chunks` (the texts of its content-defined chunks in order), and the columns `rest`."""
+    lines = docs.select(F.col("doc_id").cast("long"), *rest, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     hashed = lines.withColumn("h", F.transform("lines", F.md5)).withColumn("n", F.size("lines"))
     before = F.array_prepend(F.slice("h", 1, F.col("n") - 1), "")
     cuts = F.zip_with(before, "h", lambda a, b: F.substring(F.md5(F.concat(a, b)), 1, 1).isin(*CUTS))
     last = F.col("n") - 1
     ends = F.filter(F.transform(cuts, lambda c, i: F.when(c | (i == last), i + 1)), lambda e: e.isNotNull())
-    ended = hashed.select("doc_id", "lines", ends.alias("ends"))
+    ended = hashed.select("doc_id", *rest, "lines", ends.alias("ends"))
     starts = F.array_prepend(F.slice("ends", 1, F.size("ends") - 1), F.lit(0))
     texts = F.zip_with(starts, "ends", lambda a, b: F.array_join(F.slice("lines", a + 1, b - a), "\n"))
-    return ended.select("doc_id", texts.alias("chunks"))
+    return ended.select("doc_id", *rest, texts.alias("chunks"))
+
+
+def salt(parts: Column | int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
+
+
+def salts(parts: Column | int) -> Column:
+    return F.explode(F.sequence(F.lit(0), (F.lit(parts) if isinstance(parts, int) else parts).cast("int") - 1))
 
 
 def n_lines(text: Column) -> Column:
@@ -41,21 +51,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     occurrences: a chunk at the first place in any of them stays in each. A null doc_id
     sorts first. An empty table gives no rows; other columns are ignored.
     """
-    chunks = line_chunks(docs)
-    each = chunks.select("doc_id", F.posexplode("chunks").alias("place", "chunk"))
+    each = line_chunks(docs).select("doc_id", F.posexplode("chunks").alias("place", "chunk"))
     multi = each.filter(n_lines(F.col("chunk")) >= LEAST_LINES)
     keys = multi.select("doc_id", "place", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2"))
-    repeated = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1").drop("n")
-    flagged = keys.join(repeated, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_set(F.struct("place", "h1", "h2", "first")).alias("flagged"))
+    repeated = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1")
+    found = keys.withColumn("salt", salt(SALTS)).join(repeated.withColumn("salt", salts(SALTS)), ["h1", "h2", "salt"])
+    flagged = found.groupBy("doc_id").agg(F.collect_set(F.struct("place", "h1", "h2", "n", "first")).alias("flagged"))
     flagged = flagged.select(F.col("doc_id").alias("_id"), "flagged")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    marked = rows.join(flagged, rows["doc_id"].eqNullSafe(flagged["_id"]), "inner")
-    texts = line_chunks(marked.select("doc_id", "text"))
-    own = texts.join(flagged, texts["doc_id"].eqNullSafe(flagged["_id"]), "inner").select("doc_id", "chunks", F.explode("flagged").alias("f"))
-    seen = own.select("doc_id", "f.*", F.element_at("chunks", F.col("f.place") + 1).alias("chunk"))
+    marked = line_chunks(rows.join(flagged, rows["doc_id"].eqNullSafe(flagged["_id"])), "flagged")
+    seen = marked.select("doc_id", "chunks", F.explode("flagged").alias("f")).select("doc_id", "f.*", F.element_at("chunks", F.col("f.place") + 1).alias("chunk"))
+    seen = seen.withColumn("parts", 1 + F.floor(F.col("n") / SPREAD))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))
-    firsts = seen.filter(is_first).groupBy("h1", "h2").agg(F.min("chunk").alias("first_chunk"))
-    copies = seen.filter(~is_first).join(firsts, ["h1", "h2"]).filter("chunk = first_chunk")
+    firsts = seen.filter(is_first).groupBy("h1", "h2", "parts").agg(F.min("chunk").alias("first_chunk")).withColumn("salt", salts(F.col("parts"))).drop("parts")
+    copies = seen.filter(~is_first).withColumn("salt", salt(F.col("parts"))).join(firsts, ["h1", "h2", "salt"]).filter("chunk = first_chunk")
     gone = copies.groupBy("doc_id").agg(F.collect_set("place").alias("gone")).select(F.col("doc_id").alias("_id"), "gone")
     whole = line_chunks(docs)
     out = whole.join(gone, whole["doc_id"].eqNullSafe(gone["_id"]), "left").select("doc_id", "chunks", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
