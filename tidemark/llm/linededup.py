@@ -8,28 +8,38 @@ occurrence. First means the smallest doc_id, then the smallest place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir, stored
+
 #: First hexadecimal digits of a rolling hash that end a chunk: one line in four on average (fixed values).
 CUTS = ("0", "4", "8", "c")
-LEAST_LINES = 2
 #: Parts into which each key's occurrences are dealt for joins, and occurrences that one part of a frequent key may have.
 SALTS, SPREAD = 8, 1000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once per row, wherever the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def line_chunks(docs: DataFrame, *rest: str) -> DataFrame:
     """doc_id, `chunks` (the texts of its content-defined chunks in order), and the columns `rest`."""
-    lines = docs.select(F.col("doc_id").cast("long"), *rest, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    hashed = lines.withColumn("h", F.transform("lines", F.md5)).withColumn("n", F.size("lines"))
-    before = F.array_prepend(F.slice("h", 1, F.col("n") - 1), "")
-    cuts = F.zip_with(before, "h", lambda a, b: F.substring(F.md5(F.concat(a, b)), 1, 1).isin(*CUTS))
-    last = F.col("n") - 1
-    ends = F.filter(F.transform(cuts, lambda c, i: F.when(c | (i == last), i + 1)), lambda e: e.isNotNull())
-    ended = hashed.select("doc_id", *rest, "lines", ends.alias("ends"))
-    starts = F.array_prepend(F.slice("ends", 1, F.size("ends") - 1), F.lit(0))
-    texts = F.zip_with(starts, "ends", lambda a, b: F.array_join(F.slice("lines", a + 1, b - a), "\n"))
-    return ended.select("doc_id", *rest, texts.alias("chunks"))
+
+    def cuts(hashes: Column) -> Column:
+        last = F.size(hashes) - 1
+        before = F.array_prepend(F.slice(hashes, 1, last), "")
+        ends_here = F.zip_with(before, hashes, lambda a, b: F.substring(F.md5(F.concat(a, b)), 1, 1).isin(*CUTS))
+        return F.filter(F.transform(ends_here, lambda c, i: F.when(c | (i == last), i + 1)), lambda e: e.isNotNull())
+
+    def texts(lines: Column) -> Column:
+        each = lambda ends: F.zip_with(F.array_prepend(F.slice(ends, 1, F.size(ends) - 1), F.lit(0)), ends, lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "\n"))
+        return let(let(F.transform(lines, F.md5), cuts), each)
+
+    return docs.select(F.col("doc_id").cast("long"), *rest, let(F.split(F.coalesce("text", F.lit("")), "\n", -1), texts).alias("chunks"))
 
 
 def salt(parts: Column | int) -> Column:
@@ -52,8 +62,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     sorts first. An empty table gives no rows; other columns are ignored.
     """
     each = line_chunks(docs).select("doc_id", F.posexplode("chunks").alias("place", "chunk"))
-    multi = each.filter(n_lines(F.col("chunk")) >= LEAST_LINES)
-    keys = multi.select("doc_id", "place", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2"))
+    multi = each.filter(F.contains("chunk", F.lit("\n")))
+    keys = stored(multi.select("doc_id", "place", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2")), shared_dir(docs.sparkSession, "lines"))
     repeated = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1")
     found = keys.withColumn("salt", salt(SALTS)).join(repeated.withColumn("salt", salts(SALTS)), ["h1", "h2", "salt"])
     flagged = found.groupBy("doc_id").agg(F.collect_set(F.struct("place", "h1", "h2", "n", "first")).alias("flagged"))
