@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from .common import drop_dir, stored
 
 
+#: Parts into which a node's neighbours are dealt, so that those of a hub go to several tasks.
+SALTS = 8
+
+
+def _salt(column: str) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _salts() -> F.Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
 def _mark(edges: DataFrame) -> tuple:
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
@@ -23,8 +35,8 @@ def connected_components(edges: DataFrame, path: str) -> DataFrame:
     mark, step = _mark(now), 0
     while mark[0]:
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), _salts())
+        large = both.select("u", "v", _salt("v")).join(least, ["u", "salt"]).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
