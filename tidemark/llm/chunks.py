@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of, words_of
+from .common import release, slices, text_of, words_of
 
 CHUNK_BYTES = 8 << 20
 #: Keys that a bucket is planned for; a task holds them all.
@@ -151,6 +151,7 @@ def with_answers(chunks: DataFrame, answers: DataFrame, run, schema: str) -> Dat
         out = None
         for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload").to_pylist(), strict=True):
             out = run(chunk, unpacked(payload), right)
+        release()
         return out if out is not None else run(None, None, right)
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(each, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_of, slices, text_of
-from .quality import Words, char_grams
+from .quality import Words, char_grams, gram_means
 
 #: Labelled documents of each language that are learned from: those with the smallest hashes of their ids.
 FIT_DOCS = 400
@@ -50,11 +50,8 @@ class Model:
     scripts: np.ndarray  # (scripts, languages)
 
     def word_scores(self, distinct: pa.Array, script: np.ndarray) -> np.ndarray:
-        owner, grams = char_grams(distinct)
-        at = (grams % np.uint64(DIM)).astype(np.int64)
-        n = np.maximum(1, np.bincount(owner, minlength=len(distinct)))
         letters = pc.utf8_length(distinct).to_numpy(zero_copy_only=False)
-        out = np.stack([np.bincount(owner, self.scores[at, j], len(distinct)) / n for j in range(len(self.langs))], 1) * np.minimum(letters, 12)[:, None]
+        out = gram_means(distinct, self.scores) * np.minimum(letters, 12)[:, None]
         out = np.maximum(out - out.max(1, keepdims=True), -MOST)
         allowed = self.scripts[script]
         allowed |= ~allowed.any(1, keepdims=True)
@@ -66,13 +63,12 @@ class Model:
 def _counts(w: Words, doc_lang: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-gram counts and script counts of each language."""
     word_lang = doc_lang[doc_of(w.offsets)]
-    owner, grams = char_grams(w.distinct)
-    at = (grams % np.uint64(DIM)).astype(np.int64)
+    each = [(owner, (grams % np.uint64(DIM)).astype(np.int64)) for owner, grams in char_grams(w.distinct)]
     script = scripts_of(w.distinct)
     tables, kinds = [], []
     for j in range(n_langs):
         times = np.bincount(w.codes[word_lang == j], minlength=len(w.distinct))
-        tables.append(np.bincount(at, times[owner], DIM))
+        tables.append(sum(np.bincount(at, times[owner], DIM) for owner, at in each))
         kinds.append(np.bincount(script[script >= 0], times[script >= 0], len(NAMES)))
     return np.array(tables), np.array(kinds)
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import MIX_A, byte_views, coded, doc_of, hashes, mixed, slices, text_of, words_of
 
+#: Text bytes scored at a time.
+SCORED_BYTES = 2 << 20
 #: Hashed features.
 DIM = 1 << 18
 #: Labelled rows that the classifier is fitted to: those with the smallest hashes of their ids.
@@ -32,17 +34,14 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
 
 
-def char_grams(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, hash) of every character n-gram of distinct words, ends included."""
+def char_grams(distinct: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n: (word number, hash) of every character n-gram of distinct words, ends included."""
     points = np.frombuffer(("\n" + "\n".join(distinct.to_pylist()) + "\n").encode("utf-32-le"), np.uint32).astype(np.uint64)
     end = points == 10
     word = np.cumsum(end) - 1
-    words, found = [], []
-    with np.errstate(over="ignore"):
-        for n in GRAMS:
-            count = len(points) - n + 1
-            if count < 1:
-                continue
+    for n in GRAMS:
+        count = max(0, len(points) - n + 1)
+        with np.errstate(over="ignore"):
             key, ok = np.full(count, n, np.uint64), np.ones(count, bool)
             for j in range(n):
                 key = key * MIX_A + points[j : j + count]
@@ -51,9 +50,19 @@ def char_grams(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             if n == 2:
                 ok &= ~(end[:count] & end[1 : 1 + count])
             ok &= word[:count] < len(distinct)
-            words.append(word[:count][ok])
-            found.append(mixed(key[ok]))
-    return np.concatenate(words), np.concatenate(found)
+            yield word[:count][ok], mixed(key[ok])
+
+
+def gram_means(distinct: pa.Array, table: np.ndarray) -> np.ndarray:
+    """The mean over each word's n-grams of the rows of a table with a row for each hashed feature."""
+    flat = table.reshape(len(table), -1)
+    total, n = np.zeros((len(distinct), flat.shape[1])), np.zeros(len(distinct))
+    for owner, grams in char_grams(distinct):
+        at = (grams % np.uint64(len(table))).astype(np.int64)
+        n += np.bincount(owner, minlength=len(distinct))
+        for j in range(flat.shape[1]):
+            total[:, j] += np.bincount(owner, flat[at, j], len(distinct))
+    return (total / np.maximum(1, n)[:, None]).reshape(len(distinct), *table.shape[1:])
 
 
 @dataclass
@@ -138,10 +147,7 @@ class Classifier:
     def raw(self, w: Words) -> np.ndarray:
         n = np.maximum(1, np.diff(w.offsets))
         weights, dim = self.weights, np.uint64(DIM)
-        per_word = weights[w.hash % dim]
-        owner, grams = char_grams(w.distinct)
-        counts = np.maximum(1, np.bincount(owner, minlength=len(w.distinct)))
-        per_word = per_word + np.bincount(owner, weights[grams % dim], len(w.distinct)) / counts
+        per_word = weights[w.hash % dim] + gram_means(w.distinct, weights)
         doc, pairs = w.pair_hash()
         return (w.sums(per_word) + np.bincount(doc, weights[pairs % dim], len(n))) / n
 
@@ -155,7 +161,7 @@ def features(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """(feature numbers, values) of each text; their product with the weights is Classifier.raw."""
     dim = np.uint64(DIM)
     n = np.diff(w.offsets)
-    owner, grams = char_grams(w.distinct)
+    owner, grams = (np.concatenate(x) for x in zip(*char_grams(w.distinct), strict=True))
     counts = np.bincount(owner, minlength=len(w.distinct))
     first = np.concatenate([[0], np.cumsum(counts)])
     order = np.argsort(owner, kind="stable")
@@ -227,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
 
     got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, y int, index binary, value binary").collect()
     got = sorted((r["doc_id"], r["index"], r["value"], r["y"]) for r in got)
-    data = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(np.float64), y) for _, i, v, y in got]
+    data = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for _, i, v, y in got]  # views: the bytes are held once
     order = np.random.default_rng(7).permutation(len(data)).tolist()
     held, used = [data[i] for i in order[: len(data) // 4]], [data[i] for i in order[len(data) // 4 :]]
     if any(len({y for *_, y in part}) < 2 for part in (held, used)):
@@ -251,7 +257,7 @@ def judge(docs: DataFrame, classifier: Classifier, least: float = LEAST_PROBABIL
     model = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SCORED_BYTES):
             texts = text_of(part.column("text"))
             w = Words.of(texts)
             counts = rule_counts(texts, w)
@@ -267,7 +273,7 @@ def keep_good(docs: DataFrame, classifier: Classifier, least: float = LEAST_PROB
     model = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SCORED_BYTES):
             texts = text_of(part.column("text"))
             w = Words.of(texts)
             good = ~failed(rule_counts(texts, w)) & (model.value.probability(w) >= least)

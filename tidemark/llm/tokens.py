@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import drop_dir, open_fs, shared_dir, slices, stored, text_of
 
 #: Pieces that a Python worker remembers; beyond that it encodes them anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: The pre-tokenizer's pattern and its map of bytes to characters (fixed values of byte-level BPE).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
