@@ -114,6 +114,17 @@ def test_secrets(make):
     assert all(set(base[i].split(",")) <= set(spans[i].split(",")) | {""} for i in (1, 2, 3, 4, 5))
 
 
+def test_secrets_judged_by_repositories_and_owners(make):
+    """Documents 3k, 3k + 1 and 3k + 2 have different sources."""
+    copied, pasted, several = "x Bearer copiedcopied00001234", "ghp_pastedpastedpasted12", "ghp_severalseveral123456"
+    rows = [(1, copied), (2, copied), (3, copied)] + [(10 + 3 * i, f"text {i} {several}") for i in range(secrets.MAX_REPOS)]
+    rows += [(100 + 3 * i, f"text {i} {pasted}") for i in range(secrets.MAX_REPOS + 1)]
+    got = {r.doc_id: r for r in secrets.find_secrets(make(rows)).collect()}
+    live = lambda i: (bool(got[i].spans), got[i].n_live, got[i].n_example)
+    assert all(live(i) == (True, 1, 0) for i, _ in rows if i < 100), "copies of one text, or few repositories of one owner"
+    assert all(live(i) == (False, 0, 1) for i, _ in rows if i >= 100), "pasted in many repositories of one owner"
+
+
 def jaccard(docs, threshold=0.8):
     sets = {i: {tuple(w[p : p + 5]) for p in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for i, w in docs if i is not None}
     ids, root, n = sorted(sets), {i: i for i in sets}, collections.Counter()

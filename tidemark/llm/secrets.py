@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns propose candidates in each text. The value of a candidate is hashed, and the
-corpus tells how many repositories and owners hold the hash: a value that several
-owners hold is a copied example, one that a single owner holds looks live. Spans of the
-base kinds always stay; those of the other kinds are added where their value looks live.
+corpus tells how many repositories and owners hold the hash, where equal texts count once,
+as the first of them: a value that several owners or many repositories hold is a copied
+example, any other looks live. Spans of the base kinds always stay; those of the other
+kinds are added where their value looks live.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ MORE = {
 #: Strings of which a text with a match of the kind holds one.
 HINTS = {"access": ("AKIA",), "bearer": ("Bearer ",), "forge": ("gho_", "ghp_", "ghs_", "ghr_", "ghu_", "glpat-", "xox"), "jwt": ("eyJ",), "url": ("://",)}
 ORDER = {k: i for i, k in enumerate([*BASE, *MORE])}
-FOUND = "doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, candidates array<struct<kind:string,start:long,end:long,value:binary>>"
+#: Repositories of different texts that may hold a value of one owner before it is a copied example (fixed value).
+MAX_REPOS = 10
+FOUND = "doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, same binary, candidates array<struct<kind:string,start:long,end:long,value:binary>>"
 PARTS = 16
 
 
@@ -62,39 +65,43 @@ def joined(found: list[tuple]) -> str:
 
 
 def find_candidates(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
-    """One row for each document, with its candidates (FOUND)."""
+    """One row for each document, with its candidates and, where it has some, the hash of its text (FOUND)."""
     kinds = [*ORDER]
     struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, shas, bases, candidates = [], [], [], []
+            counts, shas, bases, same, candidates = [], [], [], [], []
             for text in text_of(batch.column("text")):
-                found = scan(text.as_py())
+                text = text.as_py()
+                found = scan(text)
                 base = [x for x in found if x[1] < len(BASE)]
                 counts.append([sum(x[1] == i for x in base) for i in range(len(BASE))])
                 bases.append(joined(base))
                 shas.append(hashlib.sha256(bases[-1].encode()).hexdigest())
+                same.append(xxhash.xxh3_128_digest(text.encode()) if found else None)
                 candidates.append([{"kind": kinds[k], "start": s, "end": e, "value": v} for s, k, e, v in found])
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(shas, pa.string()), pa.array(bases, pa.string()), pa.array(candidates, pa.list_(struct))], names=["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "base", "candidates"])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(shas, pa.string()), pa.array(bases, pa.string()), pa.array(same, pa.binary()), pa.array(candidates, pa.list_(struct))], names=["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "base", "same", "candidates"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), "text").mapInArrow(run, FOUND)
 
 
-def ownership(found: DataFrame, max_owners: int = 1) -> DataFrame:
+def ownership(found: DataFrame, max_owners: int = 1, max_repos: int = MAX_REPOS) -> DataFrame:
     """value, n_repos, n_owners, live: of each distinct candidate value.
 
-    Distinct (value, owner) and (value, repository) pairs are made first, with partial
-    aggregation before the shuffle, so that a value in a third of all texts is no hot key.
+    Equal texts are one place, of the smallest doc_id's repository and owner, so copies of
+    a document make no example. Distinct (value, text), then (value, owner) and (value,
+    repository) pairs are made first, with partial aggregation before the shuffle, so that
+    a value in a third of all texts is no hot key.
     """
-    each = found.select("repo", "owner", F.explode("candidates.value").alias("value"))
-    pairs = each.groupBy("value", "repo", "owner").agg(F.count("*").alias("n"))
-    owners = pairs.select("value", F.coalesce("owner", F.lit("")).alias("owner")).distinct().groupBy("value").agg(F.count("*").alias("n_owners"))
-    repos = pairs.select("value", F.coalesce("repo", F.lit("")).alias("repo")).distinct().groupBy("value").agg(F.count("*").alias("n_repos"))
-    return owners.join(repos, "value").withColumn("live", F.col("n_owners") <= max_owners)
+    each = found.select("same", F.struct("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner")).alias("place"), F.explode("candidates.value").alias("value"))
+    pairs = each.groupBy("value", "same").agg(F.min("place").alias("first")).select("value", "first.repo", "first.owner")
+    owners = pairs.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("n_owners"))
+    repos = pairs.select("value", "repo").distinct().groupBy("value").agg(F.count("*").alias("n_repos"))
+    return owners.join(repos, "value").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
 
 
-def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owners: int = 1) -> DataFrame:
+def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owners: int = 1, max_repos: int = MAX_REPOS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example; one row for each row.
 
     `spans` are kind:start:end in code points, ordered by start, then kind. Null text is
@@ -103,7 +110,7 @@ def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", m
     """
     spark = docs.sparkSession
     found = stored(find_candidates(docs, repo, owner), shared_dir(spark, "candidates"))
-    values = ownership(found, max_owners).select("value", "live").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    values = ownership(found, max_owners, max_repos).select("value", "live").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     each = found.filter(F.size("candidates") > 0).select("doc_id", "owner", F.explode("candidates").alias("c")).select("doc_id", "owner", "c.*").withColumn("part", F.pmod(F.xxhash64("doc_id", "owner"), F.lit(PARTS)).cast("int"))
     judged = each.join(values, ["value", "part"])
     rank = F.element_at(F.create_map(*(F.lit(x) for k, v in ORDER.items() for x in (k, v))), F.col("kind"))
