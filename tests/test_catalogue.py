@@ -41,3 +41,9 @@ def test_entry_without_the_optional_part(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_keyword_totals_scores_every_row(spark):
+    from tidemark.plans import views
+
+    assert catalogue.QUERIES["keyword_totals"](spark, DATA).count() == views.table(spark, DATA, "documents").count() > 100

@@ -487,7 +487,7 @@ def search_source(spark, sf_dir):
 
 @query()
 def keyword_totals(spark, sf_dir):
-    return score_keywords(first_words(spark, sf_dir).limit(100), "thing")
+    return score_keywords(first_words(spark, sf_dir), "thing")
 
 
 @query()
