@@ -43,6 +43,20 @@ def test_entry_without_the_optional_part(spark):
     assert entry.entry(spark).count() > 0 and set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_queries_without_sql_read_whole_texts(spark):
+    from tidemark.plans import views
+    from tidemark.sources.providers import MAX_CHARS, OfflineEmbedder
+
+    texts = {r.doc_id: r.text for r in views.table(spark, DATA, "documents").select("doc_id", "text").collect()}
+    assert any(len(t) > 500 for t in texts.values())
+    for rows in (views.whole_posts(spark, DATA), views.labeled(spark, DATA)):
+        assert all(r.title + r.desc == texts[r.pos] for r in rows.collect())
+    got = {r.pos: r.embedding for r in catalogue.QUERIES["embed_posts"](spark, DATA).collect()}
+    ids = sorted(texts, key=lambda i: -len(texts[i]))[:5]
+    want = OfflineEmbedder(64).embed([f"{texts[i][:80]} {texts[i][80:]}"[:MAX_CHARS] for i in ids])
+    assert [got[i] for i in ids] == [pytest.approx(w, abs=1e-6) for w in want]
+
+
 def test_keyword_totals_scores_every_row(spark):
     from tidemark.plans import views
 

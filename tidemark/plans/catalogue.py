@@ -465,7 +465,7 @@ def relevance_split(spark, sf_dir):
 def ensemble_score(spark, sf_dir):
     """The soft vote of three fitted models, with fewer rounds than by default."""
     model = classify.fit_ensemble(views.labeled(spark, sf_dir), folds=1, trees=20, rounds=10)
-    return model.score(views.posts(spark, sf_dir)).select("pos", "relevance_score", "is_relevant")
+    return model.score(views.whole_posts(spark, sf_dir)).select("pos", "relevance_score", "is_relevant")
 
 
 @query()
@@ -492,7 +492,7 @@ def keyword_totals(spark, sf_dir):
 
 @query()
 def embed_posts(spark, sf_dir):
-    return embed(views.posts(spark, sf_dir).select("pos", "title", "desc"), text.post_text(), OfflineEmbedder(64)).select("pos", "embedding")
+    return embed(views.whole_posts(spark, sf_dir).select("pos", "title", "desc"), text.post_text(), OfflineEmbedder(64)).select("pos", "embedding")
 
 
 @query()
@@ -538,7 +538,7 @@ def chat_latest(spark, sf_dir):
 @query()
 def chat_prompt(spark, sf_dir):
     """The prompt of a chat turn over clusters and the posts nearest to the question."""
-    rows = embed(views.clustered(spark, sf_dir), text.post_text(), OfflineEmbedder(64))
+    rows = embed(views.with_cluster(views.whole_posts(spark, sf_dir)), text.post_text(), OfflineEmbedder(64))
     hits = vectors.search(vectors.records(rows), OfflineEmbedder(64).embed(["the house"])[0], 5)
     return personas.chat_prompt("What do they need?", views.clustered(spark, sf_dir), hits)
 

@@ -17,15 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def posts(spark: SparkSession, sf_dir: str, desc: str = "substring(text, 81, 420)") -> DataFrame:
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")), "yyyyMMdd")
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("pos"), F.col("lang").alias("kw"), F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 420).alias("desc"), F.md5("text").alias("link"), F.col("source").alias("cafe"), day.alias("date")
+        F.col("doc_id").alias("pos"), F.col("lang").alias("kw"), F.substring("text", 1, 80).alias("title"), F.expr(desc).alias("desc"), F.md5("text").alias("link"), F.col("source").alias("cafe"), day.alias("date")
     )
 
 
+def whole_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts whose desc is all of the text after the title, for queries that have no SQL."""
+    return posts(spark, sf_dir, "substring(text, 81)")
+
+
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts(spark, sf_dir).withColumn("cluster", (F.col("pos") % 7).cast("int"))
+    return with_cluster(posts(spark, sf_dir))
+
+
+def with_cluster(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("cluster", (F.col("pos") % 7).cast("int"))
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +57,7 @@ def personas(spark: SparkSession, sf_dir: str = "") -> DataFrame:
 
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"), F.when(F.col("quality") == 1, '"relevant"').otherwise('"irrelevant"').alias("label"))
-    return posts(spark, sf_dir).join(good, "pos")
+    return whole_posts(spark, sf_dir).join(good, "pos")
 
 
 SQL = {
