@@ -61,3 +61,31 @@ def test_keyword_totals_scores_every_row(spark):
     from tidemark.plans import views
 
     assert catalogue.QUERIES["keyword_totals"](spark, DATA).count() == views.table(spark, DATA, "documents").count() > 100
+
+
+def test_models_are_called_with_their_defaults(spark, monkeypatch):
+    import inspect
+
+    from tidemark.operators import classify, clusters
+
+    seen = []
+
+    def record(module, name):
+        real = inspect.signature(getattr(module, name))
+
+        def call(*args, **named):
+            bound = real.bind(*args, **named)
+            bound.apply_defaults()
+            seen.append((name, bound.arguments))
+            raise InterruptedError
+
+        monkeypatch.setattr(module, name, call)
+
+    record(classify, "fit_ensemble")
+    record(clusters, "fit_kmeans")
+    for name in ("ensemble_score", "kmeans_assign", "kmeans_k_search"):
+        with pytest.raises(InterruptedError):
+            catalogue.QUERIES[name](spark, DATA)
+    (_, ensemble), *fits = seen
+    assert [ensemble[k] for k in ("folds", "trees", "rounds")] == [3, 100, 100]
+    assert [f["n_init"] for _, f in fits] == [10, 10]

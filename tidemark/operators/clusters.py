@@ -121,7 +121,7 @@ def choose_k(df: DataFrame, seed: int = 42, default: int = 5) -> int:
     n, best, found = rows.count(), -1.0, None
     judge = ClusteringEvaluator(predictionCol="cluster", featuresCol="features", distanceMeasure="squaredEuclidean")
     for k in candidate_ks(n):
-        score = judge.evaluate(fit_kmeans(rows, k, 1, seed).transform(rows))
+        score = judge.evaluate(fit_kmeans(rows, k, seed=seed).transform(rows))
         if score > best:
             best, found = score, k
     rows.unpersist()

@@ -463,14 +463,14 @@ def relevance_split(spark, sf_dir):
 
 @query()
 def ensemble_score(spark, sf_dir):
-    """The soft vote of three fitted models, with fewer rounds than by default."""
-    model = classify.fit_ensemble(views.labeled(spark, sf_dir), folds=1, trees=20, rounds=10)
+    """The soft vote of three fitted models."""
+    model = classify.fit_ensemble(views.labeled(spark, sf_dir))
     return model.score(views.whole_posts(spark, sf_dir)).select("pos", "relevance_score", "is_relevant")
 
 
 @query()
 def kmeans_assign(spark, sf_dir):
-    return clusters.assign(views.vecs(spark, sf_dir).drop("cluster"), 5, n_init=3).select("pos", "cluster")
+    return clusters.assign(views.vecs(spark, sf_dir).drop("cluster"), 5).select("pos", "cluster")
 
 
 @query()
