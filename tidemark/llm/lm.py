@@ -1,23 +1,31 @@
-"""Language-model scoring by logistic context mixing.
+"""Language-model scoring by online logistic context mixing.
 
-A token's bits are predicted from hashed contexts (the last 1, 2, 3, 4 and 6 bytes of
-the word); a gated set of weights, chosen by the longest context that was ever seen and
-by the bit's place, mixes the predictions in the logistic domain, and an adaptive table
-refines the result. The bit counts come from every distinct training token of the
-corpus. Over a text, that spelling model, the corpus frequency of the token and its
-frequency so far in the text are mixed by weights that adapt online, token by token.
+A text is coded token by token, a token bit by bit. The first bit tells whether the
+token is known, that is, learned from some other place. The bits of a known token are
+its code: five bits of its frequency class, then bits of its hash until no other token
+has the same. Each bit is predicted from hashed contexts:
+
+* the corpus alone, the word before, and the two words before, whose counts at each
+  node of the code come from all texts learned from, without this very occurrence;
+* the text so far, alone and after the word before, in small tables that start empty.
+
+A gate, chosen by how much the two-word and the one-word context have seen and by the
+place in the code, picks the weights that mix the predictions in the logistic domain.
+The weights take a step after each bit, and so does a table that refines the mixed
+probability by its size. A token that is not known is spelled: its bytes are mixed
+online in the same way from contexts of 1 to 6 bytes.
 
 Tokens are words with A-Z in lower case, then one end per text, which is the empty word.
-Each chunk sends its distinct tokens to key buckets; a bucket sums their counts, adds
-up bit counts of its types, and, once those of all buckets are summed, answers each
-chunk with count and spelling score of its tokens. The bit tables have a fixed size.
+Chunks of texts exchange counts with key buckets twice: distinct tokens first, then
+distinct (context, token) pairs. A bucket's tables hold what its own keys need, so all
+that is gathered grows with the corpus and no task or broadcast does. A context too
+frequent for one bucket is dealt out by the first bits of the token's hash, and says
+nothing on the bits above those.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +34,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BLOB, CHUNK_BYTES, make_chunks, packed, total_words, unpacked, with_answers
-from .common import MIX_A, coded, doc_of, hashes, mixed, shared_dir, stored, text_of, words_of
+from .common import MIX_A, MIX_B, coded, doc_of, hashes, mixed, shared_dir, stored, text_of, words_of
 
-ORDERS = (1, 2, 3, 4, 6)
-#: Slots of each context's table, in groups of 16 for the 15 nodes of half a byte.
-SLOTS = 1 << 19
-#: Tokens that a bucket is planned for, and the parts in which bit tables travel.
-BUCKET_TOKENS, PARTS = 1_000_000, 16
-#: Distinct training tokens, those with the smallest hashes in each bucket, to which weights are fitted.
-FIT_TOKENS = 20_000
 #: Added to each count of the base model (fixed value).
 ADDED = 0.1
-GATES = 8 * (len(ORDERS) + 1)
-STEPS = 33
-BLOCK = 1 << 12
+#: Words for each token bucket, pairs for each pair bucket, and occurrences from which a context is dealt out.
+BUCKET_WORDS, BUCKET_PAIRS, FREQUENT = 4_000_000, 1_000_000, 500_000
+#: Bits of a code, of its frequency class, and the code of tokens that were learned nowhere.
+CODE, CLASS, NOWHERE = 32, 5, 2**32 - 1
+#: Tokens of a lane: the adaptive parts of a longer text start anew after each, its contexts do not.
+LANE, LANE_BITS = 1024, 3_000_000
+INPUTS, SLOTS, STEPS = 6, 1 << 12, 24
+RATE, REFINE = 0.02, 0.02
+#: Added to the counts of the corpus contexts and of those in the text.
+PRIOR, OWN_PRIOR = (0.4, 0.1, 0.03), 0.3
+
+# ---- counts at the nodes of codes
+
+
+def level(n: np.ndarray) -> np.ndarray:
+    """Counts in steps of a sixth of a doubling, 0 for none; small counts stay exact."""
+    out = np.zeros(len(n), np.uint8)
+    some = np.flatnonzero(n)
+    out[some] = 1 + np.rint(6 * np.log2(n[some]))
+    return out
+
+
+COUNT = np.concatenate([[0.0], 2 ** (np.arange(255) / 6)])
+COUNT = np.where(COUNT < 16, np.rint(COUNT), COUNT).astype(np.float32)
+
+
+def code_of(hash_: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Frequency class and first hash bits of tokens with count n."""
+    kind = np.minimum(30, np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1).astype(np.uint64)
+    code = (kind << np.uint64(CODE - CLASS)) | (hash_ >> np.uint64(64 - CODE + CLASS))
+    return np.where(n > 0, code, np.uint64(NOWHERE)).astype(np.uint32)
+
+
+def siblings(key: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each depth 1 to 32 of (key, code) pairs sorted by both: (count of the node, count of its sibling)."""
+    shared = CODE - np.frexp((code[1:] ^ code[:-1]).astype(np.float64))[1]
+    shared[key[1:] != key[:-1]] = -1
+    shared = np.concatenate([[-1], shared])
+    above = None
+    for depth in range(CODE + 1):
+        starts = np.flatnonzero(shared < depth) if depth else np.flatnonzero(shared < 0)
+        here = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(n))))
+        if depth:
+            yield here, above - here
+        above = here
+
+
+# ---- spelling
+
+ORDERS = (1, 2, 3, 4, 6)
+TABLE, BLOCK = 1 << 19, 256
+GATES, REFINED = 8 * (len(ORDERS) + 1), 33
 
 
 def spelled(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,15 +100,14 @@ def spelled(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, owner, np.arange(len(data)) - (np.cumsum(sizes) - sizes)[owner]
 
 
-def slots(data: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
-    """For each context the slot of each bit, as rows of 8."""
+def places(data: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order the table place of each bit, as rows of 8."""
     high = data >> 4
     nodes = np.empty((len(data), 8), np.int64)
     for t in range(4):
         nodes[:, t] = (1 << t) | (high >> (4 - t))
         nodes[:, 4 + t] = (1 << t) | ((data & 15) >> (4 - t))
-    context = np.zeros(len(data), np.uint64)
-    groups = np.uint64(SLOTS // 16)
+    context, groups = np.zeros(len(data), np.uint64), np.uint64(TABLE // 16)
     for k in range(1, ORDERS[-1] + 1):
         before = np.zeros(len(data), np.uint64)
         before[k:] = data[:-k].astype(np.uint64) + np.uint64(1)
@@ -71,132 +120,121 @@ def slots(data: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
                 yield nodes + np.repeat(np.stack([first, second], 1), 4, axis=1)
 
 
-def bits(data: np.ndarray) -> np.ndarray:
-    return np.unpackbits(data[:, None], axis=1).astype(bool)
-
-
-def type_weight(counts: np.ndarray) -> np.ndarray:
-    """What a distinct token adds to bit counts: 1 and once more for each doubling of its count."""
-    return 1 + np.floor(np.log2(np.maximum(1, counts))).astype(np.int64)
-
-
-def bit_counts(tokens: pa.Array, counts: np.ndarray) -> np.ndarray:
-    """(contexts, slots, 2) counts of zeros and ones over distinct tokens."""
-    out = np.zeros((len(ORDERS), SLOTS * 2), np.int64)
-    weight, step = type_weight(counts), 4 * BLOCK
-    for at in range(0, len(tokens), step):
-        data, owner, place = spelled(tokens.slice(at, step))
-        w = np.repeat(weight[at : at + step][owner], 8)
-        y = bits(data).ravel()
-        for k, slot in enumerate(slots(data, place)):
-            out[k] += np.bincount(slot.ravel() * 2 + y, w, SLOTS * 2).astype(np.int64)
-    return out.reshape(len(ORDERS), SLOTS, 2)
-
-
-def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.log((ones + 0.3) / (zeros + 0.3)).astype(np.float32)
-
-
-@dataclass
-class Speller:
-    """Mixes bit predictions; `logs` gives the natural logarithm of each token's probability."""
-
-    stretch: np.ndarray
-    seen: np.ndarray
-    weights: np.ndarray
-    refined: np.ndarray
-
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Speller:
-        start = np.full((GATES, len(ORDERS)), 0.3, np.float32)
-        p = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
-        return cls(stretched(counts[..., 0], counts[..., 1]), counts.sum(2) > 0, start, np.tile(p, (GATES, 1)))
-
-    def _gate(self, seen: list[np.ndarray]) -> np.ndarray:
-        reach = np.zeros(seen[0].shape, np.int64)
-        for k, x in enumerate(seen):
-            reach[x] = k + 1
-        return reach * 8 + np.arange(8)
-
-    def _mix(self, st: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        dot = np.zeros(gate.shape, np.float32)
-        for k, x in enumerate(st):
-            dot += self.weights[gate, k] * x
-        dot = np.clip(dot, -8, 8)
-        p = 1 / (1 + np.exp(-dot))
-        step = np.rint((dot + 8) * ((STEPS - 1) / 16)).astype(np.int64)
-        return p, step, np.clip(0.5 * (p + self.refined[gate, step]), 1e-5, 1 - 1e-5)
-
-    def logs(self, tokens: pa.Array) -> np.ndarray:
-        out = []
-        for at in range(0, len(tokens), BLOCK):
-            part = tokens.slice(at, BLOCK)
-            data, owner, place = spelled(part)
-            st, seen = [], []
-            for k, slot in enumerate(slots(data, place)):
-                st.append(self.stretch[k][slot])
-                seen.append(self.seen[k][slot])
-            *_, p = self._mix(st, self._gate(seen))
-            y = bits(data)
-            out.append(np.bincount(owner, np.log(np.where(y, p, 1 - p)).sum(1), len(part)))
-        return np.concatenate(out) if out else np.zeros(0)
-
-    def fit(self, tokens: pa.Array, counts: np.ndarray, bit_count: np.ndarray, epochs: int = 3, rate: float = 0.02) -> None:
-        """Online steps over tokens as if each had not been among those counted.
-
-        Steps are scaled by each weight's past slopes (AdaGrad).
-        """
-        weight = type_weight(counts)
-        order = np.random.default_rng(1).permutation(len(tokens))
-        hits, ones = np.full((GATES, STEPS), 8.0), self.refined * 8.0
-        past = np.full(self.weights.shape, 1e-4)
-        for epoch in range(epochs):
-            for at in range(0, len(order), 64):
-                rows = order[at : at + 64]
-                data, owner, place = spelled(tokens.take(pa.array(rows)))
-                own, y = weight[rows][owner][:, None], bits(data)
-                st, seen = [], []
-                for k, slot in enumerate(slots(data, place)):
-                    zeros = np.maximum(0, bit_count[k, slot, 0] - np.where(y, 0, own))
-                    one = np.maximum(0, bit_count[k, slot, 1] - np.where(y, own, 0))
-                    st.append(stretched(zeros, one))
-                    seen.append(zeros + one > 0)
-                gate = self._gate(seen)
-                p, step, _ = self._mix(st, gate)
-                miss = (y - p).astype(np.float32)
-                flat = gate.ravel()
-                for k, x in enumerate(st):
-                    slope = np.bincount(flat, (miss * x).ravel(), GATES)
-                    past[:, k] += slope**2
-                    self.weights[:, k] += rate / (1 + epoch) * slope / np.sqrt(past[:, k])
-                flat = flat * STEPS + step.ravel()
-                hits += np.bincount(flat, minlength=hits.size).reshape(hits.shape)
-                ones += np.bincount(flat, y.ravel(), hits.size).reshape(hits.shape)
-        self.refined = ones / hits
-
-
-def adapted(offsets: np.ndarray, experts: np.ndarray, start: np.ndarray, memory: float = 24.0) -> np.ndarray:
-    """log10 of each text's probability under a mixture whose weights adapt after each token.
-
-    `experts` holds each token's probability under each expert; every text has a token;
-    texts advance in step.
+def spelling_logs(tokens: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the probabilities of distinct tokens, spelled in order.
+
+    Bit counts are those of all learned tokens but the one that is spelled; weights and
+    refinement take a step after each block.
     """
-    n = np.diff(offsets)
-    order = np.argsort(-n, kind="stable")
-    starts, n = offsets[:-1][order], n[order]
+    learned = (counts > 0).astype(np.int64)
+    table = np.zeros((len(ORDERS), TABLE * 2), np.int32)
+    for at in range(0, len(tokens), 16 * BLOCK):
+        part = np.flatnonzero(learned[at : at + 16 * BLOCK]) + at
+        if len(part):
+            data, _, place = spelled(tokens.take(pa.array(part)))
+            y = np.unpackbits(data[:, None], axis=1).ravel()
+            for k, slot in enumerate(places(data, place)):
+                table[k] += np.bincount(slot.ravel() * 2 + y, minlength=TABLE * 2).astype(np.int32)
+    weights, past = np.full((GATES, len(ORDERS)), 0.3), np.full((GATES, len(ORDERS)), 1e-4)
+    ones = np.tile(8 / (1 + np.exp(-np.linspace(-8, 8, REFINED))), (GATES, 1))
+    hits, out = np.full((GATES, REFINED), 8.0), np.zeros(len(tokens))
+    for at in range(0, len(tokens), BLOCK):
+        data, owner, place = spelled(tokens.slice(at, BLOCK))
+        y, own = np.unpackbits(data[:, None], axis=1).astype(bool), learned[at : at + BLOCK][owner][:, None]
+        reach, inputs = np.zeros(y.shape, np.int64), []
+        for k, slot in enumerate(places(data, place)):
+            zeros, one = (np.maximum(0, table[k][slot * 2 + b] - np.where(y == b, own, 0)) for b in (0, 1))
+            inputs.append(np.log((one + 0.3) / (zeros + 0.3)))
+            reach[zeros + one > 0] = k + 1
+        gate = reach * 8 + np.arange(8)
+        dot = np.clip(sum(weights[gate, k] * x for k, x in enumerate(inputs)), -8, 8)
+        p, step = 1 / (1 + np.exp(-dot)), np.rint((dot + 8) * ((REFINED - 1) / 16)).astype(np.int64)
+        mix = np.clip((p + (ones / hits)[gate, step]) / 2, 1e-5, 1 - 1e-5)
+        out[at : at + BLOCK] = np.bincount(owner, np.log(np.where(y, mix, 1 - mix)).sum(1), min(BLOCK, len(tokens) - at))
+        flat, miss = gate.ravel(), y - p
+        for k, x in enumerate(inputs):
+            slope = np.bincount(flat, (miss * x).ravel(), GATES)
+            past[:, k] += slope**2
+            weights[:, k] += 0.02 * slope / np.sqrt(past[:, k])
+        flat = flat * REFINED + step.ravel()
+        hits += np.bincount(flat, minlength=hits.size).reshape(hits.shape)
+        ones += np.bincount(flat, y.ravel(), hits.size).reshape(hits.shape)
+    return out
+
+
+# ---- mixing the bits of codes
+
+#: Logistic inputs of the tables in the text by (times the bit had this value, times it had the other).
+_seen = np.arange(64, dtype=np.float32)
+OWN_INPUT = np.log((_seen[:, None] + OWN_PRIOR) / (_seen[None, :] + OWN_PRIOR)).astype(np.float32)
+
+
+def first_weights() -> np.ndarray:
+    """(gates, inputs) weights with which every lane starts.
+
+    A gate is ((two-word * 3) + one-word) * 3 + place: how much the contexts have seen
+    (two-word: none, then one, few, many with either both values or one value only;
+    one-word: none, few, many), and known bit, class bit or hash bit.
+    """
+    out = np.zeros((7, 3, 3, INPUTS), np.float32)
+    out[..., 3:5] = 0.2
+    out[0, 0, :, 0], out[0, 1:, :, 0], out[0, 1:, :, 1] = 0.8, 0.5, 0.4
+    out[1:, :, :, 0], out[1:, :, :, 1], out[1:4, :, :, 2], out[4:, :, :, 2] = 0.2, 0.15, 0.6, 0.9
+    return out.reshape(-1, INPUTS)
+
+
+def seen_enough(n: np.ndarray, cuts: tuple[float, ...]) -> np.ndarray:
+    return sum((n > c).astype(np.int8) for c in cuts)
+
+
+def mix_lanes(sizes: np.ndarray, given: np.ndarray, gate: np.ndarray, slot: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """log2 of the probability of each bit; lanes (with `sizes` bits each) advance in step.
+
+    `given` has the inputs of the corpus contexts towards the bit's value, `slot` the
+    place in the lane's two own tables.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    n = sizes[order]
     active = len(n) - np.searchsorted(n[::-1], np.arange(int(n[0]) if len(n) else 0), "right")
-    weights = np.tile(start, (len(n), 1))
-    total = np.empty(len(experts))
-    for t, a in enumerate(active.tolist()):
-        at = starts[:a] + t
-        share = weights[:a] * experts[at]
-        p = share.sum(1)
-        total[at] = p
-        share /= p[:, None]
-        share -= weights[:a]
-        share *= 1 / (memory + t)
-        weights[:a] += share
-    return np.add.reduceat(np.log10(total), offsets[:-1])
+    begins = np.cumsum(active) - active
+    rank = np.empty(len(n), np.int64)
+    rank[order] = np.arange(len(n))
+    lane = np.repeat(np.arange(len(sizes)), sizes)
+    to = begins[np.arange(len(lane)) - (np.cumsum(sizes) - sizes)[lane]] + rank[lane]
+    x = np.empty((len(lane), INPUTS), np.float32)
+    x[to, :3], x[:, 5] = given, 0.1
+    turn = np.empty((4, len(lane)), np.int64)
+    own = rank[lane] * (2 * SLOTS)
+    gates, weights = gate.astype(np.int64), np.tile(first_weights(), (len(n), 1))
+    n_gates = len(weights) // max(1, len(n))
+    turn[0, to], turn[1, to], turn[2, to] = rank[lane] * n_gates + gates, (own + slot[0] * 2 + bit), (own + slot[1] * 2 + bit)
+    turn[3, to] = (rank[lane] * 3 + gates % 3) * STEPS
+    tables = np.zeros((2, len(n) * SLOTS * 2), np.uint8)
+    curve = 1 / (1 + np.exp(-(np.arange(STEPS, dtype=np.float32) + 0.5) / 2))
+    refined = np.tile(curve.astype(np.float32), len(n) * 3)
+    out = np.empty(len(lane), np.float32)
+    for begin, a in zip(begins.tolist(), active.tolist(), strict=True):
+        now = slice(begin, begin + a)
+        row, xs = turn[0, now], x[now]
+        for k in (0, 1):
+            at, table = turn[1 + k, now], tables[k]
+            same, other = table[at], table[at ^ 1]
+            xs[:, 3 + k] = OWN_INPUT[same, other]
+            table[at] = np.minimum(same + 1, 63)
+            table[at ^ 1] = np.minimum(other, (other >> 1) + 1)
+        w = weights[row]
+        dot = np.einsum("ij,ij->i", w, xs)
+        p = 1 / (1 + np.exp(-np.clip(dot, -16, 16)))
+        right = dot >= 0
+        cell = turn[3, now] + np.minimum(np.abs(dot) * 2, STEPS - 1).astype(np.int64)
+        sure = refined[cell]
+        out[now] = 0.5 * (p + np.where(right, sure, 1 - sure))
+        refined[cell] = sure + REFINE * (right - sure)
+        weights[row] = w + (RATE * (1 - p))[:, None] * xs
+    return np.log2(np.clip(out, 1e-6, 1.0))[to]
+
+
+# ---- texts in chunks
 
 
 class ChunkTokens:
@@ -210,7 +248,8 @@ class ChunkTokens:
         self.codes = np.insert(codes, offsets[1:], len(distinct))
         self.offsets = offsets + np.arange(n + 1)
         self.tokens = pa.concat_arrays([distinct.cast(pa.binary()), pa.array([b""], pa.binary())])
-        bucket = (hashes(self.tokens) >> np.uint64(64 - bits)).astype(np.int64)
+        self.hash = hashes(self.tokens)
+        bucket = (self.hash >> np.uint64(64 - bits)).astype(np.int64)
         self.order = np.argsort(bucket, kind="stable")
         self.cuts = np.searchsorted(bucket[self.order], np.arange((1 << bits) + 1))
         self.learned = ~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
@@ -218,42 +257,186 @@ class ChunkTokens:
     def counts(self) -> np.ndarray:
         return np.bincount(self.codes[self.learned[doc_of(self.offsets)]], minlength=len(self.tokens))
 
+    def answered(self, answers: pa.Table, column: str, kind) -> np.ndarray:
+        """A column of the token buckets' answers for each distinct token."""
+        out = np.zeros(len(self.tokens), kind)
+        for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("keys"), strict=True):
+            if b >= 0:
+                out[self.order[self.cuts[b] : self.cuts[b + 1]]] = unpacked(blob.as_py()).column(column).to_numpy()
+        return out
+
 
-def _summed(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct tokens, their counts, which one each sent token is, ends of each chunk's)."""
+class ChunkPairs:
+    """The distinct (context, code) pairs of a chunk, sorted by the context's key, and the two of each token."""
+
+    def __init__(self, c: ChunkTokens, counts: np.ndarray) -> None:
+        self.code = code_of(c.hash, counts)
+        doc = doc_of(c.offsets)
+        place = np.arange(len(c.codes)) - c.offsets[doc]
+        code, h, n = self.code[c.codes], c.hash[c.codes], counts[c.codes]
+        one, two = (np.where(place >= k, np.concatenate([np.zeros(min(k, len(h)), h.dtype), h[:-k]]), np.uint64(k)) for k in (1, 2))
+        n_one, n_two = (np.where(place >= k, np.concatenate([np.zeros(min(k, len(n)), n.dtype), n[:-k]]), c.offsets[-1]) for k in (1, 2))
+        with np.errstate(over="ignore"):
+            keys = [mixed(one * MIX_A + np.uint64(1)), mixed(mixed(two * MIX_A + one) * MIX_B + np.uint64(2))]
+            #: For each context of each token, the first hash bits by which it is dealt out.
+            self.dealt = [np.ceil(np.log2(np.maximum(1, x / FREQUENT))).astype(np.uint64) for x in (n_one, np.minimum(n_one, n_two))]
+            for k, bits in enumerate(self.dealt):
+                some = np.flatnonzero(bits)
+                keys[k][some] = mixed(keys[k][some] + np.uint64(1) + (h[some] >> (np.uint64(64) - bits[some])))
+            key, code = np.concatenate(keys), np.concatenate([code, code])
+            _, at, own = np.unique(mixed(key * MIX_A + code), return_index=True, return_inverse=True)
+        order = np.argsort(key[at], kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.key, self.pair_code = key[at][order], code[at][order]
+        self.own = back[own].reshape(2, -1)
+        learned = c.learned[doc]
+        self.n = np.bincount(np.concatenate([x[learned] for x in self.own]), minlength=len(order))
+        #: Tokens one and two words before: hashes, for the contexts in the text.
+        self.one = one
+
+
+def _joined(table: pa.Table) -> tuple[list[pa.RecordBatch], np.ndarray]:
     each = [unpacked(x.as_py()) for x in table.column("keys")]
-    codes, tokens = coded(pa.concat_arrays([b.column(0) for b in each]))
-    counts = np.bincount(codes, np.concatenate([b.column(1).to_numpy() for b in each]), len(tokens)).astype(np.int64)
-    return tokens, counts, codes, np.cumsum([b.num_rows for b in each])
+    return each, np.cumsum([b.num_rows for b in each])
+
+
+def _answers(table: pa.Table, ends: np.ndarray, columns: dict[str, np.ndarray], sign: int = 1) -> pa.Table:
+    blobs = [packed(pa.record_batch([pa.array(x[a:b]) for x in columns.values()], names=list(columns))) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    bucket = table.column("bucket") if sign > 0 else pa.array(-1 - table.column("bucket").to_numpy(), pa.int32())
+    return pa.table([bucket, table.column("chunk"), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "keys"])
+
 
+LEARNED = f"{BLOB}, sums array<long>"
 
-LEARNED = "bucket int, part int, payload binary"
-TOTALS, SAMPLE = -1, -2
 
+def _learn_tokens(bits: int):
+    """A token bucket: counts, spelling and nodes of its tokens, and the bucket's own sums by class, with types and tokens."""
 
-def _learn(bucket_sample: int):
     def learn(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        tokens, counts, *_ = _summed(table)
-        known = np.flatnonzero(counts)
-        tokens, counts = tokens.take(pa.array(known)), counts[known]
-        parts = bit_counts(tokens, counts).reshape(PARTS, -1).astype(np.int32)
-        pick = np.argsort(hashes(tokens), kind="stable")[:bucket_sample]
-        sample = packed(pa.record_batch([tokens.take(pa.array(pick)), pa.array(counts[pick])], names=["token", "n"]))
-        rows = [(bucket, i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(parts)] + [(bucket, TOTALS, np.array([len(tokens), counts.sum()], np.int64).tobytes()), (bucket, SAMPLE, sample)]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "part", "payload"])
+        each, ends = _joined(table)
+        own, tokens = coded(pa.concat_arrays([b.column(0) for b in each]))
+        counts = np.bincount(own, np.concatenate([b.column(1).to_numpy() for b in each]), len(tokens)).astype(np.int64)
+        h = hashes(tokens)
+        order = np.argsort(h, kind="stable")
+        logs = np.zeros(len(tokens), np.float32)
+        logs[order] = spelling_logs(tokens.take(pa.array(order)), counts[order])
+        known = order[counts[order] > 0]
+        code = code_of(h[known], counts[known])
+        by_code = np.argsort(code, kind="stable")
+        known, code = known[by_code], code[by_code]
+        n = counts[known]
+        columns = {"n": counts, "log": logs, "depth": np.full(len(tokens), CODE, np.uint8), "rest": np.zeros(len(tokens), np.float32)}
+        if len(n):
+            depth, here = np.full(len(n), CODE, np.uint8), n
+            for d, (here, other) in enumerate(siblings(np.zeros(len(n), np.int8), code, n), 1):
+                depth = np.where(here == n, np.minimum(depth, d), depth)
+                if d > CLASS + bits:
+                    columns[f"d{d}"] = np.zeros(len(tokens), np.uint8)
+                    columns[f"d{d}"][known] = level(other)
+            columns["depth"][known], columns["rest"][known] = depth, np.log2(n / here)
+        else:
+            columns |= {f"d{d}": np.zeros(len(tokens), np.uint8) for d in range(CLASS + bits + 1, CODE + 1)}
+        sums = np.bincount((code >> np.uint32(CODE - CLASS)).astype(np.int64), n, 1 << CLASS).astype(np.int64)
+        out = _answers(table, ends, {k: x[own] for k, x in columns.items()})
+        return out.append_column("sums", pa.array([[*sums.tolist(), len(n), int(n.sum())]] * len(each), pa.list_(pa.int64())))
 
     return learn
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, payload in zip(batch.column("part").to_pylist(), batch.column("payload"), strict=True):
-            more = np.frombuffer(zlib.decompress(payload.as_py()), np.int32)
-            sums[part] = more.astype(np.int64) if part not in sums else sums[part] + more
-    for part, x in sums.items():
-        yield pa.record_batch([pa.array([0], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(np.minimum(x, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())], names=["bucket", "part", "payload"])
+def _learn_pairs(table: pa.Table) -> pa.Table:
+    """A pair bucket: for each pair sent, its count and those of the siblings on the code's path, in the same context."""
+    each, ends = _joined(table)
+    key, code, n = (np.concatenate([b.column(i).to_numpy() for b in each]) for i in range(3))
+    key = (key.astype(np.uint64) << np.uint64(8)) | np.concatenate([b.column(3).to_numpy() for b in each])
+    order = np.lexsort((code, key))
+    key, code = key[order], code[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (code[1:] != code[:-1])])
+    starts = np.flatnonzero(new)
+    total = np.add.reduceat(n[order].astype(np.int64), starts)
+    own = np.empty(len(key), np.int64)
+    own[order] = np.cumsum(new) - 1
+    columns = {"n": level(total)[own]}
+    for d, (_, other) in enumerate(siblings(key[starts], code[starts], total), 1):
+        columns[f"d{d}"] = level(other)[own]
+    return _answers(table, ends, columns, -1)
+
+
+class Nodes:
+    """Counts at the upper nodes of codes over the whole corpus, from the buckets' sums by class."""
+
+    def __init__(self, sums: np.ndarray, bits: int) -> None:
+        self.bits = CLASS + bits
+        self.sums = np.concatenate([[0], np.cumsum(sums.ravel())])
+
+    def counts(self, code: np.ndarray) -> np.ndarray:
+        """(codes, depths 0 to the buckets' own) counts."""
+        cell = (code >> np.uint32(CODE - self.bits)).astype(np.int64)
+        out = np.empty((len(code), self.bits + 1), np.int64)
+        for d in range(self.bits + 1):
+            wide = self.bits - d
+            low = cell >> wide << wide
+            out[:, d] = self.sums[low + (1 << wide)] - self.sums[low]
+        return out
+
+
+def towards(end: np.ndarray, other: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(input towards the bit, count of the node above, whether all of it is on one side) of bits 0 to 31."""
+    other = other.astype(np.float32)
+    below = np.cumsum(np.concatenate([end[:, None], other[:, :0:-1]], 1, dtype=np.float32), 1)[:, ::-1]
+    return np.log((below + prior) / (other + prior)), below + other, np.minimum(below, other) == 0
+
+
+def chunk_bits(c: ChunkTokens, pairs: ChunkPairs, counts: np.ndarray, tree: dict, answers: dict) -> np.ndarray:
+    """log2 of the probability of each token, without the spelling of those that are not known."""
+    doc = doc_of(c.offsets)
+    place = np.arange(len(c.codes)) - c.offsets[doc]
+    learned = c.learned[doc]
+    known = (counts[c.codes] - learned) > 0
+    lane_starts = np.flatnonzero(place % LANE == 0)
+    lane_ends = np.append(lane_starts[1:], len(c.codes))
+    out = np.zeros(len(c.codes))
+    per_token = 1 + np.where(known, tree["depth"][c.codes], 0).astype(np.int64)
+    bits_before = np.concatenate([[0], np.cumsum(per_token)])
+    at = 0
+    while at < len(lane_starts):
+        to = max(at + 1, int(np.searchsorted(bits_before[lane_ends], bits_before[lane_starts[at]] + LANE_BITS, "right")))
+        lo, hi = int(lane_starts[at]), int(lane_ends[to - 1])
+        t = np.arange(lo, hi)
+        w, less = c.codes[t], learned[t].astype(np.float32)
+        used = np.arange(CODE + 1)[None, :] < per_token[t][:, None]
+        given = np.zeros((int(used.sum()), 3), np.float32)
+        reach = []
+        for k in range(3):
+            if k:
+                row = pairs.own[k - 1][t]
+                end, other = COUNT[answers["n"][row]], COUNT[answers["d"][:, row].T]
+            else:
+                end, other = counts[w].astype(np.float32), tree["other"][w]
+            x, above, one_side = towards(np.maximum(0, end - less), other, PRIOR[k])
+            if k:
+                silent = np.arange(CODE)[None, :] < np.where(pairs.dealt[k - 1][t] > 0, CLASS + pairs.dealt[k - 1][t].astype(np.int64), 0)[:, None]
+                x[silent], above[silent] = 0, 0
+            seen = np.concatenate([above[:, :1], above], 1)[used]
+            first = np.log1p(2 * above[:, :1]) if k else np.full((len(t), 1), 2.0, np.float32)
+            given[:, k] = np.concatenate([np.minimum(first, 4), x], 1)[used]
+            reach.append((seen, np.concatenate([one_side[:, :1], one_side], 1)[used]))
+        depth = np.broadcast_to(np.arange(CODE + 1), used.shape)[used]
+        two = seen_enough(reach[2][0], (0, 1, 3))
+        two = np.where((two > 0) & reach[2][1], two + 3, two)
+        gate = (two * 3 + seen_enough(reach[1][0], (0, 3))) * 3 + np.where(depth == 0, 0, np.where(depth <= CLASS, 1, 2))
+        token = np.repeat(np.arange(len(t)), per_token[t])
+        code = pairs.code[w][token].astype(np.uint64)
+        shift = np.minimum(63, CODE + 1 - depth).astype(np.uint64)
+        bit = np.where(depth == 0, known[t][token], (code >> np.minimum(31, CODE - np.maximum(1, depth)).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            node = np.where(depth == 0, np.uint64(0), (code >> shift) * np.uint64(64) + depth.astype(np.uint64))
+            slot = [(mixed(x * MIX_A + node) % np.uint64(SLOTS)).astype(np.int64) for x in (np.uint64(1), pairs.one[t][token])]
+        sizes = np.add.reduceat(per_token[:hi], lane_starts[at:to])
+        logs = mix_lanes(sizes, given, gate, slot, bit)
+        out[lo:hi] = np.add.reduceat(logs.astype(np.float64), bits_before[lo:hi] - bits_before[lo]) + np.where(known[t], tree["rest"][w], 0)
+        at = to
+    return out
 
 
 def score_texts(docs: DataFrame, held_out: F.Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -261,79 +444,87 @@ def score_texts(docs: DataFrame, held_out: F.Column, chunk_bytes: int = CHUNK_BY
 
     Learns from the rows that are not held out (null counts as not). base_score sums
     log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens; score is the model's log10
-    probability of them. Null text is empty and has one token, the end; rows with one
-    doc_id are rows of their own; an empty table gives no rows.
+    probability of them, in which an occurrence that was learned does not count for
+    itself. Null text is empty and has one token, the end; rows with one doc_id are rows
+    of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
     at = shared_dir(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     chunks = make_chunks(rows, f"{at}/chunks", ("doc_id", "held_out", "text"), chunk_bytes)
-    n_bits = max(4, int(np.ceil(np.log2(max(1, total_words(chunks) / 6) / BUCKET_TOKENS))))
+    words = total_words(chunks)
+    bits = max(2, int(np.ceil(np.log2(max(1, words / BUCKET_WORDS)))))
+    pair_bits = max(2, int(np.ceil(np.log2(max(1, 1.5 * words / BUCKET_PAIRS)))))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
-                c = ChunkTokens(unpacked(payload.as_py()), n_bits)
+                c = ChunkTokens(unpacked(payload.as_py()), bits)
                 counts = c.counts()
                 for b in np.flatnonzero(np.diff(c.cuts)).tolist():
                     own = c.order[c.cuts[b] : c.cuts[b + 1]]
                     blob = packed(pa.record_batch([c.tokens.take(pa.array(own)), pa.array(counts[own])], names=["token", "n"]))
                     yield pa.record_batch([pa.array([b], pa.int32()), pa.array([chunk]), pa.array([blob], pa.binary())], names=["bucket", "chunk", "keys"])
 
-    sent = stored(chunks.mapInArrow(send, BLOB), f"{at}/sent")
-    learned = stored(sent.groupBy("bucket").applyInArrow(_learn(max(1, FIT_TOKENS >> n_bits)), LEARNED), f"{at}/learned")
-    n_types = n_tokens = 0
-    for row in learned.filter(F.col("part") == TOTALS).toLocalIterator():
-        types, tokens = np.frombuffer(row["payload"], np.int64).tolist()
-        n_types, n_tokens = n_types + types, n_tokens + tokens
-    salt = F.pmod(F.col("bucket"), F.lit(1 << n_bits // 2))
-    n = PARTS << n_bits // 2
-    halfway = learned.filter("part >= 0").repartition(n, "part", salt).mapInArrow(_add, LEARNED)
-    summed = np.zeros((PARTS, len(ORDERS) * SLOTS * 2 // PARTS), np.int64)
-    for row in halfway.repartition(PARTS, "part").mapInArrow(_add, LEARNED).toLocalIterator():
-        summed[row["part"]] = np.frombuffer(zlib.decompress(row["payload"]), np.int32)
-    counts = summed.reshape(len(ORDERS), SLOTS, 2)
-    speller = Speller.of(counts)
-    sample = [unpacked(r["payload"]) for r in sorted(learned.filter(F.col("part") == SAMPLE).collect(), key=lambda r: r["bucket"])]
-    if sample and sum(b.num_rows for b in sample):
-        speller.fit(pa.concat_arrays([b.column(0) for b in sample]), np.concatenate([b.column(1).to_numpy() for b in sample]), counts)
-    del counts, summed
-    shared = spark.sparkContext.broadcast(speller)
-
-    def answer(table: pa.Table) -> pa.Table:
-        tokens, found, codes, ends = _summed(table)
-        logs = shared.value.logs(tokens).astype(np.float32)
-        blobs = [packed(pa.record_batch([pa.array(found[codes[a:b]]), pa.array(logs[codes[a:b]])], names=["n", "log"])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return pa.table([table.column("bucket"), table.column("chunk"), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "keys"])
+    learned = stored(chunks.mapInArrow(send_tokens, BLOB).groupBy("bucket").applyInArrow(_learn_tokens(bits), LEARNED), f"{at}/tokens")
+    sums = np.zeros((1 << bits, (1 << CLASS) + 2), np.int64)
+    for row in learned.groupBy("bucket").agg(F.first("sums").alias("sums")).toLocalIterator():
+        sums[row["bucket"]] = row["sums"]
+    n_types, n_tokens = sums[:, -2:].sum(0).tolist()
+    nodes = Nodes(sums[:, :-2].T, bits)
+    learned = learned.drop("sums")
+    blob_schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary())])
 
+    def send_pairs(chunk, rows, answers):
+        if rows is None:
+            return blob_schema.empty_table()
+        c = ChunkTokens(rows, bits)
+        pairs = ChunkPairs(c, c.answered(answers, "n", np.int64))
+        bucket = (pairs.key >> np.uint64(64 - pair_bits)).astype(np.int64)
+        cuts = np.searchsorted(bucket, np.arange((1 << pair_bits) + 1))
+        rest = pairs.key >> np.uint64(24 - pair_bits)
+        parts = [pa.array((rest >> np.uint64(8)).astype(np.uint32)), pa.array(pairs.pair_code), pa.array(pairs.n.astype(np.uint32)), pa.array((rest & np.uint64(255)).astype(np.uint8))]
+        used = np.flatnonzero(np.diff(cuts)).tolist()
+        blobs = [packed(pa.record_batch([x[cuts[b] : cuts[b + 1]] for x in parts], names=["high", "code", "n", "low"])) for b in used]
+        return pa.table([pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.string()), pa.array(blobs, pa.binary())], schema=blob_schema)
+
+    counted = with_answers(chunks, learned, send_pairs, BLOB).groupBy("bucket").applyInArrow(_learn_pairs, BLOB)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
     def score(_, rows, answers):
         if rows is None:
             return pa.schema(list(zip(names, kinds, strict=True))).empty_table()
-        c = ChunkTokens(rows, n_bits)
-        found, logs = np.zeros(len(c.tokens), np.int64), np.zeros(len(c.tokens))
+        c = ChunkTokens(rows, bits)
+        counts = c.answered(answers, "n", np.int64)
+        pairs = ChunkPairs(c, counts)
+        upper = nodes.counts(pairs.code)
+        upper[counts == 0] = 0
+        alone = (upper == counts[:, None]) & (np.arange(upper.shape[1]) > 0)
+        depth = np.where(alone.any(1), alone.argmax(1), c.answered(answers, "depth", np.uint8))
+        other = np.zeros((len(c.tokens), CODE), np.float32)
+        other[:, : upper.shape[1] - 1] = upper[:, :-1] - upper[:, 1:]
+        for d in range(upper.shape[1], CODE + 1):
+            other[:, d - 1] = COUNT[c.answered(answers, f"d{d}", np.uint8)]
+        tree = {"depth": depth, "rest": c.answered(answers, "rest", np.float32), "other": other}
+        bucket = (pairs.key >> np.uint64(64 - pair_bits)).astype(np.int64)
+        cuts = np.searchsorted(bucket, np.arange((1 << pair_bits) + 1))
+        found = {"n": np.zeros(len(pairs.key), np.uint8), "d": np.zeros((CODE, len(pairs.key)), np.uint8)}
         for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("keys"), strict=True):
-            got, own = unpacked(blob.as_py()), c.order[c.cuts[b] : c.cuts[b + 1]]
-            found[own], logs[own] = got.column(0).to_numpy(), got.column(1).to_numpy()
+            if b < 0:
+                got, own = unpacked(blob.as_py()), slice(cuts[-1 - b], cuts[-b])
+                found["n"][own] = got.column("n").to_numpy()
+                for d in range(CODE):
+                    found["d"][d, own] = got.column(f"d{d + 1}").to_numpy()
+        logs = chunk_bits(c, pairs, counts, tree, found)
+        unknown = (counts[c.codes] - c.learned[doc_of(c.offsets)]) <= 0
+        logs += np.where(unknown, c.answered(answers, "log", np.float32)[c.codes] / np.log(2), 0)
+        bits_of = -np.add.reduceat(logs, c.offsets[:-1])
         over = n_tokens + ADDED * (n_types + 1)
-        sums = lambda x: np.diff(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x[c.codes])])[c.offsets])
-        base = np.add.reduceat(np.log10((found + ADDED) / over)[c.codes], c.offsets[:-1])
-        doc = doc_of(c.offsets)
-        place = np.arange(len(c.codes)) - c.offsets[doc]
-        order = np.argsort(doc * len(c.tokens) + c.codes, kind="stable")
-        key = (doc * len(c.tokens) + c.codes)[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        before = np.empty(len(key), np.int64)
-        before[order] = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-        spelling = np.exp(np.maximum(logs, -600.0))
-        known = np.where(found > 0, (found + ADDED) / over, ADDED / over * spelling)
-        experts = np.stack([known[c.codes], spelling[c.codes], before / (place + 1.0)], 1)
-        model = adapted(c.offsets, experts, np.array([0.6, 0.3, 0.1]))
+        base = np.add.reduceat(np.log10((counts + ADDED) / over)[c.codes], c.offsets[:-1])
+        n_known = np.add.reduceat((counts > 0).astype(np.int64)[c.codes], c.offsets[:-1])
         size = np.maximum(1, pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy(zero_copy_only=False))
-        out = [rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(c.offsets)), pa.array(sums((found > 0).astype(np.int64))), pa.array(np.full(rows.num_rows, n_tokens)), pa.array(base), pa.array(model), pa.array(-model / np.log10(2.0) / size)]
+        out = [rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(c.offsets)), pa.array(n_known), pa.array(np.full(rows.num_rows, n_tokens)), pa.array(base), pa.array(-bits_of * np.log10(2)), pa.array(bits_of / size)]
         return pa.table([x.cast(t) for x, t in zip(out, kinds, strict=True)], names=names)
 
-    answers = sent.groupBy("bucket").applyInArrow(answer, BLOB)
-    return with_answers(chunks, answers, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return with_answers(chunks, learned.unionByName(counted), score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
