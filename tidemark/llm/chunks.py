@@ -1,17 +1,17 @@
-"""Chunks of texts, and exchanges of sorted key blobs between chunks and key buckets.
+"""Chunks of texts, and exchanges of key blobs between chunks and key buckets.
 
 A chunk is a few megabytes of whole texts in one row, written once to the shared
 folder, so that several passes see the same rows in the same order. A pass sends, for
 each chunk and key bucket, one blob of the chunk's distinct keys; a bucket's task
-compares all blobs and answers each chunk with one blob. So a key that a third of all
-rows have is sent once per chunk, no task gathers more than a bucket, and the shuffle
-moves packed arrays, not rows.
+compares all blobs and answers each chunk with one blob, in the order sent. So a key
+that a third of all rows have is sent once per chunk, no task gathers more than a
+bucket, and the shuffle moves packed arrays, not rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,15 @@ def unpacked(payload: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(payload).read_next_batch()
 
 
-def make_chunks(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id", "text"), size: int = CHUNK_BYTES) -> DataFrame:
-    """Write the rows of `docs` in chunks of about `size` bytes of text; a longer text is a chunk of its own."""
+def as_they_are(rows: pa.RecordBatch) -> tuple[int, pa.RecordBatch]:
+    return len(words_of(rows.column("text"))[1]), rows
+
+
+def make_chunks(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id", "text"), size: int = CHUNK_BYTES, form: Callable[[pa.RecordBatch], tuple[int, pa.RecordBatch]] = as_they_are) -> DataFrame:
+    """Write the rows of `docs` in chunks of about `size` bytes of text; a longer text is a chunk of its own.
+
+    `form` makes the number of words and the batch that is written of a chunk's rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -48,8 +55,8 @@ def make_chunks(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id"
 
         def made() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            words = len(words_of(whole.column("text"))[1])
-            return pa.record_batch([pa.array([f"{task}-{number}"]), pa.array([words], pa.int64()), pa.array([packed(whole)], pa.binary())], names=["chunk", "n_words", "payload"])
+            words, batch = form(whole)
+            return pa.record_batch([pa.array([f"{task}-{number}"]), pa.array([words], pa.int64()), pa.array([packed(batch)], pa.binary())], names=["chunk", "n_words", "payload"])
 
         for part in slices(batches, "text", size):
             text = text_of(part.column("text"))
@@ -74,74 +81,20 @@ def total_words(chunks: DataFrame) -> int:
     return chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
 
 
-class Keys:
-    """Keys of 40 bits below the bits of their bucket, or those and 32 more bits beside."""
-
-    def __init__(self, bits: int, wide: bool = False) -> None:
-        self.bits, self.wide = bits, wide
-        self.kind = np.dtype([("high", "<u4"), ("low", "u1")] + [("more", "<u4")] * wide)
-
-    def narrow(self, h: np.ndarray) -> np.ndarray:
-        """Bucket and key of 64-bit hashes as one number that sorts like them."""
-        return h >> np.uint64(24 - self.bits)
-
-    def blobs(self, keys: np.ndarray, more: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
-        """(bucket, blob) of sorted distinct numbers of `narrow`."""
-        bucket = (keys >> np.uint64(40)).astype(np.int64)
-        cuts = np.searchsorted(bucket, np.arange((1 << self.bits) + 1))
-        data = np.zeros(len(keys), self.kind)
-        data["high"], data["low"] = (keys >> np.uint64(8)) & np.uint64(0xFFFFFFFF), keys & np.uint64(0xFF)
-        if more is not None:
-            data["more"] = more
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            yield b, data[cuts[b] : cuts[b + 1]].tobytes()
-
-    def numbers(self, bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-        data = np.frombuffer(blob, self.kind)
-        keys = (np.uint64(bucket) << np.uint64(40)) | (data["high"].astype(np.uint64) << np.uint64(8)) | data["low"]
-        return keys, (data["more"] if self.wide else None)
-
-
-def shared_keys(sent: DataFrame, keys: Keys) -> DataFrame:
-    """Of BLOB rows, those keys of each chunk that another chunk sent too."""
-
-    def reduce(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        each = [keys.numbers(bucket, b.as_py()) for b in table.column("keys")]
-        of = np.repeat(np.arange(len(each)), [len(k) for k, _ in each])
-        every = np.concatenate([k for k, _ in each])
-        if keys.wide:
-            more = np.concatenate([m for _, m in each])
-            order = np.lexsort((more, every))
-            same = (every[order][1:] == every[order][:-1]) & (more[order][1:] == more[order][:-1])
-        else:
-            order = np.argsort(every)
-            same = every[order][1:] == every[order][:-1]
-        found = np.zeros(len(every), bool)
-        found[order[1:][same]] = found[order[:-1][same]] = True
-        data = np.concatenate([np.frombuffer(b.as_py(), keys.kind) for b in table.column("keys")])[found]
-        cuts = np.searchsorted(of[found], np.arange(len(each) + 1))
-        rows = np.flatnonzero(np.diff(cuts))
-        return pa.table([table.column("bucket").take(pa.array(rows)), table.column("chunk").take(pa.array(rows)), pa.array([data[cuts[i] : cuts[i + 1]].tobytes() for i in rows], pa.binary())], names=["bucket", "chunk", "keys"])
-
-    return sent.groupBy("bucket").applyInArrow(reduce, BLOB)
-
-
-def gathered(answers: pa.Table, keys: Keys) -> tuple[np.ndarray, np.ndarray | None]:
-    """All numbers that a chunk was answered, sorted."""
-    parts = sorted((b, k) for b, k in zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True))
-    if not parts:
-        return np.zeros(0, np.uint64), (np.zeros(0, np.uint32) if keys.wide else None)
-    each = [keys.numbers(b, k) for b, k in parts]
-    return np.concatenate([k for k, _ in each]), (np.concatenate([m for _, m in each]) if keys.wide else None)
-
-
-def member(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether x is among the keys, its place)."""
-    if not len(sorted_keys):
-        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-    place = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
-    return sorted_keys[place] == x, place
+def low_bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The 40 bits of 64-bit keys that follow the bits of their bucket."""
+    return (keys << np.uint64(bits)) >> np.uint64(24)
+
+
+def buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of 64-bit keys."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def cuts_of(sorted_buckets: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, first place, end) of each bucket that has some."""
+    own, first = np.unique(sorted_buckets, return_index=True)
+    return list(zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_buckets)][: len(own)], strict=True))
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:

@@ -1,30 +1,35 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is coded token by token, a token bit by bit. The first bit tells whether the
-token is known, that is, learned from some other place. The bits of a known token are
-its code: five bits of its frequency class, then bits of its hash until no other token
-has the same. Each bit is predicted from hashed contexts:
-
-* the corpus alone, the word before, and the two words before, whose counts at each
-  node of the code come from all texts learned from, without this very occurrence;
-* the text so far, alone and after the word before, in small tables that start empty.
-
-A gate, chosen by how much the two-word and the one-word context have seen and by the
-place in the code, picks the weights that mix the predictions in the logistic domain.
-The weights take a step after each bit, and so does a table that refines the mixed
-probability by its size. A token that is not known is spelled: its bytes are mixed
-online in the same way from contexts of 1 to 6 bytes.
+A text is coded token by token, each token as a few bits, in this order:
+
+1. is it the token that most often follows the two words before, in the other texts?
+2. else, is it the one that most often follows the word before?
+3. else, did it occur in this text before? (Which one, by their counts so far.)
+4. else, is it known, that is, learned from some other place?
+5. for a known token the bits of its frequency class, a Huffman code over the classes;
+   tokens of one class are told apart by their shares.
+
+A token that is not known is spelled, bit by bit of its bytes, from contexts of 1 to 6
+bytes. Bits 1 and 2 are left out where the context was seen nowhere else.
+
+Each bit is predicted from several hashed contexts: the counts of the corpus in the
+bit's own context, and tables of this text that start empty, addressed by the bit alone,
+by it and the previous token's last bit, by it and the previous word, and by it and how
+much its corpus context has seen. A gate, chosen by the bit's kind and what the corpus
+has seen, picks the weights that mix them in the logistic domain. Weights, tables and
+the curve that refines the mixed probability take a step after every `STEP` tokens of
+the text. Corpus counts are those without the very occurrence that is scored.
 
 Tokens are words with A-Z in lower case, then one end per text, which is the empty word.
 Chunks of texts exchange counts with key buckets twice: distinct tokens first, then
-distinct (context, token) pairs. A bucket's tables hold what its own keys need, so all
-that is gathered grows with the corpus and no task or broadcast does. A context too
-frequent for one bucket is dealt out by the first bits of the token's hash, and says
-nothing on the bits above those.
+distinct triples (two words before, token). A bucket's tables hold what its own keys
+need, so all that is gathered grows with the corpus and no task or broadcast does. A
+context too frequent for one bucket is narrowed by bits of the words before it.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,29 +38,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BLOB, CHUNK_BYTES, make_chunks, packed, total_words, unpacked, with_answers
-from .common import MIX_A, MIX_B, coded, doc_of, hashes, mixed, shared_dir, stored, text_of, words_of
+from .chunks import BLOB, CHUNK_BYTES, buckets, cuts_of, make_chunks, packed, total_words, unpacked, with_answers
+from .common import MIX_A, MIX_B, coded, doc_of, hashes, mixed, shared_dir, stored, words_of
 
 #: Added to each count of the base model (fixed value).
 ADDED = 0.1
-#: Words for each token bucket, pairs for each pair bucket, and occurrences from which a context is dealt out.
-BUCKET_WORDS, BUCKET_PAIRS, FREQUENT = 4_000_000, 1_000_000, 500_000
-#: Bits of a code, of its frequency class, and the code of tokens that were learned nowhere.
-CODE, CLASS, NOWHERE = 32, 5, 2**32 - 1
-#: Tokens of a lane: the adaptive parts of a longer text start anew after each, its contexts do not.
-LANE, LANE_BITS = 1024, 3_000_000
-INPUTS, SLOTS, STEPS = 6, 1 << 12, 24
-RATE, REFINE = 0.02, 0.02
-#: Added to the counts of the corpus contexts and of those in the text.
-PRIOR, OWN_PRIOR = (0.4, 0.1, 0.03), 0.3
-
-# ---- counts at the nodes of codes
+#: Words for each token bucket, triples for each triple bucket, and occurrences from which a context is narrowed.
+BUCKET_WORDS, BUCKET_TRIPLES, FREQUENT = 4_000_000, 1_000_000, 1_000_000
+CLASSES = 48
+HIGH = np.uint64(0xFFFFFFFF00000000)
+#: Tokens between steps, rates of weights and curve, cells of a text's table and of the curve.
+STEP, RATE, REFINE, SLOTS, CURVE = 16, 0.02, 0.02, 1 << 12, 24
+#: Bits mixed at a time, and texts.
+BATCH_BITS, BATCH_TEXTS = 2_000_000, 4000
+#: Added to the corpus's counts for and against the token that is expected.
+PRIOR = 0.05
+#: Kinds of bits.
+TWO, ONE, AGAIN, KNOWN, CLASS = range(5)
+INPUTS, TABLES = 6, 4
 
 
 def level(n: np.ndarray) -> np.ndarray:
     """Counts in steps of a sixth of a doubling, 0 for none; small counts stay exact."""
     out = np.zeros(len(n), np.uint8)
-    some = np.flatnonzero(n)
+    some = np.flatnonzero(n > 0)
     out[some] = 1 + np.rint(6 * np.log2(n[some]))
     return out
 
@@ -64,30 +70,29 @@ COUNT = np.concatenate([[0.0], 2 ** (np.arange(255) / 6)])
 COUNT = np.where(COUNT < 16, np.rint(COUNT), COUNT).astype(np.float32)
 
 
-def code_of(hash_: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Frequency class and first hash bits of tokens with count n."""
-    kind = np.minimum(30, np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1).astype(np.uint64)
-    code = (kind << np.uint64(CODE - CLASS)) | (hash_ >> np.uint64(64 - CODE + CLASS))
-    return np.where(n > 0, code, np.uint64(NOWHERE)).astype(np.uint32)
+def class_of(n: np.ndarray) -> np.ndarray:
+    """Frequency class of a count: its binary length less one."""
+    return np.minimum(CLASSES - 1, np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1)
 
 
-def siblings(key: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each depth 1 to 32 of (key, code) pairs sorted by both: (count of the node, count of its sibling)."""
-    shared = CODE - np.frexp((code[1:] ^ code[:-1]).astype(np.float64))[1]
-    shared[key[1:] != key[:-1]] = -1
-    shared = np.concatenate([[-1], shared])
-    above = None
-    for depth in range(CODE + 1):
-        starts = np.flatnonzero(shared < depth) if depth else np.flatnonzero(shared < 0)
-        here = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(n))))
-        if depth:
-            yield here, above - here
-        above = here
+def class_codes(mass: np.ndarray) -> list[str]:
+    """A Huffman code over the classes by their tokens; classes without tokens have the longest codes."""
+    heap = [(max(float(m), 1e-3), k, (k,)) for k, m in enumerate(mass)]
+    codes = [""] * len(mass)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (m, i, some), (n, j, more) = heapq.heappop(heap), heapq.heappop(heap)
+        for k in some:
+            codes[k] = "0" + codes[k]
+        for k in more:
+            codes[k] = "1" + codes[k]
+        heapq.heappush(heap, (m + n, min(i, j), some + more))
+    return codes
 
 
 # ---- spelling
 
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (1, 2, 3, 5)
 TABLE, BLOCK = 1 << 19, 256
 GATES, REFINED = 8 * (len(ORDERS) + 1), 33
 
@@ -121,15 +126,16 @@ def places(data: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def spelling_logs(tokens: pa.Array, counts: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the probabilities of distinct tokens, spelled in order.
+    """Natural logarithms of the probabilities of the distinct tokens with a count of 0 or 1, spelled in order; 0 for others.
 
-    Bit counts are those of all learned tokens but the one that is spelled; weights and
-    refinement take a step after each block.
+    A token with a higher count is known wherever it stands. Bit counts are those of all
+    learned tokens but the one that is spelled; weights and refinement take a step after
+    each block.
     """
     learned = (counts > 0).astype(np.int64)
     table = np.zeros((len(ORDERS), TABLE * 2), np.int32)
-    for at in range(0, len(tokens), 16 * BLOCK):
-        part = np.flatnonzero(learned[at : at + 16 * BLOCK]) + at
+    for at in range(0, len(tokens), 64 * BLOCK):
+        part = np.flatnonzero(learned[at : at + 64 * BLOCK]) + at
         if len(part):
             data, _, place = spelled(tokens.take(pa.array(part)))
             y = np.unpackbits(data[:, None], axis=1).ravel()
@@ -137,10 +143,11 @@ def spelling_logs(tokens: pa.Array, counts: np.ndarray) -> np.ndarray:
                 table[k] += np.bincount(slot.ravel() * 2 + y, minlength=TABLE * 2).astype(np.int32)
     weights, past = np.full((GATES, len(ORDERS)), 0.3), np.full((GATES, len(ORDERS)), 1e-4)
     ones = np.tile(8 / (1 + np.exp(-np.linspace(-8, 8, REFINED))), (GATES, 1))
-    hits, out = np.full((GATES, REFINED), 8.0), np.zeros(len(tokens))
-    for at in range(0, len(tokens), BLOCK):
-        data, owner, place = spelled(tokens.slice(at, BLOCK))
-        y, own = np.unpackbits(data[:, None], axis=1).astype(bool), learned[at : at + BLOCK][owner][:, None]
+    hits, out, rare = np.full((GATES, REFINED), 8.0), np.zeros(len(tokens)), np.flatnonzero(counts < 2)
+    for at in range(0, len(rare), BLOCK):
+        now = rare[at : at + BLOCK]
+        data, owner, place = spelled(tokens.take(pa.array(now)))
+        y, own = np.unpackbits(data[:, None], axis=1).astype(bool), learned[now][owner][:, None]
         reach, inputs = np.zeros(y.shape, np.int64), []
         for k, slot in enumerate(places(data, place)):
             zeros, one = (np.maximum(0, table[k][slot * 2 + b] - np.where(y == b, own, 0)) for b in (0, 1))
@@ -150,7 +157,7 @@ def spelling_logs(tokens: pa.Array, counts: np.ndarray) -> np.ndarray:
         dot = np.clip(sum(weights[gate, k] * x for k, x in enumerate(inputs)), -8, 8)
         p, step = 1 / (1 + np.exp(-dot)), np.rint((dot + 8) * ((REFINED - 1) / 16)).astype(np.int64)
         mix = np.clip((p + (ones / hits)[gate, step]) / 2, 1e-5, 1 - 1e-5)
-        out[at : at + BLOCK] = np.bincount(owner, np.log(np.where(y, mix, 1 - mix)).sum(1), min(BLOCK, len(tokens) - at))
+        out[now] = np.bincount(owner, np.log(np.where(y, mix, 1 - mix)).sum(1), len(now))
         flat, miss = gate.ravel(), y - p
         for k, x in enumerate(inputs):
             slope = np.bincount(flat, (miss * x).ravel(), GATES)
@@ -162,138 +169,192 @@ def spelling_logs(tokens: pa.Array, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-# ---- mixing the bits of codes
+# ---- mixing the bits of a text
 
-#: Logistic inputs of the tables in the text by (times the bit had this value, times it had the other).
 _seen = np.arange(64, dtype=np.float32)
-OWN_INPUT = np.log((_seen[:, None] + OWN_PRIOR) / (_seen[None, :] + OWN_PRIOR)).astype(np.float32)
-
-
-def first_weights() -> np.ndarray:
-    """(gates, inputs) weights with which every lane starts.
-
-    A gate is ((two-word * 3) + one-word) * 3 + place: how much the contexts have seen
-    (two-word: none, then one, few, many with either both values or one value only;
-    one-word: none, few, many), and known bit, class bit or hash bit.
-    """
-    out = np.zeros((7, 3, 3, INPUTS), np.float32)
-    out[..., 3:5] = 0.2
-    out[0, 0, :, 0], out[0, 1:, :, 0], out[0, 1:, :, 1] = 0.8, 0.5, 0.4
-    out[1:, :, :, 0], out[1:, :, :, 1], out[1:4, :, :, 2], out[4:, :, :, 2] = 0.2, 0.15, 0.6, 0.9
-    return out.reshape(-1, INPUTS)
-
-
-def seen_enough(n: np.ndarray, cuts: tuple[float, ...]) -> np.ndarray:
-    return sum((n > c).astype(np.int8) for c in cuts)
+#: Logistic inputs of a text's tables by (times the bit had this value, times it had the other).
+OWN_INPUT = np.log((_seen[:, None] + 0.3) / (_seen[None, :] + 0.3)).astype(np.float32)
+#: Weights of the corpus, the four tables and the constant with which every text starts, by kind of bit.
+FIRST = np.array([[0.8, 0.15, 0.15, 0.1, 0.2, 0], [0.6, 0.15, 0.1, 0.15, 0.2, 0], [0.3, 0.3, 0.15, 0.15, 0.15, 0], [0.4, 0.25, 0.15, 0.15, 0.2, 0], [0.6, 0.2, 0.1, 0.1, 0.1, 0]], np.float32)
+#: Gates: kind of bit, times how much the corpus context has seen (none, one, few, many).
+GATE_LEVELS = 4
 
 
-def mix_lanes(sizes: np.ndarray, given: np.ndarray, gate: np.ndarray, slot: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """log2 of the probability of each bit; lanes (with `sizes` bits each) advance in step.
+def mix_bits(text: np.ndarray, step: np.ndarray, corpus: np.ndarray, gate: np.ndarray, slot: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+    """log2 of the probability of each bit.
 
-    `given` has the inputs of the corpus contexts towards the bit's value, `slot` the
-    place in the lane's two own tables.
+    `text` and `step` number the text and its step of each bit, `corpus` is the corpus's
+    input towards a one, `slot` has the cells for each of the text's tables. A cell that
+    a step meets goes up by one for a value that occurs, and halves for one that does not.
     """
-    order = np.argsort(-sizes, kind="stable")
-    n = sizes[order]
-    active = len(n) - np.searchsorted(n[::-1], np.arange(int(n[0]) if len(n) else 0), "right")
-    begins = np.cumsum(active) - active
-    rank = np.empty(len(n), np.int64)
-    rank[order] = np.arange(len(n))
-    lane = np.repeat(np.arange(len(sizes)), sizes)
-    to = begins[np.arange(len(lane)) - (np.cumsum(sizes) - sizes)[lane]] + rank[lane]
-    x = np.empty((len(lane), INPUTS), np.float32)
-    x[to, :3], x[:, 5] = given, 0.1
-    turn = np.empty((4, len(lane)), np.int64)
-    own = rank[lane] * (2 * SLOTS)
-    gates, weights = gate.astype(np.int64), np.tile(first_weights(), (len(n), 1))
-    n_gates = len(weights) // max(1, len(n))
-    turn[0, to], turn[1, to], turn[2, to] = rank[lane] * n_gates + gates, (own + slot[0] * 2 + bit), (own + slot[1] * 2 + bit)
-    turn[3, to] = (rank[lane] * 3 + gates % 3) * STEPS
-    tables = np.zeros((2, len(n) * SLOTS * 2), np.uint8)
-    curve = 1 / (1 + np.exp(-(np.arange(STEPS, dtype=np.float32) + 0.5) / 2))
-    refined = np.tile(curve.astype(np.float32), len(n) * 3)
-    out = np.empty(len(lane), np.float32)
-    for begin, a in zip(begins.tolist(), active.tolist(), strict=True):
-        now = slice(begin, begin + a)
-        row, xs = turn[0, now], x[now]
-        for k in (0, 1):
-            at, table = turn[1 + k, now], tables[k]
+    order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 1 << 16 else step, kind="stable")
+    cuts = np.flatnonzero(np.diff(step[order], prepend=-1, append=2**40))
+    n_texts = int(text.max()) + 1 if len(text) else 0
+    text, gate, bit = text[order], gate[order].astype(np.int64), bit[order].astype(np.int64)
+    sign = (2 * bit - 1).astype(np.float32)
+    given = corpus[order] * sign
+    constant = np.float32(0.3) * sign
+    rows = text * (len(FIRST) * GATE_LEVELS) + gate
+    weights = [np.tile(np.repeat(x, GATE_LEVELS), n_texts) for x in FIRST.T]
+    tables = [np.zeros(n_texts * SLOTS * 2, np.uint8) for _ in range(TABLES)]
+    base = text * (SLOTS * 2) + bit
+    cells = [base + s[order].astype(np.int64) * 2 for s in slot]
+    curve = np.tile((1 / (1 + np.exp(-(np.arange(CURVE) + 0.5) / 3))).astype(np.float32), n_texts * len(FIRST))
+    bend = (text * len(FIRST) + gate // GATE_LEVELS) * CURVE
+    out = np.empty(len(order), np.float32)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        now = slice(lo, hi)
+        row = rows[now]
+        inputs = [given[now]]
+        for table, own in zip(tables, cells, strict=True):
+            at = own[now]
             same, other = table[at], table[at ^ 1]
-            xs[:, 3 + k] = OWN_INPUT[same, other]
-            table[at] = np.minimum(same + 1, 63)
+            inputs.append(OWN_INPUT[same, other])
             table[at ^ 1] = np.minimum(other, (other >> 1) + 1)
-        w = weights[row]
-        dot = np.einsum("ij,ij->i", w, xs)
-        p = 1 / (1 + np.exp(-np.clip(dot, -16, 16)))
+            table[at] = np.minimum(63, same + 1)
+        inputs.append(constant[now])
+        dot = weights[0][row] * inputs[0]
+        for w, x in zip(weights[1:], inputs[1:], strict=True):
+            dot += w[row] * x
+        p = 1 / (1 + np.exp(-np.minimum(np.maximum(dot, -16), 16)))
         right = dot >= 0
-        cell = turn[3, now] + np.minimum(np.abs(dot) * 2, STEPS - 1).astype(np.int64)
-        sure = refined[cell]
+        near = bend[now] + np.minimum(np.abs(dot) * 3, CURVE - 1).astype(np.int64)
+        sure = curve[near]
         out[now] = 0.5 * (p + np.where(right, sure, 1 - sure))
-        refined[cell] = sure + REFINE * (right - sure)
-        weights[row] = w + (RATE * (1 - p))[:, None] * xs
-    return np.log2(np.clip(out, 1e-6, 1.0))[to]
+        pull = (1 - p) * np.float32(RATE)
+        for w, x in zip(weights, inputs, strict=True):
+            np.add.at(w, row, pull * x)
+        np.add.at(curve, near, np.float32(REFINE) * (right - sure))
+    logs = np.empty(len(order), np.float32)
+    logs[order] = np.log2(np.clip(out, 1e-6, 1.0))
+    return logs
 
 
 # ---- texts in chunks
 
 
+def tokenised(rows: pa.RecordBatch) -> tuple[int, pa.RecordBatch]:
+    """A chunk's rows as one row of lists: distinct tokens, and each text's tokens as their numbers."""
+    offsets, words = words_of(pc.ascii_lower(rows.column("text")))
+    codes, distinct = coded(words)
+    n = rows.num_rows
+    codes = np.insert(codes, offsets[1:], len(distinct)).astype(np.int32)
+    tokens = pa.concat_arrays([distinct.cast(pa.binary()), pa.array([b""], pa.binary())])
+    size = pc.binary_length(rows.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+    each = {"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "size": pa.array(size), "offset": pa.array(offsets + np.arange(n + 1)), "code": pa.array(codes), "token": tokens}
+    return len(codes), pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in each.values()], names=list(each))
+
+
 class ChunkTokens:
     """The tokens of a chunk's texts, ends included, and its distinct tokens by bucket."""
 
-    def __init__(self, rows: pa.RecordBatch, bits: int) -> None:
-        texts = pc.ascii_lower(text_of(rows.column("text")))
-        offsets, words = words_of(texts)
-        codes, distinct = coded(words)
-        n = len(offsets) - 1
-        self.codes = np.insert(codes, offsets[1:], len(distinct))
-        self.offsets = offsets + np.arange(n + 1)
-        self.tokens = pa.concat_arrays([distinct.cast(pa.binary()), pa.array([b""], pa.binary())])
+    def __init__(self, row: pa.RecordBatch, bits: int) -> None:
+        self.doc_id, self.held_out, size, offset, code, self.tokens = (x.flatten() for x in row.columns)
+        self.size, self.offsets, self.codes = size.to_numpy(), offset.to_numpy(), code.to_numpy()
+        self.doc = doc_of(self.offsets)
+        self.place = np.arange(len(self.codes)) - self.offsets[self.doc]
         self.hash = hashes(self.tokens)
-        bucket = (self.hash >> np.uint64(64 - bits)).astype(np.int64)
+        bucket = buckets(self.hash, bits)
         self.order = np.argsort(bucket, kind="stable")
-        self.cuts = np.searchsorted(bucket[self.order], np.arange((1 << bits) + 1))
-        self.learned = ~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        self.cuts = cuts_of(bucket[self.order], bits)
+        self.learned = ~self.held_out.to_numpy(zero_copy_only=False).astype(bool)
 
     def counts(self) -> np.ndarray:
-        return np.bincount(self.codes[self.learned[doc_of(self.offsets)]], minlength=len(self.tokens))
+        return np.bincount(self.codes[self.learned[self.doc]], minlength=len(self.tokens))
 
     def answered(self, answers: pa.Table, column: str, kind) -> np.ndarray:
         """A column of the token buckets' answers for each distinct token."""
-        out = np.zeros(len(self.tokens), kind)
+        out, own = np.zeros(len(self.tokens), kind), {b: (i, j) for b, i, j in self.cuts}
         for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("keys"), strict=True):
             if b >= 0:
-                out[self.order[self.cuts[b] : self.cuts[b + 1]]] = unpacked(blob.as_py()).column(column).to_numpy()
+                i, j = own[b]
+                out[self.order[i:j]] = unpacked(blob.as_py()).column(column).to_numpy()
         return out
 
+    def before(self) -> np.ndarray:
+        """How often each token occurred in its text before."""
+        key = self.doc * len(self.tokens) + self.codes
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], np.arange(len(key))
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        out = np.empty(len(key), np.int64)
+        out[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+        return out
 
-class ChunkPairs:
-    """The distinct (context, code) pairs of a chunk, sorted by the context's key, and the two of each token."""
+
+def shifted(x: np.ndarray, place: np.ndarray, k: int, outside) -> np.ndarray:
+    """For each token the value of the one k places before in its text."""
+    out = np.full(len(x), outside, x.dtype)
+    out[k:] = x[: max(0, len(x) - k)]
+    out[place < k] = outside
+    return out
+
+
+class ChunkTriples:
+    """The distinct (word before, second word before, token) triples of a chunk, sorted by the key of the context.
+
+    Tokens learned in one place only, and those learned nowhere, are one token here, 0,
+    and no context leads through one: what follows it was seen nowhere else. `two` is 0
+    where only the word before counts.
+    """
 
     def __init__(self, c: ChunkTokens, counts: np.ndarray) -> None:
-        self.code = code_of(c.hash, counts)
-        doc = doc_of(c.offsets)
-        place = np.arange(len(c.codes)) - c.offsets[doc]
-        code, h, n = self.code[c.codes], c.hash[c.codes], counts[c.codes]
-        one, two = (np.where(place >= k, np.concatenate([np.zeros(min(k, len(h)), h.dtype), h[:-k]]), np.uint64(k)) for k in (1, 2))
-        n_one, n_two = (np.where(place >= k, np.concatenate([np.zeros(min(k, len(n)), n.dtype), n[:-k]]), c.offsets[-1]) for k in (1, 2))
+        code, n = c.codes, counts
+        elsewhere = n > 1
+        h = c.hash[code]
+        good = [shifted(elsewhere[code], c.place, k, True) for k in (1, 2)]
+        freq = [shifted(n[code], c.place, k, 0) for k in (1, 2)]
+        self.one, two, three = (shifted(h, c.place, k, k) for k in (1, 2, 3))
+        narrow = [np.ceil(np.log2(np.maximum(1, x / FREQUENT))).astype(np.uint64) for x in (freq[0], np.minimum(*freq))]
         with np.errstate(over="ignore"):
-            keys = [mixed(one * MIX_A + np.uint64(1)), mixed(mixed(two * MIX_A + one) * MIX_B + np.uint64(2))]
-            #: For each context of each token, the first hash bits by which it is dealt out.
-            self.dealt = [np.ceil(np.log2(np.maximum(1, x / FREQUENT))).astype(np.uint64) for x in (n_one, np.minimum(n_one, n_two))]
-            for k, bits in enumerate(self.dealt):
+            key = mixed(self.one * MIX_A + np.uint64(1))
+            for bits, word in zip(narrow, (two, three), strict=True):
                 some = np.flatnonzero(bits)
-                keys[k][some] = mixed(keys[k][some] + np.uint64(1) + (h[some] >> (np.uint64(64) - bits[some])))
-            key, code = np.concatenate(keys), np.concatenate([code, code])
-            _, at, own = np.unique(mixed(key * MIX_A + code), return_index=True, return_inverse=True)
-        order = np.argsort(key[at], kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.key, self.pair_code = key[at][order], code[at][order]
-        self.own = back[own].reshape(2, -1)
-        learned = c.learned[doc]
-        self.n = np.bincount(np.concatenate([x[learned] for x in self.own]), minlength=len(order))
-        #: Tokens one and two words before: hashes, for the contexts in the text.
-        self.one = one
+                key[some] = mixed(key[some] * MIX_B + np.uint64(1) + (word[some] >> (np.uint64(64) - bits[some])))
+            second = np.where(good[1], (mixed(two) >> np.uint64(40)) + np.uint64(1), np.uint64(0)).astype(np.uint32)
+            token = np.where(elsewhere[code], (h & np.uint64(0xFFFFFFFE)) + np.uint64(1), np.uint64(0)).astype(np.uint32)
+            self.used = np.flatnonzero(good[0])
+            key, second, token = key[self.used], second[self.used], token[self.used]
+            whole = (key & HIGH) | (mixed((key ^ (second.astype(np.uint64) << np.uint64(32))) * MIX_A + token) >> np.uint64(32))
+        order = np.argsort(whole)
+        new = np.diff(whole[order], prepend=~whole[order[:1]]) != 0
+        self.own = np.empty(len(order), np.int64)
+        self.own[order] = np.cumsum(new) - 1
+        at = order[new]
+        self.key, self.second, self.token = key[at], second[at], token[at]
+        self.n = np.bincount(self.own[c.learned[c.doc[self.used]]], minlength=len(at))
+
+
+ANSWER = [f"{x}{k}" for k in (1, 2) for x in ("all", "own", "top", "next")]
+
+
+def followers(context: np.ndarray, token: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """For each row (32-bit context, token, count): the count of its context, of its token in it, and of the best other token.
+
+    `next` tells whether that other token wins a tie, as the larger number does; token 0
+    is never the best.
+    """
+    whole = (context.astype(np.uint64) << np.uint64(32)) | token
+    order = np.argsort(whole)
+    whole = whole[order]
+    new = np.flatnonzero(np.diff(whole, prepend=~whole[:1]) != 0)
+    total, own_token = np.add.reduceat(n[order], new), whole[new] & ~HIGH
+    context = whole[new] >> np.uint64(32)
+    first = np.flatnonzero(np.diff(context, prepend=~context[:1]) != 0)
+    sizes = np.diff(np.append(first, len(new)))
+    owner = np.repeat(np.arange(len(first)), sizes)
+    rank = np.where(own_token > 0, total, -1)
+    by = np.argsort((owner << 38) | np.minimum(rank + 1, (1 << 38) - 1), kind="stable")
+    best = by[first + sizes - 1]
+    second = np.where(sizes > 1, by[first + np.maximum(0, sizes - 2)], -1)
+    rival = np.where(np.arange(len(new)) == best[owner], second[owner], best[owner])
+    columns = {
+        "all": np.add.reduceat(total, first)[owner], "own": np.where(own_token > 0, total, 0),
+        "top": np.where(rival >= 0, np.maximum(0, rank[rival]), 0), "next": (rival > np.arange(len(new))).astype(np.uint8),
+    }
+    back = np.empty(len(order), np.int64)
+    back[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+    return {k: (x if k == "next" else level(x))[back] for k, x in columns.items()}
 
 
 def _joined(table: pa.Table) -> tuple[list[pa.RecordBatch], np.ndarray]:
@@ -310,133 +371,123 @@ def _answers(table: pa.Table, ends: np.ndarray, columns: dict[str, np.ndarray],
 LEARNED = f"{BLOB}, sums array<long>"
 
 
-def _learn_tokens(bits: int):
-    """A token bucket: counts, spelling and nodes of its tokens, and the bucket's own sums by class, with types and tokens."""
-
-    def learn(table: pa.Table) -> pa.Table:
-        each, ends = _joined(table)
-        own, tokens = coded(pa.concat_arrays([b.column(0) for b in each]))
-        counts = np.bincount(own, np.concatenate([b.column(1).to_numpy() for b in each]), len(tokens)).astype(np.int64)
-        h = hashes(tokens)
-        order = np.argsort(h, kind="stable")
-        logs = np.zeros(len(tokens), np.float32)
-        logs[order] = spelling_logs(tokens.take(pa.array(order)), counts[order])
-        known = order[counts[order] > 0]
-        code = code_of(h[known], counts[known])
-        by_code = np.argsort(code, kind="stable")
-        known, code = known[by_code], code[by_code]
-        n = counts[known]
-        columns = {"n": counts, "log": logs, "depth": np.full(len(tokens), CODE, np.uint8), "rest": np.zeros(len(tokens), np.float32)}
-        if len(n):
-            depth, here = np.full(len(n), CODE, np.uint8), n
-            for d, (here, other) in enumerate(siblings(np.zeros(len(n), np.int8), code, n), 1):
-                depth = np.where(here == n, np.minimum(depth, d), depth)
-                if d > CLASS + bits:
-                    columns[f"d{d}"] = np.zeros(len(tokens), np.uint8)
-                    columns[f"d{d}"][known] = level(other)
-            columns["depth"][known], columns["rest"][known] = depth, np.log2(n / here)
-        else:
-            columns |= {f"d{d}": np.zeros(len(tokens), np.uint8) for d in range(CLASS + bits + 1, CODE + 1)}
-        sums = np.bincount((code >> np.uint32(CODE - CLASS)).astype(np.int64), n, 1 << CLASS).astype(np.int64)
-        out = _answers(table, ends, {k: x[own] for k, x in columns.items()})
-        return out.append_column("sums", pa.array([[*sums.tolist(), len(n), int(n.sum())]] * len(each), pa.list_(pa.int64())))
-
-    return learn
-
-
-def _learn_pairs(table: pa.Table) -> pa.Table:
-    """A pair bucket: for each pair sent, its count and those of the siblings on the code's path, in the same context."""
+def _learn_tokens(table: pa.Table) -> pa.Table:
+    """A token bucket: counts and spelling of its tokens; the bucket's tokens by class, and its types and tokens."""
     each, ends = _joined(table)
-    key, code, n = (np.concatenate([b.column(i).to_numpy() for b in each]) for i in range(3))
-    key = (key.astype(np.uint64) << np.uint64(8)) | np.concatenate([b.column(3).to_numpy() for b in each])
-    order = np.lexsort((code, key))
-    key, code = key[order], code[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (code[1:] != code[:-1])])
-    starts = np.flatnonzero(new)
-    total = np.add.reduceat(n[order].astype(np.int64), starts)
-    own = np.empty(len(key), np.int64)
-    own[order] = np.cumsum(new) - 1
-    columns = {"n": level(total)[own]}
-    for d, (_, other) in enumerate(siblings(key[starts], code[starts], total), 1):
-        columns[f"d{d}"] = level(other)[own]
-    return _answers(table, ends, columns, -1)
-
-
-class Nodes:
-    """Counts at the upper nodes of codes over the whole corpus, from the buckets' sums by class."""
-
-    def __init__(self, sums: np.ndarray, bits: int) -> None:
-        self.bits = CLASS + bits
-        self.sums = np.concatenate([[0], np.cumsum(sums.ravel())])
-
-    def counts(self, code: np.ndarray) -> np.ndarray:
-        """(codes, depths 0 to the buckets' own) counts."""
-        cell = (code >> np.uint32(CODE - self.bits)).astype(np.int64)
-        out = np.empty((len(code), self.bits + 1), np.int64)
-        for d in range(self.bits + 1):
-            wide = self.bits - d
-            low = cell >> wide << wide
-            out[:, d] = self.sums[low + (1 << wide)] - self.sums[low]
-        return out
-
-
-def towards(end: np.ndarray, other: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(input towards the bit, count of the node above, whether all of it is on one side) of bits 0 to 31."""
-    other = other.astype(np.float32)
-    below = np.cumsum(np.concatenate([end[:, None], other[:, :0:-1]], 1, dtype=np.float32), 1)[:, ::-1]
-    return np.log((below + prior) / (other + prior)), below + other, np.minimum(below, other) == 0
-
-
-def chunk_bits(c: ChunkTokens, pairs: ChunkPairs, counts: np.ndarray, tree: dict, answers: dict) -> np.ndarray:
-    """log2 of the probability of each token, without the spelling of those that are not known."""
-    doc = doc_of(c.offsets)
-    place = np.arange(len(c.codes)) - c.offsets[doc]
-    learned = c.learned[doc]
-    known = (counts[c.codes] - learned) > 0
-    lane_starts = np.flatnonzero(place % LANE == 0)
-    lane_ends = np.append(lane_starts[1:], len(c.codes))
-    out = np.zeros(len(c.codes))
-    per_token = 1 + np.where(known, tree["depth"][c.codes], 0).astype(np.int64)
-    bits_before = np.concatenate([[0], np.cumsum(per_token)])
-    at = 0
-    while at < len(lane_starts):
-        to = max(at + 1, int(np.searchsorted(bits_before[lane_ends], bits_before[lane_starts[at]] + LANE_BITS, "right")))
-        lo, hi = int(lane_starts[at]), int(lane_ends[to - 1])
-        t = np.arange(lo, hi)
-        w, less = c.codes[t], learned[t].astype(np.float32)
-        used = np.arange(CODE + 1)[None, :] < per_token[t][:, None]
-        given = np.zeros((int(used.sum()), 3), np.float32)
-        reach = []
-        for k in range(3):
-            if k:
-                row = pairs.own[k - 1][t]
-                end, other = COUNT[answers["n"][row]], COUNT[answers["d"][:, row].T]
-            else:
-                end, other = counts[w].astype(np.float32), tree["other"][w]
-            x, above, one_side = towards(np.maximum(0, end - less), other, PRIOR[k])
-            if k:
-                silent = np.arange(CODE)[None, :] < np.where(pairs.dealt[k - 1][t] > 0, CLASS + pairs.dealt[k - 1][t].astype(np.int64), 0)[:, None]
-                x[silent], above[silent] = 0, 0
-            seen = np.concatenate([above[:, :1], above], 1)[used]
-            first = np.log1p(2 * above[:, :1]) if k else np.full((len(t), 1), 2.0, np.float32)
-            given[:, k] = np.concatenate([np.minimum(first, 4), x], 1)[used]
-            reach.append((seen, np.concatenate([one_side[:, :1], one_side], 1)[used]))
-        depth = np.broadcast_to(np.arange(CODE + 1), used.shape)[used]
-        two = seen_enough(reach[2][0], (0, 1, 3))
-        two = np.where((two > 0) & reach[2][1], two + 3, two)
-        gate = (two * 3 + seen_enough(reach[1][0], (0, 3))) * 3 + np.where(depth == 0, 0, np.where(depth <= CLASS, 1, 2))
-        token = np.repeat(np.arange(len(t)), per_token[t])
-        code = pairs.code[w][token].astype(np.uint64)
-        shift = np.minimum(63, CODE + 1 - depth).astype(np.uint64)
-        bit = np.where(depth == 0, known[t][token], (code >> np.minimum(31, CODE - np.maximum(1, depth)).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
-        with np.errstate(over="ignore"):
-            node = np.where(depth == 0, np.uint64(0), (code >> shift) * np.uint64(64) + depth.astype(np.uint64))
-            slot = [(mixed(x * MIX_A + node) % np.uint64(SLOTS)).astype(np.int64) for x in (np.uint64(1), pairs.one[t][token])]
-        sizes = np.add.reduceat(per_token[:hi], lane_starts[at:to])
-        logs = mix_lanes(sizes, given, gate, slot, bit)
-        out[lo:hi] = np.add.reduceat(logs.astype(np.float64), bits_before[lo:hi] - bits_before[lo]) + np.where(known[t], tree["rest"][w], 0)
-        at = to
-    return out
+    own, tokens = coded(pa.concat_arrays([b.column(0) for b in each]))
+    counts = np.bincount(own, np.concatenate([b.column(1).to_numpy() for b in each]), len(tokens)).astype(np.int64)
+    order = np.argsort(hashes(tokens), kind="stable")
+    logs = np.zeros(len(tokens), np.float32)
+    logs[order] = spelling_logs(tokens.take(pa.array(order)), counts[order])
+    known = counts[counts > 0]
+    sums = np.bincount(class_of(known), known, CLASSES).astype(np.int64)
+    out = _answers(table, ends, {"n": counts[own], "log": logs[own]})
+    return out.append_column("sums", pa.array([[*sums.tolist(), len(known), int(known.sum())]] * len(each), pa.list_(pa.int64())))
+
+
+def _learn_triples(table: pa.Table) -> pa.Table:
+    """A triple bucket: what follows the word before, and the two words before, of each triple sent."""
+    each, ends = _joined(table)
+    key, second, token, n = (np.concatenate([b.column(i).to_numpy() for b in each]) for i in range(4))
+    n = n.astype(np.int64)
+    columns = {}
+    both = (mixed((key.astype(np.uint64) << np.uint64(32)) | second) >> np.uint64(32)).astype(np.uint32)
+    for k, context in ((1, key), (2, both)):
+        for name, x in followers(context, token, n).items():
+            columns[f"{name}{k}"] = x
+    return _answers(table, ends, {c: columns[c] for c in ANSWER}, -1)
+
+
+def expected(all_: np.ndarray, own: np.ndarray, top: np.ndarray, ahead: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count of the context, of the token expected in it, whether that is the token), without the occurrence itself."""
+    all_, own = np.maximum(0, COUNT[all_] - less), np.maximum(0, COUNT[own] - less)
+    top = COUNT[top]
+    is_own = (own > top) | ((own == top) & (own > 0) & (ahead == 0))
+    best = np.where(is_own, own, top)
+    return np.maximum(all_, best), best, is_own
+
+
+def class_nodes(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the classes' Huffman code: lengths, and (class, depth) bits, numbers of nodes, and the corpus's inputs towards a one."""
+    codes = class_codes(mass)
+    total: dict[str, float] = {}
+    for x, m in zip(codes, mass.tolist(), strict=True):
+        for d in range(len(x) + 1):
+            total[x[:d]] = total.get(x[:d], 0.0) + m
+    number = {x: i for i, x in enumerate(sorted(total, key=lambda x: (len(x), x)))}
+    width = np.array([len(x) for x in codes])
+    bit, node, given = (np.zeros((CLASSES, int(width.max())), t) for t in (np.int64, np.int64, np.float32))
+    for q, x in enumerate(codes):
+        for d in range(len(x)):
+            bit[q, d], node[q, d] = int(x[d]), CLASS + number[x[:d]]
+            given[q, d] = np.log((total[x[:d] + "1"] + 0.4) / (total[x[:d] + "0"] + 0.4))
+    return width, bit, node, given
+
+
+def chunk_bits(c: ChunkTokens, t: ChunkTriples, counts: np.ndarray, found: dict[str, np.ndarray], mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log2 of the probability of each token, without the spelling of those that are not known; which tokens these are)."""
+    less = c.learned[c.doc].astype(np.float32)
+    n, before, size = len(c.codes), c.before(), c.place
+    count = counts[c.codes]
+    known = count - less > 0
+    done, last, out = np.zeros(n, bool), np.full(n, KNOWN + 2, np.uint8), np.zeros(n)
+    # of each kind of bit: (tokens that have one, its value, the corpus's input, how much the corpus has seen, number of the node, trust)
+    asked: list[tuple] = []
+    near = np.where(shifted(count, c.place, 1, 2) > 1, 3, 0).astype(np.uint8)
+
+    def ask(at: np.ndarray, value: np.ndarray, corpus: np.ndarray | float, seen: np.ndarray, node: np.ndarray | int, trust: np.ndarray | int = 0) -> None:
+        full = lambda x, kind: np.broadcast_to(np.asarray(x, kind), len(at))
+        asked.append((at.astype(np.int32), value, full(corpus, np.float32), seen, full(node, np.uint8), full(trust, np.uint8)))
+
+    for kind, k in ((TWO, 2), (ONE, 1)):
+        all_, best, is_own = expected(*(found[f"{x}{k}"][t.own] for x in ("all", "own", "top", "next")), less[t.used])
+        has = (best > 0) & ~done[t.used]
+        if k == 2:
+            has &= t.second[t.own] > 0
+        at, all_, best, is_own = t.used[has], all_[has], best[has], is_own[has]
+        corpus = np.log((best + PRIOR) / (all_ - best + PRIOR))
+        seen = (all_ > 0).astype(np.uint8) + (all_ > 1) + (all_ > 3)
+        ask(at, is_own, corpus, seen, kind, np.clip(corpus, 0, 3.9).astype(np.uint8) * 4 + seen)
+        done[at[is_own]], last[at[is_own]] = True, kind
+    at = np.flatnonzero(~done & (size > 0))
+    again = before[at] > 0
+    ask(at, again, -0.5, near[at], AGAIN)
+    at = at[again]
+    done[at], last[at], out[at] = True, AGAIN, np.log2(before[at] / size[at])
+    at = np.flatnonzero(~done)
+    ask(at, known[at], 1.5, near[at], KNOWN)
+    unknown = np.zeros(n, bool)
+    unknown[at[~known[at]]] = True
+    at = np.flatnonzero(~done & ~unknown)
+    last[at] = CLASS
+    kind = class_of(counts)[c.codes[at]]
+    out[at] = np.log2((count[at] - less[at]) / (mass[kind] - less[at]))
+    width, bit, node, given = class_nodes(mass)
+    for d in range(bit.shape[1]):
+        some = np.flatnonzero(width[kind] > d)
+        q = kind[some]
+        ask(at[some], bit[q, d] > 0, given[q, d], near[at[some]], node[q, d])
+    token, value, corpus, seen, number, trust = (np.concatenate([x[i] for x in asked]) for i in range(6))
+    gate = np.minimum(number, CLASS) * np.uint8(GATE_LEVELS) + seen
+    last = shifted(last, c.place, 1, KNOWN + 3)
+    with np.errstate(over="ignore"):
+        cell = (mixed(np.arange(256 * 256, dtype=np.uint64) * MIX_A) % np.uint64(SLOTS)).astype(np.int32).reshape(256, 256)
+        word = (mixed(t.one) % np.uint64(SLOTS)).astype(np.int32)
+    slot = [cell[0][number], cell[1 + last[token], number], word[token] ^ cell[100][number], cell[120 + trust, number]]
+    sums = np.cumsum(np.bincount(c.doc[token], minlength=len(c.offsets) - 1))
+    at, cuts = 0, [0]
+    while at < len(sums):
+        to = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + BATCH_BITS, "right"))
+        at = max(at + 1, min(at + BATCH_TEXTS, to))
+        cuts.append(at)
+    group = (np.searchsorted(cuts, np.arange(len(sums)), "right") - 1).astype(np.uint16)[c.doc][token]
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(len(cuts)))
+    for first, lo, hi in zip(cuts, ends[:-1], ends[1:]):
+        own = order[lo:hi]
+        logs = mix_bits(c.doc[token[own]] - first, c.place[token[own]] // STEP, corpus[own], gate[own], [x[own] for x in slot], value[own])
+        out += np.bincount(token[own], logs, n)
+    return out, unknown
 
 
 def score_texts(docs: DataFrame, held_out: F.Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -451,44 +502,38 @@ def score_texts(docs: DataFrame, held_out: F.Column, chunk_bytes: int = CHUNK_BY
     spark = docs.sparkSession
     at = shared_dir(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    chunks = make_chunks(rows, f"{at}/chunks", ("doc_id", "held_out", "text"), chunk_bytes)
+    chunks = make_chunks(rows, f"{at}/chunks", ("doc_id", "held_out", "text"), chunk_bytes, tokenised)
     words = total_words(chunks)
     bits = max(2, int(np.ceil(np.log2(max(1, words / BUCKET_WORDS)))))
-    pair_bits = max(2, int(np.ceil(np.log2(max(1, 1.5 * words / BUCKET_PAIRS)))))
+    triple_bits = max(2, int(np.ceil(np.log2(max(1, 0.7 * words / BUCKET_TRIPLES)))))
+    blob_schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary())])
+
+    def blobs_of(chunk: str, cuts: list[tuple[int, int, int]], columns: dict[str, pa.Array]) -> pa.Table:
+        blobs = [packed(pa.record_batch([x[i:j] for x in columns.values()], names=list(columns))) for _, i, j in cuts]
+        return pa.table([pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([chunk] * len(cuts), pa.string()), pa.array(blobs, pa.binary())], schema=blob_schema)
 
     def send_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
                 c = ChunkTokens(unpacked(payload.as_py()), bits)
-                counts = c.counts()
-                for b in np.flatnonzero(np.diff(c.cuts)).tolist():
-                    own = c.order[c.cuts[b] : c.cuts[b + 1]]
-                    blob = packed(pa.record_batch([c.tokens.take(pa.array(own)), pa.array(counts[own])], names=["token", "n"]))
-                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([chunk]), pa.array([blob], pa.binary())], names=["bucket", "chunk", "keys"])
-
-    learned = stored(chunks.mapInArrow(send_tokens, BLOB).groupBy("bucket").applyInArrow(_learn_tokens(bits), LEARNED), f"{at}/tokens")
-    sums = np.zeros((1 << bits, (1 << CLASS) + 2), np.int64)
+                yield from blobs_of(chunk, c.cuts, {"token": c.tokens.take(pa.array(c.order)), "n": pa.array(c.counts()[c.order])}).to_batches()
+
+    learned = stored(chunks.mapInArrow(send_tokens, BLOB).groupBy("bucket").applyInArrow(_learn_tokens, LEARNED), f"{at}/tokens")
+    total = np.zeros(CLASSES + 2, np.int64)
     for row in learned.groupBy("bucket").agg(F.first("sums").alias("sums")).toLocalIterator():
-        sums[row["bucket"]] = row["sums"]
-    n_types, n_tokens = sums[:, -2:].sum(0).tolist()
-    nodes = Nodes(sums[:, :-2].T, bits)
+        total += np.array(row["sums"])
+    mass, n_types, n_tokens = total[:CLASSES], int(total[-2]), int(total[-1])
     learned = learned.drop("sums")
-    blob_schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary())])
 
-    def send_pairs(chunk, rows, answers):
+    def send_triples(chunk, rows, answers):
         if rows is None:
             return blob_schema.empty_table()
         c = ChunkTokens(rows, bits)
-        pairs = ChunkPairs(c, c.answered(answers, "n", np.int64))
-        bucket = (pairs.key >> np.uint64(64 - pair_bits)).astype(np.int64)
-        cuts = np.searchsorted(bucket, np.arange((1 << pair_bits) + 1))
-        rest = pairs.key >> np.uint64(24 - pair_bits)
-        parts = [pa.array((rest >> np.uint64(8)).astype(np.uint32)), pa.array(pairs.pair_code), pa.array(pairs.n.astype(np.uint32)), pa.array((rest & np.uint64(255)).astype(np.uint8))]
-        used = np.flatnonzero(np.diff(cuts)).tolist()
-        blobs = [packed(pa.record_batch([x[cuts[b] : cuts[b + 1]] for x in parts], names=["high", "code", "n", "low"])) for b in used]
-        return pa.table([pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.string()), pa.array(blobs, pa.binary())], schema=blob_schema)
-
-    counted = with_answers(chunks, learned, send_pairs, BLOB).groupBy("bucket").applyInArrow(_learn_pairs, BLOB)
+        t = ChunkTriples(c, c.answered(answers, "n", np.int64))
+        low = ((t.key << np.uint64(triple_bits)) >> np.uint64(32)).astype(np.uint32)
+        return blobs_of(chunk, cuts_of(buckets(t.key, triple_bits), triple_bits), {"key": pa.array(low), "second": pa.array(t.second), "token": pa.array(t.token), "n": pa.array(t.n.astype(np.uint32))})
+
+    counted = with_answers(chunks, learned, send_triples, BLOB).groupBy("bucket").applyInArrow(_learn_triples, BLOB)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
@@ -497,34 +542,21 @@ def score_texts(docs: DataFrame, held_out: F.Column, chunk_bytes: int = CHUNK_BY
             return pa.schema(list(zip(names, kinds, strict=True))).empty_table()
         c = ChunkTokens(rows, bits)
         counts = c.answered(answers, "n", np.int64)
-        pairs = ChunkPairs(c, counts)
-        upper = nodes.counts(pairs.code)
-        upper[counts == 0] = 0
-        alone = (upper == counts[:, None]) & (np.arange(upper.shape[1]) > 0)
-        depth = np.where(alone.any(1), alone.argmax(1), c.answered(answers, "depth", np.uint8))
-        other = np.zeros((len(c.tokens), CODE), np.float32)
-        other[:, : upper.shape[1] - 1] = upper[:, :-1] - upper[:, 1:]
-        for d in range(upper.shape[1], CODE + 1):
-            other[:, d - 1] = COUNT[c.answered(answers, f"d{d}", np.uint8)]
-        tree = {"depth": depth, "rest": c.answered(answers, "rest", np.float32), "other": other}
-        bucket = (pairs.key >> np.uint64(64 - pair_bits)).astype(np.int64)
-        cuts = np.searchsorted(bucket, np.arange((1 << pair_bits) + 1))
-        found = {"n": np.zeros(len(pairs.key), np.uint8), "d": np.zeros((CODE, len(pairs.key)), np.uint8)}
+        t = ChunkTriples(c, counts)
+        own = {b: slice(i, j) for b, i, j in cuts_of(buckets(t.key, triple_bits), triple_bits)}
+        found = {x: np.zeros(len(t.key), np.uint8) for x in ANSWER}
         for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("keys"), strict=True):
             if b < 0:
-                got, own = unpacked(blob.as_py()), slice(cuts[-1 - b], cuts[-b])
-                found["n"][own] = got.column("n").to_numpy()
-                for d in range(CODE):
-                    found["d"][d, own] = got.column(f"d{d + 1}").to_numpy()
-        logs = chunk_bits(c, pairs, counts, tree, found)
-        unknown = (counts[c.codes] - c.learned[doc_of(c.offsets)]) <= 0
+                got = unpacked(blob.as_py())
+                for x in ANSWER:
+                    found[x][own[-1 - b]] = got.column(x).to_numpy()
+        logs, unknown = chunk_bits(c, t, counts, found, mass)
         logs += np.where(unknown, c.answered(answers, "log", np.float32)[c.codes] / np.log(2), 0)
         bits_of = -np.add.reduceat(logs, c.offsets[:-1])
         over = n_tokens + ADDED * (n_types + 1)
         base = np.add.reduceat(np.log10((counts + ADDED) / over)[c.codes], c.offsets[:-1])
         n_known = np.add.reduceat((counts > 0).astype(np.int64)[c.codes], c.offsets[:-1])
-        size = np.maximum(1, pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy(zero_copy_only=False))
-        out = [rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(c.offsets)), pa.array(n_known), pa.array(np.full(rows.num_rows, n_tokens)), pa.array(base), pa.array(-bits_of * np.log10(2)), pa.array(bits_of / size)]
+        out = [c.doc_id, c.held_out, pa.array(np.diff(c.offsets)), pa.array(n_known), pa.array(np.full(len(c.doc_id), n_tokens)), pa.array(base), pa.array(-bits_of * np.log10(2)), pa.array(bits_of / np.maximum(1, c.size))]
         return pa.table([x.cast(t) for x, t in zip(out, kinds, strict=True)], names=names)
 
     return with_answers(chunks, learned.unionByName(counted), score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

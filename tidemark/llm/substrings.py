@@ -1,17 +1,20 @@
 """Substring dedup by recompression.
 
-Words are named by hashes, then rounds name pairs of neighbouring symbols: a symbol is
-a left or a right one by a bit of its name, and a left symbol joins the right one after
-it. Names depend on content alone, so equal names are given everywhere without
-communication, and equal substrings get equal symbols but for at most one at each end
-in each round. (A run of one word stays a run of symbols, since a symbol is never both
-left and right; so a symbol of round k has at most 2**k words, which the bounds need.)
-
-With w-word windows and k rounds, all symbols that touch the words 2**k - 1 away from
-both ends are the same in every occurrence, and while w >= 2**(k + 2) - 1 they are
-three at least. So triples of neighbouring round-k symbols that occur anywhere else
-reveal all repeats: a window whose inner triples are not all shared is unique. What is
-left is verified by 96-bit names of whole windows.
+Spark rounds name ever longer symbols, beginning with words. In a round every run of
+one symbol, and every pair of a left run and a right one after it (sides are a bit of
+the symbol's name), is sent to the bucket of its content; the bucket compares contents,
+gives each a name of its own in the whole corpus, and tells whether it occurs more than
+once. So equal substrings get equal symbols inside, wherever they stand.
+
+A symbol depends on its neighbours: its evidence is the stretch of words that decides
+it, which spans what it joins and the evidence of the symbols on both sides. A window
+of words that holds the evidence of a symbol found once occurs once itself. Such
+windows are struck off, the symbol ends its stretch, and only symbols that are shared
+go on to the next round, so rounds shrink as they go on. Nothing of this depends on how
+long runs are.
+
+The windows that no symbol strikes off are verified: they are compared across the
+corpus by 128-bit names, polynomials in two independent 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -20,55 +23,157 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BLOB, CHUNK_BYTES, Keys, bucket_bits, gathered, make_chunks, member, shared_keys, total_words, unpacked, with_answers
-from .common import MIX_A, MIX_B, doc_of, mixed, shared_dir, text_of
+from .chunks import BLOB, CHUNK_BYTES, bucket_bits, buckets, cuts_of, make_chunks, packed, total_words, unpacked, with_answers
+from .common import MIX_A, MIX_B, doc_of, drop_dir, mixed, shared_dir, stored, text_of
 from .quality import Words
 
+ROUNDS = 5
+#: Kinds of rows that a chunk keeps for itself, in the place of a bucket's number.
+SYMBOLS, WINDOWS = -1, -2
+BLOBS = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary())])
 
-def rounds_for(window: int) -> int:
-    return max(0, (window + 1).bit_length() - 3)
 
+def blob_table(chunk: str, rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.string()), pa.array([x for _, x in rows], pa.binary())], schema=BLOBS)
 
-def symbols(names: np.ndarray, offsets: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first word, text) of the symbols after the rounds."""
-    start, doc = np.arange(len(names)), doc_of(offsets)
-    for k in range(rounds):
-        right = (mixed(names + np.uint64(k + 1)) & np.uint64(1)).astype(bool)
-        joins = np.flatnonzero(~right[:-1] & right[1:] & (doc[:-1] == doc[1:]))
-        with np.errstate(over="ignore"):
-            names = names.copy()
-            names[joins] = mixed(names[joins] * MIX_A + names[joins + 1])
-        keep = np.ones(len(names), bool)
-        keep[joins + 1] = False
-        names, start, doc = names[keep], start[keep], doc[keep]
-    return names, start, doc
-
-
-def triples(w: Words, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, end of the first symbol, start of the third) of each triple of neighbours."""
-    names, start, doc = symbols(w.hash[w.codes], w.offsets, rounds)
-    if len(names) < 3:
-        return names[:0], start[:0], start[:0]
-    whole = doc[2:] == doc[:-2]
+
+def batch_of(**columns: np.ndarray) -> bytes:
+    return packed(pa.record_batch([pa.array(x) for x in columns.values()], names=list(columns)))
+
+
+def arrays_of(blob: bytes) -> dict[str, np.ndarray]:
+    batch = unpacked(blob)
+    return {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+
+
+class Symbols:
+    """Named symbols of a chunk in order, with the words [lo, hi) of their evidence; `part` tells stretches apart."""
+
+    def __init__(self, name: np.ndarray, lo: np.ndarray, hi: np.ndarray, part: np.ndarray) -> None:
+        self.name, self.lo, self.hi, self.part = name, lo, hi, part
+
+    @classmethod
+    def of_words(cls, w: Words) -> Symbols:
+        """Words under names whose last four bits are 0."""
+        at = np.arange(len(w.codes))
+        return cls(w.hash[w.codes] & ~np.uint64(15), at, at + 1, doc_of(w.offsets))
+
+    def joined(self, round_: int) -> tuple[np.ndarray, ...]:
+        """(a, r, b, s, lo, hi, part): runs a^r and pairs of runs a^r b^s, without those at the ends of stretches.
+
+        s is 0 for a run alone; one symbol alone has r = 1.
+        """
+        n = len(self.name)
+        new = np.ones(n, bool)
+        new[1:] = (self.name[1:] != self.name[:-1]) | (self.part[1:] != self.part[:-1])
+        first = np.flatnonzero(new)
+        size, name, part = np.diff(np.append(first, n)), self.name[first], self.part[first]
+        right = (mixed(name + np.uint64(round_)) & np.uint64(1)).astype(bool)
+        left = np.zeros(len(first), bool)
+        left[:-1] = ~right[:-1] & right[1:] & (part[:-1] == part[1:])
+        taken = np.zeros(len(first), bool)
+        taken[1:] = left[:-1]
+        own = np.flatnonzero(~taken)
+        pair = left[own]
+        near = np.minimum(own + 1, len(first) - 1)
+        b, s = np.where(pair, name[near], np.uint64(0)), np.where(pair, size[near], 0)
+        a, r = name[own], size[own]
+        begin, part = first[own], part[own]
+        end = begin + r + s
+        inner = np.zeros(len(own), bool)
+        inner[1:-1] = (part[:-2] == part[1:-1]) & (part[2:] == part[1:-1])
+        a, r, b, s, begin, end, part = (x[inner] for x in (a, r, b, s, begin, end, part))
+        return a, r, b, s, self.lo[begin - 1], self.hi[end] if len(end) else end, part
+
+
+def strike(open_: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> None:
+    """Close the windows (by first word) that hold one of the stretches [lo, hi)."""
+    held = hi - lo <= window
+    lo, hi = lo[held], hi[held]
+    edge = np.bincount(np.maximum(0, hi - window), minlength=len(open_) + 1) - np.bincount(lo + 1, minlength=len(open_) + 1)
+    open_ &= np.cumsum(edge)[: len(open_)] == 0
+
+
+def sent_symbols(joined: tuple[np.ndarray, ...], bits: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """(for each symbol its place among the distinct contents sent, -1 for one that keeps its name; blobs by bucket)."""
+    a, r, b, s = joined[:4]
+    fresh = np.flatnonzero((r > 1) | (s > 0))
     with np.errstate(over="ignore"):
-        named = mixed(mixed(names[:-2] * MIX_A + names[1:-1]) * MIX_A + names[2:])
-    return named[whole], start[1:-1][whole], start[2:][whole]
+        h = mixed(mixed(mixed(a[fresh] * MIX_A + r[fresh].astype(np.uint64)) + b[fresh]) * MIX_B + s[fresh].astype(np.uint64))
+    order = np.lexsort((s[fresh], r[fresh], b[fresh], a[fresh], h))
+    at = fresh[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (a[at[1:]] != a[at[:-1]]) | (b[at[1:]] != b[at[:-1]]) | (r[at[1:]] != r[at[:-1]]) | (s[at[1:]] != s[at[:-1]])
+    place = np.full(len(a), -1, np.int32)
+    place[at] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    times = np.diff(np.append(starts, len(at)))
+    kept = at[starts]
+    blobs = [(k, batch_of(a=a[kept[x:y]], r=r[kept[x:y]].astype(np.uint32), b=b[kept[x:y]], s=s[kept[x:y]].astype(np.uint32), n=times[x:y].astype(np.uint32))) for k, x, y in cuts_of(buckets(h[order][starts], bits), bits)]
+    return place, blobs
+
+
+def name_symbols(round_: int, bits: int):
+    """A bucket's names for the contents sent to it, 0 for a content that occurs once in the corpus."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, each = table.column("bucket")[0].as_py(), [arrays_of(x.as_py()) for x in table.column("keys")]
+        a, r, b, s, n = (np.concatenate([e[c] for e in each]) for c in ("a", "r", "b", "s", "n"))
+        order = np.lexsort((s, r, b, a))
+        new = np.ones(len(order), bool)
+        x, y = order[1:], order[:-1]
+        new[1:] = (a[x] != a[y]) | (b[x] != b[y]) | (r[x] != r[y]) | (s[x] != s[y])
+        rank = np.cumsum(new) - 1
+        total = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
+        name = (((np.arange(1, len(total) + 1, dtype=np.uint64) << np.uint64(bits)) | np.uint64(bucket)) << np.uint64(4)) | np.uint64(round_)
+        name[total < 2] = 0
+        out = np.empty(len(order), np.uint64)
+        out[order] = name[rank]
+        ends = np.cumsum([len(e["a"]) for e in each])
+        return pa.table([table.column("bucket"), table.column("chunk"), pa.array([batch_of(name=out[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], schema=BLOBS)
+
+    return run
+
+
+def in_order(answers: pa.Table, column: str) -> np.ndarray:
+    """A chunk's answers from the buckets, in the order it sent."""
+    rows = sorted((b, x) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True) if b >= 0)
+    return np.concatenate([arrays_of(x)[column] for _, x in rows]) if rows else np.zeros(0, np.uint64)
+
 
+def named(joined: tuple[np.ndarray, ...], place: np.ndarray, answers: np.ndarray, open_: np.ndarray, window: int) -> Symbols:
+    """The symbols that go on after their naming; the others strike off windows and end their stretches."""
+    a, _, _, _, lo, hi, part = joined
+    name = a.copy()
+    fresh = place >= 0
+    name[fresh] = answers[place[fresh]]
+    once = name == 0
+    strike(open_, lo[once], hi[once], window)
+    goes_on = ~once & (hi - lo <= window)
+    breaks = np.cumsum(~goes_on | np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+    return Symbols(name[goes_on], lo[goes_on], hi[goes_on], breaks[goes_on])
 
-def window_names(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, 64-bit name, 32 further bits) of each window inside a text."""
-    n = len(w.codes) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    doc = doc_of(w.offsets)
-    first = np.flatnonzero(doc[:n] == doc[window - 1 :])
+
+def first_windows(w: Words, window: int) -> np.ndarray:
+    """Whether a window that lies inside one text begins at each word."""
+    doc, n = doc_of(w.offsets), len(w.codes)
+    out = np.zeros(n, bool)
+    if n >= window:
+        out[: n - window + 1] = doc[: n - window + 1] == doc[window - 1 :]
+    return out
+
+
+def window_names(w: Words, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of the windows that begin at the words `first`."""
+    second = np.fromiter((xxhash.xxh3_64_intdigest(x, seed=1) for x in w.distinct.cast(pa.binary()).to_pylist()), np.uint64, len(w.distinct))
     found = []
-    for factor in (MIX_A, MIX_B):
+    for h, factor in ((w.hash, MIX_A), (second, MIX_B)):
         with np.errstate(over="ignore"):
-            h, size, at, name = mixed(w.hash[w.codes] ^ factor), 1, 0, np.zeros(len(first), np.uint64)
+            h, size, at, name = mixed(h ^ factor)[w.codes], 1, 0, np.zeros(len(first), np.uint64)
             while True:
                 if window & size:
                     name = mixed(name * factor + h[first + at])
@@ -77,34 +182,31 @@ def window_names(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
                     break
                 h, size = mixed(h[:-size] * factor + h[size:]), 2 * size
         found.append(name)
-    return first, found[0], (found[1] >> np.uint64(32)).astype(np.uint32)
-
-
-def repeated_here(x: np.ndarray) -> np.ndarray:
-    order = np.argsort(x)
-    same = x[order][1:] == x[order][:-1]
-    twice = np.zeros(len(x), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    return twice
-
-
-def candidates(w: Words, window: int, rounds: int, shared: np.ndarray, keys: Keys) -> np.ndarray:
-    """Whether each word starts a window all of whose inner triples occur elsewhere too."""
-    named, a, b = triples(w, rounds)
-    bad = ~(member(shared, keys.narrow(named))[0] | repeated_here(named))
-    sums = np.concatenate([[0], np.cumsum(bad)])
-    margin, n = (1 << rounds) - 1, len(w.codes)
-    doc = doc_of(w.offsets)
-    first = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :]) if n >= window else np.zeros(0, np.int64)
-    ends, starts = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n + 1))]) for x in (a, b))
-    lo = ends[first + margin + 1]  # triples whose first symbol ends at or before the inner words
-    hi = starts[first + window - margin]  # triples whose third symbol starts before their end
-    out = np.zeros(n, bool)
-    out[first] = (hi > lo) & (sums[hi] == sums[lo])
-    return out
+    return found[0], found[1]
+
+
+def distinct_names(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the distinct pairs (x, y), sorted; for each pair its place among them; times of each)."""
+    order = np.lexsort((y, x))
+    new = np.ones(len(order), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return order[starts], own, np.diff(np.append(starts, len(order)))
 
 
-def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def shared_windows(table: pa.Table) -> pa.Table:
+    """Which of the window names sent occur more than once."""
+    each = [arrays_of(x.as_py()) for x in table.column("keys")]
+    x, y, n = (np.concatenate([e[c] for e in each]) for c in ("x", "y", "n"))
+    at, own, _ = distinct_names(x, y)
+    shared = (np.bincount(own, n, len(at)) > 1)[own]
+    ends = np.cumsum([len(e["x"]) for e in each])
+    return pa.table([table.column("bucket"), table.column("chunk"), pa.array([batch_of(shared=shared[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], schema=BLOBS)
+
+
+def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_words, n_removed, kept_text.
 
     Every word is removed that lies in a window of `window` consecutive words whose
@@ -113,63 +215,110 @@ def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES) -
     rows with one doc_id are rows of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rounds = rounds_for(window)
-    chunks = make_chunks(docs.select(F.col("doc_id").cast("long"), "text"), f"{shared_dir(spark, 'substrings')}/chunks", size=chunk_bytes)
+    at = shared_dir(spark, "substrings")
+    chunks = make_chunks(docs.select(F.col("doc_id").cast("long"), "text"), f"{at}/chunks", size=chunk_bytes)
     n = total_words(chunks)
-    keys, wide = Keys(bucket_bits(n // 2)), Keys(bucket_bits(n // 4), wide=True)
-
-    def blob_rows(chunk: list[str], found) -> dict:
-        return {"bucket": [b for b, _ in found], "chunk": chunk * len(found), "keys": [k for _, k in found]}
+    bits, window_bits = bucket_bits(n // 4), bucket_bits(n // 3)
 
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary())])
+    def words(rows: pa.RecordBatch) -> Words:
+        return Words.of(text_of(rows.column("text")))
 
-    def send_triples(batches):
+    def begin(batches):
+        """The first round's contents, from the texts."""
         for batch in batches:
-            for chunk, payload in zip(batch.column("chunk"), batch.column("payload"), strict=True):
-                w = Words.of(text_of(unpacked(payload.as_py()).column("text")))
-                found = [*keys.blobs(np.unique(keys.narrow(triples(w, rounds)[0])))]
-                yield pa.RecordBatch.from_pydict(blob_rows([chunk.as_py()], found), schema=schema)
+            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
+                blobs = sent_symbols(Symbols.of_words(words(unpacked(payload.as_py()))).joined(1), bits)[1]
+                yield from blob_table(chunk, blobs).to_batches()
+
+    def round_rows(chunk: str, symbols: Symbols, open_: np.ndarray, round_: int) -> pa.Table:
+        """What a chunk sends in a round, and what it keeps until the answers come."""
+        joined = symbols.joined(round_)
+        place, blobs = sent_symbols(joined, bits)
+        name, lo, hi, part = (joined[i] for i in (0, 4, 5, 6))
+        own = batch_of(name=np.where(place >= 0, np.uint64(0), name), place=place, lo=lo.astype(np.uint32), hi=hi.astype(np.uint32), part=part.astype(np.uint32))
+        return blob_table(chunk, [*blobs, (SYMBOLS, own), (WINDOWS, batch_of(open=open_))])
+
+    def second(chunk, rows, answers):
+        """The second round: the first one's contents anew, their names, and what follows."""
+        if rows is None:
+            return BLOBS.empty_table()
+        w = words(rows)
+        open_, joined = first_windows(w, window), Symbols.of_words(w).joined(1)
+        symbols = named(joined, sent_symbols(joined, bits)[0], in_order(answers, "name"), open_, window)
+        return round_rows(chunk, symbols, open_, 2)
+
+    def kept_of(left: pa.Table, answers: pa.Table) -> tuple[Symbols, np.ndarray]:
+        rows = dict(zip(left.column("bucket").to_pylist(), left.column("keys").to_pylist(), strict=True))
+        own, open_ = arrays_of(rows[SYMBOLS]), arrays_of(rows[WINDOWS])["open"].astype(bool)
+        lo, hi = own["lo"].astype(np.int64), own["hi"].astype(np.int64)
+        return named((own["name"], None, None, None, lo, hi, own["part"]), own["place"], in_order(answers, "name"), open_, window), open_
+
+    def later(round_: int):
+        def run(left: pa.Table, answers: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return BLOBS.empty_table()
+            return round_rows(left.column("chunk")[0].as_py(), *kept_of(left, answers), round_)
+
+        return run
+
+    def last(left: pa.Table, answers: pa.Table) -> pa.Table:
+        """The windows that are left after the last names."""
+        if not left.num_rows:
+            return BLOBS.empty_table()
+        return blob_table(left.column("chunk")[0].as_py(), [(WINDOWS, batch_of(open=kept_of(left, answers)[1]))])
+
+    def is_sent(table: DataFrame) -> DataFrame:
+        return table.filter("bucket >= 0")
+
+    answers = chunks.mapInArrow(begin, BLOB).groupBy("bucket").applyInArrow(name_symbols(1, bits), BLOB)
+    now, folder = with_answers(chunks, answers, second, BLOB), ""
+    for k in range(2, rounds + 1):
+        now = stored(now, f"{at}/round-{k}")
+        if folder:
+            drop_dir(spark, folder)
+        folder = f"{at}/round-{k}"
+        answers = is_sent(now).groupBy("bucket").applyInArrow(name_symbols(k, bits), BLOB)
+        now = now.filter("bucket < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(later(k + 1) if k < rounds else last, BLOB)
+    left = stored(now, f"{at}/windows")
+    if folder:
+        drop_dir(spark, folder)
+
+    def opened(answers: pa.Table) -> np.ndarray:
+        rows = dict(zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True))
+        return np.flatnonzero(arrays_of(rows[WINDOWS])["open"])
+
+    def candidates(rows: pa.RecordBatch, answers: pa.Table) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, tuple]:
+        w, first = words(rows), opened(answers)
+        x, y = window_names(w, first, window)
+        return w, first, x, y, distinct_names(x, y)
 
     def send_windows(chunk, rows, answers):
         if rows is None:
-            return schema.empty_table()
-        w = Words.of(text_of(rows.column("text")))
-        likely = candidates(w, window, rounds, gathered(answers, keys)[0], keys)
-        first, name, more = window_names(w, window)
-        take = likely[first]
-        number, at = np.unique(wide.narrow(name[take]), return_index=True)
-        return pa.Table.from_pydict(blob_rows([chunk], [*wide.blobs(number, more[take][at])]), schema=schema)
+            return BLOBS.empty_table()
+        _, _, x, y, (place, _, times) = candidates(rows, answers)
+        x, y = x[place], y[place]
+        return blob_table(chunk, [(b, batch_of(x=x[i:j], y=y[i:j], n=times[i:j].astype(np.uint32))) for b, i, j in cuts_of(buckets(x, window_bits), window_bits)])
 
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def remove(_, rows, answers):
         if rows is None:
             return out.empty_table()
-        text = text_of(rows.column("text"))
-        w = Words.of(text)
-        first, name, more = window_names(w, window)
-        shared, shared_more = gathered(answers, wide)
-        found, place = member(shared, wide.narrow(name))
-        if len(shared):
-            found &= shared_more[place] == more
-        found |= repeated_here(name)
-        edge = np.zeros(len(w.codes) + 1, np.int64)
-        np.add.at(edge, first[found], 1)
-        np.add.at(edge, first[found] + window, -1)
+        w, first, _, _, (_, own, _) = candidates(rows, answers)
+        found = first[in_order(answers, "shared").astype(bool)[own]]
+        edge = np.bincount(found, minlength=len(w.codes) + 1) - np.bincount(found + window, minlength=len(w.codes) + 1)
         gone = np.cumsum(edge)[:-1] > 0
-        n_words = np.diff(w.offsets)
         n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.offsets])
         kept = []
-        for i, x in enumerate(text):
-            words = x.as_py().encode().split()
+        for i, x in enumerate(text_of(rows.column("text"))):
+            left_over = x.as_py().encode().split()
             if n_removed[i]:
-                words = [y for y, g in zip(words, gone[w.offsets[i] : w.offsets[i + 1]].tolist(), strict=True) if not g]
-            kept.append(b" ".join(words).decode())
-        return pa.table([rows.column("doc_id"), pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.string())], schema=out)
+                left_over = [y for y, g in zip(left_over, gone[w.offsets[i] : w.offsets[i + 1]].tolist(), strict=True) if not g]
+            kept.append(b" ".join(left_over).decode())
+        return pa.table([rows.column("doc_id"), pa.array(np.diff(w.offsets)), pa.array(n_removed), pa.array(kept, pa.string())], schema=out)
 
-    first = shared_keys(chunks.mapInArrow(send_triples, BLOB), keys)
-    second = shared_keys(with_answers(chunks, first, send_windows, BLOB), wide)
-    return with_answers(chunks, second, remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    judged = with_answers(chunks, left, send_windows, BLOB).groupBy("bucket").applyInArrow(shared_windows, BLOB)
+    return with_answers(chunks, left.union(judged), remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(text: str) -> str:
