@@ -62,7 +62,7 @@ def brute_score(docs, learned):
     from tidemark.llm.common import MIX_A, mixed
 
     hash_ = lambda x: xxhash.xxh3_64_intdigest(x.encode())
-    number = lambda x: (hash_(x) & 0xFFFFFFFE) + 1 if count[x] > 1 else 0
+    number = lambda x: (hash_(x) & 0xFFFFFF) | 1 if count[x] > 1 else 0
     about = lambda n: float(lm.COUNT[lm.level(np.array([n]))[0]])
     mix = lambda x: int(mixed(np.array([x % 2**64], np.uint64))[0])
     cell = lambda i, j: mix((i * 256 + j) * int(MIX_A)) % lm.SLOTS
@@ -95,15 +95,15 @@ def brute_score(docs, learned):
             for rung, k in ((lm.TWO, 2), (lm.ONE, 1)):
                 if not found and all(p < j or count[w[p - j]] > 1 for j in range(1, k + 1)):
                     near_tokens = after[back(w, p, k)]
-                    own = max(0.0, about(near_tokens[number(x)]) - less) if number(x) else 0.0
+                    own = near_tokens[number(x)] - less if number(x) else 0
                     rival = max(((n, y) for y, n in near_tokens.items() if y and y != number(x)), default=(0, 0))
-                    top = about(rival[0])
+                    top = rival[0]
                     mine = own > top or own == top and own > 0 and number(x) > rival[1]
-                    best = own if mine else top
-                    every = max(best, about(sum(near_tokens.values())) - less)
+                    best = about(own if mine else top)
+                    every = about(sum(near_tokens.values()) - less)
                     if best > 0:
                         seen = (every > 0) + (every > 1) + (every > 3)
-                        corpus = math.log((best + lm.PRIOR) / (every - best + lm.PRIOR))
+                        corpus = math.log((best + lm.PRIOR) / (max(0, every - best) + lm.PRIOR))
                         ask(rung, mine, corpus, seen, int(min(3.9, max(0, corpus))) * 4 + seen)
                         if mine:
                             found, this = True, rung

@@ -1,7 +1,6 @@
 """Chunks of texts, and exchanges of key blobs between chunks and key buckets.
 
-A chunk is a few megabytes of whole texts in one row, written once to the shared
-folder, so that several passes see the same rows in the same order. A pass sends, for
+A chunk is a few megabytes of whole texts in one file of the shared folder, so that several passes see the same rows in the same order. A pass sends, for
 each chunk and key bucket, one blob of the chunk's distinct keys; a bucket's task
 compares all blobs and answers each chunk with one blob, in the order sent. So a key
 that a third of all rows have is sent once per chunk, no task gathers more than a
@@ -15,16 +14,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, text_of, words_of
+from .common import open_fs, release, slices, stored, text_of, words_of
 
 CHUNK_BYTES = 8 << 20
+#: Tasks over which a list of chunks is dealt at most.
+CHUNK_TASKS = 100_000
 #: Keys that a bucket is planned for; a task holds them all.
 BUCKET_KEYS = 500_000
-CHUNK = "chunk string, n_words long, payload binary"
+CHUNK = "chunk string, n_words long"
 BLOB = "bucket int, chunk string, keys binary"
 
 
@@ -46,17 +48,24 @@ def as_they_are(rows: pa.RecordBatch) -> tuple[int, pa.RecordBatch]:
 def make_chunks(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id", "text"), size: int = CHUNK_BYTES, form: Callable[[pa.RecordBatch], tuple[int, pa.RecordBatch]] = as_they_are) -> DataFrame:
     """Write the rows of `docs` in chunks of about `size` bytes of text; a longer text is a chunk of its own.
 
-    `form` makes the number of words and the batch that is written of a chunk's rows.
+    Each chunk is a file under `path`, which is shared, so passes read it where they need
+    it and no shuffle carries it. `form` makes the number of words and the batch that is
+    written of a chunk's rows. A task that runs again writes under new names, and only
+    the names of finished tasks are listed. The result has a row for each chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
+        context, number = TaskContext.get(), 0
+        fs, folder = open_fs(path)
         held, n = [], 0
 
         def made() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             words, batch = form(whole)
-            return pa.record_batch([pa.array([f"{task}-{number}"]), pa.array([words], pa.int64()), pa.array([packed(batch)], pa.binary())], names=["chunk", "n_words", "payload"])
+            chunk = f"{path}/files/{context.partitionId()}-{number}-{context.taskAttemptId()}"
+            with fs.open_output_stream(f"{folder}/files/{chunk.rpartition('/')[2]}") as out:
+                out.write(packed(batch))
+            return pa.record_batch([pa.array([chunk]), pa.array([words], pa.int64())], names=["chunk", "n_words"])
 
         for part in slices(batches, "text", size):
             text = text_of(part.column("text"))
@@ -69,8 +78,28 @@ def make_chunks(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id"
         if held:
             yield made()
 
-    docs.select(*columns).mapInArrow(run, CHUNK).write.option("compression", "uncompressed").parquet(path)
-    return docs.sparkSession.read.schema(CHUNK).parquet(path)
+    fs, folder = open_fs(path)
+    fs.create_dir(f"{folder}/files", recursive=True)
+    return stored(docs.select(*columns).mapInArrow(run, CHUNK), f"{path}/list")
+
+
+def load(chunk: str) -> pa.RecordBatch:
+    fs, at = open_fs(chunk)
+    with fs.open_input_stream(at) as file:
+        return unpacked(file.read())
+
+
+def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """The chunks that a task has rows of, one after the other."""
+    for batch in batches:
+        for chunk in batch.column("chunk").to_pylist():
+            yield chunk, load(chunk)
+            release()
+
+
+def dealt(chunks: DataFrame) -> DataFrame:
+    """The list of chunks over the tasks, one by one."""
+    return chunks.repartition(max(1, min(chunks.count(), CHUNK_TASKS)), "chunk")
 
 
 def bucket_bits(n_keys: int) -> int:
@@ -99,12 +128,12 @@ def cuts_of(sorted_buckets: np.ndarray, bits: int) -> list[tuple[int, int, int]]
 
 def with_answers(chunks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
     """run(chunk id, batch of the chunk's rows, its answers) for every chunk."""
+    marks = chunks.selectExpr("CAST(NULL AS int) AS bucket", "chunk", "CAST(NULL AS binary) AS keys")
 
-    def each(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = None
-        for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload").to_pylist(), strict=True):
-            out = run(chunk, unpacked(payload), right)
+    def each(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk")[0].as_py()
+        out = run(chunk, load(chunk), table.filter(pc.is_valid(table.column("bucket"))))
         release()
-        return out if out is not None else run(None, None, right)
+        return out
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(each, schema)
+    return answers.select("bucket", "chunk", "keys").union(marks).groupBy("chunk").applyInArrow(each, schema)

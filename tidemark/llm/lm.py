@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BLOB, CHUNK_BYTES, buckets, cuts_of, make_chunks, packed, total_words, unpacked, with_answers
+from .chunks import BLOB, CHUNK_BYTES, buckets, cuts_of, dealt, loaded, make_chunks, packed, total_words, unpacked, with_answers
 from .common import MIX_A, MIX_B, coded, doc_of, hashes, mixed, shared_dir, stored, words_of
 
 #: Added to each count of the base model (fixed value).
@@ -49,8 +49,8 @@ CLASSES = 48
 HIGH = np.uint64(0xFFFFFFFF00000000)
 #: Tokens between steps, rates of weights and curve, cells of a text's table and of the curve.
 STEP, RATE, REFINE, SLOTS, CURVE = 16, 0.02, 0.02, 1 << 12, 24
-#: Bits mixed at a time, and texts.
-BATCH_BITS, BATCH_TEXTS = 2_000_000, 4000
+#: Tokens mixed at a time, whole texts, and texts at most.
+BATCH_TOKENS, BATCH_TEXTS = 200_000, 4000
 #: Added to the corpus's counts for and against the token that is expected.
 PRIOR = 0.05
 #: Kinds of bits.
@@ -311,28 +311,43 @@ class ChunkTriples:
             for bits, word in zip(narrow, (two, three), strict=True):
                 some = np.flatnonzero(bits)
                 key[some] = mixed(key[some] * MIX_B + np.uint64(1) + (word[some] >> (np.uint64(64) - bits[some])))
-            second = np.where(good[1], (mixed(two) >> np.uint64(40)) + np.uint64(1), np.uint64(0)).astype(np.uint32)
-            token = np.where(elsewhere[code], (h & np.uint64(0xFFFFFFFE)) + np.uint64(1), np.uint64(0)).astype(np.uint32)
+            second = np.where(good[1], (mixed(two) >> np.uint64(40)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
+            token = np.where(elsewhere[code], (h & np.uint64(0xFFFFFF)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
             self.used = np.flatnonzero(good[0])
-            key, second, token = key[self.used], second[self.used], token[self.used]
-            whole = (key & HIGH) | (mixed((key ^ (second.astype(np.uint64) << np.uint64(32))) * MIX_A + token) >> np.uint64(32))
+            key, second, token, learned = key[self.used], second[self.used], token[self.used], c.learned[c.doc[self.used]]
+            whole = (key & HIGH) | (mixed((key ^ (second.astype(np.uint64) << np.uint64(32))) * MIX_A + (token + (learned.astype(np.uint32) << np.uint32(24)))) >> np.uint64(32))
         order = np.argsort(whole)
         new = np.diff(whole[order], prepend=~whole[order[:1]]) != 0
         self.own = np.empty(len(order), np.int64)
         self.own[order] = np.cumsum(new) - 1
         at = order[new]
         self.key, self.second, self.token = key[at], second[at], token[at]
-        self.n = np.bincount(self.own[c.learned[c.doc[self.used]]], minlength=len(at))
+        #: Times that each triple was learned here; one of a text that is held out has a row of its own, with 0.
+        self.n = np.bincount(self.own[learned], minlength=len(at))
 
+    def columns(self, bits: int) -> dict[str, pa.Array]:
+        """The triples as they are sent: 32 bits of the key after the bucket's, 24 of the second word and of the token."""
+        low = ((self.key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        part = lambda x: {"low": (x & 0xFFFF).astype(np.uint16), "high": (x >> 16).astype(np.uint8)}
+        both = {f"{n}_{k}": v for n, x in (("second", self.second), ("token", self.token)) for k, v in part(x).items()}
+        return {k: pa.array(v) for k, v in {"key": low, **both, "n": self.n.astype(np.uint32)}.items()}
 
-ANSWER = [f"{x}{k}" for k in (1, 2) for x in ("all", "own", "top", "next")]
 
+def sent_triples(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """(key, second, token, n) of batches of `columns`."""
+    x = [np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(6)]
+    return x[0], x[1] | (x[2].astype(np.uint32) << np.uint32(16)), x[3] | (x[4].astype(np.uint32) << np.uint32(16)), x[5].astype(np.int64)
 
-def followers(context: np.ndarray, token: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """For each row (32-bit context, token, count): the count of its context, of its token in it, and of the best other token.
 
-    `next` tells whether that other token wins a tie, as the larger number does; token 0
-    is never the best.
+ANSWER = ("all1", "best1", "all2", "best2", "own")
+
+
+def followers(context: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row (32-bit context, token, times learned): what its context leads to without one occurrence of the row.
+
+    (Count of the context, count of the token that follows it most often, whether that is
+    the row's token.) A row with n = 0 is no occurrence itself. Ties between tokens go to
+    the larger number; token 0 is never expected.
     """
     whole = (context.astype(np.uint64) << np.uint64(32)) | token
     order = np.argsort(whole)
@@ -347,14 +362,17 @@ def followers(context: np.ndarray, token: np.ndarray, n: np.ndarray) -> dict[str
     by = np.argsort((owner << 38) | np.minimum(rank + 1, (1 << 38) - 1), kind="stable")
     best = by[first + sizes - 1]
     second = np.where(sizes > 1, by[first + np.maximum(0, sizes - 2)], -1)
-    rival = np.where(np.arange(len(new)) == best[owner], second[owner], best[owner])
-    columns = {
-        "all": np.add.reduceat(total, first)[owner], "own": np.where(own_token > 0, total, 0),
-        "top": np.where(rival >= 0, np.maximum(0, rank[rival]), 0), "next": (rival > np.arange(len(new))).astype(np.uint8),
-    }
-    back = np.empty(len(order), np.int64)
-    back[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
-    return {k: (x if k == "next" else level(x))[back] for k, x in columns.items()}
+    at = np.arange(len(new))
+    rival = np.where(at == best[owner], second[owner], best[owner])
+    top = np.where(rival >= 0, np.maximum(0, rank[rival]), 0)
+    every = np.add.reduceat(total, first)[owner]
+    of = np.repeat(at, np.diff(np.append(new, len(order))))
+    less = (n[order] > 0).astype(np.int64)
+    own = np.where(own_token > 0, total, 0)[of] - np.where((own_token > 0)[of], less, 0)
+    is_own = (own > top[of]) | ((own == top[of]) & (own > 0) & (rival < at)[of])
+    out = np.empty((3, len(order)), np.int64)
+    out[:, order] = every[of] - less, np.where(is_own, own, top[of]), is_own
+    return out[0], out[1], out[2]
 
 
 def _joined(table: pa.Table) -> tuple[list[pa.RecordBatch], np.ndarray]:
@@ -381,30 +399,23 @@ def _learn_tokens(table: pa.Table) -> pa.Table:
     logs[order] = spelling_logs(tokens.take(pa.array(order)), counts[order])
     known = counts[counts > 0]
     sums = np.bincount(class_of(known), known, CLASSES).astype(np.int64)
-    out = _answers(table, ends, {"n": counts[own], "log": logs[own]})
+    out = _answers(table, ends, {"n": counts[own], "log": logs.astype(np.float16)[own]})
     return out.append_column("sums", pa.array([[*sums.tolist(), len(known), int(known.sum())]] * len(each), pa.list_(pa.int64())))
 
 
 def _learn_triples(table: pa.Table) -> pa.Table:
     """A triple bucket: what follows the word before, and the two words before, of each triple sent."""
     each, ends = _joined(table)
-    key, second, token, n = (np.concatenate([b.column(i).to_numpy() for b in each]) for i in range(4))
-    n = n.astype(np.int64)
-    columns = {}
+    key, second, token, n = sent_triples(each)
     both = (mixed((key.astype(np.uint64) << np.uint64(32)) | second) >> np.uint64(32)).astype(np.uint32)
+    columns, own = {}, np.zeros(len(key), np.uint8)
     for k, context in ((1, key), (2, both)):
-        for name, x in followers(context, token, n).items():
-            columns[f"{name}{k}"] = x
-    return _answers(table, ends, {c: columns[c] for c in ANSWER}, -1)
-
-
-def expected(all_: np.ndarray, own: np.ndarray, top: np.ndarray, ahead: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(count of the context, of the token expected in it, whether that is the token), without the occurrence itself."""
-    all_, own = np.maximum(0, COUNT[all_] - less), np.maximum(0, COUNT[own] - less)
-    top = COUNT[top]
-    is_own = (own > top) | ((own == top) & (own > 0) & (ahead == 0))
-    best = np.where(is_own, own, top)
-    return np.maximum(all_, best), best, is_own
+        all_, best, is_own = followers(context, token, n)
+        if k == 2:
+            all_[second == 0] = best[second == 0] = is_own[second == 0] = 0
+        columns[f"all{k}"], columns[f"best{k}"] = level(all_), level(best)
+        own |= (is_own << (k - 1)).astype(np.uint8)
+    return _answers(table, ends, {**columns, "own": own}, -1)
 
 
 def class_nodes(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -426,26 +437,38 @@ def class_nodes(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def chunk_bits(c: ChunkTokens, t: ChunkTriples, counts: np.ndarray, found: dict[str, np.ndarray], mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log2 of the probability of each token, without the spelling of those that are not known; which tokens these are)."""
-    less = c.learned[c.doc].astype(np.float32)
-    n, before, size = len(c.codes), c.before(), c.place
-    count = counts[c.codes]
+    out, unknown = np.zeros(len(c.codes)), np.zeros(len(c.codes), bool)
+    before, nodes = c.before(), class_nodes(mass)
+    at = 0
+    while at < len(c.offsets) - 1:
+        to = max(at + 1, min(at + BATCH_TEXTS, int(np.searchsorted(c.offsets, c.offsets[at] + BATCH_TOKENS, "right")) - 1))
+        own = slice(int(c.offsets[at]), int(c.offsets[to]))
+        out[own], unknown[own] = text_bits(c, t, counts, found, mass, nodes, before, own, at)
+        at = to
+    return out, unknown
+
+
+def text_bits(c: ChunkTokens, t: ChunkTriples, counts: np.ndarray, found: dict[str, np.ndarray], mass: np.ndarray, nodes: tuple, before: np.ndarray, own: slice, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """chunk_bits of the tokens `own`, which are whole texts from number `first` on."""
+    code, doc, size, before = c.codes[own], c.doc[own] - first, c.place[own], before[own]
+    less, n, count = c.learned[c.doc[own]].astype(np.float32), len(code), counts[code]
     known = count - less > 0
     done, last, out = np.zeros(n, bool), np.full(n, KNOWN + 2, np.uint8), np.zeros(n)
     # of each kind of bit: (tokens that have one, its value, the corpus's input, how much the corpus has seen, number of the node, trust)
     asked: list[tuple] = []
-    near = np.where(shifted(count, c.place, 1, 2) > 1, 3, 0).astype(np.uint8)
+    near = np.where(shifted(count, size, 1, 2) > 1, 3, 0).astype(np.uint8)
 
     def ask(at: np.ndarray, value: np.ndarray, corpus: np.ndarray | float, seen: np.ndarray, node: np.ndarray | int, trust: np.ndarray | int = 0) -> None:
         full = lambda x, kind: np.broadcast_to(np.asarray(x, kind), len(at))
         asked.append((at.astype(np.int32), value, full(corpus, np.float32), seen, full(node, np.uint8), full(trust, np.uint8)))
 
+    lo, hi = np.searchsorted(t.used, [own.start, own.stop])
+    used, row = t.used[lo:hi] - own.start, t.own[lo:hi]
     for kind, k in ((TWO, 2), (ONE, 1)):
-        all_, best, is_own = expected(*(found[f"{x}{k}"][t.own] for x in ("all", "own", "top", "next")), less[t.used])
-        has = (best > 0) & ~done[t.used]
-        if k == 2:
-            has &= t.second[t.own] > 0
-        at, all_, best, is_own = t.used[has], all_[has], best[has], is_own[has]
-        corpus = np.log((best + PRIOR) / (all_ - best + PRIOR))
+        all_, best, is_own = COUNT[found[f"all{k}"][row]], COUNT[found[f"best{k}"][row]], (found["own"][row] >> (k - 1)) & 1 > 0
+        has = (best > 0) & ~done[used]
+        at, all_, best, is_own = used[has], all_[has], best[has], is_own[has]
+        corpus = np.log((best + PRIOR) / (np.maximum(0, all_ - best) + PRIOR))
         seen = (all_ > 0).astype(np.uint8) + (all_ > 1) + (all_ > 3)
         ask(at, is_own, corpus, seen, kind, np.clip(corpus, 0, 3.9).astype(np.uint8) * 4 + seen)
         done[at[is_own]], last[at[is_own]] = True, kind
@@ -460,34 +483,22 @@ def chunk_bits(c: ChunkTokens, t: ChunkTriples, counts: np.ndarray, found: dict[
     unknown[at[~known[at]]] = True
     at = np.flatnonzero(~done & ~unknown)
     last[at] = CLASS
-    kind = class_of(counts)[c.codes[at]]
+    kind = class_of(counts)[code[at]]
     out[at] = np.log2((count[at] - less[at]) / (mass[kind] - less[at]))
-    width, bit, node, given = class_nodes(mass)
+    width, bit, node, given = nodes
     for d in range(bit.shape[1]):
         some = np.flatnonzero(width[kind] > d)
         q = kind[some]
         ask(at[some], bit[q, d] > 0, given[q, d], near[at[some]], node[q, d])
     token, value, corpus, seen, number, trust = (np.concatenate([x[i] for x in asked]) for i in range(6))
     gate = np.minimum(number, CLASS) * np.uint8(GATE_LEVELS) + seen
-    last = shifted(last, c.place, 1, KNOWN + 3)
+    last = shifted(last, size, 1, KNOWN + 3)
     with np.errstate(over="ignore"):
         cell = (mixed(np.arange(256 * 256, dtype=np.uint64) * MIX_A) % np.uint64(SLOTS)).astype(np.int32).reshape(256, 256)
-        word = (mixed(t.one) % np.uint64(SLOTS)).astype(np.int32)
+        word = (mixed(t.one[own]) % np.uint64(SLOTS)).astype(np.int32)
     slot = [cell[0][number], cell[1 + last[token], number], word[token] ^ cell[100][number], cell[120 + trust, number]]
-    sums = np.cumsum(np.bincount(c.doc[token], minlength=len(c.offsets) - 1))
-    at, cuts = 0, [0]
-    while at < len(sums):
-        to = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + BATCH_BITS, "right"))
-        at = max(at + 1, min(at + BATCH_TEXTS, to))
-        cuts.append(at)
-    group = (np.searchsorted(cuts, np.arange(len(sums)), "right") - 1).astype(np.uint16)[c.doc][token]
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(len(cuts)))
-    for first, lo, hi in zip(cuts, ends[:-1], ends[1:]):
-        own = order[lo:hi]
-        logs = mix_bits(c.doc[token[own]] - first, c.place[token[own]] // STEP, corpus[own], gate[own], [x[own] for x in slot], value[own])
-        out += np.bincount(token[own], logs, n)
-    return out, unknown
+    logs = mix_bits(doc[token], size[token] // STEP, corpus, gate, slot, value)
+    return out + np.bincount(token, logs, n), unknown
 
 
 def score_texts(docs: DataFrame, held_out: F.Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -513,12 +524,11 @@ def score_texts(docs: DataFrame, held_out: F.Column, chunk_bytes: int = CHUNK_BY
         return pa.table([pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([chunk] * len(cuts), pa.string()), pa.array(blobs, pa.binary())], schema=blob_schema)
 
     def send_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
-                c = ChunkTokens(unpacked(payload.as_py()), bits)
-                yield from blobs_of(chunk, c.cuts, {"token": c.tokens.take(pa.array(c.order)), "n": pa.array(c.counts()[c.order])}).to_batches()
+        for chunk, rows in loaded(batches):
+            c = ChunkTokens(rows, bits)
+            yield from blobs_of(chunk, c.cuts, {"token": c.tokens.take(pa.array(c.order)), "n": pa.array(c.counts()[c.order])}).to_batches()
 
-    learned = stored(chunks.mapInArrow(send_tokens, BLOB).groupBy("bucket").applyInArrow(_learn_tokens, LEARNED), f"{at}/tokens")
+    learned = stored(dealt(chunks).mapInArrow(send_tokens, BLOB).groupBy("bucket").applyInArrow(_learn_tokens, LEARNED), f"{at}/tokens")
     total = np.zeros(CLASSES + 2, np.int64)
     for row in learned.groupBy("bucket").agg(F.first("sums").alias("sums")).toLocalIterator():
         total += np.array(row["sums"])
@@ -526,20 +536,15 @@ def score_texts(docs: DataFrame, held_out: F.Column, chunk_bytes: int = CHUNK_BY
     learned = learned.drop("sums")
 
     def send_triples(chunk, rows, answers):
-        if rows is None:
-            return blob_schema.empty_table()
         c = ChunkTokens(rows, bits)
         t = ChunkTriples(c, c.answered(answers, "n", np.int64))
-        low = ((t.key << np.uint64(triple_bits)) >> np.uint64(32)).astype(np.uint32)
-        return blobs_of(chunk, cuts_of(buckets(t.key, triple_bits), triple_bits), {"key": pa.array(low), "second": pa.array(t.second), "token": pa.array(t.token), "n": pa.array(t.n.astype(np.uint32))})
+        return blobs_of(chunk, cuts_of(buckets(t.key, triple_bits), triple_bits), t.columns(triple_bits))
 
     counted = with_answers(chunks, learned, send_triples, BLOB).groupBy("bucket").applyInArrow(_learn_triples, BLOB)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
     def score(_, rows, answers):
-        if rows is None:
-            return pa.schema(list(zip(names, kinds, strict=True))).empty_table()
         c = ChunkTokens(rows, bits)
         counts = c.answered(answers, "n", np.int64)
         t = ChunkTriples(c, counts)
@@ -551,7 +556,7 @@ def score_texts(docs: DataFrame, held_out: F.Column, chunk_bytes: int = CHUNK_BY
                 for x in ANSWER:
                     found[x][own[-1 - b]] = got.column(x).to_numpy()
         logs, unknown = chunk_bits(c, t, counts, found, mass)
-        logs += np.where(unknown, c.answered(answers, "log", np.float32)[c.codes] / np.log(2), 0)
+        logs += np.where(unknown, c.answered(answers, "log", np.float16)[c.codes].astype(np.float64) / np.log(2), 0)
         bits_of = -np.add.reduceat(logs, c.offsets[:-1])
         over = n_tokens + ADDED * (n_types + 1)
         base = np.add.reduceat(np.log10((counts + ADDED) / over)[c.codes], c.offsets[:-1])
