@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BLOB, CHUNK_BYTES, bucket_bits, buckets, cuts_of, make_chunks, packed, total_words, unpacked, with_answers
+from .chunks import BLOB, CHUNK_BYTES, bucket_bits, buckets, cuts_of, dealt, loaded, make_chunks, packed, total_words, unpacked, with_answers
 from .common import MIX_A, MIX_B, doc_of, drop_dir, mixed, shared_dir, stored, text_of
 from .quality import Words
 
@@ -225,10 +225,8 @@ def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, r
 
     def begin(batches):
         """The first round's contents, from the texts."""
-        for batch in batches:
-            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
-                blobs = sent_symbols(Symbols.of_words(words(unpacked(payload.as_py()))).joined(1), bits)[1]
-                yield from blob_table(chunk, blobs).to_batches()
+        for chunk, rows in loaded(batches):
+            yield from blob_table(chunk, sent_symbols(Symbols.of_words(words(rows)).joined(1), bits)[1]).to_batches()
 
     def round_rows(chunk: str, symbols: Symbols, open_: np.ndarray, round_: int) -> pa.Table:
         """What a chunk sends in a round, and what it keeps until the answers come."""
@@ -240,8 +238,6 @@ def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, r
 
     def second(chunk, rows, answers):
         """The second round: the first one's contents anew, their names, and what follows."""
-        if rows is None:
-            return BLOBS.empty_table()
         w = words(rows)
         open_, joined = first_windows(w, window), Symbols.of_words(w).joined(1)
         symbols = named(joined, sent_symbols(joined, bits)[0], in_order(answers, "name"), open_, window)
@@ -270,7 +266,7 @@ def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, r
     def is_sent(table: DataFrame) -> DataFrame:
         return table.filter("bucket >= 0")
 
-    answers = chunks.mapInArrow(begin, BLOB).groupBy("bucket").applyInArrow(name_symbols(1, bits), BLOB)
+    answers = dealt(chunks).mapInArrow(begin, BLOB).groupBy("bucket").applyInArrow(name_symbols(1, bits), BLOB)
     now, folder = with_answers(chunks, answers, second, BLOB), ""
     for k in range(2, rounds + 1):
         now = stored(now, f"{at}/round-{k}")
@@ -293,8 +289,6 @@ def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, r
         return w, first, x, y, distinct_names(x, y)
 
     def send_windows(chunk, rows, answers):
-        if rows is None:
-            return BLOBS.empty_table()
         _, _, x, y, (place, _, times) = candidates(rows, answers)
         x, y = x[place], y[place]
         return blob_table(chunk, [(b, batch_of(x=x[i:j], y=y[i:j], n=times[i:j].astype(np.uint32))) for b, i, j in cuts_of(buckets(x, window_bits), window_bits)])
@@ -302,8 +296,6 @@ def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, r
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def remove(_, rows, answers):
-        if rows is None:
-            return out.empty_table()
         w, first, _, _, (_, own, _) = candidates(rows, answers)
         found = first[in_order(answers, "shared").astype(bool)[own]]
         edge = np.bincount(found, minlength=len(w.codes) + 1) - np.bincount(found + window, minlength=len(w.codes) + 1)
