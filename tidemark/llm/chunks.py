@@ -97,9 +97,13 @@ def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBa
             release()
 
 
+def tasks_of(chunks: DataFrame) -> int:
+    return max(1, min(2 * chunks.count(), CHUNK_TASKS))
+
+
 def dealt(chunks: DataFrame) -> DataFrame:
     """The list of chunks over the tasks, one by one."""
-    return chunks.repartition(max(1, min(chunks.count(), CHUNK_TASKS)), "chunk")
+    return chunks.repartition(tasks_of(chunks), "chunk")
 
 
 def bucket_bits(n_keys: int) -> int:
@@ -136,4 +140,5 @@ def with_answers(chunks: DataFrame, answers: DataFrame, run, schema: str) -> Dat
         release()
         return out
 
-    return answers.select("bucket", "chunk", "keys").union(marks).groupBy("chunk").applyInArrow(each, schema)
+    rows = answers.select("bucket", "chunk", "keys").union(marks).repartition(tasks_of(chunks), "chunk")  # by the work, not by the bytes of the answers
+    return rows.groupBy("chunk").applyInArrow(each, schema)

@@ -29,14 +29,33 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 @cache
 def _own_base() -> str:
-    """For sessions without the setting, as in tests."""
+    """For local sessions without the setting, as in tests."""
     return f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share, under spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder that driver and executors share, under spark.checkpoint.dir; a cluster without the setting raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or _own_base()).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+#: Keys with more than this share of all rows are joined by broadcast; there are fewer than its inverse.
+HOT_SHARE = 0.001
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with a table that has one row and the number `n` of rows for each key.
+
+    The few keys that many rows have go by broadcast, so no task gathers their rows; the
+    others by a shuffle.
+    """
+    table = stored(table, shared_dir(rows.sparkSession, "counted"))
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(table.filter(F.col("n") > HOT_SHARE * total))
+    cold = rows.join(F.broadcast(table.filter(F.col("n") > HOT_SHARE * total).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(table.filter(F.col("n") <= HOT_SHARE * total), keys))
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
