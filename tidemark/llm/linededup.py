@@ -1,7 +1,9 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-Lines are hashed, a rolling hash over two neighbouring line hashes decides whether a
-chunk ends after a line, so chunks shift with the text, and chunks of two or more lines
+Lines are hashed. A rolling hash over two neighbouring line hashes proposes an end after
+every second line on average, and so does a line that equals the one before; of ends
+proposed one after the other every second one holds, so a chunk has two lines at least
+(but the last, or the first) and ends shift with the text. Chunks of two or more lines
 that occur anywhere before are removed once their bytes were compared with the first
 occurrence. First means the smallest doc_id, then the smallest place.
 """
@@ -13,12 +15,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import join_counted, shared_dir, stored
 
-#: First hexadecimal digits of a rolling hash that end a chunk: one line in four on average (fixed values).
-CUTS = ("0", "4", "8", "c")
-#: Parts into which each key's occurrences are dealt for joins, and occurrences that one part of a frequent key may have.
-SALTS, SPREAD = 8, 1000
+#: A rolling hash whose first hexadecimal digit is below this proposes an end (fixed value).
+BELOW = "8"
+#: Occurrences that one part of a frequent key may have.
+SPREAD = 1000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,27 +29,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def line_chunks(docs: DataFrame, *rest: str) -> DataFrame:
-    """doc_id, `chunks` (the texts of its content-defined chunks in order), and the columns `rest`."""
+    """The columns `rest`, and `chunks`: the texts of each text's content-defined chunks in order."""
 
-    def cuts(hashes: Column) -> Column:
-        last = F.size(hashes) - 1
-        before = F.array_prepend(F.slice(hashes, 1, last), "")
-        ends_here = F.zip_with(before, hashes, lambda a, b: F.substring(F.md5(F.concat(a, b)), 1, 1).isin(*CUTS))
-        return F.filter(F.transform(ends_here, lambda c, i: F.when(c | (i == last), i + 1)), lambda e: e.isNotNull())
+    def proposed(hashes: Column) -> Column:
+        before = F.array_prepend(F.slice(hashes, 1, F.size(hashes) - 1), "")
+        return F.zip_with(before, hashes, lambda a, b: (a == b) | (F.substring(F.md5(F.concat(a, b)), 1, 1) < BELOW))
+
+    def cuts(ends: Column) -> Column:
+        """Numbers of lines up to each end that holds: the odd ones of each run of proposed ends, and the last line."""
+        last = F.size(ends) - 1
+        rest_ = F.filter(F.transform(ends, lambda p, i: F.when(~p, i)), lambda i: i.isNotNull())
+        runs = F.zip_with(F.array_prepend(rest_, F.lit(-1)), F.array_append(rest_, last + 1), lambda a, b: F.when(b - a > 1, F.sequence(a + 2, b, F.lit(2))).otherwise(F.array().cast("array<int>")))
+        return F.array_union(F.filter(F.flatten(runs), lambda e: e <= last + 1), F.array(last + 1))
 
     def texts(lines: Column) -> Column:
         each = lambda ends: F.zip_with(F.array_prepend(F.slice(ends, 1, F.size(ends) - 1), F.lit(0)), ends, lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "\n"))
-        return let(let(F.transform(lines, F.md5), cuts), each)
+        return let(let(let(F.transform(lines, F.md5), proposed), cuts), each)
 
-    return docs.select(F.col("doc_id").cast("long"), *rest, let(F.split(F.coalesce("text", F.lit("")), "\n", -1), texts).alias("chunks"))
+    return docs.select(*rest, let(F.split(F.coalesce("text", F.lit("")), "\n", -1), texts).alias("chunks"))
 
 
-def salt(parts: Column | int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
+def salt(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "own"), parts).cast("int")
 
 
-def salts(parts: Column | int) -> Column:
-    return F.explode(F.sequence(F.lit(0), (F.lit(parts) if isinstance(parts, int) else parts).cast("int") - 1))
+def salts(parts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))
 
 
 def n_lines(text: Column) -> Column:
@@ -57,29 +64,31 @@ def n_lines(text: Column) -> Column:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), kept_text; one row for each row of `docs`.
 
-    Null text is empty, which is one empty line. Rows of one doc_id are one document's
-    occurrences: a chunk at the first place in any of them stays in each. A null doc_id
-    sorts first. An empty table gives no rows; other columns are ignored.
+    Null text is empty, which is one empty line. Rows of one doc_id and one text are one
+    document's occurrences: a chunk at the first place in any of them stays in each. A
+    null doc_id sorts first. An empty table gives no rows; other columns are ignored.
     """
-    each = line_chunks(docs).select("doc_id", F.posexplode("chunks").alias("place", "chunk"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("own"))
+    each = line_chunks(rows, "doc_id", "own").select("doc_id", "own", F.posexplode("chunks").alias("place", "chunk"))
     multi = each.filter(F.contains("chunk", F.lit("\n")))
-    keys = stored(multi.select("doc_id", "place", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2")), shared_dir(docs.sparkSession, "lines"))
+    keys = stored(multi.select("doc_id", "own", "place", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2")), shared_dir(docs.sparkSession, "lines"))
     repeated = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1")
-    found = keys.withColumn("salt", salt(SALTS)).join(repeated.withColumn("salt", salts(SALTS)), ["h1", "h2", "salt"])
-    flagged = found.groupBy("doc_id").agg(F.collect_set(F.struct("place", "h1", "h2", "n", "first")).alias("flagged"))
-    flagged = flagged.select(F.col("doc_id").alias("_id"), "flagged")
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    marked = line_chunks(rows.join(flagged, rows["doc_id"].eqNullSafe(flagged["_id"])), "flagged")
-    seen = marked.select("doc_id", "chunks", F.explode("flagged").alias("f")).select("doc_id", "f.*", F.element_at("chunks", F.col("f.place") + 1).alias("chunk"))
+    found = join_counted(keys, repeated, ["h1", "h2"])
+    flagged = found.groupBy("doc_id", "own").agg(F.collect_set(F.struct("place", "h1", "h2", "n", "first")).alias("flagged"))
+    flagged = flagged.select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"), "flagged")
+    of = (rows["own"] == flagged["_own"]) & rows["doc_id"].eqNullSafe(flagged["_id"])
+    marked = line_chunks(rows.join(flagged, of), "doc_id", "own", "flagged")
+    places = F.transform("flagged", lambda f: F.struct(f.alias("f"), F.element_at("chunks", f["place"] + 1).alias("chunk")))
+    seen = marked.select("doc_id", "own", F.explode(places).alias("f")).select("doc_id", "own", "f.f.*", "f.chunk")
     seen = seen.withColumn("parts", 1 + F.floor(F.col("n") / SPREAD))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))
     firsts = seen.filter(is_first).groupBy("h1", "h2", "parts").agg(F.min("chunk").alias("first_chunk")).withColumn("salt", salts(F.col("parts"))).drop("parts")
     copies = seen.filter(~is_first).withColumn("salt", salt(F.col("parts"))).join(firsts, ["h1", "h2", "salt"]).filter("chunk = first_chunk")
-    gone = copies.groupBy("doc_id").agg(F.collect_set("place").alias("gone")).select(F.col("doc_id").alias("_id"), "gone")
-    whole = line_chunks(docs)
-    out = whole.join(gone, whole["doc_id"].eqNullSafe(gone["_id"]), "left").select("doc_id", "chunks", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    kept = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
-    out = out.select("doc_id", "chunks", kept.alias("kept"))
+    gone = copies.groupBy("doc_id", "own").agg(F.collect_set("place").alias("gone")).select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"), "gone")
+    joined = rows.join(gone, (rows["own"] == gone["_own"]) & rows["doc_id"].eqNullSafe(gone["_id"]), "left")
+    out = line_chunks(joined, "doc_id", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone")
+    out = out.select("doc_id", "chunks", F.transform(left, lambda i: F.element_at("chunks", i + 1)).alias("kept"))
     count = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + n_lines(x))
     total = out.select("doc_id", count("chunks").alias("n_lines"), count("kept").alias("n_kept"), F.array_join("kept", "\n").alias("kept_text"))
     return total.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_removed"), "kept_text")
@@ -90,16 +99,19 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
   FROM documents
+), h AS (
+  SELECT *, md5(line) AS m, lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l
+), q AS (
+  SELECT *, coalesce(b = m, false) OR substr(md5(coalesce(b, '') || m), 1, 1) < '8' AS proposed FROM h
 ), r AS (
-  SELECT *, substr(md5(coalesce(lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i), '') || md5(line)), 1, 1) IN ('0', '4', '8', 'c') AS cut
-  FROM l
+  SELECT *, proposed AND (i - coalesce(max(CASE WHEN NOT proposed THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 2 = 1 AS cut FROM q
 ), c AS (
   SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
   FROM r
 ), g AS (
   SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, k
 ), f AS (
-  SELECT *, n > 1 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM g
+  SELECT *, n > 1 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS FIRST, k) > 1 AS gone FROM g
 )
 SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed,
        sha256(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
