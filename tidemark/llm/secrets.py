@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_dir, shared_dir, stored, text_of
+from .common import join_counted, shared_dir, stored, text_of
 
 #: Base kinds in their order, with the group whose length counts and its least length (fixed values).
 BASE = {
@@ -40,8 +40,7 @@ HINTS = {"access": ("AKIA",), "bearer": ("Bearer ",), "forge": ("gho_", "ghp_",
 ORDER = {k: i for i, k in enumerate([*BASE, *MORE])}
 #: Repositories of different texts that may hold a value of one owner before it is a copied example (fixed value).
 MAX_REPOS = 10
-FOUND = "doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, same binary, candidates array<struct<kind:string,start:long,end:long,value:binary>>"
-PARTS = 16
+FOUND = "row long, doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, same binary, candidates array<struct<kind:string,start:long,end:long,value:binary>>"
 
 
 def scan(text: str) -> list[tuple[int, int, int, bytes]]:
@@ -65,7 +64,10 @@ def joined(found: list[tuple]) -> str:
 
 
 def find_candidates(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
-    """One row for each document, with its candidates and, where it has some, the hash of its text (FOUND)."""
+    """One row for each document, with a number of its own, its candidates and, where it has some, the hash of its text (FOUND).
+
+    Write the table before it is used twice, since numbers may differ between runs.
+    """
     kinds = [*ORDER]
     struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.binary())])
 
@@ -81,13 +83,13 @@ def find_candidates(docs: DataFrame, repo: str = "doc_id", owner: str = "source"
                 shas.append(hashlib.sha256(bases[-1].encode()).hexdigest())
                 same.append(xxhash.xxh3_128_digest(text.encode()) if found else None)
                 candidates.append([{"kind": kinds[k], "start": s, "end": e, "value": v} for s, k, e, v in found])
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(shas, pa.string()), pa.array(bases, pa.string()), pa.array(same, pa.binary()), pa.array(candidates, pa.list_(struct))], names=["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "base", "same", "candidates"])
+            yield pa.record_batch([*batch.columns[:4], *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(shas, pa.string()), pa.array(bases, pa.string()), pa.array(same, pa.binary()), pa.array(candidates, pa.list_(struct))], names=["row", "doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "base", "same", "candidates"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), "text").mapInArrow(run, FOUND)
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), "text").mapInArrow(run, FOUND)
 
 
 def ownership(found: DataFrame, max_owners: int = 1, max_repos: int = MAX_REPOS) -> DataFrame:
-    """value, n_repos, n_owners, live: of each distinct candidate value.
+    """value, n (occurrences), n_repos, n_owners, live: of each distinct candidate value.
 
     Equal texts are one place, of the smallest doc_id's repository and owner, so copies of
     a document make no example. Distinct (value, text), then (value, owner) and (value,
@@ -95,8 +97,8 @@ def ownership(found: DataFrame, max_owners: int = 1, max_repos: int = MAX_REPOS)
     a value in a third of all texts is no hot key.
     """
     each = found.select("same", F.struct("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner")).alias("place"), F.explode("candidates.value").alias("value"))
-    pairs = each.groupBy("value", "same").agg(F.min("place").alias("first")).select("value", "first.repo", "first.owner")
-    owners = pairs.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("n_owners"))
+    pairs = each.groupBy("value", "same").agg(F.min("place").alias("first"), F.count("*").alias("n")).select("value", "n", "first.repo", "first.owner")
+    owners = pairs.groupBy("value", "owner").agg(F.sum("n").alias("n")).groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n"))
     repos = pairs.select("value", "repo").distinct().groupBy("value").agg(F.count("*").alias("n_repos"))
     return owners.join(repos, "value").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
 
@@ -106,22 +108,21 @@ def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", m
 
     `spans` are kind:start:end in code points, ordered by start, then kind. Null text is
     empty; null owners and repositories count as one owner and one repository; rows with
-    one doc_id share the spans that are added; an empty table gives no rows.
+    one doc_id are rows of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
     found = stored(find_candidates(docs, repo, owner), shared_dir(spark, "candidates"))
-    values = ownership(found, max_owners, max_repos).select("value", "live").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    each = found.filter(F.size("candidates") > 0).select("doc_id", "owner", F.explode("candidates").alias("c")).select("doc_id", "owner", "c.*").withColumn("part", F.pmod(F.xxhash64("doc_id", "owner"), F.lit(PARTS)).cast("int"))
-    judged = each.join(values, ["value", "part"])
+    each = found.filter(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.*")
+    judged = join_counted(each, ownership(found, max_owners, max_repos).select("value", "n", "live"), ["value"])
     rank = F.element_at(F.create_map(*(F.lit(x) for k, v in ORDER.items() for x in (k, v))), F.col("kind"))
     order = F.struct("start", rank.alias("rank"), "end", "kind")
     stays = F.col("live") | F.col("kind").isin([*BASE])
-    per_doc = judged.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(stays, order))).alias("kept"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"))
+    per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.when(stays, order))).alias("kept"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"))
     text = F.array_join(F.transform("kept", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    per_doc = per_doc.select(F.col("doc_id").alias("_id"), text.alias("all_spans"), "n_live", "n_example")
-    return found.join(per_doc, found["doc_id"].eqNullSafe(per_doc["_id"]), "left").select(
+    per_row = per_row.select("row", text.alias("all_spans"), "n_live", "n_example")
+    return found.join(per_row, "row", "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("all_spans", "base").alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example")
     )
 
 
-__all__ = ["drop_dir", "find_candidates", "find_secrets", "ownership", "scan"]
+__all__ = ["find_candidates", "find_secrets", "ownership", "scan"]
