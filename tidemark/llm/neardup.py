@@ -284,7 +284,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, crowd: int =
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class stays, that with the smallest doc_id; rows without an id stay too."""
+    """One document of each class stays, that with the smallest doc_id, once if its row is repeated; rows without an id stay too.
+
+    Rows that share an id but not the text stay, as they are no copies of each other.
+    """
     classes = near_duplicates(docs, threshold)
     gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    repeated = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1 and _id is not null").select("_id")
+    repeated = stored(repeated, shared_dir(docs.sparkSession, "repeated"))
+    if repeated.isEmpty():
+        return left
+    again = left.join(repeated, left["doc_id"] == repeated["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, left["doc_id"] == repeated["_id"], "left_anti").unionByName(again)
