@@ -213,25 +213,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     """Fit to at most `rows` rows of labels (doc_id, quality 0 or 1), a quarter of them for calibration.
 
     Labels that are null or of no document are left out; without rows of both classes
-    the classifier accepts all.
+    the classifier accepts all. Only the texts of these rows go to Python; the driver
+    holds their features, at most `DIM` of each.
     """
     spark = docs.sparkSession
-    chosen = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = [tuple(r) for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
     if not chosen:
         return Classifier()
-    wanted = spark.sparkContext.broadcast(dict(chosen))
+    wanted = spark.createDataFrame(chosen, "doc_id long, y int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = pa.array(list(wanted.value), pa.int64())
-        for batch in batches:
-            own = batch.filter(pc.is_in(batch.column("doc_id"), keys))
-            for part in slices(iter([own]), "text"):
-                ids = part.column("doc_id").to_pylist()
-                found = features(Words.of(text_of(part.column("text"))))
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([wanted.value[i] for i in ids], pa.int32()), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["doc_id", "y", "index", "value"])
-
-    got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, y int, index binary, value binary").collect()
+        for part in slices(batches, "text"):
+            found = features(Words.of(text_of(part.column("text"))))
+            yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["doc_id", "y", "index", "value"])
+
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(wanted), "doc_id")
+    got = own.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, index binary, value binary").collect()
     got = sorted((r["doc_id"], r["index"], r["value"], r["y"]) for r in got)
     data = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for _, i, v, y in got]  # views: the bytes are held once
     order = np.random.default_rng(7).permutation(len(data)).tolist()
