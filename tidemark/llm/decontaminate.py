@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from .common import coded, slices, text_of, words_of
+from .common import coded, drop_dir, shared_dir, slices, stored, text_of, words_of
 
 #: Words of items that one automaton holds.
 BLOCK_WORDS = 200_000
@@ -164,20 +165,64 @@ def hits(texts: pa.Array, automaton: Automaton) -> tuple[np.ndarray, np.ndarray,
 
 
 def item_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """Automata over the items, each over about `block_words` words at most or one item."""
+    """Automata over the items, each over about `block_words` words at most or one item; items without an id are listed as ''."""
     block, n = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         words = normal_words(row.text)
         if block and n + len(words) > block_words:
             yield Automaton(block, window)
             block, n = [], 0
-        block.append((row.item_id if row.item_id is not None else "null", words))
+        block.append((row.item_id if row.item_id is not None else "", words))
         n += len(words)
     yield Automaton(block, window)
 
 
-def _digest(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+#: Columns in which passes over several blocks carry what was found: hit words as bits, and items.
+HITS, ITEMS = "_hit_words", "_hit_items"
+
+
+def over_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, last, schema) -> DataFrame:
+    """last(batch, offsets of the words, which are hit, items of each text) over the rows of `docs`, with all blocks' hits."""
+    spark = docs.sparkSession
+    own = docs.columns
+    at, now, held = shared_dir(spark, "blocks"), docs, None
+    blocks = item_blocks(benchmark, window, block_words)
+    automaton, number = next(blocks), 0
+    while automaton is not None:
+        following, number = next(blocks, None), number + 1
+        shared = spark.sparkContext.broadcast(automaton)
+        carried, ends = HITS in now.columns, following is None
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, carried=carried, ends=ends) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "text"):
+                offsets, hit, items = hits(text_of(part.column("text")), shared.value)
+                if carried:
+                    for i, (bits, found) in enumerate(zip(part.column(HITS), part.column(ITEMS), strict=True)):
+                        if bits.is_valid:
+                            own_hits = slice(offsets[i], offsets[i + 1])
+                            hit[own_hits] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=int(offsets[i + 1] - offsets[i])).astype(bool)
+                            items.setdefault(i, set()).update(found.as_py())
+                rows = part.select(own)
+                if ends:
+                    yield last(rows, offsets, hit, items)
+                else:
+                    bits = [np.packbits(hit[offsets[i] : offsets[i + 1]]).tobytes() if i in items else None for i in range(part.num_rows)]
+                    found = [sorted(items[i]) if i in items else None for i in range(part.num_rows)]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=[*own, HITS, ITEMS])
+
+        if ends:
+            return now.mapInArrow(run, schema)
+        kept = StructType([*docs.schema.fields, StructField(HITS, BinaryType()), StructField(ITEMS, ArrayType(StringType()))])
+        now = stored(now.mapInArrow(run, kept), f"{at}/{number}")
+        shared.destroy()
+        if held:
+            drop_dir(spark, held)
+        held, automaton = f"{at}/{number}", following
+    raise AssertionError("there is a block at least")
+
+
+def _digest(items: list[str]) -> str:
+    return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -185,30 +230,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     A window is `window` consecutive words of an item, or a whole shorter item; every
     word inside an occurrence is hit. Null texts have no words, items without words
-    match nothing, items of one id count once, an empty benchmark hits nothing and an
-    empty table gives no rows. Each further block of items reads the texts again inside
-    the same task, from the same batch.
+    match nothing, items of one id count once, those without an id are one item, an
+    empty benchmark hits nothing and an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(a) for a in item_blocks(benchmark, window, block_words)]
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>"
+    none = _digest([])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            texts = text_of(part.column("text"))
-            hit, items = None, {}
-            for a in automata:
-                offsets, more, found = hits(texts, a.value)
-                hit = more if hit is None else hit | more
-                for i, x in found.items():
-                    items.setdefault(i, set()).update(x)
-            sums = np.concatenate([[0], np.cumsum(hit)])[offsets]
-            n_hit = np.diff(sums)
-            listed = [sorted(items.get(i, ())) for i in range(part.num_rows)]
-            none = _digest(set())
-            yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n_hit), pa.array([len(x) for x in listed], pa.int64()), pa.array([_digest(set(x)) if x else none for x in listed]), pa.array(n_hit > 0), pa.array(listed, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"])
+    def last(part: pa.RecordBatch, offsets: np.ndarray, hit: np.ndarray, items: dict[int, set[str]]) -> pa.RecordBatch:
+        n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets])
+        listed = [sorted(items.get(i, ())) for i in range(part.num_rows)]
+        return pa.record_batch([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n_hit), pa.array([len(x) for x in listed], pa.int64()), pa.array([_digest(x) if x else none for x in listed]), pa.array(n_hit > 0), pa.array(listed, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return over_blocks(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, block_words, last, schema)
 
 
 def cleaned(text: str, hit: np.ndarray) -> str:
@@ -229,32 +262,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     `max_coverage` of the words are hit goes as a whole. Documents without a hit,
     null texts included, stay as they are. `n_chars`, where there is one, follows the text.
     """
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(a) for a in item_blocks(benchmark, window, block_words)]
     names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            texts = text_of(part.column("text"))
-            hit = None
-            for a in automata:
-                offsets, more, _ = hits(texts, a.value)
-                hit = more if hit is None else hit | more
-            n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets])
-            rows = np.flatnonzero(n_hit > 0)
-            if not len(rows):
-                yield part
-                continue
-            new = part.column("text").to_pylist()
+    def last(part: pa.RecordBatch, offsets: np.ndarray, hit: np.ndarray, items: dict[int, set[str]]) -> pa.RecordBatch:
+        n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets])
+        rows = np.flatnonzero(n_hit > 0)
+        if not len(rows):
+            return part
+        new = part.column("text").to_pylist()
+        for i in rows.tolist():
+            new[i] = cleaned(new[i], hit[offsets[i] : offsets[i + 1]])
+        columns = {n: part.column(n) for n in names} | {"text": pa.array(new, part.schema.field("text").type)}
+        if "n_chars" in columns:
+            lengths = columns["n_chars"].to_pylist()
             for i in rows.tolist():
-                new[i] = cleaned(new[i], hit[offsets[i] : offsets[i + 1]])
-            columns = {n: part.column(n) for n in names} | {"text": pa.array(new, part.schema.field("text").type)}
-            if "n_chars" in columns:
-                lengths = columns["n_chars"].to_pylist()
-                for i in rows.tolist():
-                    lengths[i] = len(new[i])
-                columns["n_chars"] = pa.array(lengths, part.schema.field("n_chars").type)
-            keep = n_hit <= max_coverage * np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], schema=part.schema).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+                lengths[i] = len(new[i])
+            columns["n_chars"] = pa.array(lengths, part.schema.field("n_chars").type)
+        keep = n_hit <= max_coverage * np.diff(offsets)
+        return pa.RecordBatch.from_arrays([columns[n] for n in names], schema=part.schema).filter(pa.array(keep))
+
+    return over_blocks(docs, benchmark, window, block_words, last, docs.schema)
