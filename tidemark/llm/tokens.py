@@ -9,12 +9,14 @@ so a memory-mapped reader gets a sequence or a document without copying.
 The ids are those of the tokenizers library. Its byte-level BPE never joins a space
 that follows a non-space to what stands before it, so texts are cut there and each
 distinct piece is encoded once by the library's model; a text with other white space
-around a single space goes through the library as a whole.
+around a single space, or with the literal of an added token, goes through the library
+as a whole, and so does every text where the file is no byte-level BPE.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_dir, open_fs, shared_dir, slices, stored, text_of
+from .common import open_fs, shared_dir, slices, stored, text_of
 
 #: Pieces that a Python worker remembers; beyond that it encodes them anew.
 REMEMBERED = 250_000
@@ -44,7 +46,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts.get("pre_tokenizer") or {}
+        #: Whether texts may be cut where a pre-token begins: byte-level BPE with its own pattern, and nothing before it.
+        self.cuts = parts["model"]["type"] == "BPE" and not parts.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.model._resize_cache(0)
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.known: dict[str, bytes] = {}
@@ -79,6 +85,10 @@ class Encoder:
         odd = np.zeros(len(texts), bool)
         odd[doc[loose[codes]]] = True
         odd &= np.diff(offsets) > 1
+        if not self.cuts:
+            odd[:] = True
+        for x in self.added:
+            odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         take = ~odd[doc]
         codes, doc = codes[take], doc[take]
         first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
@@ -207,15 +217,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, le
         context, out, first = TaskContext.get(), None, None
         enc = encoder(tokenizer)
         uri = f"{path}/shard-{context.partitionId():06d}-{context.taskAttemptId()}.arrow"
-        gc.disable()
-        for part in slices(batches, "text"):
-            ids, sizes = enc.encode(text_of(part.column("text")))
-            ends = np.cumsum(sizes)
-            full = np.insert(ids, ends, enc.dtype.type(end_id))
-            if out is None:
-                out, first = ShardWriter(uri, enc.dtype, length, rows), part.column("doc_id")[0].as_py()
-            out.add(full, part.column("doc_id"), sizes + 1)
-        gc.enable()
+        gc.disable()  # encoding makes many small objects and no cycles
+        try:
+            for part in slices(batches, "text"):
+                ids, sizes = enc.encode(text_of(part.column("text")))
+                ends = np.cumsum(sizes)
+                full = np.insert(ids, ends, enc.dtype.type(end_id))
+                if out is None:
+                    out, first = ShardWriter(uri, enc.dtype, length, rows), part.column("doc_id")[0].as_py()
+                out.add(full, part.column("doc_id"), sizes + 1)
+        finally:
+            gc.enable()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pylist([{"file": uri, "first_id": first, "n_docs": out.n_docs, "n_tokens": out.n}], schema=pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
@@ -262,4 +274,4 @@ def token_table(docs: DataFrame, tokenizer: str, path: str | None = None) -> Dat
     return read_tokens(write_tokens(docs, path or shared_dir(docs.sparkSession, "tokens"), tokenizer))
 
 
-__all__ = ["Encoder", "Shard", "ShardWriter", "drop_dir", "read_tokens", "token_table", "write_tokens"]
+__all__ = ["Encoder", "Shard", "ShardWriter", "read_tokens", "token_table", "write_tokens"]
