@@ -24,7 +24,6 @@ from .quality import Words, char_grams, gram_means
 #: Labelled documents of each language that are learned from: those with the smallest hashes of their ids.
 FIT_DOCS = 400
 DIM = 1 << 16
-PARTS = 16
 SWITCH = 12.0
 #: No word counts more than this against a language.
 MOST = 6.0
@@ -73,41 +72,47 @@ def _counts(w: Words, doc_lang: np.ndarray, n_langs: int) -> tuple[np.ndarray, n
     return np.array(tables), np.array(kinds)
 
 
+def sample(known: DataFrame, docs_per_lang: int) -> DataFrame:
+    """doc_id, lang of at most `docs_per_lang` documents of each language: those with the smallest hashes of their ids.
+
+    Counts give each language a share of the hashes that holds about twice as many, so
+    only those are ranked, however many documents a language has.
+    """
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    wide = F.abs(F.xxhash64("doc_id").cast("double")) / F.lit(2.0**63)
+    # a row for each language, of which the model holds a whole column
+    near = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(wide * F.col("n") <= 2 * docs_per_lang + 20)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return near.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= docs_per_lang).drop("rank")
+
+
 def fit(docs: DataFrame, docs_per_lang: int = FIT_DOCS) -> Model:
-    """Learn from the text and lang of `docs`; rows where either is null are left out.
+    """Learn from the text and lang of `docs`; rows where either, or the id, is null are left out.
 
-    The bounded sample takes, of each language, the documents with the smallest hashes;
-    they are ranked in parts first, so that a task ranks a bounded number of a hot language.
+    Of rows with one doc_id the learned ones all count. The bounded sample is joined to
+    the texts before they go to Python.
     """
     spark = docs.sparkSession
-    known = docs.filter("lang is not null and text is not null")
-    order = (F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
-    for keys in (("lang", "part"), ("lang",)):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= docs_per_lang).drop("rank")
-    chosen = chosen.select("doc_id", "lang").collect()
-    langs = sorted({r.lang for r in chosen})
+    known = docs.filter("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long"), "text", "lang")
+    chosen = [tuple(r) for r in sample(known, docs_per_lang).distinct().collect()]
+    langs = sorted({lang for _, lang in chosen})
     if not langs:
         return Model([], np.zeros((DIM, 0)), np.zeros((len(NAMES), 0), bool))
     number = {x: i for i, x in enumerate(langs)}
-    wanted = spark.sparkContext.broadcast({r.doc_id: number[r.lang] for r in chosen})
+    wanted = spark.createDataFrame([(i, lang, number[lang]) for i, lang in chosen], "doc_id long, lang string, number int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = kinds = None
-        keys = pa.array([k for k in wanted.value], pa.int64())
-        for batch in batches:
-            for part in slices(iter([batch.filter(pc.is_in(batch.column("doc_id"), keys))]), "text"):
-                lang = np.array([wanted.value[i] for i in part.column("doc_id").to_pylist()])
-                more, found = _counts(Words.of(text_of(part.column("text"))), lang, len(langs))
-                tables, kinds = (more, found) if tables is None else (tables + more, kinds + found)
+        for part in slices(batches, "text"):
+            more, found = _counts(Words.of(text_of(part.column("text"))), part.column("number").to_numpy(), len(langs))
+            tables, kinds = (more, found) if tables is None else (tables + more, kinds + found)
         if tables is not None:
             for j in range(len(langs)):
                 at = np.flatnonzero(tables[j])
                 yield pa.record_batch([pa.array([j], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([tables[j][at].astype(np.float32).tobytes()], pa.binary()), pa.array([kinds[j].astype(np.float64).tobytes()], pa.binary())], names=["lang", "at", "n", "scripts"])
 
     sums, kinds = np.zeros((DIM, len(langs))), np.zeros((len(NAMES), len(langs)))
-    for row in known.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "lang int, at binary, n binary, scripts binary").toLocalIterator():
+    for row in known.join(F.broadcast(wanted), ["doc_id", "lang"]).select("text", "number").mapInArrow(run, "lang int, at binary, n binary, scripts binary").toLocalIterator():
         sums[np.frombuffer(row["at"], np.int32), row["lang"]] += np.frombuffer(row["n"], np.float32)
         kinds[:, row["lang"]] += np.frombuffer(row["scripts"], np.float64)
     share = (sums + 0.5) / (sums.sum(0) + 0.5 * DIM)
@@ -121,18 +126,19 @@ def viterbi(scores: np.ndarray, codes: np.ndarray, offsets: np.ndarray, switch:
     starts, n = offsets[:-1][order], n[order]
     active = len(n) - np.searchsorted(n[::-1], np.arange(int(n[0]) if len(n) else 0), "right")
     labels = scores.shape[1]
-    back = np.empty((len(codes), labels), np.uint8)
+    kind = np.uint8 if labels <= 256 else np.int32
+    back = np.empty((len(codes), labels), kind)
     best = np.zeros((len(n), labels))
-    own = np.arange(labels, dtype=np.uint8)
+    own = np.arange(labels, dtype=kind)
     for t, a in enumerate(active.tolist()):
         at, v = starts[:a] + t, best[:a]
         top = v.argmax(1)
         jump = v[np.arange(a), top] - switch
         stay = v >= jump[:, None]
-        back[at] = np.where(stay, own, top[:, None].astype(np.uint8))
+        back[at] = np.where(stay, own, top[:, None].astype(kind))
         best[:a] = np.where(stay, v, jump[:, None]) + scores[codes[at]]
-    path = np.empty(len(codes), np.uint8)
-    state = best.argmax(1).astype(np.uint8)
+    path = np.empty(len(codes), kind)
+    state = best.argmax(1).astype(kind)
     for t in range(len(active) - 1, -1, -1):
         a = int(active[t])
         at = starts[:a] + t
@@ -163,7 +169,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
             if m.langs and len(w.codes):
                 path = viterbi(m.word_scores(w.distinct, script), w.codes, w.offsets, switch)
                 doc = doc_of(w.offsets)
-                weight = np.bincount(doc * len(m.langs) + path, letters[w.codes], rows * len(m.langs)).reshape(rows, -1)
+                weight = np.bincount(doc * len(m.langs) + path.astype(np.int64), letters[w.codes], rows * len(m.langs)).reshape(rows, -1)
                 first = np.concatenate([[True], (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])])
                 at = np.flatnonzero(first)
                 base = w.offsets[doc[at]]
