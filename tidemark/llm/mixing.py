@@ -47,27 +47,35 @@ def hashed_unit(key: F.Column, seed: str) -> F.Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def _planned(docs: DataFrame, weights: Sequence[int], share: float, cap: float, seed: str) -> DataFrame:
+    """row (the whole row of `docs`), size, source_size, target, copies."""
+    sized = docs.select(F.struct("*").alias("row"), "doc_id", F.col("source").alias("of"), word_count("text").alias("size"))
+    sizes = docs.select("source", word_count("text").alias("size"))
+    table = stored(source_targets(sizes, weights, share, cap), shared_dir(docs.sparkSession, "sources"))
+    table = table.select("source", "source_size", "target")
+    if table.count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.floor(rate) + F.when(hashed_unit(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    return sized.join(table, sized["of"].eqNullSafe(table["source"])).select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = SEED) -> DataFrame:
     """The rows of `docs` with size, source_size, target and copies.
 
     Null text has size 0; null is a source of its own; rows with one doc_id have one
-    draw; an empty table gives no rows. Columns of `docs` with these names are replaced.
+    draw, those with a null one too; an empty table gives no rows. Columns of `docs` with
+    these names are replaced.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = docs.select(*own, word_count("text").alias("size"))
-    table = stored(source_targets(sized.select("source", "size"), weights, share, cap), shared_dir(docs.sparkSession, "sources"))
-    table = table.select(F.col("source").alias("_source"), "source_size", "target")
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(hashed_unit(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return sized.join(table, sized["source"].eqNullSafe(table["_source"])).drop("_source").withColumn("copies", copies.cast("long"))
+    plan = _planned(docs, weights, share, cap, seed)
+    own = [f"row.`{c}`" for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    return plan.select(*own, "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = SEED) -> DataFrame:
-    """Every document as many times as the mix takes it, with the columns of `docs`."""
-    plan = mix_plan(docs, weights, share, cap, seed)
-    return plan.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """Every document as many times as the mix takes it; its columns, whatever their names, stay as they are."""
+    plan = _planned(docs, weights, share, cap, seed).filter("copies > 0")
+    return plan.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 ORACLE_SQL = rf"""
