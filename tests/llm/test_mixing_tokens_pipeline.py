@@ -17,7 +17,6 @@ def library(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.TOKENIZER)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -87,6 +86,9 @@ def test_mixing(make, corpus):
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and r.copies <= 2
     out = mixing.mix(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in plan)
+    clash = docs.selectExpr("doc_id", "text", "source", "777L AS size", "'mine' AS target", "'s' AS _source", "1 AS copies", "2 AS _copy", "3 AS row", "4 AS of")
+    rows = mixing.mix(clash).collect()
+    assert mixing.mix(clash).columns == clash.columns and all(tuple(r)[3:] == (777, "mine", "s", 1, 2, 3, 4) for r in rows) and len(rows) == out.count()
     assert rows_of(mixing.mix_plan(make(corpus, 5)).select("doc_id", "copies")) == rows_of(mixing.mix_plan(docs).select("doc_id", "copies"))
 
 
@@ -110,6 +112,34 @@ def test_mixing_of_an_empty_table(make):
     assert mixing.mix_plan(make([(1, None), (2, "")])).count() == 2
 
 
+def test_keep_first_of_repeated_rows(make):
+    from tidemark.llm import neardup
+
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (1, text), (2, text), (3, "other words"), (3, "different text"), (None, "a b"), (None, "a b"), (4, None), (4, None)]
+    got = rows_of(neardup.keep_first(make(rows)).select("doc_id", "text"))
+    assert got == sorted([(1, text), (3, "other words"), (3, "different text"), (None, "a b"), (None, "a b"), (4, None)], key=repr)
+
+
+def test_pipeline_of_empty_tables_and_further_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, target string, rep long, row long"
+    for name, rows in (("none", []), ("some", [(i, " ".join(f"w{j * 7919 % 50}x{i}" for j in range(40)), "en", "s", 1, 5, "t", 6, 7) for i in range(6)] * 2)):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for stage in ("quality", "near_duplicates", "decontamination", "mixing"):
+            docs = dict(corpus_pipeline.STAGES)[stage](spark, docs, at)
+            assert docs.columns == spark.read.parquet(f"{at}/documents.parquet").columns
+            if stage != "mixing":
+                assert docs.count() == (0 if not rows else 12 if stage == "quality" else 6)
+        assert all(tuple(r)[5:] == (5, "t", 6, 7) for r in docs.collect())
+        assert (corpus_pipeline.run(spark, at).count() > 0) == bool(rows)
+
+
 def test_pipeline(spark, tmp_path):
     """The stages one by one against plain Python on a small table."""
     import random

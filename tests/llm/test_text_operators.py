@@ -210,20 +210,67 @@ def test_spelling_is_a_distribution():
     assert logs[3] > logs[4]
 
 
+def brute_lines(docs):
+    """The rule of the chunks, line by line, over rows with distinct ids."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    chunks, seen, out = {}, set(), []
+    for i, t in docs:
+        lines, ended, own = (t or "").split("\n"), False, [[]]
+        for k, line in enumerate(lines):
+            own[-1].append(line)
+            before = md5(lines[k - 1]) if k else ""
+            ended = (k > 0 and lines[k - 1] == line or md5(before + md5(line))[0] < "8") and not ended
+            if ended:
+                own.append([])
+        chunks[i] = ["\n".join(c) for c in own if c]
+    for i in sorted(chunks, key=lambda i: (i is not None, i)):
+        kept = []
+        for c in chunks[i]:
+            if "\n" not in c or c not in seen:
+                kept.append(c)
+            seen.add(c)
+        n = sum(c.count("\n") + 1 for c in chunks[i])
+        out.append((i, n, n - sum(c.count("\n") + 1 for c in kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
 def test_line_dedup(make, spark):
-    rows = [(1, "a\nb\nc\nd\ne\nf"), (2, "x\na\nb\nc\nd\ne\nf"), (3, None), (4, ""), (5, "\n\n"), (6, "a\nb\nc\nd\ne\nf\na\nb\nc\nd\ne\nf"), (7, "k\n" * 40), (8, "k\n" * 40), (9, "no lines " * 500)]
+    import random
+
+    r = random.Random(6)
+    passage = "\n".join(f"line {r.random()}" for _ in range(12))
+    rows = [(1, "a\nb\nc\nd\ne\nf"), (2, "x\na\nb\nc\nd\ne\nf"), (3, None), (4, ""), (5, "\n\n"), (6, "a\nb\nc\nd\ne\nf\na\nb\nc\nd\ne\nf"), (7, "k\n" * 40), (8, "k\n" * 41), (9, "no lines " * 500), (None, "a\nb\nc\nd\ne\nf")]
+    rows += [(20 + i, "\n".join([*(f"own {r.random()}" for _ in range(r.randint(1, 9))), passage, *(f"own {r.random()}" for _ in range(5))])) for i in range(12)]
     docs = make(rows)
     from pyspark.sql import functions as F
 
     got = rows_of(linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256)))
+    assert got == brute_lines(rows)
     con = duckdb.connect()
-    con.register("documents", docs.toPandas())
+    con.register("documents", docs.toArrow())
     assert got == sorted(con.sql(f"SELECT doc_id, n_lines, n_removed, kept_sha256 FROM ({linededup.ORACLE_SQL})").fetchall(), key=repr)
-    assert any(r[2] for r in got)
+    assert all(x[2] >= 6 for x in got if (x[0] or 0) > 20) and next(x for x in got if x[0] == 7)[2] >= 36, "most of a repeated passage, and of a run, goes"
     names = str(linededup.dedup_lines(docs)._jdf.queryExecution().executedPlan())
     assert "Python" not in names and "Arrow" not in names
 
 
+def test_line_dedup_of_repeated_and_null_ids(make):
+    text = "\n".join(f"line {i}" for i in range(30))
+    got = rows_of(linededup.dedup_lines(make([(1, text), (1, text), (1, "other"), (None, text + "\nx"), (None, "y")])).select("doc_id", "n_lines", "n_removed"))
+    assert [g[0] for g in got] == [1, 1, 1, None, None] and [g[2] for g in got if g[0] is None] == [0, 0]
+    assert [g[2] > 20 for g in got if g[1] == 30] == [True, True], "a null id comes first"
+
+
+def test_line_dedup_is_linear(make):
+    import time
+
+    text = "\n".join(str(i * 7919 % 100_003) for i in range(300_000))
+    began = time.time()
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(make([(1, text), (2, text)])).collect()}
+    assert got[1] > 150_000 or got[2] > 290_000
+    assert time.time() - began < 60
+
+
 def test_secrets(make):
     hexes, access = "0123456789abcdef0123456789", "AKIA" + "Q7" * 9
     rows = [
@@ -231,13 +278,16 @@ def test_secrets(make):
         (6, "Bearer abcdefghijklmnop0123 and ghp_abcdefghijklmnop1234"), (7, "x Bearer abcdefghijklmnop0123"), (8, "𝄞 passwd:  'ab' apikey='abcdef'"), (8, "ſecret=abcdefg toKen=abcdefg"),
     ]
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    rows += [(9, "x " * 100_000 + "token=abcdef"), (None, "token=abcdef"), (None, "nothing"), (10, "token=abcdef"), (10, "nothing"), (10, "token=abcdef")]
+    spans_of = lambda t: [(m.start(), k, m.end()) for k, (p, g, n) in enumerate(((assign, 2, 6), (re.compile("AKIA[A-Z0-9]+"), 0, 20), (re.compile("[0-9a-f]+"), 0, 24))) for m in p.finditer(t or "") if len(m[g]) >= n]
     want = []
     for i, t in rows:
-        found = [(m.start(), k, m.end()) for k, (p, g, n) in enumerate(((assign, 2, 6), (re.compile("AKIA[A-Z0-9]+"), 0, 20), (re.compile("[0-9a-f]+"), 0, 24))) for m in p.finditer(t or "") if len(m[g]) >= n]
+        found = spans_of(t)
         spans = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
         want.append((i, *(sum(x[1] == k for x in found) for k in range(3)), hashlib.sha256(spans.encode()).hexdigest(), spans))
     got = rows_of(secrets.find_secrets(make(rows)))
     assert [g[:5] for g in got] == [w[:5] for w in sorted(want, key=repr)]
+    assert all(g[5] == w[5] for g, w in zip(got, sorted(want, key=repr)) if g[0] in (9, 10, None)), "rows of one id keep their own spans"
     spans = {r[0]: r[5] for r in got}
     assert "forge" in spans[6], "held by one owner only"
     assert "bearer" not in spans[6] and "bearer" not in spans[7], "two owners hold it"
@@ -335,7 +385,7 @@ def test_quality_classifier(spark, make):
     assert {r.doc_id for r in quality.keep_good(docs, model).collect()} == set(range(80))
 
 
-ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "zeta, eta theta iota kappa lambda mu nu xi omicron pi"), (3, "short item"), (4, None), (5, "?!"), (6, "beta"), (7, "a a a a a a a a a a a"), (2, "second of one id here are ten words long it is")]
+ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "zeta, eta theta iota kappa lambda mu nu xi omicron pi"), (3, "short item"), (4, None), (5, "?!"), (6, "beta"), (7, "a a a a a a a a a a a"), (2, "second of one id here are ten words long it is"), (None, "without id")]
 
 
 @pytest.mark.parametrize("block_words", [200_000, 12])
@@ -350,7 +400,7 @@ def test_decontamination(make, spark, block_words):
     for i, t in ITEMS:
         w = norm(t)
         for p in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[p : p + 10])].add(str(i))
+            windows[tuple(w[p : p + 10])].add("" if i is None else str(i))
     want = []
     for i, t in rows:
         w, hit, items = norm(t), set(), set()
@@ -361,10 +411,11 @@ def test_decontamination(make, spark, block_words):
                     items |= found
         want.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    empty = bench.limit(0)
     got = rows_of(decontaminate.contamination(make(rows), bench, block_words=block_words).drop("item_ids"))
     assert got == sorted(want, key=repr)
     kept = {r.doc_id: r for r in decontaminate.decontaminate(make(rows), bench, block_words=block_words).collect()}
-    assert 7 not in kept and kept[6].text == "nothing here" and kept[4].text is None
+    assert 7 not in kept and kept[5].text == "" and kept[4].text is None
     assert kept[3].text == "a ... b".replace("...", "") or kept[3].text == "a  b"
     assert kept[3].n_chars == len(kept[3].text)
 
@@ -378,14 +429,28 @@ def test_language(make, spark):
     learn = spark.createDataFrame([(i, say(k), k) for i, k in enumerate(list(sound) * 20)] + [(900, None, "xx"), (901, "abc", None)], "doc_id long, text string, lang string")
     model = language.fit(learn, 10)
     assert model.langs == sorted(sound)
-    rows = [(1, say("xx")), (2, say("yy")), (3, say("zz")), (4, None), (5, ""), (6, "12 34 !! ² ½ Ⅷ _"), (7, say("xx", 40) + " " + say("zz", 20)), (8, "漢字"), (9, say("yy", 20000))]
+    rows = [(1, say("xx")), (2, say("yy")), (3, say("zz")), (4, None), (5, ""), (6, "12 34 !! ² ½ Ⅷ _"), (7, say("xx", 40) + " " + say("zz", 20)), (8, "漢字"), (9, say("yy", 20000)), (9, say("yy", 5)), (None, say("zz"))]
     got = {r.doc_id: r for r in language.identify(make(rows), model).collect()}
-    assert [got[i].lang_pred for i in (1, 2, 3, 7, 9)] == ["xx", "yy", "zz", "xx", "yy"]
+    assert [got[i].lang_pred for i in (1, 2, 3, 7, 9, None)] == ["xx", "yy", "zz", "xx", "yy", "zz"]
     assert [got[i].lang_pred for i in (4, 5, 6)] == ["und"] * 3 and got[8].lang_pred in sound
     assert [(s.start, s.end, s.lang) for s in got[7].spans] == [(0, 40, "xx"), (40, 60, "zz")] and 0 < got[7].score < 1
     assert language.identify(make(rows), language.fit(learn.limit(0))).filter("lang_pred <> 'und'").isEmpty()
 
 
+def test_language_sample_and_many_languages(make, spark):
+    rows = [(i, "abc", "xx" if i % 10 else "yy") for i in range(20_000)] + [(7, "abc", "xx")]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter(r.lang for r in language.sample(known, 400).collect())
+    assert got == {"xx": 400, "yy": 400}
+    import numpy as np
+
+    scores = np.zeros((1, 300))
+    scores[0, 299] = 1
+    assert language.viterbi(scores, np.zeros(4, np.int64), np.array([0, 4])).tolist() == [299] * 4
+    scores[0, 5] = 1
+    assert language.viterbi(scores, np.zeros(4, np.int64), np.array([0, 4])).tolist() == [5] * 4, "ties go to the first"
+
+
 def test_viterbi_is_optimal():
     import itertools
 
