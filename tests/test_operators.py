@@ -39,7 +39,11 @@ def test_crawl_filters(spark):
     assert positions(posts.crawl_filters(df, "THING", include=["club"], date_from="2024-01-01")) == [0, 4]
     assert positions(posts.take_target(df, ["kw", "pos"], 2)) == [0, 1]
     stats = posts.cafe_stats(df.withColumn("cafe", F.when(F.col("pos") > 0, F.col("cafe")))).collect()
-    assert [(r.cafe, r["count"]) for r in stats] == [("club", 3), ("other", 1), ("unknown", 1), ("중고나라 x", 1)]
+    assert [(r.cafe, r["count"]) for r in stats] == [("club", 3), ("unknown", 1), ("중고나라 x", 1), ("other", 1)], "equal ones in the order seen"
+    watched, total = posts.with_total(df)
+    assert watched.count() == 6 and total.get["total"] == 6
+    with pytest.raises(ValueError, match="posts"):
+        posts.not_empty(df.limit(0), "posts")
 
 
 def test_sample_and_batches(spark):
@@ -60,6 +64,13 @@ def test_keywords(spark):
     got = [(r.word, r.verdict) for r in keywords.manual_add_verdict(words, old, "c1").collect()]
     assert sorted(got) == [("OLD", "reject"), ("Word", "move"), ("fresh", "insert")]
     assert keywords.category_exists(old, " C1 ").first().taken and not keywords.category_exists(old, "c9").first().taken
+    totals = keywords.category_totals(spark.createDataFrame([("a",), ("b",), ("b",)], "cat string")).collect()
+    assert [tuple(r) for r in totals] == [("b", 2, 3), ("a", 1, 3)]
+    added = keywords.manual_keywords(words, "", "c").collect()
+    assert {r.id for r in added} == {"m_0", "m_1", "m_2", "m_3"} and all(r.score is not None and r.manual for r in added)
+    assert {(r.id, r.score) for r in keywords.suggested_keywords(words, "c").collect()} == {(f"s_{i}", None) for i in range(4)}
+    with pytest.raises(ValueError, match="brand"):
+        keywords.generate(spark.createDataFrame([("", "P")], "bk string, prompt string"), old)
     requests = spark.createDataFrame([("thing", "P")], "bk string, prompt string")
     made = keywords.generate(requests, old, providers.OfflineCompleter({"P": 'So: [{"kw":"OLD","cat":"a"},{"kw":"nice","cat":"a"},{"kw":"good","cat":"b"}]'}))
     assert {r.kw for r in made.collect()} == {"nice", "good"} and made.schema["score"].dataType.typeName() == "integer"
@@ -106,14 +117,21 @@ def test_kmeans(spark):
     assert len(set(got.values())) == 3 and clusters.choose_k(df) == 3 and clusters.choose_k(df.limit(4)) == 4
 
 
-def test_vectors(spark):
+def test_vectors(spark, tmp_path):
     df = clustered(spark, 4).withColumn("embedding", F.array(F.col("pos").cast("float"), F.lit(1.0).cast("float") * (F.col("pos") > 0).cast("float")))
     made = vectors.records(df)
     assert made.count() == 3
     best = vectors.search(made, [1.0, 0.0], 2).collect()
     assert [r.id for r in best] == ["doc_3", "doc_2"] and best[0].kw == "b"
     queries = spark.createDataFrame([("q", [0.0, 1.0]), ("z", [0.0, 0.0])], "query_id string, query array<double>")
-    assert [r.id for r in vectors.search_per_group(made, queries, 1).filter("query_id = 'q'").collect()] == ["doc_1"]
+    for block in (1, 4096):
+        near = vectors.search_per_group(made, queries, 2, block).collect()
+        assert sorted((r.query_id, r.rank, r.id) for r in near) == [("q", 1, "doc_1"), ("q", 2, "doc_2")], "a zero vector has no neighbours"
+    root = f"file://{tmp_path}/index"
+    assert vectors.upsert_vectors(spark, root, df).count() == 3
+    changed = df.filter("pos = 2").withColumn("title", F.lit("new")).union(df.filter("pos = 1"))
+    after = vectors.upsert_vectors(spark, root, changed).collect()
+    assert sorted((r.id, r.metadata.title == "new") for r in after) == [("doc_1", False), ("doc_2", True), ("doc_3", False)]
     both = storage.upsert(spark, made.withColumn("v", F.lit(1)), made.filter("id = 'doc_2'").withColumn("v", F.lit(2)))
     assert sorted((r.id, r.v) for r in both.collect()) == [("doc_1", 1), ("doc_2", 2), ("doc_3", 1)]
 
@@ -132,6 +150,13 @@ def test_personas(spark):
     assert len(personas.naming_examples(examples.limit(3)).first().examples.splitlines()) == 3
     prompt = personas.persona_prompt(clustered(spark), "thing", examples)
     assert prompt.count() == 1 and "### Cluster 4 (5 posts, 1 keywords)" in prompt.first().prompt
+    asked = {r.cluster: r.text for r in personas.retrieval_queries(clustered(spark)).collect()}
+    assert asked[0] == "a a a a a" and asked[1] == "b b b b b"
+    index = vectors.records(providers.embed(clustered(spark), F.concat("kw", F.lit(" "), "title")))
+    hits = personas.retrieved(clustered(spark), index, k=2)
+    assert {(r.cluster, r.rank) for r in hits.collect()} == {(c, k) for c in range(4) for k in (1, 2)}
+    text = personas.persona_prompt(clustered(spark), "thing", examples, hits.filter("cluster = 0")).first().prompt
+    assert text.count("\n- word") == 2 + 3 * 5, "two hits instead of the first posts of cluster 0"
     answered = providers.complete(prompt, providers.OfflineCompleter({"thing": '[{"cluster_id": 1, "cluster_name": "x", "personas": [{"name": "n"}]}]'}))
     row = personas.parse_personas(answered).first()
     assert row.state == "ok" and row.personas[0].personas[0].name == "n"
@@ -153,12 +178,54 @@ def test_ensemble(spark):
     assert {r.model for r in model.cv_scores().collect()} == {"lr", "rf", "gbt"}
 
 
+def test_folds_are_stratified(spark):
+    rows = [(i % 5 == 0, i) for i in range(60)]
+    data = spark.createDataFrame([(int(y), i * 7919 % 1009) for y, i in rows], "y int, _h long")
+    got = classify.with_folds(data, 3).groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 20, 4), (1, 20, 4), (2, 20, 4)]
+
+
+def test_features_have_smooth_idf(spark):
+    import math
+
+    rows = spark.createDataFrame([("aa bb", ""), ("aa cc", "")], "title string, desc string")
+    vec = classify.fit_features(rows).transform(rows).collect()
+    common, rare = 1.0, math.log(3 / 2) + 1
+    assert all(sorted(r.features.values.tolist()) == pytest.approx(sorted(x / math.sqrt(common**2 + 2 * rare**2) for x in (common, rare, rare))) for r in vec)
+
+
+def test_word_ids(spark):
+    rows = spark.createDataFrame([(0, "B a, a!", "c"), (1, "b d", None), (2, None, "")], "pos long, title string, desc string")
+    ids = classify.word_ids(rows)
+    assert {r.word: r.id for r in ids.collect()} == {"b": 2, "a": 3, "c": 4, "d": 5}
+    assert {r.pos: r.ids for r in classify.token_ids(rows, classify.word_ids(rows, 4), 5).collect()} == {0: [2, 3, 3, 1, 0], 1: [2, 1, 0, 0, 0], 2: [0] * 5}
+    assert {r.pos: r.ids for r in classify.token_ids(rows, ids, 2).collect()}[0] == [2, 3]
+
+
+def test_labels_from_a_service(spark):
+    rows = spark.createDataFrame([(i, f"t{i}", "d" * 150) for i in range(5)], "pos long, title string, desc string")
+    prompts = [r.prompt for r in classify.batch_prompts(rows, "thing", "which", 3).orderBy("batch").collect()]
+    assert len(prompts) == 2 and f"3. t2 - {'d' * 100}" in prompts[0].splitlines() and "2. t4" in prompts[1]
+    got = classify.answered_labels(rows, "thing", "which", providers.OfflineCompleter({"t0": "1,0,1", "t3": "1"}), 3).collect()
+    assert {r.pos: r.label for r in got} == {0: 1, 1: 0, 2: 1, 3: 1, 4: 0}
+    scored = spark.createDataFrame([(True,), (False,), (True,)], "is_relevant boolean")
+    assert tuple(classify.counters(scored).first()) == (3, 2, 1) and tuple(clusters.counters(clustered(spark)).first()) == (4, 20)
+
+
 def test_storage(spark, tmp_path):
     root = f"file://{tmp_path}"
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw/a.jsonl").write_text('{"kw":"1"}\n\nnonsense\n{"kw":"2"} tail\n{"kw":"3"}\n')
     (tmp_path / "raw/b.jsonl").write_text('{"kw":"4"}\n')
     assert [r.kw for r in storage.read_lines(spark, root, "raw/", "kw string").orderBy("pos").collect()] == ["1", "3", "4"]
+    for folder in ("x", "y"):  # one name in two folders, and a file that is read in many splits
+        (tmp_path / "many" / folder).mkdir(parents=True)
+        (tmp_path / "many" / folder / "part.jsonl").write_text("".join(f'{{"kw":"{folder}{i}"}}\n' for i in range(3000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    rows = storage.read_lines(spark, root, "many/", "kw string").orderBy("pos").collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [r.kw for r in rows] == [f"{folder}{i}" for folder in "xy" for i in range(3000)] and len({r.pos for r in rows}) == 6000
     assert storage.read_lines(spark, root, "nothing/", "kw string").count() == 0
     df = spark.createDataFrame([("a", None)], "kw string, title string")
     storage.write_stage(df, root, "posts", "s1", "20240101_000000")
@@ -189,10 +256,93 @@ def test_providers(spark):
     texts = spark.createDataFrame([("red car",), ("red car",), (None,)], "t string")
     vecs = [r.embedding for r in providers.embed(texts, F.col("t"), providers.OfflineEmbedder(8), 2).collect()]
     assert vecs[0] == vecs[1] and len(vecs[2]) == 8
+    class Broken:
+        dim = 4
+
+        def embed(self, texts):
+            if "bad" in texts:
+                raise RuntimeError
+            return [[1.0] * 4] * len(texts)
+
+        def complete(self, prompt, max_tokens):
+            raise RuntimeError
+
+    got = [r.embedding for r in providers.embed(spark.createDataFrame([("a",), ("bad",)], "t string").coalesce(1), F.col("t"), Broken(), 1).collect()]
+    assert got == [[1.0] * 4, [0.0] * 4]
+    assert providers.complete(spark.createDataFrame([("p",)], "prompt string"), Broken()).first().answer is None
     states = iter([{"status": "running"}, {"status": "done"}])
     assert providers.polled(lambda: next(states), pause=0)["status"] == "done"
 
 
+def test_services_over_http(spark):
+    import http.server
+    import json
+    import threading
+    from urllib.parse import parse_qs, urlparse
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def answer(self, body, status=200):
+            data = json.dumps(body).encode()
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            start = int(q["start"])
+            if "fails" in q["query"]:
+                return self.answer({"errorMessage": "no"})
+            if "broken" in q["query"] and start > 100:
+                return self.answer({}, 500)
+            self.answer({"total": 350, "items": [{"title": f"<b>{q['query']}</b> {i}", "link": str(i)} for i in range(start, min(351, start + int(q["display"])))]})
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if "input" in body:
+                return self.answer({"data": [{"embedding": [float(len(t)), 1.0]} for t in body["input"]]})
+            self.answer({"content": [{"text": self.headers["x-key"] + body["messages"][0]["content"]}]})
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    settings = storage.Settings(search=url, embedder=url, llm=url, llm_headers='{"x-key": "k"}')
+    spark.dataSource.register(providers.SearchSource)
+    found = spark.read.format("search").option("brand", "b").option("keywords", '["x", "fails", "broken"]').option("provider", url).load()
+    assert {r.kw: r["count"] for r in found.groupBy("kw").count().collect()} == {"x": 350, "broken": 100}, "a failed page ends its keyword"
+    totals = providers.score_keywords(spark.createDataFrame([("x",), ("fails",)], "kw string"), "b", providers.search_of(settings)).collect()
+    assert {r.kw: (r.total, r.score) for r in totals} == {"x": (350, 55), "fails": (0, 50)}
+    vec = providers.embed(spark.createDataFrame([("abc",)], "t string"), F.col("t"), providers.embedder_of(settings)).first().embedding
+    assert vec == [3.0, 1.0]
+    assert providers.complete(spark.createDataFrame([("p",)], "prompt string"), providers.completer_of(settings)).first().answer == "kp"
+    server.shutdown()
+
+
+def test_stages_from_search_to_personas(spark, tmp_path):
+    from tidemark.plans import stages
+
+    settings = storage.Settings(root=f"file://{tmp_path}/w")
+    clubs = stages.collect(spark, settings, "s1", brand="thing", keywords=["one", "two"], run="r1")
+    assert clubs.count() == 7
+    counts = stages.preprocess(spark, settings, "s1", run="r1").first()
+    assert counts.original > counts.filtered > 0
+    labeled = spark.createDataFrame([(f"thing one {i}", f"note {i}", '"relevant"') for i in range(9)] + [(f"thing two {i}", f"note {i}", "0") for i in range(9)], "title string, desc string, label string")
+    trained = stages.train_and_score(spark, settings, "s1", run="r1", labeled=labeled, folds=2, trees=3, rounds=2).first()
+    assert trained.total == counts.filtered and trained.relevant + trained.irrelevant == trained.total and 0 <= trained.lr <= 1
+    info = stages.cluster(spark, settings, "s1", run="r1", num_clusters=3).collect()
+    assert [r.cluster for r in info] == [0, 1, 2] and sum(r.size for r in info) == trained.relevant
+    assert tuple(stages.refine(spark, settings, "s1", run="r1", merge=[0, 2]).first()) == (2, trained.relevant)
+    assert stages.build_vectors(spark, settings, "s1", run="r1").count() == trained.relevant
+    made = stages.make_personas(spark, settings, "s1", bk="thing", run="r1").first()
+    assert made.num_clusters == 2 and made.personas == []
+    with pytest.raises(ValueError, match="raw posts"):
+        stages.preprocess(spark, settings, "none")
+    states = jobs.latest_by(spark.read.parquet(f"{settings.root}/jobs"), ["sid", "job_type"], "ts").collect()
+    assert {(r.sid, r.job_type): r.status for r in states} == {("s1", j): "done" for j in ("crawl", "preprocess", "train", "cluster", "refine", "embed", "persona")} | {("none", "preprocess"): "error"}
+
+
 EVENT = "sid string, job_type string, ts timestamp, progress double"
 
 
@@ -240,6 +390,11 @@ def test_sessions(spark, tmp_path):
     assert got.first().step == "r1" and ses.restored(got).columns[2] == "pd"
     change = spark.createDataFrame([("s2", None, "r2"), ("s3", "new", None)], "sid string, bk string, step string")
     assert sorted((r.sid, r.bk, r.step or "") for r in ses.merged(row, change).collect()) == [("s2", "thing", "r2"), ("s3", "new", "")]
+    waiting = spark.createDataFrame([("1", "w", "c", 50, 7)], "id string, kw string, cat string, score int, total long")
+    pending = ses.with_pending(got, waiting, "r2").first()
+    assert pending._lastRound == "r2" and [x.kw for x in pending._pendingKw] == ["w"]
+    next_, known = ses.approve_round(got.withColumn("allKw", F.array(F.struct(F.lit("0").alias("id"), F.lit("old").alias("kw")))), waiting.select("id", "kw"), "r3")
+    assert next_.first().step == "r3" and sorted(r.kw for r in known.collect()) == ["old", "w"]
     ses.delete_session(spark, root, "s2")
     assert ses.get_session(spark, root, "s2").count() == 0
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import ensemble_mean, is_relevant_label, round3
-from ..functions.text import post_text
-from .clusters import TOKEN
+from ..functions.text import dflt, head, parse_binary_preds, post_text
+from ..sources.providers import Completer, complete
+from .clusters import AT_ONCE, ROWS_A_TASK, TOKEN
+from .posts import numbered, with_batch
 
 LEAST_LABELS, THRESHOLD = 5, 0.5
 MODELS = ("lr", "rf", "gbt")
@@ -28,16 +32,18 @@ def normalise_labels(df: DataFrame) -> DataFrame:
     return rows
 
 
-def feature_stages(max_features: int = 5000, min_df: float = 1.0, max_df: float = 2.0**31) -> list:
-    return [
+def fit_features(rows: DataFrame, max_features: int = 5000, min_df: float = 1.0, max_df: float = 2.0**31) -> PipelineModel:
+    """TF-IDF of words and pairs as a fitted pipeline: idf ln((1 + n) / (1 + df)) + 1, rows scaled to length 1."""
+    counts = Pipeline(stages=[
         SQLTransformer(statement="SELECT *, concat(coalesce(title, ''), ' ', coalesce(`desc`, '')) AS _text FROM __THIS__"),
         RegexTokenizer(inputCol="_text", outputCol="_w1", pattern=TOKEN, gaps=False, toLowercase=True),
         NGram(n=2, inputCol="_w1", outputCol="_w2"),
         SQLTransformer(statement="SELECT *, concat(_w1, _w2) AS _w FROM __THIS__"),
         CountVectorizer(inputCol="_w", outputCol="_tf", vocabSize=max_features, minDF=min_df, maxDF=max_df),
         IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="features", p=2.0),
-    ]
+    ]).fit(rows)
+    weights = Vectors.dense(counts.stages[-1].idf.toArray() + 1)
+    return PipelineModel([*counts.stages[:-1], ElementwiseProduct(scalingVec=weights, inputCol="_tf", outputCol="_weighed"), Normalizer(inputCol="_weighed", outputCol="features", p=2.0)])
 
 
 def estimators(n: int, trees: int = 100, rounds: int = 100, seed: int = 42) -> dict:
@@ -74,25 +80,94 @@ def ensemble(df: DataFrame, p_cols: list[str]) -> DataFrame:
     return scored.withColumn("is_relevant", F.col("relevance_score") >= THRESHOLD)
 
 
+def with_folds(data: DataFrame, k: int) -> DataFrame:
+    """The rows with `fold`: in the order of a hash, each label's rows take the folds in turn."""
+    each = [numbered(data.filter(F.col("y") == y), "_h", "_n") for y in (0, 1)]
+    return each[0].union(each[1]).withColumn("fold", F.pmod(F.col("_n"), F.lit(max(1, k))).cast("int")).drop("_n", "_h")
+
+
 def fit_ensemble(labeled: DataFrame, seed: int = 42, folds: int = 3, trees: int = 100, rounds: int = 100) -> Ensemble:
-    """Fit on labelled posts (title, desc, label); `folds` of stratified accuracy are only reported."""
+    """Fit on labelled posts (title, desc, label); `folds` of stratified accuracy are only reported.
+
+    The fits do not depend on each other and run at once.
+    """
     rows = normalise_labels(labeled)
     n = rows.count()
-    features = Pipeline(stages=feature_stages()).fit(rows)
-    data = features.transform(rows).select("y", "features", F.xxhash64("title", "desc").alias("_h")).cache()
-    k, accuracy, models = min(folds, n), {}, {}
+    features = fit_features(rows)
+    data = features.transform(rows).select("y", "features", F.xxhash64("title", "desc").alias("_h"))
+    k = min(folds, n)
+    data = with_folds(data, k).coalesce(max(1, n // ROWS_A_TASK)).cache()
+    data.count()  # held before the fits begin, which share it
     judge = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
-    fold = F.pmod(F.col("_h"), F.lit(k))
-    for name, estimator in estimators(n, trees, rounds, seed).items():
-        models[name] = estimator.fit(data)
-        scores = []
-        for i in range(k if k > 1 else 0):
-            train, test = data.filter(fold != i), data.filter(fold == i)
-            if train.select("y").distinct().count() == 2 and not test.isEmpty():
-                scores.append(judge.setPredictionCol(f"_{name}").evaluate(estimator.fit(train).transform(test)))
-        accuracy[name] = sum(scores) / len(scores) if scores else float("nan")
+    kinds = estimators(n, trees, rounds, seed)
+
+    def one(name: str, fold: int | None):
+        if fold is None:
+            return kinds[name].fit(data)
+        train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
+        if train.select("y").distinct().count() < 2 or test.isEmpty():
+            return None
+        return judge.copy({judge.predictionCol: f"_{name}"}).evaluate(kinds[name].copy().fit(train).transform(test))
+
+    asked = [(name, i) for name in ("gbt", "rf", "lr") for i in (None, *range(k if k > 1 else 0))]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        got = dict(zip(asked, pool.map(lambda x: one(*x), asked), strict=True))
     data.unpersist()
-    return Ensemble(features, models, accuracy)
+    scores = {m: [got[m, i] for i in range(k) if got.get((m, i)) is not None] for m in MODELS}
+    return Ensemble(features, {m: got[m, None] for m in MODELS}, {m: sum(x) / len(x) if x else float("nan") for m, x in scores.items()})
+
+
+def counters(scored: DataFrame) -> DataFrame:
+    """total, relevant, irrelevant: numbers of scored posts."""
+    return scored.agg(F.count("*").alias("total"), F.count_if("is_relevant").alias("relevant"), F.count_if(~F.col("is_relevant")).alias("irrelevant"))
+
+
+BATCH_PROMPT = "Product: {bk}\nProblem: {problem}\nSay of each post whether it is about the product, as 1 or 0 in order, with commas.\n{posts}"
+
+
+def batch_prompts(posts: DataFrame, bk: str, problem: str, size: int = 20) -> DataFrame:
+    """batch, n, prompt: the posts in batches of `size`, each line with the title and the description's first 100 characters."""
+    line = F.concat(dflt("title", ""), F.lit(" - "), head("desc", 100))
+    rows = with_batch(posts.select("pos", line.alias("line")), size)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"]))
+    each = rows.groupBy("batch").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("posts"))
+    text = F.replace(F.replace(F.replace(F.lit(BATCH_PROMPT), F.lit("{bk}"), F.lit(bk)), F.lit("{problem}"), F.lit(problem)), F.lit("{posts}"), F.col("posts"))
+    return each.select("batch", "n", text.alias("prompt"))
+
+
+def answered_labels(posts: DataFrame, bk: str, problem: str, provider: Completer | None = None, size: int = 20) -> DataFrame:
+    """pos, label: the service's 0 or 1 for each post; posts without an answer have 0."""
+    answers = complete(batch_prompts(posts, bk, problem, size), provider, 1000)
+    each = answers.select("batch", F.posexplode(parse_binary_preds("answer", F.col("n"))).alias("i", "label"))
+    rows = with_batch(posts.select("pos"), size)
+    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy("batch").orderBy("pos")) - 1)
+    return placed.join(each, ["batch", "i"]).select("pos", "label")
+
+
+#: Characters that part words for token ids (fixed values), words with ids, and ids a text.
+FILTERED = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
+VOCABULARY, LENGTH, OOV = 10_000, 200, 1
+
+
+def sequence_words(text: Column) -> Column:
+    return F.filter(F.split(F.translate(F.lower(text), FILTERED, " " * len(FILTERED)), " "), lambda w: w != "")
+
+
+def word_ids(posts: DataFrame, n_words: int = VOCABULARY) -> DataFrame:
+    """word, id: the most frequent words from 2 on, equal ones in the order they are first seen; ids stay below `n_words`."""
+    words = posts.select("pos", F.posexplode(sequence_words(post_text())).alias("place", "word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("pos", "place")).alias("first"))
+    top = counted.orderBy(F.desc("n"), "first").limit(n_words - OOV - 1)
+    return top.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) + OOV).alias("id"))  # a bounded vocabulary
+
+
+def token_ids(posts: DataFrame, ids: DataFrame, length: int = LENGTH) -> DataFrame:
+    """pos, ids: each text's first `length` words as ids, 1 for a word without one, padded with 0 at the end."""
+    texts = posts.select("pos", F.slice(sequence_words(post_text()), 1, length).alias("w"))
+    words = texts.select("pos", F.posexplode("w").alias("place", "word")).join(F.broadcast(ids), "word", "left")
+    found = words.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("id", F.lit(OOV)).alias("id")))), lambda x: x["id"]).alias("ids"))
+    own = F.coalesce("ids", F.array().cast("array<int>"))
+    return texts.select("pos").join(found, "pos", "left").select("pos", F.concat(own, F.array_repeat(F.lit(0), F.lit(length) - F.size(own))).alias("ids"))
 
 
 def split(scored: DataFrame) -> tuple[DataFrame, DataFrame]:

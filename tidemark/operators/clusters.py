@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dflt, head
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+#: Model fits that run at once, and rows for each of their tasks.
+AT_ONCE, ROWS_A_TASK = 4, 10_000
 
 
 def sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("cluster").agg(F.count("*").alias("size"))
 
 
+def counters(df: DataFrame) -> DataFrame:
+    """num_clusters, total_docs."""
+    return df.agg(F.countDistinct("cluster").alias("num_clusters"), F.count("*").alias("total_docs"))
+
+
 def diversity(df: DataFrame) -> DataFrame:
     """Distinct non-empty keywords of each cluster."""
     return df.groupBy("cluster").agg(F.countDistinct(F.when(F.col("kw") != "", F.col("kw"))).alias("n_keywords"))
@@ -63,7 +72,7 @@ def refine(df: DataFrame, keep: list[int] = (), merge: list[int] = ()) -> DataFr
 def terms(df: DataFrame, text: Column, bigrams: bool = True) -> DataFrame:
     """pos, term, tf: lower-cased words of two and more letters, and pairs of neighbours."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
-    rows = df.select("pos", words.alias("w"))
+    rows = df.select("pos", words.alias("w")).repartition("pos")  # by text, before its words multiply the rows
     if bigrams:
         near = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
         rows = rows.select("pos", F.concat("w", near).alias("w"))
@@ -74,7 +83,8 @@ def tfidf(df: DataFrame, text: Column, max_features: int, min_df: int = 1, max_d
     """pos, term, w: smooth idf ln((1 + n) / (1 + df)) + 1, rows scaled to length 1.
 
     The vocabulary is the `max_features` most frequent terms of those whose document
-    frequency is allowed; it has a bound and is broadcast.
+    frequency is allowed; it has a bound and is broadcast. A text's terms, weights and
+    norm are made where its row was dealt to, with one shuffle.
     """
     tf = terms(df, text, bigrams)
     n = df.count()
@@ -82,8 +92,8 @@ def tfidf(df: DataFrame, text: Column, max_features: int, min_df: int = 1, max_d
     vocabulary = vocabulary.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("total"), "term").limit(max_features)
     idf = vocabulary.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
     weighed = tf.join(F.broadcast(idf), "term").select("pos", "term", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = weighed.groupBy("pos").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return weighed.join(norm, "pos").select("pos", "term", (F.col("x") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("pos")))
+    return weighed.select("pos", "term", (F.col("x") / norm).alias("w"))
 
 
 def top_terms(weights: DataFrame, clusters: DataFrame, n: int = 10) -> DataFrame:
@@ -102,10 +112,11 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 
 def fit_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42):
-    """The best of n_init k-means fits by cost, over rows with `features`."""
+    """The best of n_init k-means fits by cost, over rows with `features`; the fits run at once."""
     from pyspark.ml.clustering import KMeans
 
-    models = (KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(df) for i in range(n_init))
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        models = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(df), range(n_init)))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -117,8 +128,10 @@ def choose_k(df: DataFrame, seed: int = 42, default: int = 5) -> int:
     """The k of 3..14 with the best silhouette, the smallest of equals; too few rows give min(default, n)."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    rows = _vectors(df).select("features").cache()
+    rows = _vectors(df).select("features")
     n, best, found = rows.count(), -1.0, None
+    rows = rows.coalesce(max(1, n // ROWS_A_TASK)).cache()
+    rows.count()  # held before the fits begin, which share it
     judge = ClusteringEvaluator(predictionCol="cluster", featuresCol="features", distanceMeasure="squaredEuclidean")
     for k in candidate_ks(n):
         score = judge.evaluate(fit_kmeans(rows, k, seed=seed).transform(rows))
@@ -131,4 +144,8 @@ def choose_k(df: DataFrame, seed: int = 42, default: int = 5) -> int:
 def assign(df: DataFrame, k: int, n_init: int = 10, seed: int = 42) -> DataFrame:
     """The rows of `df` (embedding) with `cluster`."""
     rows = _vectors(df)
-    return fit_kmeans(rows, k, n_init, seed).transform(rows).drop("features")
+    fitted = rows.select("features").coalesce(max(1, rows.count() // ROWS_A_TASK)).cache()
+    fitted.count()  # held before the fits begin, which share it
+    model = fit_kmeans(fitted, k, n_init, seed)
+    fitted.unpersist()
+    return model.transform(rows).drop("features")

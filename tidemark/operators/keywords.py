@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dflt, parse_array, trim_all
 from ..sources.providers import Completer, Search, complete, score_keywords
+from .posts import not_empty, numbered
 
 FEW, MANY = 2, 10
 
@@ -23,10 +24,16 @@ def new_keywords(generated: DataFrame, existing: DataFrame) -> DataFrame:
 
 def numbered_ranked(scored: DataFrame, order: str = "pos") -> DataFrame:
     """Ids 1..n in order, then the best score first."""
-    rows = scored.withColumn("id", F.row_number().over(Window.orderBy(order)))
+    rows = numbered(scored, order, "_id").withColumn("id", (F.col("_id") + 1).cast("int")).drop("_id")
     return rows.orderBy(F.desc("score"), "id")
 
 
+def category_totals(keywords: DataFrame) -> DataFrame:
+    """cat, n, total: keywords of each category, the most first, beside the number of all."""
+    total = keywords.agg(F.count("*").alias("total"))
+    return keywords.groupBy("cat").agg(F.count("*").alias("n")).join(F.broadcast(total)).orderBy(F.desc("n"), "cat")
+
+
 def category_rollup(keywords: DataFrame) -> DataFrame:
     """cat with counts of existing, new, approved and rejected; `state` and `rejected` per row."""
     new = F.col("state") == "new"
@@ -62,6 +69,18 @@ def add_keywords(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def manual_keywords(words: DataFrame, brand: str, category: str, search: Search | None = None) -> DataFrame:
+    """Words typed in by hand as keywords: id m_ and the place, scored."""
+    rows = words.select("pos", F.concat(F.lit("m_"), "pos").alias("id"), F.col("word").alias("kw"), F.lit(category).alias("cat"), F.lit(True).alias("manual"))
+    return score_keywords(rows, brand, search)
+
+
+def suggested_keywords(words: DataFrame, category: str) -> DataFrame:
+    """Suggested words as keywords: id s_ and the place, without a score."""
+    none = F.lit(None)
+    return words.select("pos", F.concat(F.lit("s_"), "pos").alias("id"), F.col("word").alias("kw"), F.lit(category).alias("cat"), F.lit(True).alias("manual"), none.cast("int").alias("score"), none.cast("long").alias("total"))
+
+
 def move_keyword(keywords: DataFrame, round_: int, id_: int, category: str) -> DataFrame:
     here = (F.col("round") == round_) & (F.col("id") == id_)
     return keywords.withColumn("cat", F.when(here, F.lit(category)).otherwise(F.col("cat")))
@@ -87,7 +106,7 @@ def prompt(template: str, **columns) -> F.Column:
 
 def generate(requests: DataFrame, existing: DataFrame, provider: Completer | None = None, search: Search | None = None) -> DataFrame:
     """Requests with `prompt` and `bk` to scored, new, numbered keywords."""
-    answered = complete(requests, provider)
+    answered = complete(not_empty(requests.filter(F.coalesce("bk", F.lit("")) != ""), "brand"), provider)
     found = answered.select("bk", F.posexplode(parse_array("answer", "struct<kw:string,cat:string>")).alias("pos", "k")).select("bk", "pos", "k.*")
     brand = requests.first()["bk"]
     return numbered_ranked(score_keywords(new_keywords(found.drop("bk"), existing), brand, search))

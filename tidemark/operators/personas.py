@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import node_size
 from ..functions.text import answer_state, dflt, modified_json, parse_added_keywords, parse_array, strip_directives
 from ..schemas import PERSONA_CLUSTER
+from ..sources.providers import Embedder, embed
 from .clusters import diversity, sizes, summary_text
+from .vectors import search_per_group
 
 CENTER, CENTER_SIZE, PERSONA_SIZE = "center", 40, 12
 LATEST_EXAMPLES = 10
 PROMPT = "Product: {bk}\nFor each cluster below write personas with name, situation, pain_point and insight, as a JSON array of objects with cluster_id, cluster_name and personas.\n{examples}{clusters}"
 
 
-def cluster_context(df: DataFrame) -> DataFrame:
-    """cluster, text: the part of the persona prompt about each cluster, numbered from 1."""
-    joined = sizes(df).join(diversity(df), "cluster").join(summary_text(df), "cluster")
+def cluster_context(df: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """cluster, text: the part of the persona prompt about each cluster, numbered from 1.
+
+    The lines are the cluster's first posts, or its search hits (cluster, rank, title,
+    desc) where there are some.
+    """
+    lines = summary_text(df)
+    if hits is not None:
+        line = F.concat(F.lit("- "), dflt("title", ""), F.lit(" | "), F.substring(dflt("desc", ""), 1, 100))
+        found = hits.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("found"))
+        lines = lines.join(found, "cluster", "left").select("cluster", F.coalesce("found", "summary").alias("summary"))
+    joined = sizes(df).join(diversity(df), "cluster").join(lines, "cluster")
     title = F.format_string("\n### Cluster %d (%d posts, %d keywords)\n", (F.col("cluster") + 1).cast("long"), "size", "n_keywords")
     return joined.select("cluster", F.concat(title, "summary", F.lit("\n")).alias("text"))
 
 
-def persona_prompt(df: DataFrame, bk: str, examples: DataFrame | None = None) -> DataFrame:
+def retrieval_queries(df: DataFrame, n: int = 5) -> DataFrame:
+    """cluster, text: what a cluster is searched by, the keywords of its first n posts."""
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("pos"))
+    first = df.select("cluster", "pos", dflt("kw", "").alias("kw")).withColumn("rank", rank).filter(F.col("rank") <= n)
+    return first.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "kw"))), lambda x: x["kw"]), " ").alias("text"))
+
+
+def retrieved(df: DataFrame, vectors: DataFrame, provider: Embedder | None = None, k: int = 10) -> DataFrame:
+    """cluster, rank, title, desc: the k records nearest to each cluster's query."""
+    asked = embed(retrieval_queries(df), F.col("text"), provider).select(F.col("cluster").alias("query_id"), F.col("embedding").alias("query"))
+    found = search_per_group(vectors, asked, k)
+    return found.join(vectors.select("id", "metadata.title", "metadata.desc"), "id").select(F.col("query_id").alias("cluster"), "rank", "title", "desc")
+
+
+def persona_prompt(df: DataFrame, bk: str, examples: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """One row with the prompt over all clusters."""
-    parts = cluster_context(df).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "text"))), lambda x: x["text"]), "").alias("clusters"))
+    parts = cluster_context(df, hits).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "text"))), lambda x: x["text"]), "").alias("clusters"))
     shown = F.lit("")
     if examples is not None:
         parts = parts.join(naming_examples(examples))

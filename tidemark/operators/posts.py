@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, contains_any, dflt, in_date_window, post_text
@@ -58,9 +58,23 @@ def counters(before: DataFrame, after: DataFrame) -> DataFrame:
     return one.join(after.agg(F.count("*").alias("filtered")))
 
 
-def cafe_stats(posts: DataFrame, unknown: str = NO_CAFE) -> DataFrame:
-    """cafe, count; the largest first."""
-    return posts.groupBy(dflt("cafe", unknown).alias("cafe")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "cafe")
+def cafe_stats(posts: DataFrame, unknown: str = NO_CAFE, order: str = "pos") -> DataFrame:
+    """cafe, count; the largest first, and of equal ones the one seen first."""
+    counted = posts.groupBy(dflt("cafe", unknown).alias("cafe")).agg(F.count("*").alias("count"), F.min(order).alias("_first"))
+    return counted.orderBy(F.desc("count"), "_first").drop("_first")
+
+
+def with_total(posts: DataFrame, name: str = "crawl") -> tuple[DataFrame, Observation]:
+    """(the posts, their running total: `.get["total"]` once an action has read them)."""
+    total = Observation(name)
+    return posts.observe(total, F.count(F.lit(1)).alias("total")), total
+
+
+def not_empty(rows: DataFrame, what: str) -> DataFrame:
+    """The rows; none raise."""
+    if rows.isEmpty():
+        raise ValueError(f"{what}: there are no rows")
+    return rows
 
 
 def with_batch(df: DataFrame, n: int, order: str = "pos") -> DataFrame:

@@ -49,6 +49,13 @@ def merged(old: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select(*fields)
 
 
+def with_pending(session: DataFrame, pending: DataFrame, round_: str) -> DataFrame:
+    """The session with the keywords of a round that wait for review (`_pendingKw`) and the round (`_lastRound`)."""
+    kept = [c for c in session.columns if c not in ("_pendingKw", "_lastRound")]
+    waiting = pending.agg(F.sort_array(F.collect_list(F.struct("id", "kw", "cat", "score", "total"))).alias("_pendingKw"))
+    return session.select(*kept).join(waiting).withColumn("_lastRound", F.lit(round_))
+
+
 def approve_round(sessions_: DataFrame, approved: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
     """(the session at its next step, its keywords with the approved ones)."""
     known = sessions_.select("sid", F.explode("allKw").alias("k")).select("sid", "k.*")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.rules import is_nonzero
 from ..functions.text import dflt, head
-from ..sources.storage import upsert
+from ..sources.storage import list_prefixes, upsert
+
+#: Queries that are sent to all tasks at once.
+QUERY_BLOCK = 4096
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -21,9 +27,16 @@ def records(df: DataFrame) -> DataFrame:
     return df.filter(is_nonzero("embedding")).select(F.concat(F.lit("doc_"), F.col("pos")).alias("id"), F.col("embedding").alias("values"), meta.alias("metadata"))
 
 
-def upsert_vectors(spark: SparkSession, path: str, old: DataFrame | None, df: DataFrame) -> DataFrame:
-    """Old records but those replaced, and the new ones, written to a new version."""
-    upsert(spark, old, records(df)).write.mode("overwrite").parquet(path)
+def upsert_vectors(spark: SparkSession, root: str, df: DataFrame) -> DataFrame:
+    """Old records but those replaced, and the new ones, written as a new version beside the old; the newest one is read.
+
+    Versions are folders below `root` that sort by name, so a version never overwrites
+    what it is made from.
+    """
+    versions = list_prefixes(spark, root)
+    old = spark.read.parquet(f"{root}/{versions[-1]}") if versions else None
+    path = f"{root}/v{len(versions):08d}"
+    upsert(spark, old, records(df)).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -34,11 +47,52 @@ def search(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     return vectors.withColumn("score", score).orderBy(F.desc("score"), "id").limit(k).select("score", "id", *meta)
 
 
-def search_per_group(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k nearest records to each query (query_id, query), queries being few and stated.
+def search_per_group(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    """The k nearest records to each query (query_id, query): query_id, id, score, rank.
 
-    Each task compares its records with all queries and keeps k for each before the shuffle.
+    Queries go in blocks of about `block`, so what is sent to all tasks is bounded. Each
+    task multiplies its records with a block's queries and keeps k for each before the
+    shuffle. Zero vectors have no neighbours. Ties go to the smaller id.
     """
-    scored = vectors.join(F.broadcast(queries)).withColumn("score", cosine(F.col("values"), F.col("query"))).drop("query", "values")
+    spark = vectors.sparkSession
+    parts = max(1, -(-queries.count() // block))
+    key = queries.schema["query_id"].dataType.simpleString()
+    found = None
+    for i in range(parts):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).select("query_id", "query").collect()
+        if not rows:
+            continue
+        asked = np.array([r["query"] for r in rows], np.float64)
+        norms = np.linalg.norm(asked, axis=1)
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r, n in zip(rows, norms) if n > 0], asked[norms > 0] / norms[norms > 0, None]))
+        near = vectors.select("id", "values").mapInArrow(_nearest(shared, k, to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {key}, id string, score double")
+        found = near if found is None else found.union(near)
+    if found is None:
+        return spark.createDataFrame([], f"query_id {key}, id string, score double, rank int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _nearest(shared, k: int, key: pa.DataType):
+    """The best k (and ties with the last) of a task's records for each query."""
+
+    def run(batches):
+        ids, asked = shared.value
+        best: list[list[tuple]] = [[] for _ in ids]
+        for batch in batches:
+            values = batch.column("values")
+            if not batch.num_rows or not ids:
+                continue
+            v = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            norm = np.linalg.norm(v, axis=1)
+            names, v = np.array(batch.column("id").to_pylist(), object)[norm > 0], v[norm > 0] / norm[norm > 0, None]
+            score = v @ asked.T
+            for q in range(len(ids)):
+                s = score[:, q]
+                least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                kept = sorted(best[q] + [(-x, n) for x, n in zip(s[s >= least].tolist(), names[s >= least].tolist())])
+                best[q] = kept[:k] + [x for x in kept[k:] if x[0] == kept[k - 1][0]]
+        rows = [(i, n, -x) for i, each in zip(ids, best) for x, n in each]
+        yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((key, pa.string(), pa.float64()))], names=["query_id", "id", "score"])
+
+    return run

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..operators import classify, clusters, jobs, keywords, personas, posts, vectors
 from ..sources.providers import BLANK, OfflineEmbedder, SearchSource, complete, embed, score_keywords
-from ..sources.storage import first_non_empty, latest_run, upsert
+from ..sources.storage import first_non_empty, latest_run, read_lines, read_stage, scratch, upsert, write_lines, write_stage
 from . import views
 from .views import sql
 
@@ -252,13 +252,13 @@ def chat_clusters(spark, sf_dir):
 TFIDF = """, w AS (SELECT pos, regexp_extract_all(lower(title || ' ' || "desc"), '[\\p{L}\\p{N}_]{2,}') AS w FROM posts),
 e AS (SELECT pos, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w),
 tf AS (SELECT pos, term, count(*) AS tf FROM e GROUP BY ALL),
-v AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM posts) ORDER BY sum(tf) DESC, term LIMIT 500),
+v AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM posts) ORDER BY sum(tf) DESC, term LIMIT 3000),
 x AS (SELECT pos, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM posts)) / (1.0::DOUBLE + df)) + 1) AS x FROM tf JOIN v USING (term)),
 wt AS (SELECT pos, term, x / sqrt(sum(x * x) OVER (PARTITION BY pos)) AS w FROM x)"""
 
 
 def weights(spark, sf_dir):
-    return clusters.tfidf(views.posts(spark, sf_dir), text.post_text(), 500, 2, 0.95)
+    return clusters.tfidf(views.posts(spark, sf_dir), text.post_text(), 3000, 2, 0.95)
 
 
 @query(sql(TFIDF + " SELECT pos, term, round(w, 5) AS w FROM wt", "posts"))
@@ -465,7 +465,7 @@ def relevance_split(spark, sf_dir):
 def ensemble_score(spark, sf_dir):
     """The soft vote of three fitted models."""
     model = classify.fit_ensemble(views.labeled(spark, sf_dir))
-    return model.score(views.whole_posts(spark, sf_dir)).select("pos", "relevance_score", "is_relevant")
+    return model.score(views.posts(spark, sf_dir)).select("pos", "relevance_score", "is_relevant")
 
 
 @query()
@@ -478,21 +478,72 @@ def kmeans_k_search(spark, sf_dir):
     return spark.range(1).select(F.lit(clusters.choose_k(views.vecs(spark, sf_dir).drop("cluster"))).alias("k"))
 
 
-@query()
+NUMBER = "('0x' || substr(md5({0}), 1, 12))::BIGINT"
+SEARCHED = f"""WITH k AS (SELECT unnest(['one', 'two', 'three']) AS kw, unnest([0, 1, 2]) AS kw_pos), q AS (SELECT *, 'thing ' || kw AS query FROM k),
+t AS (SELECT *, {NUMBER.format('query')} % 400 AS total FROM q), i AS (SELECT *, unnest(range(0, total)) AS i FROM t)
+SELECT kw, kw_pos::INT AS kw_pos, (i // 100)::INT AS page, (i % 100)::INT AS item_pos, query || ' ' || i AS title, 'note ' || {NUMBER.format("query || '|' || i")} % 97 || ' on ' || query || ' & more' AS "desc",
+'https://example.org/' || {NUMBER.format("query || '|' || (i // 2)")} AS link, 'club ' || {NUMBER.format("query || '|' || i")} % 7 AS cafe, '2024' || lpad((1 + i % 12)::VARCHAR, 2, '0') || lpad((1 + i % 28)::VARCHAR, 2, '0') AS date FROM i"""
+
+
+@query(SEARCHED)
 def search_source(spark, sf_dir):
+    """All pages of the offline search service for three keywords, up to the default target."""
     spark.dataSource.register(SearchSource)
-    found = spark.read.format("search").option("brand", "thing").option("keywords", '["one", "two", "three"]').option("pages", 3).load()
-    return posts.take_target(posts.from_search(found), ["kw_pos", "page", "item_pos"], 500)
+    found = spark.read.format("search").option("brand", "thing").option("keywords", '["one", "two", "three"]').load()
+    return posts.take_target(posts.from_search(found), ["kw_pos", "page", "item_pos"], 50_000)
 
 
-@query()
+@query(f"""WITH {WORDS}, t AS (SELECT pos, kw, cat, {NUMBER.format("'thing ' || kw")} % 400 AS total FROM w) SELECT pos, kw, cat, total, {SCORE.format('total')} AS score FROM t""")
 def keyword_totals(spark, sf_dir):
     return score_keywords(first_words(spark, sf_dir), "thing")
 
 
 @query()
 def embed_posts(spark, sf_dir):
-    return embed(views.whole_posts(spark, sf_dir).select("pos", "title", "desc"), text.post_text(), OfflineEmbedder(64)).select("pos", "embedding")
+    return embed(views.posts(spark, sf_dir).select("pos", "title", "desc"), text.post_text()).select("pos", "embedding")
+
+
+@query(sql(r""", w AS (SELECT pos, list_filter(string_split(translate(lower(title || ' ' || "desc"), '!"#$%&()*+,-./:;<=>?@[\]^_`{|}~' || chr(9) || chr(10), '                                  '), ' '), lambda x: x <> '') AS w FROM posts),
+e AS (SELECT pos, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM w), c AS (SELECT word, count(*) AS n, min(struct_pack(pos := pos, place := place)) AS f FROM e GROUP BY word),
+v AS (SELECT word, row_number() OVER (ORDER BY n DESC, f) + 1 AS id FROM c QUALIFY id < 10000), s AS (SELECT pos, place, coalesce(id, 1) AS id FROM e LEFT JOIN v USING (word) WHERE place <= 200),
+g AS (SELECT pos, string_agg(id::VARCHAR, ',' ORDER BY place) AS ids, count(*) AS n FROM s GROUP BY pos)
+SELECT p.pos, md5(concat_ws(',', ids, nullif(rtrim(repeat('0,', (200 - coalesce(n, 0))::INT), ','), ''))) AS ids FROM posts p LEFT JOIN g USING (pos)""", "posts"))
+def word_id_sequences(spark, sf_dir):
+    """Each text as 200 word ids."""
+    rows = views.posts(spark, sf_dir)
+    return classify.token_ids(rows, classify.word_ids(rows)).select("pos", F.md5(F.array_join("ids", ",")).alias("ids"))
+
+
+@query(sql(""", b AS (SELECT *, (row_number() OVER (ORDER BY pos) - 1) // 20 AS batch FROM posts), l AS (SELECT batch, pos, row_number() OVER (PARTITION BY batch ORDER BY pos) || '. ' || title || ' - ' || substr("desc", 1, 100) AS line FROM b)
+SELECT batch, count(*) AS n, md5('Product: thing' || chr(10) || 'Problem: which' || chr(10) || 'Say of each post whether it is about the product, as 1 or 0 in order, with commas.' || chr(10) || string_agg(line, chr(10) ORDER BY pos)) AS prompt FROM l GROUP BY batch""", "posts"))
+def batch_label_prompts(spark, sf_dir):
+    """The prompts by which a language model labels posts in batches."""
+    return classify.batch_prompts(views.posts(spark, sf_dir), "thing", "which").select("batch", "n", F.md5("prompt").alias("prompt"))
+
+
+@query("SELECT lang AS cat, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY lang")
+def keyword_category_totals(spark, sf_dir):
+    return keywords.category_totals(first_words(spark, sf_dir))
+
+
+@query("SELECT doc_id // 4 AS pos, CASE WHEN doc_id % 4 < 2 THEN 'a' ELSE 'b' END AS origin, doc_id AS value FROM documents")
+def stored_lines(spark, sf_dir):
+    """Rows written as JSON Lines under two folders with files of equal names, and read again by their prefix."""
+    root = scratch(spark, "lines")
+    d = views.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 4).alias("pos"), F.when(F.col("doc_id") % 4 < 2, "a").otherwise("b").alias("origin"), F.col("doc_id").alias("value"))
+    for origin in ("a", "b"):
+        write_lines(d.filter(F.col("origin") == origin).withColumnRenamed("pos", "own_pos"), f"{root}/{origin}")
+    return read_lines(spark, root, "", "own_pos bigint, origin string, value bigint").select(F.col("own_pos").alias("pos"), "origin", "value")
+
+
+@query(f"WITH {RUNS} SELECT sid, max(run_ts) AS run_ts, count(*) AS n FROM r WHERE run_ts = (SELECT max(b.run_ts) FROM r b WHERE b.sid = r.sid) AND sid = 3 GROUP BY sid")
+def stored_stage_latest(spark, sf_dir):
+    """A session's latest run, from a stage table that several runs were appended to."""
+    root, r = scratch(spark, "stage"), runs(spark, sf_dir)
+    for run in range(3):
+        write_stage(r.filter(F.col("run_ts") == run).filter("sid = 3").select("doc_id"), root, "posts", "3", str(run))
+    rows = read_stage(spark, root, "posts", "3", "doc_id bigint", "latest")
+    return rows.groupBy(F.col("sid").cast("long").alias("sid"), F.col("run_ts").cast("long").alias("run_ts")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -538,8 +589,8 @@ def chat_latest(spark, sf_dir):
 @query()
 def chat_prompt(spark, sf_dir):
     """The prompt of a chat turn over clusters and the posts nearest to the question."""
-    rows = embed(views.with_cluster(views.whole_posts(spark, sf_dir)), text.post_text(), OfflineEmbedder(64))
-    hits = vectors.search(vectors.records(rows), OfflineEmbedder(64).embed(["the house"])[0], 5)
+    rows = embed(views.clustered(spark, sf_dir), text.post_text())
+    hits = vectors.search(vectors.records(rows), OfflineEmbedder().embed(["the house"])[0], 5)
     return personas.chat_prompt("What do they need?", views.clustered(spark, sf_dir), hits)
 
 

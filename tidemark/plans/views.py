@@ -17,18 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf_dir: str, desc: str = "substring(text, 81, 420)") -> DataFrame:
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts: the title is the first 80 characters, the rest is the description."""
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")), "yyyyMMdd")
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("pos"), F.col("lang").alias("kw"), F.substring("text", 1, 80).alias("title"), F.expr(desc).alias("desc"), F.md5("text").alias("link"), F.col("source").alias("cafe"), day.alias("date")
+        F.col("doc_id").alias("pos"), F.col("lang").alias("kw"), F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("desc"), F.md5("text").alias("link"), F.col("source").alias("cafe"), day.alias("date")
     )
 
 
-def whole_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts whose desc is all of the text after the title, for queries that have no SQL."""
-    return posts(spark, sf_dir, "substring(text, 81)")
-
-
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cluster(posts(spark, sf_dir))
 
@@ -57,11 +53,11 @@ def personas(spark: SparkSession, sf_dir: str = "") -> DataFrame:
 
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"), F.when(F.col("quality") == 1, '"relevant"').otherwise('"irrelevant"').alias("label"))
-    return whole_posts(spark, sf_dir).join(good, "pos")
+    return posts(spark, sf_dir).join(good, "pos")
 
 
 SQL = {
-    "posts": """SELECT doc_id AS pos, lang AS kw, substr(text, 1, 80) AS title, substr(text, 81, 420) AS "desc", md5(text) AS link, source AS cafe,
+    "posts": """SELECT doc_id AS pos, lang AS kw, substr(text, 1, 80) AS title, substr(text, 81) AS "desc", md5(text) AS link, source AS cafe,
         strftime(DATE '2024-01-01' + (doc_id % 366)::INT, '%Y%m%d') AS date FROM documents""",
     "clustered": "SELECT *, (pos % 7)::INT AS cluster FROM posts",
     "raw_pages": r"""SELECT page_id AS pos, url AS link, regexp_extract(url, '://([^/]+)', 1) AS cafename,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -16,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.rules import score_of_total
 from ..functions.text import non_blank, trim_all
+from .storage import Settings
 
 #: Rows a page, pages a keyword, texts a batch, characters a text, vector length.
 PAGE_ROWS, PAGES, BATCH, MAX_CHARS, DIM = 100, 10, 128, 2000, 1024
@@ -80,30 +83,95 @@ class OfflineCompleter:
         return next((a for k, a in self.answers.items() if k in prompt), "[]")
 
 
-class _Page(InputPartition):
-    def __init__(self, keyword: str, place: int, page: int) -> None:
-        self.keyword, self.place, self.page = keyword, place, page
+def _fetch(url: str, headers: str, body: dict | None = None, timeout: float = 10) -> dict:
+    """A JSON answer; anything but status 200 raises."""
+    data = None if body is None else json.dumps(body, ensure_ascii=False).encode()
+    request = urllib.request.Request(url, data, {"Content-Type": "application/json"} | json.loads(headers))
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        if answer.status != 200:
+            raise OSError(f"status {answer.status}")
+        return json.loads(answer.read())
+
+
+class HttpSearch:
+    """A paged search service: query, display, start and sort as parameters, total and items in the answer."""
+
+    def __init__(self, url: str, headers: str = "{}") -> None:
+        self.url, self.headers = url, headers
+
+    def page(self, query: str, rows: int, start: int) -> dict | None:
+        """None after a failure, which an answer with errorMessage is too."""
+        asked = urllib.parse.urlencode({"query": query, "display": rows, "start": start, "sort": "date"})
+        try:
+            found = _fetch(f"{self.url}?{asked}", self.headers)
+        except (OSError, ValueError):
+            return None
+        return None if "errorMessage" in found else found
+
+
+class HttpEmbedder:
+    """An embedding service: {"input": texts, "model": ...} to {"data": [{"embedding": [...]}]}."""
+
+    def __init__(self, url: str, headers: str = "{}", model: str = "", dim: int = DIM) -> None:
+        self.url, self.headers, self.model, self.dim = url, headers, model, dim
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [x["embedding"] for x in _fetch(self.url, self.headers, {"input": texts, "model": self.model}, 60)["data"]]
+
+
+class HttpCompleter:
+    """A language-model service: one user message to {"content": [{"text": ...}]}."""
+
+    def __init__(self, url: str, headers: str = "{}", model: str = "", timeout: float = 60) -> None:
+        self.url, self.headers, self.model, self.timeout = url, headers, model, timeout
+
+    def complete(self, prompt: str, max_tokens: int = 2000) -> str | None:
+        body = {"model": self.model, "max_tokens": max_tokens, "messages": [{"role": "user", "content": prompt}]}
+        return _fetch(self.url, self.headers, body, self.timeout)["content"][0]["text"]
+
+
+def search_of(settings: Settings) -> Search:
+    return OfflineSearch() if settings.search == "offline" else HttpSearch(settings.search, settings.search_headers)
+
+
+def embedder_of(settings: Settings) -> Embedder:
+    return OfflineEmbedder() if settings.embedder == "offline" else HttpEmbedder(settings.embedder, settings.embedder_headers, settings.embedder_model)
+
+
+def completer_of(settings: Settings) -> Completer:
+    return OfflineCompleter() if settings.llm == "offline" else HttpCompleter(settings.llm, settings.llm_headers, settings.llm_model)
+
+
+class _Keyword(InputPartition):
+    def __init__(self, keyword: str, place: int) -> None:
+        self.keyword, self.place = keyword, place
 
 
 class SearchReader(DataSourceReader):
-    """One partition for each keyword and page."""
+    """One partition for each keyword, whose pages are asked in turn until one fails or is empty, with a pause after each."""
 
     def __init__(self, options: dict) -> None:
         self.brand = options.get("brand", "")
         self.keywords = json.loads(options.get("keywords", "[]"))
-        self.pages = int(options.get("pages", PAGES))
+        self.pages, self.pause = int(options.get("pages", PAGES)), float(options.get("pause", 0))
+        self.settings = Settings(search=options.get("provider", "offline"), search_headers=options.get("headers", "{}"))
 
-    def partitions(self) -> list[_Page]:
-        return [_Page(k, i, p) for i, k in enumerate(self.keywords) for p in range(self.pages)]
+    def partitions(self) -> list[_Keyword]:
+        return [_Keyword(k, i) for i, k in enumerate(self.keywords)]
 
-    def read(self, part: _Page) -> Iterator[tuple]:
-        found = OfflineSearch().page(f"{self.brand} {part.keyword}", PAGE_ROWS, 1 + part.page * PAGE_ROWS)
-        for i, x in enumerate((found or {}).get("items", [])):
-            yield (part.keyword, part.place, part.page, i, x["title"], x["description"], x["link"], x["cafename"], x["postdate"])
+    def read(self, part: _Keyword) -> Iterator[tuple]:
+        service = search_of(self.settings)
+        for page in range(self.pages):
+            found = service.page(f"{self.brand} {part.keyword}", PAGE_ROWS, 1 + page * PAGE_ROWS)
+            if not found or not found.get("items"):
+                return
+            for i, x in enumerate(found["items"]):
+                yield (part.keyword, part.place, page, i, *(x.get(f, "") for f in ("title", "description", "link", "cafename", "postdate")))
+            time.sleep(self.pause)
 
 
 class SearchSource(DataSource):
-    """spark.read.format("search") with options brand, keywords (a JSON array) and pages."""
+    """spark.read.format("search") with options brand, keywords (a JSON array), pages, pause, and provider and headers of a service."""
 
     @classmethod
     def name(cls) -> str:
@@ -136,7 +204,7 @@ def score_keywords(df: DataFrame, brand: str, provider: Search | None = None, ev
 
 
 def embed(df: DataFrame, text: Column, provider: Embedder | None = None, batch: int = BATCH) -> DataFrame:
-    """The rows with `embedding`; texts are cut, blank ones replaced, and sent in batches."""
+    """The rows with `embedding`; texts are cut, blank ones replaced, and sent in batches; a failed batch has zero vectors."""
     service = provider or OfflineEmbedder()
 
     @F.pandas_udf("array<float>")
@@ -145,7 +213,11 @@ def embed(df: DataFrame, text: Column, provider: Embedder | None = None, batch:
             values = s.tolist()
             out: list[list[float]] = []
             for at in range(0, len(values), batch):
-                out += service.embed(values[at : at + batch])
+                part = values[at : at + batch]
+                try:
+                    out += service.embed(part)
+                except Exception:  # noqa: BLE001  whatever the service raises, its batch gets zero vectors, which no index takes
+                    out += [[0.0] * service.dim] * len(part)
             yield pd.Series(out)
 
     return df.withColumn("embedding", vectors(non_blank(F.substring(F.coalesce(text, F.lit("")), 1, MAX_CHARS), BLANK)))
@@ -155,10 +227,16 @@ def complete(df: DataFrame, provider: Completer | None = None, max_tokens: int =
     """The rows of prompts with `answer`, null where the service fails."""
     service = provider or OfflineCompleter()
 
+    def answer(p: str) -> str | None:
+        try:
+            return service.complete(p, max_tokens)
+        except Exception:  # noqa: BLE001  a failed answer is a null one, whatever failed
+            return None
+
     @F.pandas_udf("string")
     def answers(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in prompts:
-            yield s.map(lambda p: service.complete(p, max_tokens))
+            yield s.map(answer)
 
     return df.withColumn("answer", answers("prompt"))
 
@@ -174,4 +252,4 @@ def polled(check: Callable[[], dict], until: tuple[str, ...] = ("done", "error")
     return state
 
 
-__all__ = ["BLANK", "OfflineCompleter", "OfflineEmbedder", "OfflineSearch", "SearchSource", "complete", "embed", "polled", "score_keywords", "trim_all"]
+__all__ = ["BLANK", "HttpCompleter", "HttpEmbedder", "HttpSearch", "OfflineCompleter", "OfflineEmbedder", "OfflineSearch", "SearchSource", "complete", "completer_of", "embed", "embedder_of", "polled", "score_keywords", "search_of", "trim_all"]

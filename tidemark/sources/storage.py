@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,18 +15,37 @@ from ..functions.text import valid_json
 
 @dataclass(frozen=True)
 class Settings:
-    """Where data lies and which providers serve; from the environment."""
+    """Where data lies and which providers serve; from the environment, as TIDEMARK_ROOT and so on.
+
+    A provider is "offline" or the URL of a service; `*_headers` are JSON objects of
+    the headers it needs, `*_model` the model it is asked for.
+    """
 
     root: str = "warehouse"
     search: str = "offline"
+    search_headers: str = "{}"
     embedder: str = "offline"
+    embedder_headers: str = "{}"
+    embedder_model: str = ""
     llm: str = "offline"
+    llm_headers: str = "{}"
+    llm_model: str = ""
 
     @classmethod
     def from_env(cls) -> Settings:
         return cls(**{f: os.environ[f"TIDEMARK_{f.upper()}"] for f in cls.__dataclass_fields__ if f"TIDEMARK_{f.upper()}" in os.environ})
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir, which all machines of a cluster share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def _path(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -58,20 +79,19 @@ def delete(spark: SparkSession, path: str) -> None:
 def read_lines(spark: SparkSession, root: str, prefix: str, schema: str) -> DataFrame:
     """JSON Lines files with a prefix as rows with `pos`, in file and line order.
 
-    Blank and malformed lines are skipped; no file gives no rows. The place of a line
-    is its byte-ordered place within its file, and files are numbered by name, so the
-    order needs no sort of the data.
+    Blank and malformed lines are skipped; no file gives no rows. Files are numbered by
+    their whole paths and split where Spark splits them. A line's place is the offset of
+    its split plus the lines before it in the split, of which there are fewer than bytes.
     """
     files = list_objects(spark, root, prefix)
     if not files:
         return spark.createDataFrame([], f"{schema}, pos bigint, file string")
-    lines = spark.read.text(files, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    each = lines.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    each = each.filter((F.trim("value") != "") & valid_json("value"))
-    number = {f: i for i, f in enumerate(files)}
-    order = spark.createDataFrame([(os.path.basename(f), i) for f, i in number.items()], "name string, n bigint")
-    each = each.withColumn("name", F.element_at(F.split("file", "/"), -1)).join(F.broadcast(order), "name")
-    return each.select(F.from_json("value", schema).alias("r"), (F.col("n") * F.lit(1 << 32) + F.col("line")).alias("pos"), "file").select("r.*", "pos", "file")
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    splits = lines.groupBy("file", "start").agg(F.min("row").alias("first"))
+    splits = splits.withColumn("n", F.dense_rank().over(Window.orderBy("file")))  # one row for each split of a file
+    each = lines.filter((F.trim("value") != "") & valid_json("value")).join(splits, ["file", "start"])
+    pos = F.col("n") * F.lit(1 << 44) + F.col("start") + F.col("row") - F.col("first")
+    return each.select(F.from_json("value", schema).alias("r"), pos.alias("pos"), "file").select("r.*", "pos", "file")
 
 
 def write_lines(df: DataFrame, path: str) -> None:
