@@ -20,20 +20,22 @@ corpus by 128-bit names, polynomials in two independent 64-bit hashes of their w
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BLOB, CHUNK_BYTES, bucket_bits, buckets, cuts_of, dealt, loaded, make_chunks, packed, total_words, unpacked, with_answers
-from .common import MIX_A, MIX_B, doc_of, drop_dir, mixed, shared_dir, stored, text_of
+from .chunks import BLOB, CHUNK_BYTES, bucket_bits, buckets, cuts_of, dealt, load, loaded, make_chunks, packed, tasks_of, total_words, unpacked, with_answers
+from .common import MIX_A, MIX_B, doc_of, drop_dir, mixed, open_fs, release, shared_dir, stored, text_of
 from .quality import Words
 
 ROUNDS = 5
-#: Kinds of rows that a chunk keeps for itself, in the place of a bucket's number.
-SYMBOLS, WINDOWS = -1, -2
+#: In the place of a bucket's number: the row that names the file of what a chunk keeps for itself.
+KEPT = -1
 BLOBS = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary())])
 
 
@@ -220,21 +222,39 @@ def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, r
     n = total_words(chunks)
     bits, window_bits = bucket_bits(n // 4), bucket_bits(n // 3)
 
+    fs, folder = open_fs(at)
+    for k in range(2, rounds + 2):
+        fs.create_dir(f"{folder}/kept-{k}", recursive=True)
+
     def words(rows: pa.RecordBatch) -> Words:
         return Words.of(text_of(rows.column("text")))
 
+    def keep(round_: int, **columns: bytes) -> tuple[int, bytes]:
+        """Write what a chunk keeps for the next round to a new file, and name it in a row."""
+        name = f"{at}/kept-{round_}/{uuid.uuid4().hex}"
+        store, path = open_fs(name)
+        with store.open_output_stream(path) as file:
+            file.write(packed(pa.record_batch([pa.array([x], pa.binary()) for x in columns.values()], names=list(columns))))
+        return KEPT, name.encode()
+
+    def kept(answers: pa.Table) -> dict[str, bytes]:
+        """What the chunk kept, from the file that its row names."""
+        rows = answers.filter(pc.equal(answers.column("bucket"), KEPT)).column("keys").to_pylist()
+        batch = load(rows[0].decode())
+        return {n: batch.column(n)[0].as_py() for n in batch.schema.names}
+
     def begin(batches):
         """The first round's contents, from the texts."""
         for chunk, rows in loaded(batches):
             yield from blob_table(chunk, sent_symbols(Symbols.of_words(words(rows)).joined(1), bits)[1]).to_batches()
 
     def round_rows(chunk: str, symbols: Symbols, open_: np.ndarray, round_: int) -> pa.Table:
-        """What a chunk sends in a round, and what it keeps until the answers come."""
+        """What a chunk sends in a round; it keeps the rest until the answers come."""
         joined = symbols.joined(round_)
         place, blobs = sent_symbols(joined, bits)
         name, lo, hi, part = (joined[i] for i in (0, 4, 5, 6))
         own = batch_of(name=np.where(place >= 0, np.uint64(0), name), place=place, lo=lo.astype(np.uint32), hi=hi.astype(np.uint32), part=part.astype(np.uint32))
-        return blob_table(chunk, [*blobs, (SYMBOLS, own), (WINDOWS, batch_of(open=open_))])
+        return blob_table(chunk, [*blobs, keep(round_, symbols=own, windows=batch_of(open=open_))])
 
     def second(chunk, rows, answers):
         """The second round: the first one's contents anew, their names, and what follows."""
@@ -243,48 +263,32 @@ def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, r
         symbols = named(joined, sent_symbols(joined, bits)[0], in_order(answers, "name"), open_, window)
         return round_rows(chunk, symbols, open_, 2)
 
-    def kept_of(left: pa.Table, answers: pa.Table) -> tuple[Symbols, np.ndarray]:
-        rows = dict(zip(left.column("bucket").to_pylist(), left.column("keys").to_pylist(), strict=True))
-        own, open_ = arrays_of(rows[SYMBOLS]), arrays_of(rows[WINDOWS])["open"].astype(bool)
-        lo, hi = own["lo"].astype(np.int64), own["hi"].astype(np.int64)
-        return named((own["name"], None, None, None, lo, hi, own["part"]), own["place"], in_order(answers, "name"), open_, window), open_
-
     def later(round_: int):
-        def run(left: pa.Table, answers: pa.Table) -> pa.Table:
-            if not left.num_rows:
-                return BLOBS.empty_table()
-            return round_rows(left.column("chunk")[0].as_py(), *kept_of(left, answers), round_)
+        """A further round, or after the last names the windows that are left."""
 
-        return run
-
-    def last(left: pa.Table, answers: pa.Table) -> pa.Table:
-        """The windows that are left after the last names."""
-        if not left.num_rows:
-            return BLOBS.empty_table()
-        return blob_table(left.column("chunk")[0].as_py(), [(WINDOWS, batch_of(open=kept_of(left, answers)[1]))])
+        def run(table: pa.Table) -> pa.Table:
+            chunk, before = table.column("chunk")[0].as_py(), kept(table)
+            own, open_ = arrays_of(before["symbols"]), arrays_of(before["windows"])["open"].astype(bool)
+            lo, hi = own["lo"].astype(np.int64), own["hi"].astype(np.int64)
+            symbols = named((own["name"], None, None, None, lo, hi, own["part"]), own["place"], in_order(table, "name"), open_, window)
+            out = round_rows(chunk, symbols, open_, round_) if round_ <= rounds else blob_table(chunk, [keep(round_, windows=batch_of(open=open_))])
+            release()
+            return out
 
-    def is_sent(table: DataFrame) -> DataFrame:
-        return table.filter("bucket >= 0")
+        return run
 
     answers = dealt(chunks).mapInArrow(begin, BLOB).groupBy("bucket").applyInArrow(name_symbols(1, bits), BLOB)
-    now, folder = with_answers(chunks, answers, second, BLOB), ""
+    now = stored(with_answers(chunks, answers, second, BLOB), f"{at}/round-2")
     for k in range(2, rounds + 1):
-        now = stored(now, f"{at}/round-{k}")
-        if folder:
-            drop_dir(spark, folder)
-        folder = f"{at}/round-{k}"
-        answers = is_sent(now).groupBy("bucket").applyInArrow(name_symbols(k, bits), BLOB)
-        now = now.filter("bucket < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(later(k + 1) if k < rounds else last, BLOB)
-    left = stored(now, f"{at}/windows")
-    if folder:
-        drop_dir(spark, folder)
-
-    def opened(answers: pa.Table) -> np.ndarray:
-        rows = dict(zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True))
-        return np.flatnonzero(arrays_of(rows[WINDOWS])["open"])
+        answers = now.filter("bucket >= 0").groupBy("bucket").applyInArrow(name_symbols(k, bits), BLOB)
+        rows = now.filter(F.col("bucket") == KEPT).union(answers).repartition(tasks_of(chunks), "chunk")
+        now = stored(rows.groupBy("chunk").applyInArrow(later(k + 1), BLOB), f"{at}/round-{k + 1}")
+        drop_dir(spark, f"{at}/round-{k}")
+        drop_dir(spark, f"{at}/kept-{k}")
+    left = now
 
     def candidates(rows: pa.RecordBatch, answers: pa.Table) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, tuple]:
-        w, first = words(rows), opened(answers)
+        w, first = words(rows), np.flatnonzero(arrays_of(kept(answers)["windows"])["open"])
         x, y = window_names(w, first, window)
         return w, first, x, y, distinct_names(x, y)
 
@@ -301,13 +305,13 @@ def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, r
         edge = np.bincount(found, minlength=len(w.codes) + 1) - np.bincount(found + window, minlength=len(w.codes) + 1)
         gone = np.cumsum(edge)[:-1] > 0
         n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.offsets])
-        kept = []
+        texts = []
         for i, x in enumerate(text_of(rows.column("text"))):
             left_over = x.as_py().encode().split()
             if n_removed[i]:
                 left_over = [y for y, g in zip(left_over, gone[w.offsets[i] : w.offsets[i + 1]].tolist(), strict=True) if not g]
-            kept.append(b" ".join(left_over).decode())
-        return pa.table([rows.column("doc_id"), pa.array(np.diff(w.offsets)), pa.array(n_removed), pa.array(kept, pa.string())], schema=out)
+            texts.append(b" ".join(left_over).decode())
+        return pa.table([rows.column("doc_id"), pa.array(np.diff(w.offsets)), pa.array(n_removed), pa.array(texts, pa.string())], schema=out)
 
     judged = with_answers(chunks, left, send_windows, BLOB).groupBy("bucket").applyInArrow(shared_windows, BLOB)
     return with_answers(chunks, left.union(judged), remove, "doc_id long, n_words long, n_removed long, kept_text string")
