@@ -47,6 +47,39 @@ def test_substrings_of_periodic_text(make):
     assert rows_of(substrings.repeats(make(rows), 35, 200)) == window_hits([(i, words(t)) for i, t in rows], 35)
 
 
+def test_window_names_are_compared_whole():
+    import numpy as np
+
+    name = np.array([7, 7, 9], np.uint64)
+    blobs = [substrings.batch_of(x=name, y=np.array(y, np.uint64), n=np.array([1, 1, n], np.uint32)) for y, n in (([1, 2, 3], 1), ([2, 5, 4], 2))]
+    table = substrings.blob_table("c", [(0, b) for b in blobs])
+    got = [substrings.arrays_of(x.as_py())["shared"].tolist() for x in substrings.shared_windows(table).column("keys")]
+    assert got == [[False, True, False], [True, False, True]], "equal first halves alone are no repeat"
+
+
+def test_symbols_are_named_by_content():
+    import numpy as np
+
+    content = lambda a, r, b, s: substrings.batch_of(a=np.array(a, np.uint64), r=np.array(r, np.uint32), b=np.array(b, np.uint64), s=np.array(s, np.uint32), n=np.ones(len(a), np.uint32))
+    table = substrings.blob_table("c", [(3, content([5, 5, 6], [1, 2, 1], [8, 8, 8], [1, 1, 1])), (3, content([5, 6], [2, 1], [8, 9], [1, 1]))])
+    names = [substrings.arrays_of(x.as_py())["name"].tolist() for x in substrings.name_symbols(2, 30)(table).column("keys")]
+    assert names[0][0] == names[0][2] == names[1][1] == 0 and names[0][1] == names[1][0] > 0 and names[0][1] & 15 == 2
+
+
+@pytest.mark.parametrize("bits", [2, 24, 25, 33])
+def test_keys_of_any_number_of_buckets(bits):
+    import numpy as np
+
+    from tidemark.llm.chunks import buckets, cuts_of, low_bits
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2))
+    own = buckets(keys, bits)
+    assert (np.diff(own) >= 0).all() and own.max() < 1 << bits
+    whole = [(int(b) << 40) | int(x) for b, x in zip(own, low_bits(keys, bits))]
+    assert whole == sorted(whole) and all(int(k) >> max(0, 24 - bits) == w >> max(0, bits - 24) for k, w in zip(keys, whole))
+    assert [(b, j - i) for b, i, j in cuts_of(own, bits)] == sorted(collections.Counter(own.tolist()).items())
+
+
 def brute_base(docs, learned):
     count = collections.Counter(x for i, w in docs if learned(i) for x in w)
     n, v = sum(count.values()), len(count)
