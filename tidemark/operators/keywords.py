@@ -112,5 +112,6 @@ def generate(requests: DataFrame, existing: DataFrame, provider: Completer | Non
     return numbered_ranked(score_keywords(new_keywords(found.drop("bk"), existing), brand, search))
 
 
-def suggested(answers: DataFrame) -> DataFrame:
-    return answers.select(F.explode(parse_array("answer", "struct<word:string,type:string>")).alias("w")).select("w.*")
+def suggested(answers: DataFrame, *keep: str) -> DataFrame:
+    """word, type of the arrays in answers, with the columns `keep`; an answer without one gives no row."""
+    return answers.select(*keep, F.explode(parse_array("answer", "struct<word:string,type:string>")).alias("w")).select(*keep, "w.*")

@@ -521,6 +521,32 @@ def batch_label_prompts(spark, sf_dir):
     return classify.batch_prompts(views.posts(spark, sf_dir), "thing", "which").select("batch", "n", F.md5("prompt").alias("prompt"))
 
 
+def filled(template: str, **columns: str) -> str:
+    out = f"'{template}'"
+    for name, column in columns.items():
+        out = f"replace({out}, '{{{name}}}', coalesce({column}, ''))"
+    return out
+
+
+@query(f"""SELECT doc_id AS pos, {filled(keywords.GENERATE, bk='source', problem="split_part(text, ' ', 1)", target='lang')} AS first_round,
+{filled(keywords.EXPAND, bk='source', problem="split_part(text, ' ', 1)", known="lang || ', ' || source")} AS later_round, {filled(keywords.SUGGEST, bk='source', cat='lang')} AS suggest FROM documents""")
+def keyword_prompts(spark, sf_dir):
+    """The prompts of a first round, of a later one, and for words beside a category."""
+    bk, cat, problem = F.col("source"), F.col("lang"), F.split_part("text", F.lit(" "), F.lit(1))
+    return views.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("pos"), keywords.prompt(keywords.GENERATE, bk=bk, problem=problem, target=cat).alias("first_round"),
+        keywords.prompt(keywords.EXPAND, bk=bk, problem=problem, known=F.concat_ws(", ", cat, bk)).alias("later_round"), keywords.prompt(keywords.SUGGEST, bk=bk, cat=cat).alias("suggest"),
+    )
+
+
+@query("""SELECT doc_id AS pos, CASE WHEN doc_id % 2 = 0 THEN source END AS word, CASE WHEN doc_id % 2 = 0 THEN lang END AS type FROM documents WHERE doc_id % 2 = 0""")
+def suggested_words(spark, sf_dir):
+    """Words with their types out of answers, of which some hold no array."""
+    made = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('So: [{"word":"'), "source", F.lit('","type":"'), "lang", F.lit('"}]'))).otherwise("none")
+    answers = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), made.alias("answer"))
+    return keywords.suggested(answers, "pos")
+
+
 @query("SELECT lang AS cat, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY lang")
 def keyword_category_totals(spark, sf_dir):
     return keywords.category_totals(first_words(spark, sf_dir))
