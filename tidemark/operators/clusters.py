@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dflt, head
+from ..sources.storage import stored
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 #: Model fits that run at once, and rows for each of their tasks.
@@ -72,7 +73,7 @@ def refine(df: DataFrame, keep: list[int] = (), merge: list[int] = ()) -> DataFr
 def terms(df: DataFrame, text: Column, bigrams: bool = True) -> DataFrame:
     """pos, term, tf: lower-cased words of two and more letters, and pairs of neighbours."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
-    rows = df.select("pos", words.alias("w")).repartition("pos")  # by text, before its words multiply the rows
+    rows = df.select("pos", words.alias("w"))
     if bigrams:
         near = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
         rows = rows.select("pos", F.concat("w", near).alias("w"))
@@ -83,11 +84,10 @@ def tfidf(df: DataFrame, text: Column, max_features: int, min_df: int = 1, max_d
     """pos, term, w: smooth idf ln((1 + n) / (1 + df)) + 1, rows scaled to length 1.
 
     The vocabulary is the `max_features` most frequent terms of those whose document
-    frequency is allowed; it has a bound and is broadcast. A text's terms, weights and
-    norm are made where its row was dealt to, with one shuffle.
+    frequency is allowed; it has a bound and is broadcast. The terms' counts are stored, as
+    both the vocabulary and the weights come from them.
     """
-    tf = terms(df, text, bigrams)
-    n = df.count()
+    tf, n = stored(terms(df, text, bigrams), "terms"), df.count()
     vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     vocabulary = vocabulary.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("total"), "term").limit(max_features)
     idf = vocabulary.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
