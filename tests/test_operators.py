@@ -1,6 +1,7 @@
 """Operators on small in-line tables."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators import classify, clusters, jobs, keywords, personas, posts, vectors
@@ -41,7 +42,7 @@ def test_crawl_filters(spark):
     stats = posts.cafe_stats(df.withColumn("cafe", F.when(F.col("pos") > 0, F.col("cafe")))).collect()
     assert [(r.cafe, r["count"]) for r in stats] == [("club", 3), ("unknown", 1), ("중고나라 x", 1), ("other", 1)], "equal ones in the order seen"
     watched, total = posts.with_total(df)
-    assert watched.count() == 6 and total.get["total"] == 6
+    assert watched.count() == 6 and total.first().total == 6
     with pytest.raises(ValueError, match="posts"):
         posts.not_empty(df.limit(0), "posts")
 
@@ -172,6 +173,8 @@ def test_ensemble(spark):
         classify.normalise_labels(spark.createDataFrame([("1",)] * 4, "label string"))
     rows = [(f"good thing {i}", "nice", '"relevant"') for i in range(12)] + [(f"bad stuff {i}", "poor", "0") for i in range(12)]
     labeled = spark.createDataFrame(rows, "title string, desc string, label string")
+    seen = Observation("rows")  # what a session that counts by observe() has; models must not take it along
+    assert labeled.observe(seen, F.count(F.lit(1)).alias("n")).count() == 24 and seen.get["n"] == 24
     model = classify.fit_ensemble(labeled, folds=2, trees=5, rounds=2)
     scored = model.score(labeled).collect()
     assert all(0 <= r.relevance_score <= 1 for r in scored) and sum(r.is_relevant == (r.label != "0") for r in scored) >= 22

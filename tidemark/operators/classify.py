@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from ..functions.rules import ensemble_mean, is_relevant_label, round3
 from ..functions.text import dflt, head, parse_binary_preds, post_text
 from ..sources.providers import Completer, complete
+from ..sources.storage import scratch
 from .clusters import AT_ONCE, ROWS_A_TASK, TOKEN
 from .posts import numbered, with_batch
 
 LEAST_LABELS, THRESHOLD = 5, 0.5
 MODELS = ("lr", "rf", "gbt")
+FITTED = {"lr": LogisticRegressionModel, "rf": RandomForestClassificationModel, "gbt": GBTClassificationModel}
 
 
 def normalise_labels(df: DataFrame) -> DataFrame:
@@ -55,6 +57,16 @@ def estimators(n: int, trees: int = 100, rounds: int = 100, seed: int = 42) -> d
     }
 
 
+def detached(name: str, model, folder: str):
+    """A fitted model written to a shared folder and read again.
+
+    As fitted it keeps its training summary, and with it the session, which goes to the
+    tasks with the model and need not be serialisable.
+    """
+    model.write().save(folder)
+    return FITTED[name].load(folder)
+
+
 @dataclass
 class Ensemble:
     features: PipelineModel
@@ -99,15 +111,16 @@ def fit_ensemble(labeled: DataFrame, seed: int = 42, folds: int = 3, trees: int
     data = with_folds(data, k).coalesce(max(1, n // ROWS_A_TASK)).cache()
     data.count()  # held before the fits begin, which share it
     judge = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
-    kinds = estimators(n, trees, rounds, seed)
+    kinds, folder = estimators(n, trees, rounds, seed), scratch(labeled.sparkSession, "models")
 
     def one(name: str, fold: int | None):
         if fold is None:
-            return kinds[name].fit(data)
+            return detached(name, kinds[name].fit(data), f"{folder}/{name}")
         train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
         if train.select("y").distinct().count() < 2 or test.isEmpty():
             return None
-        return judge.copy({judge.predictionCol: f"_{name}"}).evaluate(kinds[name].copy().fit(train).transform(test))
+        model = detached(name, kinds[name].copy().fit(train), f"{folder}/{name}-{fold}")
+        return judge.copy({judge.predictionCol: f"_{name}"}).evaluate(model.transform(test))
 
     asked = [(name, i) for name in ("gbt", "rf", "lr") for i in (None, *range(k if k > 1 else 0))]
     with ThreadPoolExecutor(AT_ONCE) as pool:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, contains_any, dflt, in_date_window, post_text
+from ..sources.storage import stored
 
 #: Terms of club names that are always left out when collecting (fixed values).
 DEFAULT_EXCLUDED = [
@@ -64,10 +65,10 @@ def cafe_stats(posts: DataFrame, unknown: str = NO_CAFE, order: str = "pos") ->
     return counted.orderBy(F.desc("count"), "_first").drop("_first")
 
 
-def with_total(posts: DataFrame, name: str = "crawl") -> tuple[DataFrame, Observation]:
-    """(the posts, their running total: `.get["total"]` once an action has read them)."""
-    total = Observation(name)
-    return posts.observe(total, F.count(F.lit(1)).alias("total")), total
+def with_total(posts: DataFrame, name: str = "crawl") -> tuple[DataFrame, DataFrame]:
+    """(the posts, written once to a shared folder; their total, counted over what was written)."""
+    rows = stored(posts, name)
+    return rows, rows.agg(F.count("*").alias("total"))
 
 
 def not_empty(rows: DataFrame, what: str) -> DataFrame:
