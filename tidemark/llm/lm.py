@@ -399,7 +399,7 @@ def _learn_tokens(table: pa.Table) -> pa.Table:
     logs[order] = spelling_logs(tokens.take(pa.array(order)), counts[order])
     known = counts[counts > 0]
     sums = np.bincount(class_of(known), known, CLASSES).astype(np.int64)
-    out = _answers(table, ends, {"n": counts[own], "log": logs.astype(np.float16)[own]})
+    out = _answers(table, ends, {"n": counts[own], "log": logs[own]})
     return out.append_column("sums", pa.array([[*sums.tolist(), len(known), int(known.sum())]] * len(each), pa.list_(pa.int64())))
 
 
@@ -556,7 +556,7 @@ def score_texts(docs: DataFrame, held_out: F.Column, chunk_bytes: int = CHUNK_BY
                 for x in ANSWER:
                     found[x][own[-1 - b]] = got.column(x).to_numpy()
         logs, unknown = chunk_bits(c, t, counts, found, mass)
-        logs += np.where(unknown, c.answered(answers, "log", np.float16)[c.codes].astype(np.float64) / np.log(2), 0)
+        logs += np.where(unknown, c.answered(answers, "log", np.float32)[c.codes].astype(np.float64) / np.log(2), 0)
         bits_of = -np.add.reduceat(logs, c.offsets[:-1])
         over = n_tokens + ADDED * (n_types + 1)
         base = np.add.reduceat(np.log10((counts + ADDED) / over)[c.codes], c.offsets[:-1])
