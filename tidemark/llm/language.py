@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import doc_of, slices, text_of
 from .quality import Words, char_grams, gram_means
 
-#: Labelled documents of each language that are learned from: those with the smallest hashes of their ids.
+#: Labelled documents of each language that are learned from: those with the smallest hashes of id and text.
 FIT_DOCS = 400
 DIM = 1 << 16
 SWITCH = 12.0
@@ -73,33 +73,34 @@ def _counts(w: Words, doc_lang: np.ndarray, n_langs: int) -> tuple[np.ndarray, n
 
 
 def sample(known: DataFrame, docs_per_lang: int) -> DataFrame:
-    """doc_id, lang of at most `docs_per_lang` documents of each language: those with the smallest hashes of their ids.
+    """lang, h of at most `docs_per_lang` distinct rows of each language: those with the smallest hashes `h` of id and text.
 
-    Counts give each language a share of the hashes that holds about twice as many, so
-    only those are ranked, however many documents a language has.
+    The number of distinct hashes, which is estimated, gives each language a share of all
+    hashes that holds about twice as many, so only those are ranked, however many rows a
+    language has; its smallest hash is always among them.
     """
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    wide = F.abs(F.xxhash64("doc_id").cast("double")) / F.lit(2.0**63)
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least"))
+    place = F.col("h").cast("double") / F.lit(2.0**64) + 0.5
     # a row for each language, of which the model holds a whole column
-    near = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(wide * F.col("n") <= 2 * docs_per_lang + 20)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return near.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= docs_per_lang).drop("rank")
+    near = known.select("lang", "h").join(F.broadcast(counts), "lang").filter((place * F.col("n") <= 2 * docs_per_lang + 20) | (F.col("h") == F.col("least")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return near.select("lang", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= docs_per_lang).drop("rank")
 
 
 def fit(docs: DataFrame, docs_per_lang: int = FIT_DOCS) -> Model:
     """Learn from the text and lang of `docs`; rows where either, or the id, is null are left out.
 
-    Of rows with one doc_id the learned ones all count. The bounded sample is joined to
-    the texts before they go to Python.
+    Rows with one id and different texts are learned one by one; a repeated row is
+    learned once. The bounded sample is joined to the texts before they go to Python.
     """
     spark = docs.sparkSession
-    known = docs.filter("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long"), "text", "lang")
-    chosen = [tuple(r) for r in sample(known, docs_per_lang).distinct().collect()]
-    langs = sorted({lang for _, lang in chosen})
+    known = docs.filter("lang is not null and text is not null and doc_id is not null").select("text", "lang", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"))
+    chosen = [tuple(r) for r in sample(known, docs_per_lang).collect()]
+    langs = sorted({lang for lang, _ in chosen})
     if not langs:
         return Model([], np.zeros((DIM, 0)), np.zeros((len(NAMES), 0), bool))
     number = {x: i for i, x in enumerate(langs)}
-    wanted = spark.createDataFrame([(i, lang, number[lang]) for i, lang in chosen], "doc_id long, lang string, number int")
+    wanted = spark.createDataFrame([(h, lang, number[lang]) for lang, h in chosen], "h long, lang string, number int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = kinds = None
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, docs_per_lang: int = FIT_DOCS) -> Model:
                 yield pa.record_batch([pa.array([j], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([tables[j][at].astype(np.float32).tobytes()], pa.binary()), pa.array([kinds[j].astype(np.float64).tobytes()], pa.binary())], names=["lang", "at", "n", "scripts"])
 
     sums, kinds = np.zeros((DIM, len(langs))), np.zeros((len(NAMES), len(langs)))
-    for row in known.join(F.broadcast(wanted), ["doc_id", "lang"]).select("text", "number").mapInArrow(run, "lang int, at binary, n binary, scripts binary").toLocalIterator():
+    for row in known.join(F.broadcast(wanted), ["h", "lang"]).dropDuplicates(["h", "lang"]).select("text", "number").mapInArrow(run, "lang int, at binary, n binary, scripts binary").toLocalIterator():
         sums[np.frombuffer(row["at"], np.int32), row["lang"]] += np.frombuffer(row["n"], np.float32)
         kinds[:, row["lang"]] += np.frombuffer(row["scripts"], np.float64)
     share = (sums + 0.5) / (sums.sum(0) + 0.5 * DIM)
