@@ -75,6 +75,13 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, or with underscores at its end where columns have it already."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
 def text_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one array of strings, null as the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from .common import coded, drop_dir, shared_dir, slices, stored, text_of, words_of
+from .common import coded, free_name, shared_dir, slices, stored, text_of, words_of
 
 #: Words of items that one automaton holds.
 BLOCK_WORDS = 200_000
@@ -165,64 +164,82 @@ def hits(texts: pa.Array, automaton: Automaton) -> tuple[np.ndarray, np.ndarray,
 
 
 def item_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """Automata over the items, each over about `block_words` words at most or one item; items without an id are listed as ''."""
+    """Automata over the items, each over about `block_words` words at most or one item; items without an id are one item, None."""
     block, n = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         words = normal_words(row.text)
         if block and n + len(words) > block_words:
             yield Automaton(block, window)
             block, n = [], 0
-        block.append((row.item_id if row.item_id is not None else "", words))
+        block.append((row.item_id, words))
         n += len(words)
     yield Automaton(block, window)
 
 
-#: Columns in which passes over several blocks carry what was found: hit words as bits, and items.
-HITS, ITEMS = "_hit_words", "_hit_items"
+def listed(items: set[str | None]) -> list[str | None]:
+    """Items as strings in order, the one without an id first."""
+    return sorted(items, key=lambda x: (x is not None, x or ""))
+
+
+def _digest(items: list[str | None]) -> str:
+    return hashlib.sha256(",".join(x or "" for x in items).encode()).hexdigest()
 
 
 def over_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, last, schema) -> DataFrame:
-    """last(batch, offsets of the words, which are hit, items of each text) over the rows of `docs`, with all blocks' hits."""
-    spark = docs.sparkSession
-    own = docs.columns
-    at, now, held = shared_dir(spark, "blocks"), docs, None
+    """last(batch, offsets of the words, which are hit, items of each text) over the rows of `docs`, with all blocks' hits.
+
+    One block is one pass over the texts. Of several, each is a pass that writes what it
+    found of the texts it hit, as bits and items by row number, and never the texts; the
+    rows, numbered and written once, are joined with all findings in the end.
+    """
+    spark, own = docs.sparkSession, docs.columns
+    row, bits, found = (free_name(x, own) for x in ("row", "bits", "found"))
+    at, rows, findings, old = shared_dir(spark, "blocks"), None, [], None
     blocks = item_blocks(benchmark, window, block_words)
-    automaton, number = next(blocks), 0
+    automaton = next(blocks)
     while automaton is not None:
-        following, number = next(blocks, None), number + 1
-        shared = spark.sparkContext.broadcast(automaton)
-        carried, ends = HITS in now.columns, following is None
+        following = next(blocks, None)
+        if old is not None:
+            old.destroy()
+        shared = old = spark.sparkContext.broadcast(automaton)
+        if following is None and rows is None:
+
+            def only(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for part in slices(batches, "text"):
+                    yield last(part, *hits(text_of(part.column("text")), shared.value))
+
+            return docs.mapInArrow(only, schema)
+        if rows is None:
+            rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), f"{at}/rows")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, carried=carried, ends=ends) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):
                 offsets, hit, items = hits(text_of(part.column("text")), shared.value)
-                if carried:
-                    for i, (bits, found) in enumerate(zip(part.column(HITS), part.column(ITEMS), strict=True)):
-                        if bits.is_valid:
-                            own_hits = slice(offsets[i], offsets[i + 1])
-                            hit[own_hits] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=int(offsets[i + 1] - offsets[i])).astype(bool)
-                            items.setdefault(i, set()).update(found.as_py())
-                rows = part.select(own)
-                if ends:
-                    yield last(rows, offsets, hit, items)
-                else:
-                    bits = [np.packbits(hit[offsets[i] : offsets[i + 1]]).tobytes() if i in items else None for i in range(part.num_rows)]
-                    found = [sorted(items[i]) if i in items else None for i in range(part.num_rows)]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=[*own, HITS, ITEMS])
-
-        if ends:
-            return now.mapInArrow(run, schema)
-        kept = StructType([*docs.schema.fields, StructField(HITS, BinaryType()), StructField(ITEMS, ArrayType(StringType()))])
-        now = stored(now.mapInArrow(run, kept), f"{at}/{number}")
-        shared.destroy()
-        if held:
-            drop_dir(spark, held)
-        held, automaton = f"{at}/{number}", following
-    raise AssertionError("there is a block at least")
-
-
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+                some = sorted(items)
+                marks = [np.packbits(hit[offsets[i] : offsets[i + 1]]).tobytes() for i in some]
+                yield pa.record_batch([part.column(row).take(pa.array(some, pa.int64())), pa.array(marks, pa.binary()), pa.array([listed(items[i]) for i in some], pa.list_(pa.string()))], names=[row, bits, found])
+
+        kinds = f"`{row}` long, `{bits}` binary, `{found}` array<string>"
+        findings.append(stored(rows.select(row, "text").mapInArrow(find, kinds), f"{at}/{len(findings)}"))
+        automaton = following
+    old.destroy()
+    every = findings[0]
+    for more in findings[1:]:
+        every = every.union(more)
+    every = every.groupBy(row).agg(F.collect_list(bits).alias(bits), F.flatten(F.collect_list(found)).alias(found))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            offsets = words_of(normal_texts(text_of(part.column("text"))))[0]
+            hit, items = np.zeros(int(offsets[-1]), bool), {}
+            for i, (each, names) in enumerate(zip(part.column(bits).to_pylist(), part.column(found).to_pylist(), strict=True)):
+                for mark in each or ():
+                    n = int(offsets[i + 1] - offsets[i])
+                    hit[offsets[i] : offsets[i + 1]] |= np.unpackbits(np.frombuffer(mark, np.uint8), count=n).astype(bool)
+                    items.setdefault(i, set()).update(names)
+            yield last(part.select(own), offsets, hit, items)
+
+    return rows.join(every, row, "left").select(*(F.col(f"`{c}`") for c in own), bits, found).mapInArrow(merged, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -230,16 +247,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     A window is `window` consecutive words of an item, or a whole shorter item; every
     word inside an occurrence is hit. Null texts have no words, items without words
-    match nothing, items of one id count once, those without an id are one item, an
-    empty benchmark hits nothing and an empty table gives no rows.
+    match nothing, items of one id count once, those without an id are one item, which is
+    none of those named '' and is written as '', an empty benchmark hits nothing and an
+    empty table gives no rows.
     """
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>"
     none = _digest([])
 
     def last(part: pa.RecordBatch, offsets: np.ndarray, hit: np.ndarray, items: dict[int, set[str]]) -> pa.RecordBatch:
         n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets])
-        listed = [sorted(items.get(i, ())) for i in range(part.num_rows)]
-        return pa.record_batch([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n_hit), pa.array([len(x) for x in listed], pa.int64()), pa.array([_digest(x) if x else none for x in listed]), pa.array(n_hit > 0), pa.array(listed, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"])
+        names = [listed(items.get(i, set())) for i in range(part.num_rows)]
+        return pa.record_batch([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([_digest(x) if x else none for x in names]), pa.array(n_hit > 0), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"])
 
     return over_blocks(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, block_words, last, schema)
 
