@@ -9,6 +9,8 @@ import zlib
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import decontaminate, language, linededup, lm, neardup, quality, queries, secrets, substrings
 from tidemark.llm.components import connected_components
 
@@ -230,6 +232,9 @@ def test_lm_of_long_tokens_and_texts(make):
     rows = [(1, noise[0]), (2, noise[1]), (3, "a b " * 3000), (4, None)]
     got = {x.doc_id: x for x in lm.score_texts(make(rows), F.lit(False)).collect()}
     assert got[2].score < 1.5 * got[1].score < -200 and got[3].n_tokens == 6001 and got[4].n_tokens == 1
+    picture = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000))
+    got = {x.doc_id: x for x in lm.score_texts(make([(1, picture), (2, picture[::-1]), (3, "a b")]), F.col("doc_id") == 2).collect()}
+    assert all(-1e6 < got[i].score < -5e4 and 0 < got[i].bits_per_byte < 40 for i in (1, 2)), "finite for one huge word, learned or not"
 
 
 def test_spelling_is_a_distribution():
@@ -360,13 +365,23 @@ def jaccard(docs, threshold=0.8):
 
 @pytest.mark.parametrize(("crowd", "block"), [(64, 256), (3, 256), (3, 4)])
 def test_near_duplicates(make, corpus, crowd, block):
-    rows = corpus[:-1]  # a repeated row is a copy of its document, which brute force has once
+    rows = corpus[:-2]  # a repeated row is a copy of its document, which brute force has once; no row without an id
     assert rows_of(neardup.near_duplicates(make(rows, 3), crowd=crowd, block=block)) == jaccard([(i, words(t)) for i, t in rows])
 
 
 def test_near_duplicates_of_repeated_rows(make, corpus):
     got = rows_of(neardup.near_duplicates(make(corpus)))
-    assert len(got) == len(corpus) - 1 and [r for r in got if r[0] == 24] == [(24, 24, 1)] * 2
+    assert len(got) == len(corpus) and [r for r in got if r[0] == 24] == [(24, 24, 1)] * 2
+
+
+def test_near_duplicates_of_null_and_shared_ids(make):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, a + " more"), (9, a), (None, c), (None, c), (5, a[:-3]), (5, b), (8, b), (None, None), (None, "")]
+    got = rows_of(neardup.near_duplicates(make(rows)))
+    assert got == sorted([(None, 5, 3), (None, 5, 3), (9, 5, 3), (5, 5, 3), (None, None, 1), (None, None, 1), (5, 5, 1), (8, 5, 1), (None, None, 0), (None, None, 0)], key=repr)
+    assert rows_of(neardup.keep_first(make(rows)).select("doc_id", "text")) == sorted([(5, a[:-3]), (5, b), (None, c), (None, None), (None, "")], key=repr)
+    classes = {(r.doc_id, r["class"]) for r in neardup.classes(make(rows)).filter("class is not null").collect()}
+    assert len({k for _, k in classes}) == 3, "two classes of one smallest id stay two"
 
 
 def test_matrix_overlaps():
@@ -418,7 +433,7 @@ def test_quality_classifier(spark, make):
     assert {r.doc_id for r in quality.keep_good(docs, model).collect()} == set(range(80))
 
 
-ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "zeta, eta theta iota kappa lambda mu nu xi omicron pi"), (3, "short item"), (4, None), (5, "?!"), (6, "beta"), (7, "a a a a a a a a a a a"), (2, "second of one id here are ten words long it is"), (None, "without id")]
+ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "zeta, eta theta iota kappa lambda mu nu xi omicron pi"), (3, "short item"), (4, None), (5, "?!"), (6, "beta"), (7, "a a a a a a a a a a a"), (2, "second of one id here are ten words long it is"), (None, "without id"), ("", "without id"), (None, "one more of none")]
 
 
 @pytest.mark.parametrize("block_words", [200_000, 12])
@@ -433,7 +448,7 @@ def test_decontamination(make, spark, block_words):
     for i, t in ITEMS:
         w = norm(t)
         for p in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[p : p + 10])].add("" if i is None else str(i))
+            windows[tuple(w[p : p + 10])].add(i if i is None else str(i))
     want = []
     for i, t in rows:
         w, hit, items = norm(t), set(), set()
@@ -442,12 +457,15 @@ def test_decontamination(make, spark, block_words):
                 if p + n <= len(w) and (found := windows.get(tuple(w[p : p + n]))):
                     hit |= {*range(p, p + n)}
                     items |= found
-        want.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+        want.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(x or "" for x in items)).encode()).hexdigest(), bool(hit)))
+    bench = spark.createDataFrame([(i if i is None else str(i), t) for i, t in ITEMS], "item_id string, text string")
     empty = bench.limit(0)
     got = rows_of(decontaminate.contamination(make(rows), bench, block_words=block_words).drop("item_ids"))
     assert got == sorted(want, key=repr)
     kept = {r.doc_id: r for r in decontaminate.decontaminate(make(rows), bench, block_words=block_words).collect()}
+    clash = make(rows).withColumns({"_hit_words": F.lit(b"x"), "row": F.lit(1), "bits": F.lit(2), "Found": F.lit(3)})
+    same = decontaminate.decontaminate(clash, bench, block_words=block_words)
+    assert same.columns == clash.columns and {tuple(r)[-4:] for r in same.collect()} == {(b"x", 1, 2, 3)}
     assert 7 not in kept and kept[5].text == "" and kept[4].text is None
     assert kept[3].text == "a ... b".replace("...", "") or kept[3].text == "a  b"
     assert kept[3].n_chars == len(kept[3].text)
@@ -472,9 +490,14 @@ def test_language(make, spark):
 
 def test_language_sample_and_many_languages(make, spark):
     rows = [(i, "abc", "xx" if i % 10 else "yy") for i in range(20_000)] + [(7, "abc", "xx")]
-    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.xxhash64("doc_id", "text"))
     got = collections.Counter(r.lang for r in language.sample(known, 400).collect())
     assert got == {"xx": 400, "yy": 400}
+    french = [(5, f"le texte {i}", "fr") for i in range(3000)] + [(i, "the text", "en") for i in range(390)] + [(2, "der Text", "de")] * 50
+    few = spark.createDataFrame(french, "doc_id long, text string, lang string")
+    hashed = few.withColumn("h", F.xxhash64("doc_id", "text"))
+    assert collections.Counter(r.lang for r in language.sample(hashed, 400).collect()) == {"fr": 400, "en": 390, "de": 1}
+    assert language.fit(few).langs == ["de", "en", "fr"], "many rows of one id, and repeated rows"
     import numpy as np
 
     scores = np.zeros((1, 300))

@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, doc_of, mixed, shared_dir, slices, stored, text_of
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from .common import MIX_A, doc_of, free_name, join_counted, mixed, shared_dir, slices, stored, text_of
 from .components import connected_components
 from .quality import Words
 
@@ -166,19 +168,28 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-SKETCH = "doc_id long, same binary, n_grams long, signature binary"
+SKETCH = "doc_id long, place long, same binary, n_grams long, signature binary"
 ITEM = "rep long, links long, root long"
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and `place`, a hash of the text; both find a row again, whether or not its id is null or repeated."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("place"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the set, its size and MinHash values, for each row with an id."""
+    """doc_id, place, digest of the set, its size and MinHash values, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = shingle_sets(text_of(part.column("text")))
-            yield pa.record_batch([part.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "same", "n_grams", "signature"])
+            yield pa.record_batch([part.column("doc_id"), part.column("place"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "place", "same", "n_grams", "signature"])
+
+    return keyed(docs).mapInArrow(run, SKETCH)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, SKETCH)
+def digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
 def _bands(texts: DataFrame) -> DataFrame:
@@ -237,21 +248,20 @@ def _verified(items: DataFrame, threshold: float, least: list[int]) -> DataFrame
     return items.groupBy("task").applyInArrow(run, ITEM)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links; one row for each row with an id.
+def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """doc_id, same, n_grams, class (a number of its own for each class of texts with words), class_id, n_links; one row for each row.
 
-    Two documents are linked when the Jaccard similarity of their sets of word 5-grams
-    is `threshold` or more. n_links counts the other documents linked to this one,
-    copies included; class_id is the smallest doc_id that links lead to. A text without
-    words, null included, has no links and is a class of its own; a text of one to four
-    words is one gram. A repeated row counts as a copy. An empty table gives no rows.
+    A text is a set of grams, numbered when it is first written; documents, whose ids may
+    be null or repeated, only name it.
     """
     spark = docs.sparkSession
     at = shared_dir(spark, "neardup")
     least = least_matches(threshold)
     every = stored(sketches(docs), f"{at}/sketches")
     full = every.filter("n_grams > 0")
-    texts = stored(full.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), f"{at}/texts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
+    texts = full.groupBy("same").agg(first, F.count("*").alias("copies"), F.first("signature").alias("signature"))
+    texts = stored(texts.withColumn("rep", F.monotonically_increasing_id()), f"{at}/texts")
     bands = stored(_bands(texts), f"{at}/bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
     kept = stored(bands.join(shared, "key"), f"{at}/kept")
@@ -262,38 +272,73 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, crowd: int =
     crowded = kept.filter((F.col("n") > crowd) & (F.col("rep") != F.col("first"))).select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     components = connected_components(_pruned(pairs, least).union(crowded), f"{at}/components")
     members = components.select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-    members = members.union(members.select("comp", "comp").distinct().toDF("rep", "comp")).join(texts.select("rep", "copies"), "rep")
+    members = members.union(members.select("comp", "comp").distinct().toDF("rep", "comp")).join(texts.select("rep", "copies", "first"), "rep")
     sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = stored(members.join(sizes, "comp"), f"{at}/members")
     bins = max(1, members.filter("blocks = 1").count() // (2 * block))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = members.drop("first").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     task = F.when(F.col("blocks") == 1, F.concat(F.lit("bin-"), F.pmod(F.xxhash64("comp"), F.lit(bins)))).otherwise(F.concat_ws("-", "comp", low, high))
-    placed = placed.withColumn("task", task).withColumn("cross", F.col("block") != F.col("other"))
-    placed = placed.withColumn("cross", (F.col("blocks") > 1) & (low != high))
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null")
-    sets = stored(_sets(rows.join(members.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])), f"{at}/sets")
+    placed = placed.withColumn("task", task).withColumn("cross", (F.col("blocks") > 1) & (low != high))
+    id_ = F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none")).alias("id")
+    wanted = members.select("rep", F.struct(F.coalesce("first.doc_id", F.lit(0)).alias("i"), F.col("first.none").alias("none")).alias("id"), "first.place")
+    rows = keyed(docs).select(id_, "place", "text").join(wanted, ["id", "place"]).dropDuplicates(["id", "place"])
+    sets = stored(_sets(rows), f"{at}/sets")
     found = stored(_verified(placed.join(sets, "rep"), threshold, least), f"{at}/verified")
     local = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    trees = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), f"{at}/trees")
-    texts = texts.select("same", "rep", "copies").join(local, "rep", "left").join(trees.toDF("rep", "root"), "rep", "left")
-    texts = texts.select("same", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    empty = every.filter("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.select("doc_id", "same").join(texts, "same").select("doc_id", "class_id", "n_links").union(empty)
+    trees = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), f"{at}/trees").toDF("rep", "class")
+    trees = stored(trees.union(trees.select("class", "class").distinct().toDF("rep", "class")).join(texts.select("rep", F.col("first.doc_id").alias("first")), "rep"), f"{at}/classes")
+    named = join_counted(trees.select("rep", "class"), trees.groupBy("class").agg(F.min("first").alias("least"), F.count("*").alias("n")), ["class"]).drop("n")
+    texts = texts.select("same", "rep", "copies", F.col("first.doc_id").alias("first")).join(local, "rep", "left").join(named, "rep", "left")
+    texts = texts.select("same", F.coalesce("class", "rep").alias("class"), F.when(F.col("class").isNull(), F.col("first")).otherwise(F.col("least")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    empty = every.filter("n_grams = 0").select("doc_id", "same", "n_grams", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return full.select("doc_id", "same", "n_grams").join(texts, "same").select("doc_id", "same", "n_grams", "class", "class_id", "n_links").union(empty)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, n_links; one row for each row.
+
+    Two documents are linked when the Jaccard similarity of their sets of word 5-grams
+    is `threshold` or more. n_links counts the other documents linked to this one,
+    copies included; class_id is the smallest doc_id that links lead to, null where they
+    lead to none that is not null. Rows with a null id are documents like others, and so
+    are rows that share an id but not the text. A text without words, null included, has
+    no links and is a class of its own; a text of one to four words is one gram. A
+    repeated row counts as a copy. An empty table gives no rows.
+    """
+    return classes(docs, threshold, crowd, block).select("doc_id", "class_id", "n_links")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class stays, that with the smallest doc_id, once if its row is repeated; rows without an id stay too.
+    """One row of each class stays, with the smallest doc_id; one without an id only where the whole class has none.
 
-    Rows that share an id but not the text stay, as they are no copies of each other.
+    Rows that share an id but not the text stay, unless they are near copies of others.
+    Texts without words stay, once for each id and text.
     """
-    classes = near_duplicates(docs, threshold)
-    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1 and _id is not null").select("_id")
-    repeated = stored(repeated, shared_dir(docs.sparkSession, "repeated"))
-    if repeated.isEmpty():
+    spark = docs.sparkSession
+    found = stored(classes(docs, threshold), shared_dir(spark, "classes"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 OR id IS NULL")
+    ids = stored(ids, shared_dir(spark, "odd"))
+    own = docs["doc_id"].cast("long")
+    gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("id")).distinct()
+    left = docs.join(gone, own == gone["id"], "left_anti")
+    if ids.isEmpty():
         return left
-    again = left.join(repeated, left["doc_id"] == repeated["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, left["doc_id"] == repeated["_id"], "left_anti").unionByName(again)
+    odd = docs.join(ids, own.eqNullSafe(ids["id"]), "left_semi")
+    name = free_name("same", docs.columns)
+    names = [*docs.columns, name]
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = shingle_sets(text_of(part.column("text")))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([digest(s) if len(s) else None for s in sets], pa.binary())], names=names)
+
+    # of each class the rows with its smallest id, and of these the text that comes first
+    best = found.filter("class IS NOT NULL AND doc_id <=> class_id").groupBy("class").agg(F.min("same").alias("same")).select(F.col("same").alias("_same"))
+    best = best.join(found.filter("class IS NOT NULL").select(F.col("same").alias("_same"), F.col("class_id").alias("_id")).distinct(), "_same")
+    odd = odd.mapInArrow(digests, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+    firsts = odd.join(best, (odd[name] == best["_same"]) & odd["doc_id"].cast("long").eqNullSafe(best["_id"]), "left_semi").dropDuplicates([name])
+    bare = odd.filter(F.col(f"`{name}`").isNull()).dropDuplicates(["doc_id", "text"])
+    plain = left.join(ids, own.eqNullSafe(ids["id"]), "left_anti")
+    return plain.unionByName(firsts.drop(name)).unionByName(bare.drop(name))
