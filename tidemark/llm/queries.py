@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, lm, mixing, neardup, quality, secrets, substrings, tokens
+from . import decontaminate, divergence, ftrl, language, linededup, lm, mixing, neardup, quality, secrets, spelling, substrings, tokens
 from .common import documents
 
 #: The tokenizer's file; it is read where it lies, on every machine.
@@ -63,9 +63,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = ftrl.fit(docs, labels.filter(~held_out))
+    return ftrl.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scores, op2_line_dedup, op3_secret_scan, op4_jaccard_join, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_token_output, op9_language_id, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_line_dedup, op3_secret_scan, op4_jaccard_join, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_token_output, op9_language_id, op10_mixing, op11_source_divergence, op12_spelling_variants, op13_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op2_line_dedup": linededup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
