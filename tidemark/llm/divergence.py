@@ -6,8 +6,8 @@ source, and the codes keep the UTF-8 order of the terms, which settles ties. A b
 codes are cut in chunks of `CHUNK_TERMS`; a chunk holds its sources' counts as sparse
 rows, which become dense vectors block by block of sources where shares are compared.
 
-Nothing whole meets in one task: terms are summed before and after the shuffle, buckets
-are sized by counted rows, a chunk compares two blocks of sources at a time, and only
+Nothing whole meets in one task: terms are summed before and after the shuffle, a language
+is never a shuffle's key where it has many rows, buckets are sized by counted rows, a chunk compares two blocks of sources at a time, and only
 what a language's result lists anyway, its sources, comes together in one row.
 
 Rows: null text, lang and source are '', a repeated row counts again, texts are taken
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import coded, doc_of, shared_dir, slices, stored, text_of, words_of
+from .common import coded, doc_of, join_counted, shared_dir, slices, stored, text_of, words_of
 
 #: Documents of a language that must have a term (fixed value).
 MIN_DOCS = 30
@@ -183,25 +183,27 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, bucket_rows: int = BUC
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     rows = docs.select(blank("text"), blank("lang"), blank("source"))
     counts = stored(term_counts(rows), f"{at}/counts")
-    parts = counts.groupBy("lang").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("parts"))
-    keyed = counts.join(parts, "lang").withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int")).drop("parts")
+    parts = counts.groupBy("lang").agg(F.count("*").alias("n"), F.ceil(F.count("*") / bucket_rows).cast("int").alias("parts"))
+    keyed = join_counted(counts.withColumnRenamed("n", "times"), parts, ["lang"]).withColumnsRenamed({"n": "rows", "times": "n"})
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int")).drop("parts", "rows")
     chunks = stored(keyed.groupBy("lang", "bucket").applyInArrow(lambda t: _chunks(t, min_docs, width), CHUNK), f"{at}/chunks")
     own = chunks.select("lang", F.explode(F.arrays_zip("sources", F.slice("starts", 1, F.size("sources")).alias("lo"), F.slice("starts", 2, F.size("sources")).alias("hi"))).alias("s"), "counts")
     sums = own.select("lang", F.col("s.sources").alias("source"), F.aggregate(F.slice("counts", F.col("s.lo").cast("int") + 1, (F.col("s.hi") - F.col("s.lo")).cast("int")), F.lit(0).cast("long"), lambda a, b: a + b).alias("n"))
     sums = sums.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    sizes = chunks.groupBy("lang").agg(F.sum(F.size("terms")).cast("long").alias("v"))
+    sizes = chunks.groupBy("lang").agg(F.sum(F.size("terms")).cast("long").alias("v"), F.count("*").alias("chunks"))
     listed = F.array_sort(F.collect_list(F.struct("source", "n"))).alias("s")  # as many as each of them has rows in the result
     langs = groups.groupBy("lang").agg(listed).join(sizes, "lang", "left")
-    langs = stored(langs.select("lang", F.col("s.source").alias("all_sources"), F.col("s.n").alias("sums"), F.coalesce("v", F.lit(0)).cast("long").alias("v")), f"{at}/langs")
+    langs = stored(langs.select("lang", F.col("s.source").alias("all_sources"), F.col("s.n").alias("sums"), F.coalesce("v", F.lit(0)).cast("long").alias("v"), (F.coalesce("chunks", F.lit(0)) + 1).alias("n")), f"{at}/langs")
     none = F.array()
     empty = langs.select("lang", F.lit("").alias("chunk"), none.cast("array<string>").alias("terms"), none.cast("array<long>").alias("total"), none.cast("array<string>").alias("sources"), F.array(F.lit(0).cast("long")).alias("starts"), none.cast("array<int>").alias("ids"), none.cast("array<long>").alias("counts"))
     blocks = F.ceil(F.size("all_sources") / block).cast("int")
-    tasks = chunks.union(empty).join(langs, "lang").withColumn("a", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("b", F.explode(F.sequence("a", blocks - 1)))
+    whole = join_counted(chunks.union(empty), langs, ["lang"])
+    tasks = whole.withColumn("a", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("b", F.explode(F.sequence("a", blocks - 1)))
     half = tasks.groupBy("lang", "chunk", "a", "b").applyInArrow(lambda t: _pair_sums(t, block), "lang string, x string, y string, value long").groupBy("lang", "x", "y").agg(F.sum("value").alias("value"))
     half = stored(half, f"{at}/pairs")
     pairs = half.select("lang", F.col("x").alias("source"), F.lit("pair").alias("part"), F.col("y").alias("item"), "value").union(half.select("lang", F.col("y"), F.lit("pair"), F.col("x"), "value"))
-    terms = chunks.join(langs, "lang").groupBy("lang", "chunk").applyInArrow(_top_terms, "lang string, source string, item string, value long")
+    terms = whole.groupBy("lang", "chunk").applyInArrow(_top_terms, "lang string, source string, item string, value long")
     every = pairs.union(terms.select("lang", "source", F.lit("term"), "item", "value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     return every.withColumn("rank", rank).filter((F.col("part") == "pair") | (F.col("rank") <= TOP))
