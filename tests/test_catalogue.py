@@ -70,7 +70,7 @@ def test_keyword_totals_scores_every_row(spark):
 def test_models_are_called_with_their_defaults(spark, monkeypatch):
     import inspect
 
-    from tidemark.operators import classify, clusters
+    from tidemark.operators import classify, kmeans
 
     seen = []
 
@@ -86,7 +86,7 @@ def test_models_are_called_with_their_defaults(spark, monkeypatch):
         monkeypatch.setattr(module, name, call)
 
     record(classify, "fit_ensemble")
-    record(clusters, "fit_kmeans")
+    record(kmeans, "fit")
     for name in ("ensemble_score", "kmeans_assign", "kmeans_k_search"):
         with pytest.raises(InterruptedError):
             catalogue.QUERIES[name](spark, DATA)

@@ -18,10 +18,13 @@ from ..functions.rules import ensemble_mean, is_relevant_label, round3
 from ..functions.text import dflt, head, parse_binary_preds, post_text
 from ..sources.providers import Completer, complete
 from ..sources.storage import scratch
-from .clusters import AT_ONCE, ROWS_A_TASK, TOKEN
+from .kmeans import ROWS_A_TASK
 from .posts import numbered, with_batch
+from .vocabulary import TOKEN
 
 LEAST_LABELS, THRESHOLD = 5, 0.5
+#: Fits that run at once.
+AT_ONCE = 4
 MODELS = ("lr", "rf", "gbt")
 FITTED = {"lr": LogisticRegressionModel, "rf": RandomForestClassificationModel, "gbt": GBTClassificationModel}
 

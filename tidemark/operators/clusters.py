@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dflt, head
-from ..sources.storage import stored
-
-TOKEN = r"[\p{L}\p{N}_]{2,}"
-#: Model fits that run at once, and rows for each of their tasks.
-AT_ONCE, ROWS_A_TASK = 4, 10_000
+from . import kmeans
+from .vocabulary import TOKEN, tfidf
 
 
 def sizes(df: DataFrame) -> DataFrame:
@@ -80,22 +75,6 @@ def terms(df: DataFrame, text: Column, bigrams: bool = True) -> DataFrame:
     return rows.select("pos", F.explode("w").alias("term")).groupBy("pos", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(df: DataFrame, text: Column, max_features: int, min_df: int = 1, max_df: float = 1.0, bigrams: bool = True) -> DataFrame:
-    """pos, term, w: smooth idf ln((1 + n) / (1 + df)) + 1, rows scaled to length 1.
-
-    The vocabulary is the `max_features` most frequent terms of those whose document
-    frequency is allowed; it has a bound and is broadcast. The terms' counts are stored, as
-    both the vocabulary and the weights come from them.
-    """
-    tf, n = stored(terms(df, text, bigrams), "terms"), df.count()
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    vocabulary = vocabulary.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("total"), "term").limit(max_features)
-    idf = vocabulary.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    weighed = tf.join(F.broadcast(idf), "term").select("pos", "term", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("pos")))
-    return weighed.select("pos", "term", (F.col("x") / norm).alias("w"))
-
-
 def top_terms(weights: DataFrame, clusters: DataFrame, n: int = 10) -> DataFrame:
     """cluster, term, weight, rank: the terms with the largest mean weight in each cluster."""
     of = clusters.select("pos", "cluster")
@@ -105,47 +84,21 @@ def top_terms(weights: DataFrame, clusters: DataFrame, n: int = 10) -> DataFrame
     return means.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return df.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-
-
-def fit_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42):
-    """The best of n_init k-means fits by cost, over rows with `features`; the fits run at once."""
-    from pyspark.ml.clustering import KMeans
-
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        models = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(df), range(n_init)))
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
 def candidate_ks(n: int) -> range:
     return range(3, min(15, n // 10 + 1))
 
 
-def choose_k(df: DataFrame, seed: int = 42, default: int = 5) -> int:
+def choose_k(df: DataFrame, seed: int = 42, default: int = 5, n_init: int = 10) -> int:
     """The k of 3..14 with the best silhouette, the smallest of equals; too few rows give min(default, n)."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    rows = _vectors(df).select("features")
-    n, best, found = rows.count(), -1.0, None
-    rows = rows.coalesce(max(1, n // ROWS_A_TASK)).cache()
-    rows.count()  # held before the fits begin, which share it
-    judge = ClusteringEvaluator(predictionCol="cluster", featuresCol="features", distanceMeasure="squaredEuclidean")
-    for k in candidate_ks(n):
-        score = judge.evaluate(fit_kmeans(rows, k, seed=seed).transform(rows))
-        if score > best:
-            best, found = score, k
-    rows.unpersist()
+    n = df.count()
+    found, _ = kmeans.choose_k(df, list(candidate_ks(n)), n_init, seed)
     return found if found is not None else min(default, n)
 
 
 def assign(df: DataFrame, k: int, n_init: int = 10, seed: int = 42) -> DataFrame:
-    """The rows of `df` (embedding) with `cluster`."""
-    rows = _vectors(df)
-    fitted = rows.select("features").coalesce(max(1, rows.count() // ROWS_A_TASK)).cache()
-    fitted.count()  # held before the fits begin, which share it
-    model = fit_kmeans(fitted, k, n_init, seed)
-    fitted.unpersist()
-    return model.transform(rows).drop("features")
+    """The rows of `df` (embedding) with `cluster`, by the best of `n_init` starts; null without an embedding."""
+    fitted = kmeans.fit(df, [k], n_init, seed)
+    return kmeans.assigned(df, fitted[k]) if fitted else df.withColumn("cluster", F.lit(None).cast("int"))
+
+
+__all__ = ["TOKEN", "assign", "choose_k", "cluster_info", "refine", "samples", "sizes", "summary_text", "terms", "tfidf", "top_terms"]

@@ -7,10 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.rules import is_nonzero
 from ..functions.text import dflt, head
-from ..sources.storage import list_prefixes, upsert
+from ..sources.bucketed import Table
+from ..sources.storage import stored
 
 #: Queries that are sent to all tasks at once.
 QUERY_BLOCK = 4096
@@ -27,17 +29,32 @@ def records(df: DataFrame) -> DataFrame:
     return df.filter(is_nonzero("embedding")).select(F.concat(F.lit("doc_"), F.col("pos")).alias("id"), F.col("embedding").alias("values"), meta.alias("metadata"))
 
 
-def upsert_vectors(spark: SparkSession, root: str, df: DataFrame) -> DataFrame:
-    """Old records but those replaced, and the new ones, written as a new version beside the old; the newest one is read.
+def create_index(spark: SparkSession, root: str, schema: StructType, dim: int) -> Table:
+    """The table of a vector index, made if there is none; one with another dimension raises."""
+    return Table.create(spark, root, schema, dim=dim, metric="cosine")
 
-    Versions are folders below `root` that sort by name, so a version never overwrites
-    what it is made from.
+
+def upsert_vectors(spark: SparkSession, root: str, df: DataFrame, dim: int | None = None) -> DataFrame:
+    """Put the rows' records into the index below `root`, each in place of the one with its id; all records of the new version.
+
+    Only the buckets that the ids fall into are written. The first rows set the
+    dimension, unless `dim` does; other ones raise.
     """
-    versions = list_prefixes(spark, root)
-    old = spark.read.parquet(f"{root}/{versions[-1]}") if versions else None
-    path = f"{root}/v{len(versions):08d}"
-    upsert(spark, old, records(df)).write.parquet(path)
-    return spark.read.parquet(path)
+    made = stored(records(df), "records")
+    least, most = made.agg(F.min(F.size("values")), F.max(F.size("values"))).first()
+    there = Table(spark, root).manifest()
+    dim = dim or (there.properties["dim"] if there else most)
+    if least is not None and not least == most == dim:
+        raise ValueError(f"the index has dimension {dim}, records have {least} to {most}")
+    table = create_index(spark, root, made.schema, dim or 0)
+    table.upsert(made)
+    return table.read()
+
+
+def indexed(spark: SparkSession, root: str) -> DataFrame | None:
+    """The records of an index, None where there is none."""
+    table = Table(spark, root)
+    return table.read() if table.manifest() else None
 
 
 def search(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:

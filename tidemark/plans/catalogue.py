@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import classify, clusters, jobs, keywords, personas, posts, vectors
+from ..operators import classify, clusters, ivf, jobs, keywords, personas, posts, vectors
 from ..sources.providers import BLANK, OfflineEmbedder, SearchSource, complete, embed, score_keywords
-from ..sources.storage import first_non_empty, latest_run, read_lines, read_stage, scratch, upsert, write_lines, write_stage
+from ..sources.bucketed import Table
+from ..sources.storage import first_non_empty, latest_run, read_lines, read_stage, scratch, write_lines, write_stage
 from . import views
 from .views import sql
 
@@ -295,6 +296,16 @@ def vector_topk_per_group(spark, sf_dir):
     return vectors.search_per_group(v, queries, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(sql(f""", s AS (SELECT q.pos AS query_id, 'doc_' || v.pos AS id, {DOT} AS s FROM vecs v, vecs q WHERE q.pos % 50 = 0),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id))::INT AS rank FROM s) SELECT query_id, id, round(s, 6) AS score, rank FROM r WHERE rank <= 10""", "vecs"))
+def vector_index_topk(spark, sf_dir):
+    """The exact search of an inverted-file index over all records."""
+    v = stored_vectors(spark, sf_dir)
+    index = ivf.build(v, scratch(spark, "index"))
+    queries = v.filter("pos % 50 = 0").select(F.col("pos").alias("query_id"), F.col("values").alias("query"))
+    return ivf.search(index, queries, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(sql(""" SELECT 'doc_' || pos AS id, substr(title, 1, 200) AS title, substr("desc", 1, 500) AS "desc", kw, cafe, cluster FROM clustered WHERE pos % 4 > 0""", "clustered"))
 def vector_records(spark, sf_dir):
     rows = views.clustered(spark, sf_dir).withColumn("embedding", F.array((F.col("pos") % 4).cast("float"), F.lit(0.0).cast("float")))
@@ -303,8 +314,12 @@ def vector_records(spark, sf_dir):
 
 @query(sql(" SELECT 'doc_' || pos AS id, CASE WHEN pos % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM vecs", "vecs"))
 def vector_upsert(spark, sf_dir):
+    """Old records, then new ones in the place of a third of them, in a bucketed table."""
     v = stored_vectors(spark, sf_dir).withColumn("version", F.lit("old"))
-    return upsert(spark, v, v.filter("pos % 3 = 0").withColumn("version", F.lit("new"))).select("id", "version")
+    table = Table.create(spark, scratch(spark, "vectors"), v.schema, dim=len(v.first()["values"]), metric="cosine")
+    table.upsert(v)
+    table.upsert(v.filter("pos % 3 = 0").withColumn("version", F.lit("new")))
+    return table.read().select("id", "version")
 
 
 @query("SELECT doc_id AS pos, substr('cx-' || lower(replace('S_' || repeat(source, 9), '_', '-')), 1, 45) AS name FROM documents")

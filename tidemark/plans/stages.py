@@ -120,8 +120,8 @@ def build_vectors(spark, settings, sid, run) -> DataFrame:
 def make_personas(spark, settings, sid, run, bk: str, examples: DataFrame | None = None) -> DataFrame:
     """Ask for personas of all clusters, with search hits where there is an index; stage `personas`. A malformed answer raises."""
     rows = posts.not_empty(clustered(spark, settings, sid), "clusters")
-    versions = storage.list_prefixes(spark, settings.root, f"vectors/{sid}")
-    hits = personas.retrieved(rows, spark.read.parquet(f"{settings.root}/vectors/{sid}/{versions[-1]}"), embedder_of(settings)) if versions else None
+    index = vectors.indexed(spark, f"{settings.root}/vectors/{sid}")
+    hits = None if index is None else personas.retrieved(rows, index, embedder_of(settings))
     answers = personas.parse_personas(complete(personas.persona_prompt(rows, bk, examples, hits), completer_of(settings), 8000))
     if answers.filter("state = 'error'").count():
         raise ValueError("the answer is no JSON array")
