@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from ..sources.storage import stored
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 #: Counters of a summary, in turn; beyond the last every term is counted.
 COUNTERS = (200_000, 1_600_000)
+#: Candidates for each term of the vocabulary, since some have too few or too many rows.
+SPARE = 8
 
 
 def tokens(df: DataFrame, text: Column) -> DataFrame:
@@ -31,29 +34,40 @@ def tokens(df: DataFrame, text: Column) -> DataFrame:
     return df.select("pos", F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1).alias("w"))
 
 
+def word_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of words as the first or only word of a term, and as its second."""
+    h = pd.util.hash_array(np.array(words, object)) if words else np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return h * np.uint64(0xBF58476D1CE4E5B9), (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+
+
+def term_hashes(terms: list[list[str]]) -> np.ndarray:
+    """Hashes of terms of one or two words, as batches have them."""
+    first, second = word_hashes([t[0] for t in terms])[0], word_hashes([t[-1] for t in terms])[1]
+    return first ^ np.where(np.array([len(t) for t in terms], np.int64) > 1, second, np.uint64(0))
+
+
 class Batch:
-    """The terms of a batch's rows: words, and pairs of neighbours."""
+    """The occurrences of terms in a batch's rows: words, then pairs of neighbours, each with its row and a hash."""
 
     def __init__(self, column: pa.Array, bigrams: bool) -> None:
         flat = column.flatten().dictionary_encode()
         code, self.words = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
         sizes = np.diff(column.offsets.to_numpy())
         row = np.repeat(np.arange(len(sizes)), sizes)
-        first, second, self.row = code, np.full(len(code), -1), row
+        self.first, self.second, self.row = code, np.full(len(code), -1), row
         if bigrams:
             near = np.flatnonzero(row[1:] == row[:-1])
-            first, second, self.row = np.concatenate([code, code[near]]), np.concatenate([second, code[near + 1]]), np.concatenate([row, row[near]])
-        self.width = len(self.words) + 1
-        #: Number of each distinct term, as (first word, second word or none), and of each occurrence's term.
-        self.terms, self.own = np.unique(first * self.width + second + 1, return_inverse=True)
-        h = pd.util.hash_array(np.array(self.words, object)) if self.words else np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            pair = np.concatenate([np.zeros(1, np.uint64), h * np.uint64(0x9E3779B97F4A7C15)])[self.terms % self.width]
-            self.hash = (h[self.terms // self.width] * np.uint64(0xBF58476D1CE4E5B9)) ^ (pair >> np.uint64(1))
+            self.first, self.second, self.row = np.concatenate([code, code[near]]), np.concatenate([self.second, code[near + 1]]), np.concatenate([row, row[near]])
+        one, two = word_hashes(self.words)
+        self.hash = one[self.first] ^ np.append(two, np.uint64(0))[self.second]
 
-    def text(self, at: np.ndarray) -> list[str]:
-        first, second = (self.terms[at] // self.width).tolist(), (self.terms[at] % self.width - 1).tolist()
-        return [self.words[a] if b < 0 else f"{self.words[a]} {self.words[b]}" for a, b in zip(first, second, strict=True)]
+    def terms(self, at: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """(number of the term of each of the occurrences `at`, the distinct terms)."""
+        width = len(self.words) + 1
+        keys, own = np.unique(self.first[at] * width + self.second[at] + 1, return_inverse=True)
+        pairs = zip((keys // width).tolist(), (keys % width - 1).tolist(), strict=True)
+        return own, [self.words[a] if b < 0 else f"{self.words[a]} {self.words[b]}" for a, b in pairs]
 
 
 class Summary:
@@ -73,22 +87,22 @@ class Summary:
             self.taken += less
 
 
-def candidates(words: DataFrame, bigrams: bool, counters: int) -> tuple[np.ndarray, int]:
-    """(sorted hashes of at most `counters` terms, how often any other term occurs at most)."""
+def candidates(words: DataFrame, bigrams: bool, counters: int, wanted: int) -> tuple[np.ndarray, int]:
+    """(sorted hashes of at most `wanted` terms, how often any other term occurs at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Summary(counters)
         for batch in batches:
             if batch.num_rows:
-                b = Batch(batch.column("w"), bigrams)
-                own.add(b.hash, np.bincount(b.own, minlength=len(b.terms)))
+                each = pc.value_counts(pa.array(Batch(batch.column("w"), bigrams).hash))
+                own.add(each.field("values").to_numpy(), each.field("counts").to_numpy())
         yield pa.record_batch([pa.array([None, *own.keys.view(np.int64).tolist()], pa.int64()), pa.array(np.concatenate([[own.taken], own.n]))], names=["key", "n"])
 
     merged = stored(words.select("w").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "summary")
     taken = merged.filter("key IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = merged.filter("key IS NOT NULL").orderBy(F.desc("n"), "key").limit(counters + 1).collect()  # bounded by `counters`
-    left_out = top[counters]["n"] if len(top) > counters else 0
-    return np.sort(np.array([r["key"] for r in top[:counters]], np.int64).view(np.uint64)), taken + left_out
+    top = merged.filter("key IS NOT NULL").orderBy(F.desc("n"), "key").limit(wanted + 1).collect()
+    left_out = top[wanted]["n"] if len(top) > wanted else 0
+    return np.sort(np.array([r["key"] for r in top[:wanted]], np.int64).view(np.uint64)), taken + left_out
 
 
 def counted(words: DataFrame, bigrams: bool, among: np.ndarray | None) -> DataFrame:
@@ -100,10 +114,10 @@ def counted(words: DataFrame, bigrams: bool, among: np.ndarray | None) -> DataFr
             if not batch.num_rows:
                 continue
             b = Batch(batch.column("w"), bigrams)
-            at = np.arange(len(b.terms)) if shared is None else np.flatnonzero(found(shared.value, b.hash) >= 0)
-            total = np.bincount(b.own, minlength=len(b.terms))
-            df = np.bincount(np.unique(b.own * batch.num_rows + b.row) // batch.num_rows, minlength=len(b.terms))
-            yield pa.record_batch([pa.array(b.text(at), pa.string()), pa.array(total[at]), pa.array(df[at])], names=["term", "total", "df"])
+            at = np.arange(len(b.hash)) if shared is None else np.flatnonzero(found(shared.value, b.hash) >= 0)
+            own, terms = b.terms(at)
+            df = np.bincount(np.unique(own * batch.num_rows + b.row[at]) // batch.num_rows, minlength=len(terms))
+            yield pa.record_batch([pa.array(terms, pa.string()), pa.array(np.bincount(own, minlength=len(terms))), pa.array(df)], names=["term", "total", "df"])
 
     return words.select("w").mapInArrow(run, "term string, total long, df long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
@@ -121,7 +135,7 @@ def vocabulary(words: DataFrame, n: int, max_features: int, min_df: int = 1, max
     allowed = (F.col("df") >= min_df) & (F.col("df") <= max_df * n)
     top = lambda terms: [tuple(r) for r in terms.filter(allowed).orderBy(F.desc("total"), "term").limit(max_features).collect()]  # noqa: E731  bounded
     for size in counters:
-        keys, missed = candidates(words, bigrams, size)
+        keys, missed = candidates(words, bigrams, size, min(size, SPARE * max_features))
         best = top(counted(words, bigrams, keys))
         if not missed or len(best) == max_features and best[-1][1] > missed:
             return best
@@ -133,23 +147,26 @@ def tfidf(df: DataFrame, text: Column, max_features: int, min_df: int = 1, max_d
     words = stored(tokens(df, text), "tokens")
     n = words.count()
     known = vocabulary(words, n, max_features, min_df, max_df, bigrams, counters)
-    shared = df.sparkSession.sparkContext.broadcast({t: np.log((1.0 + n) / (1.0 + d)) + 1 for t, _, d in known})
+    idf = {t: np.log((1.0 + n) / (1.0 + d)) + 1 for t, _, d in known}
+    hashes = np.sort(term_hashes([t.split(" ") for t in idf]))
+    shared = df.sparkSession.sparkContext.broadcast((idf, hashes))
     pos = df.schema["pos"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value
+        idf, hashed = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             b = Batch(batch.column("w"), bigrams)
-            text = b.text(np.arange(len(b.terms)))
-            weight = np.fromiter((idf.get(t, 0.0) for t in text), np.float64, len(text))
-            some = weight[b.own] > 0
-            keys, tf = np.unique(b.row[some] * len(text) + b.own[some], return_counts=True)
-            row, term = keys // max(1, len(text)), keys % max(1, len(text))
+            at = np.flatnonzero(found(hashed, b.hash) >= 0)
+            own, terms = b.terms(at)
+            weight = np.fromiter((idf.get(t, 0.0) for t in terms), np.float64, len(terms))
+            some = weight[own] > 0  # a term that only shares a hash has none
+            size = max(1, len(terms))
+            keys, tf = np.unique(b.row[at][some] * size + own[some], return_counts=True)
+            row, term = keys // size, keys % size
             x = tf * weight[term]
             norm = np.sqrt(np.bincount(row, x * x, batch.num_rows))
-            names = pa.array(text, pa.string())
-            yield pa.record_batch([batch.column("pos").take(pa.array(row)), names.take(pa.array(term)), pa.array(x / norm[row])], names=["pos", "term", "w"])
+            yield pa.record_batch([batch.column("pos").take(pa.array(row)), pa.array(terms, pa.string()).take(pa.array(term)), pa.array(x / norm[row])], names=["pos", "term", "w"])
 
     return words.mapInArrow(run, f"pos {pos}, term string, w double")
