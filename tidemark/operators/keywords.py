@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dflt, parse_array, trim_all
 from ..sources.providers import Completer, Search, complete, score_keywords
-from .posts import not_empty, numbered
+from .posts import given, not_empty, numbered
 
 FEW, MANY = 2, 10
 
@@ -70,13 +70,15 @@ def add_keywords(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def manual_keywords(words: DataFrame, brand: str, category: str, search: Search | None = None) -> DataFrame:
-    """Words typed in by hand as keywords: id m_ and the place, scored."""
+    """Words typed in by hand as keywords: id m_ and the place, scored. A blank category raises."""
+    given(category, "category")
     rows = words.select("pos", F.concat(F.lit("m_"), "pos").alias("id"), F.col("word").alias("kw"), F.lit(category).alias("cat"), F.lit(True).alias("manual"))
     return score_keywords(rows, brand, search)
 
 
 def suggested_keywords(words: DataFrame, category: str) -> DataFrame:
-    """Suggested words as keywords: id s_ and the place, without a score."""
+    """Suggested words as keywords: id s_ and the place, without a score. A blank category raises."""
+    given(category, "category")
     none = F.lit(None)
     return words.select("pos", F.concat(F.lit("s_"), "pos").alias("id"), F.col("word").alias("kw"), F.lit(category).alias("cat"), F.lit(True).alias("manual"), none.cast("int").alias("score"), none.cast("long").alias("total"))
 
@@ -105,11 +107,15 @@ def prompt(template: str, **columns) -> F.Column:
 
 
 def generate(requests: DataFrame, existing: DataFrame, provider: Completer | None = None, search: Search | None = None) -> DataFrame:
-    """Requests with `prompt` and `bk` to scored, new, numbered keywords."""
-    answered = complete(not_empty(requests.filter(F.coalesce("bk", F.lit("")) != ""), "brand"), provider)
-    found = answered.select("bk", F.posexplode(parse_array("answer", "struct<kw:string,cat:string>")).alias("pos", "k")).select("bk", "pos", "k.*")
-    brand = requests.first()["bk"]
-    return numbered_ranked(score_keywords(new_keywords(found.drop("bk"), existing), brand, search))
+    """Requests with `prompt` and `bk` to scored, new, numbered keywords, each scored with its own brand.
+
+    Numbers go by brand, then by place in its answer.
+    """
+    asked = not_empty(requests.filter(F.coalesce("bk", F.lit("")) != ""), "brand")
+    asked = asked.withColumn("_r", F.dense_rank().over(Window.orderBy("bk", "prompt")))  # a row for each brand that is asked about
+    found = complete(asked, provider).select("bk", "_r", F.posexplode(parse_array("answer", "struct<kw:string,cat:string>")).alias("_i", "k"))
+    rows = found.select("bk", (F.col("_r") * F.lit(1 << 32) + F.col("_i")).alias("pos"), "k.*")
+    return numbered_ranked(score_keywords(new_keywords(rows, existing), None, search))
 
 
 def suggested(answers: DataFrame, *keep: str) -> DataFrame:

@@ -78,6 +78,13 @@ def not_empty(rows: DataFrame, what: str) -> DataFrame:
     return rows
 
 
+def given(value: str | list[str] | None, what: str) -> None:
+    """A text that is null or blank, or a list without one that is not, raises."""
+    each = value if isinstance(value, list | tuple) else [value]
+    if not any((x or "").strip() for x in each):
+        raise ValueError(f"{what}: nothing is given")
+
+
 def with_batch(df: DataFrame, n: int, order: str = "pos") -> DataFrame:
     """The batch number of each row when rows in order are handled n at a time.
 

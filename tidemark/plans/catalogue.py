@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -375,9 +376,14 @@ def fallback_source(spark, sf_dir):
     return first_non_empty(d.filter("lang = 'none'"), d.filter("lang = 'en'")).select("doc_id")
 
 
-@query(sql(", e AS (SELECT cluster_id, cluster_name, unnest(personas) AS p, generate_subscripts(personas, 1) - 1 AS i FROM personas) SELECT cluster_id, cluster_name, i::INT AS persona_idx, p.name, p.situation, p.pain_point, p.insight FROM e", "personas"))
+@query("""SELECT conv_id AS cluster_id, 'talk ' || conv_id AS cluster_name, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) - 1)::INT AS persona_idx,
+role AS name, 'turn ' || turn AS situation, md5(text) AS pain_point, substr(text, 1, 60) AS insight FROM conversations""")
 def persona_explode(spark, sf_dir):
-    return personas.explode_personas(views.personas(spark))
+    """Conversations as clusters whose turns are their personas."""
+    turn = F.struct("turn", "role", F.md5("text").alias("pain_point"), F.concat(F.lit("turn "), "turn").alias("situation"), F.substring("text", 1, 60).alias("insight"))
+    listed = views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    people = F.transform("t", lambda x: F.struct(x["role"].alias("name"), x["situation"].alias("situation"), x["pain_point"].alias("pain_point"), x["insight"].alias("insight")))
+    return personas.explode_personas(listed.select(F.col("conv_id").alias("cluster_id"), F.concat(F.lit("talk "), "conv_id").alias("cluster_name"), people.alias("personas")))
 
 
 GRAPH = """, n AS (SELECT cluster + 1 AS cluster_id, count(*) AS size FROM clustered GROUP BY 1), c AS (SELECT p.*, coalesce(size, 0) AS size FROM personas p LEFT JOIN n USING (cluster_id)),
@@ -494,7 +500,7 @@ def kmeans_k_search(spark, sf_dir):
 
 
 NUMBER = "('0x' || substr(md5({0}), 1, 12))::BIGINT"
-SEARCHED = f"""WITH k AS (SELECT unnest(['one', 'two', 'three']) AS kw, unnest([0, 1, 2]) AS kw_pos), q AS (SELECT *, 'thing ' || kw AS query FROM k),
+SEARCHED = f"""WITH k AS (SELECT text AS kw, row_number() OVER (ORDER BY item_id) - 1 AS kw_pos FROM benchmark), q AS (SELECT *, 'thing ' || kw AS query FROM k),
 t AS (SELECT *, {NUMBER.format('query')} % 400 AS total FROM q), i AS (SELECT *, unnest(range(0, total)) AS i FROM t)
 SELECT kw, kw_pos::INT AS kw_pos, (i // 100)::INT AS page, (i % 100)::INT AS item_pos, query || ' ' || i AS title, 'note ' || {NUMBER.format("query || '|' || i")} % 97 || ' on ' || query || ' & more' AS "desc",
 'https://example.org/' || {NUMBER.format("query || '|' || (i // 2)")} AS link, 'club ' || {NUMBER.format("query || '|' || i")} % 7 AS cafe, '2024' || lpad((1 + i % 12)::VARCHAR, 2, '0') || lpad((1 + i % 28)::VARCHAR, 2, '0') AS date FROM i"""
@@ -502,10 +508,10 @@ SELECT kw, kw_pos::INT AS kw_pos, (i // 100)::INT AS page, (i % 100)::INT AS ite
 
 @query(SEARCHED)
 def search_source(spark, sf_dir):
-    """All pages of the offline search service for three keywords, up to the default target."""
+    """All pages of the offline search service for the benchmark's texts as keywords."""
     spark.dataSource.register(SearchSource)
-    found = spark.read.format("search").option("brand", "thing").option("keywords", '["one", "two", "three"]').load()
-    return posts.take_target(posts.from_search(found), ["kw_pos", "page", "item_pos"], 50_000)
+    asked = [r["text"] for r in views.table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").toLocalIterator()]
+    return posts.from_search(spark.read.format("search").option("brand", "thing").option("keywords", json.dumps(asked)).load())
 
 
 @query(f"""WITH {WORDS}, t AS (SELECT pos, kw, cat, {NUMBER.format("'thing ' || kw")} % 400 AS total FROM w) SELECT pos, kw, cat, total, {SCORE.format('total')} AS score FROM t""")
@@ -635,6 +641,21 @@ def chat_prompt(spark, sf_dir):
     return personas.chat_prompt("What do they need?", views.clustered(spark, sf_dir), hits)
 
 
+STATUS = "CASE WHEN event_id % 5 IN (0, 1) THEN 'running' WHEN event_id % 5 = 4 THEN 'error' ELSE 'done' END"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT user_id AS sid, event_type AS job_type, ts, {STATUS} AS status FROM events),
+o AS (SELECT sid, job_type, ts, min(CASE status WHEN 'running' THEN 0 WHEN 'done' THEN 1 ELSE 2 END) AS k FROM e GROUP BY ALL),
+l AS (SELECT *, lag(k) OVER w AS before, lag(ts) OVER w AS since, lead(ts) OVER w AS after FROM o WINDOW w AS (PARTITION BY sid, job_type ORDER BY ts)),
+s AS (SELECT sid, job_type, ts, CASE k WHEN 0 THEN 'running' WHEN 1 THEN 'done' ELSE 'error' END AS status FROM l WHERE k = 0 OR before = 0 AND ts <= since + INTERVAL 6 HOUR
+UNION ALL SELECT sid, job_type, ts + INTERVAL 6 HOUR, 'timeout' FROM l WHERE k = 0 AND after > ts + INTERVAL 6 HOUR)
+SELECT sid, job_type, ts, status FROM s""")
+def job_transitions(spark, sf_dir):
+    """The state changes that a job's rules accept, with its timeouts."""
+    e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("sid"), F.col("event_type").alias("job_type"), "ts", F.expr(STATUS).alias("status"))
+    return jobs.transitions(e)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts, filtered, deduplicated in order, counted by club."""
     return cafe_stats(spark, sf_dir)

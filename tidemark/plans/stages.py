@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,17 +51,26 @@ def read(spark: SparkSession, settings: Settings, stage: str, sid: str, schema:
 
 
 @job("crawl")
-def collect(spark, settings, sid, run, brand: str, keywords: list[str], target: int = 50_000, **filters) -> DataFrame:
-    """Search rows of all keywords as posts, filtered, the first `target` in order; stage `raw`."""
-    import json
-
+def collect(spark, settings, sid, run, brand: str, keywords: list[str], target: int = 50_000, wave: int = 8, **filters) -> DataFrame:
+    """Search rows of all keywords as posts, filtered, the first `target` in order; stage `raw`.
+
+    Keywords are asked in waves; the target ends the crawl before the next one, and a
+    date bound ends a keyword at the first page before it.
+    """
+    posts.given(brand, "brand")
+    posts.given(keywords, "keywords")
     spark.dataSource.register(SearchSource)
-    source = spark.read.format("search").option("brand", brand).option("keywords", json.dumps(keywords)).option("provider", settings.search).option("headers", settings.search_headers)
-    found = posts.from_search(source.load())
+    since, made = (filters.get("date_from") or "").replace("-", ""), None
     place = (F.col("kw_pos") * 100_000_000 + F.col("page") * 100_000 + F.col("item_pos")).cast("long")
-    rows = posts.crawl_filters(found.withColumn("pos", place), brand, **filters)
-    rows = posts.take_target(rows, ["pos"], target).select("kw", "title", "desc", "link", "cafe", "date", "pos")
-    storage.write_stage(rows, settings.root, "raw", sid, run)
+    for first in range(0, len(keywords), wave):
+        source = spark.read.format("search").option("brand", brand).option("keywords", json.dumps(keywords[first : first + wave])).option("provider", settings.search).option("headers", settings.search_headers).option("since", since)
+        found = posts.from_search(source.load().withColumn("kw_pos", F.col("kw_pos") + first))
+        rows = posts.crawl_filters(found.withColumn("pos", place), brand, **filters).select("kw", "title", "desc", "link", "cafe", "date", "pos")
+        made = rows if made is None else made.union(rows)
+        made, total = posts.with_total(made)
+        if total.first()["total"] >= target:
+            break
+    storage.write_stage(posts.take_target(made, ["pos"], target), settings.root, "raw", sid, run)
     return posts.cafe_stats(read(spark, settings, "raw", sid, "kw string, title string, `desc` string, link string, cafe string, date string, pos bigint"))
 
 

@@ -12,9 +12,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.rules import score_of_total
 from ..functions.text import non_blank, trim_all
@@ -142,57 +143,138 @@ def completer_of(settings: Settings) -> Completer:
     return OfflineCompleter() if settings.llm == "offline" else HttpCompleter(settings.llm, settings.llm_headers, settings.llm_model)
 
 
-class _Keyword(InputPartition):
-    def __init__(self, keyword: str, place: int) -> None:
-        self.keyword, self.place = keyword, place
+class Pages(InputPartition):
+    """Pages of the search: (keyword, its place, first page, end), asked in turn."""
 
+    def __init__(self, ranges: list[tuple[str, int, int, int]], pause: float) -> None:
+        self.ranges, self.pause = ranges, pause
+
+
+ITEM = "kw string, kw_pos int, page int, item_pos int, title string, description string, link string, cafename string, postdate string"
 
-class SearchReader(DataSourceReader):
-    """One partition for each keyword, whose pages are asked in turn until one fails or is empty, with a pause after each."""
+
+class SearchPages:
+    """What the batch and the stream form share: the options, and the reading of pages."""
 
     def __init__(self, options: dict) -> None:
         self.brand = options.get("brand", "")
         self.keywords = json.loads(options.get("keywords", "[]"))
         self.pages, self.pause = int(options.get("pages", PAGES)), float(options.get("pause", 0))
         self.settings = Settings(search=options.get("provider", "offline"), search_headers=options.get("headers", "{}"))
+        #: Items older than this end a keyword, since pages come by date, the newest first.
+        self.since = options.get("since", "")
 
-    def partitions(self) -> list[_Keyword]:
-        return [_Keyword(k, i) for i, k in enumerate(self.keywords)]
-
-    def read(self, part: _Keyword) -> Iterator[tuple]:
+    def read(self, part: Pages) -> Iterator[tuple]:
         service = search_of(self.settings)
-        for page in range(self.pages):
-            found = service.page(f"{self.brand} {part.keyword}", PAGE_ROWS, 1 + page * PAGE_ROWS)
-            if not found or not found.get("items"):
-                return
-            for i, x in enumerate(found["items"]):
-                yield (part.keyword, part.place, page, i, *(x.get(f, "") for f in ("title", "description", "link", "cafename", "postdate")))
-            time.sleep(self.pause)
+        for keyword, place, first, end in part.ranges:
+            for page in range(first, end):
+                found = service.page(f"{self.brand} {keyword}", PAGE_ROWS, 1 + page * PAGE_ROWS)
+                time.sleep(part.pause)
+                if not found or not found.get("items"):
+                    break
+                for i, x in enumerate(found["items"]):
+                    yield (keyword, place, page, i, *(x.get(f, "") for f in ("title", "description", "link", "cafename", "postdate")))
+                last = found["items"][-1].get("postdate") or ""
+                if self.since and last.isdigit() and len(last) == 8 and last < self.since:
+                    break
+
+
+class SearchReader(SearchPages, DataSourceReader):
+    """One partition for each keyword, whose pages are asked in turn until one fails or is empty, with a pause after each."""
+
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.wanted, self.end = None, self.pages
+
+    def partitions(self) -> list[Pages]:
+        return [Pages([(k, i, 0, self.end)], self.pause) for i, k in enumerate(self.keywords) if self.wanted is None or k in self.wanted]
+
+
+class FilteredSearchReader(SearchReader):
+    """Also takes filters: those on kw leave keywords out, those on page pages; a lower bound of postdate ends a keyword at the first page that ends before it.
+
+    Spark applies all filters to the rows again. A session that reads with it has to set
+    spark.sql.python.filterPushdown.enabled.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column, value = ".".join(f.attribute) if hasattr(f, "attribute") else "", getattr(f, "value", None)
+            if column == "kw" and isinstance(f, EqualTo | In):
+                self.wanted = {value} if isinstance(f, EqualTo) else set(value)
+            elif column == "page" and isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+                self.end = min(self.end, value + (not isinstance(f, LessThan)))
+            elif column == "postdate" and isinstance(f, GreaterThan | GreaterThanOrEqual):
+                self.since = max(self.since, value)
+            yield f
+
+
+class SearchStreamReader(SearchPages, DataSourceStreamReader):
+    """Pages in the order of their numbers, over all keywords, some for each batch.
+
+    The offset counts pages: number n is page n / keywords of keyword n % keywords. A
+    batch plans `pages_a_batch` more than were planned before, which `progress`, a file
+    in a shared folder, remembers over restarts; a batch that was planned and not
+    finished is planned again by Spark with the same ends. The `lanes` tasks of a batch
+    share the budget of `a_second` pages.
+    """
+
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.step, self.lanes, self.rate = int(options.get("pages_a_batch", 10)), int(options.get("lanes", 4)), float(options.get("a_second", 0))
+        self.fs, self.progress = pafs.FileSystem.from_uri(options["progress"].replace("s3a://", "s3://", 1))
+
+    def initialOffset(self) -> dict:
+        return {"page": 0}
+
+    def _planned(self) -> int:
+        if self.fs.get_file_info(self.progress).type == pafs.FileType.NotFound:
+            return 0
+        with self.fs.open_input_stream(self.progress) as file:
+            return int(file.read())
+
+    def latestOffset(self) -> dict:
+        return {"page": min(self.pages * len(self.keywords), self._planned() + self.step)}
+
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
+        numbers = range(start["page"], end["page"])
+        if end["page"] > self._planned():
+            with self.fs.open_output_stream(self.progress) as file:
+                file.write(str(end["page"]).encode())
+        ranges = [(self.keywords[n % len(self.keywords)], n % len(self.keywords), n // len(self.keywords), n // len(self.keywords) + 1) for n in numbers]
+        lanes = max(1, min(self.lanes, len(ranges)))
+        return [Pages(ranges[i::lanes], lanes / self.rate if self.rate else self.pause) for i in range(lanes) if ranges[i::lanes]]
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for batches that ended."""
 
 
 class SearchSource(DataSource):
-    """spark.read.format("search") with options brand, keywords (a JSON array), pages, pause, and provider and headers of a service."""
+    """spark.read or readStream .format("search") with options brand, keywords (a JSON array), pages, pause, since (a date that ends a keyword), push (take filters), and provider and headers of a service; streams also take progress, pages_a_batch, lanes and a_second."""
 
     @classmethod
     def name(cls) -> str:
         return "search"
 
     def schema(self) -> str:
-        return "kw string, kw_pos int, page int, item_pos int, title string, description string, link string, cafename string, postdate string"
+        return ITEM
 
     def reader(self, schema) -> DataSourceReader:
-        return SearchReader(self.options)
+        return FilteredSearchReader(self.options) if self.options.get("push", "false") == "true" else SearchReader(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return SearchStreamReader(self.options)
 
 
-def score_keywords(df: DataFrame, brand: str, provider: Search | None = None, every: int = 5, pause: float = 0.0) -> DataFrame:
-    """The rows with `total` (0 after a failure) and `score` (50 after a failure)."""
+def score_keywords(df: DataFrame, brand: str | None, provider: Search | None = None, every: int = 5, pause: float = 0.0) -> DataFrame:
+    """The rows with `total` (0 after a failure) and `score` (50 after a failure); without a brand each row's own, `bk`, counts."""
     service = provider or OfflineSearch()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             totals = []
-            for i, kw in enumerate(pdf["kw"]):
-                found = service.page(f"{brand} {kw}", 1, 1)
+            for i, (kw, bk) in enumerate(zip(pdf["kw"], pdf["bk"] if brand is None else [brand] * len(pdf), strict=True)):
+                found = service.page(f"{bk} {kw}", 1, 1)
                 totals.append(None if found is None else int(found["total"]))
                 if pause and i % every == every - 1:
                     time.sleep(pause)

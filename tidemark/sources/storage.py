@@ -40,7 +40,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all machines of a cluster share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -86,18 +86,22 @@ def delete(spark: SparkSession, path: str) -> None:
 def read_lines(spark: SparkSession, root: str, prefix: str, schema: str) -> DataFrame:
     """JSON Lines files with a prefix as rows with `pos`, in file and line order.
 
-    Blank and malformed lines are skipped; no file gives no rows. Files are numbered by
-    their whole paths and split where Spark splits them. A line's place is the offset of
-    its split plus the lines before it in the split, of which there are fewer than bytes.
+    Blank and malformed lines are skipped; no file gives no rows. Files are ordered by
+    their whole paths and split where Spark splits them. A line's place is the bytes of
+    the files before, plus the offset of its split, plus the lines before it in the split,
+    of which there are fewer than bytes; so places end where the bytes of all files do.
     """
     files = list_objects(spark, root, prefix)
     if not files:
         return spark.createDataFrame([], f"{schema}, pos bigint, file string")
-    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
-    splits = lines.groupBy("file", "start").agg(F.min("row").alias("first"))
-    splits = splits.withColumn("n", F.dense_rank().over(Window.orderBy("file")))  # one row for each split of a file
+    meta = {"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start"), "bytes": F.col("_metadata.file_size")}
+    lines = spark.read.text(files).select("value", *(v.alias(k) for k, v in meta.items()), F.monotonically_increasing_id().alias("row"))
+    splits = lines.groupBy("file", "start", "bytes").agg(F.min("row").alias("first"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = splits.groupBy("file").agg(F.max("bytes").alias("bytes")).withColumn("base", F.coalesce(F.sum("bytes").over(before), F.lit(0)))  # one row for each file
+    splits = splits.join(sizes.select("file", "base"), "file").select("file", "start", "first", "base")
     each = lines.filter((F.trim("value") != "") & valid_json("value")).join(splits, ["file", "start"])
-    pos = F.col("n") * F.lit(1 << 44) + F.col("start") + F.col("row") - F.col("first")
+    pos = F.col("base") + F.col("start") + F.col("row") - F.col("first")
     return each.select(F.from_json("value", schema).alias("r"), pos.alias("pos"), "file").select("r.*", "pos", "file")
 
 
