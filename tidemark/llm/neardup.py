@@ -40,6 +40,8 @@ TOLERANCE = 1e-9
 CROWD = 64
 #: Texts of a block.
 BLOCK = 256
+#: Bits of the bitmap that finds texts again.
+MARKS = 1 << 25
 _seeds = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * MIX_A)
 
 
@@ -248,6 +250,18 @@ def _verified(items: DataFrame, threshold: float, least: list[int]) -> DataFrame
     return items.groupBy("task").applyInArrow(run, ITEM)
 
 
+def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that can have a key of `wanted`, so that a join need not shuffle the others.
+
+    A bitmap of `MARKS` bits, as words of 64, is sent to all tasks; its size has that bound
+    whatever `wanted` holds, and keys that share a bit only pass more rows on.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
+    word, bit = F.shiftright(slot, 6).alias("_word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({', '.join(keys)}), 64L) AS int))")
+    marks = wanted.select(word, bit.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    return rows.withColumn("_word", word).join(F.broadcast(marks), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """doc_id, same, n_grams, class (a number of its own for each class of texts with words), class_id, n_links; one row for each row.
 
@@ -283,7 +297,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, b
     placed = placed.withColumn("task", task).withColumn("cross", (F.col("blocks") > 1) & (low != high))
     id_ = F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none")).alias("id")
     wanted = members.select("rep", F.struct(F.coalesce("first.doc_id", F.lit(0)).alias("i"), F.col("first.none").alias("none")).alias("id"), "first.place")
-    rows = keyed(docs).select(id_, "place", "text").join(wanted, ["id", "place"]).dropDuplicates(["id", "place"])
+    rows = likely(keyed(docs).select(id_, "place", "text"), wanted, ["id", "place"]).join(wanted, ["id", "place"]).dropDuplicates(["id", "place"])
     sets = stored(_sets(rows), f"{at}/sets")
     found = stored(_verified(placed.join(sets, "rep"), threshold, least), f"{at}/verified")
     local = found.groupBy("rep").agg(F.sum("links").alias("links"))
