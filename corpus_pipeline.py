@@ -2,6 +2,12 @@
 
 quality rules, n-gram Jaccard join, benchmark decontamination, mixing sources to target
 weights, token-ID output. All but the last return the columns of `documents`.
+
+Null and empty texts fail the quality rules. Rows with a null id and different texts of
+one id are documents of their own; near copies of them go like others, and of a repeated
+row one stays. Of a group of near copies the smallest id stays. Ties in the mix go by a
+hash of the document. Texts of any length are handled whole, empty tables give no rows,
+and further columns, whatever their names, come through all stages but the last.
 """
 
 from __future__ import annotations
