@@ -326,7 +326,7 @@ def test_services_over_http(spark):
 def test_stages_from_search_to_personas(spark, tmp_path):
     from tidemark.plans import stages
 
-    settings = storage.Settings(root=f"file://{tmp_path}/w")
+    settings = storage.Settings(root=f"file://{tmp_path}/w", cache=f"file://{tmp_path}/c")
     clubs = stages.collect(spark, settings, "s1", brand="thing", keywords=["one", "two"], run="r1")
     assert clubs.count() == 7
     counts = stages.preprocess(spark, settings, "s1", run="r1").first()

@@ -1,39 +1,101 @@
-"""Session documents: save, read, list, delete, merge and restore."""
+"""Session documents, replaced by compare-and-set: save, read, list, delete, merge and restore."""
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SESSION
-from ..sources.storage import delete, list_prefixes, read_document, write_document
+from ..sources.storage import Version, create_absent, delete, list_prefixes, newest_version, read_document, write_document
 from .jobs import session_list
 from .keywords import add_keywords
 
-FOLDER = "sessions"
+FOLDER, ATTEMPTS = "sessions", 20
+
+
+class Conflict(Exception):
+    """Other writers were first each time."""
+
+
+def _versions(root: str, sid: str) -> str:
+    return f"{root}/{FOLDER}/{sid}/versions"
+
+
+def read_version(spark: SparkSession, root: str, sid: str) -> tuple[DataFrame, Version]:
+    """(the session's document as it is now, its version); no document gives no row."""
+    found = newest_version(spark, _versions(root, sid))
+    name = (found.body or {}).get("document")
+    return (read_document(spark, f"{root}/{FOLDER}/{sid}/{name}", SESSION) if name else spark.createDataFrame([], SESSION)), found
+
+
+def commit_session(session: DataFrame | None, root: str, sid: str, spark: SparkSession, on: Version) -> bool:
+    """Put the document in place of version `on`, None for no document; False if another writer was first.
+
+    The document is written under a name of its own, and becomes the session's by the
+    next version file, which only one writer can create.
+    """
+    name = None
+    if session is not None:
+        name = f"documents/{uuid.uuid4().hex}.json"
+        write_document(session, f"{root}/{FOLDER}/{sid}/{name}")
+    done = create_absent(spark, f"{_versions(root, sid)}/{on.next:012d}.json", json.dumps({"document": name}))
+    if not done and name:
+        delete(spark, f"{root}/{FOLDER}/{sid}/{name}")
+    return done
+
+
+def update_session(spark: SparkSession, root: str, sid: str, change: Callable[[DataFrame], DataFrame | None], attempts: int = ATTEMPTS, pause: float = 0.1) -> int:
+    """Commit change(the document), made anew from the newest one whenever another writer was first; the new version's number."""
+    for i in range(attempts):
+        old, on = read_version(spark, root, sid)
+        if commit_session(change(old), root, sid, spark, on):
+            return on.next
+        time.sleep(pause * min(i + 1, 10))
+    raise Conflict(f"{root} {sid}")
 
 
 def save_session(session: DataFrame, root: str, sid: str) -> None:
-    write_document(session, f"{root}/{FOLDER}/{sid}/session.json")
+    """Whatever the document was, it is this one now."""
+    update_session(session.sparkSession, root, sid, lambda _: session)
+
+
+def merge_session(spark: SparkSession, root: str, changes: DataFrame, sid: str) -> int:
+    """Replace the fields that the changes have; changes to other fields by writers at the same time are kept."""
+    return update_session(spark, root, sid, lambda old: merged(old, changes))
 
 
 def get_session(spark: SparkSession, root: str, sid: str) -> DataFrame:
-    return read_document(spark, f"{root}/{FOLDER}/{sid}/session.json", SESSION)
+    return read_version(spark, root, sid)[0]
 
 
 def delete_session(spark: SparkSession, root: str, sid: str) -> None:
-    """Only the document goes; tables made from it stay."""
-    delete(spark, f"{root}/{FOLDER}/{sid}/session.json")
+    """Only the document goes; tables made from it stay, and so does the row of its versions."""
+    update_session(spark, root, sid, lambda _: None)
+
+
+def tidy_session(spark: SparkSession, root: str, sid: str) -> None:
+    """Remove documents that are not the session's any more; only while nobody writes."""
+    kept = (newest_version(spark, _versions(root, sid)).body or {}).get("document")
+    for name in list_prefixes(spark, root, f"{FOLDER}/{sid}/documents"):
+        if f"documents/{name}" != kept:
+            delete(spark, f"{root}/{FOLDER}/{sid}/documents/{name}")
 
 
 def sessions(spark: SparkSession, root: str, limit: int = 20) -> DataFrame:
     """sid, bk, step of the newest sessions, blank where there is no document."""
-    sids = list_prefixes(spark, root, FOLDER)
+    sids = sorted(list_prefixes(spark, root, FOLDER), reverse=True)[:limit]
     table = spark.createDataFrame([(s,) for s in sids], "sid string")
-    if not sids:
+    current = [(s, (newest_version(spark, _versions(root, s)).body or {}).get("document")) for s in sids]
+    paths = [f"{root}/{FOLDER}/{s}/{name}" for s, name in current if name]
+    if not paths:
         return session_list(table, spark.createDataFrame([], "sid string, bk string, step string"), limit)
-    lines = spark.read.text(f"{root}/{FOLDER}/*/session.json", wholetext=True)
-    docs = lines.select(F.from_json("value", "bk string, step string").alias("d"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("sid"))
+    lines = spark.read.text(paths, wholetext=True)
+    docs = lines.select(F.from_json("value", "bk string, step string").alias("d"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -4).alias("sid"))
     return session_list(table, docs.select("sid", "d.*"), limit)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import classify, clusters, ivf, jobs, keywords, personas, posts, vectors
+from ..operators.seen import SeenLinks
 from ..sources.providers import BLANK, OfflineEmbedder, SearchSource, complete, embed, score_keywords
 from ..sources.bucketed import Table
 from ..sources.storage import first_non_empty, latest_run, read_lines, read_stage, scratch, write_lines, write_stage
@@ -370,6 +371,16 @@ def snapshot_latest(spark, sf_dir):
     return latest_run(runs(spark, sf_dir)).select("sid", "run_ts", "doc_id")
 
 
+@query(sql("SELECT pos, coalesce(link, '') AS link FROM posts WHERE pos % 3 = 2 AND coalesce(link, '') NOT IN (SELECT coalesce(link, '') FROM posts WHERE pos % 3 < 2)", "posts"))
+def unseen_links(spark, sf_dir):
+    """Posts of a third run whose link neither of the runs before has, by their filters."""
+    p = views.posts(spark, sf_dir).select("pos", "link")
+    seen = SeenLinks(spark, scratch(spark, "seen"))
+    for run in (0, 1):
+        seen.add(p.filter(F.col("pos") % 3 == run), str(run))
+    return seen.unseen(p.filter(F.col("pos") % 3 == 2)).select("pos", text.dflt("link", "").alias("link"))
+
+
 @query("SELECT doc_id FROM documents WHERE lang = 'en'")
 def fallback_source(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -12,7 +12,7 @@ from ..functions.rules import run_ts
 from ..functions.text import post_text
 from ..operators import classify, clusters, personas, posts, vectors
 from ..schemas import CLASSIFIED, CLUSTERED, JOB_EVENT, PREPROCESSED
-from ..sources import storage
+from ..sources import calls, storage
 from ..sources.providers import SearchSource, completer_of, complete, embed, embedder_of
 from ..sources.storage import Settings
 
@@ -94,13 +94,27 @@ def train_and_score(spark, settings, sid, run, labeled: DataFrame, **models) ->
     return classify.counters(scored).join(accuracy)
 
 
+def embedded(spark: SparkSession, settings: Settings, rows: DataFrame) -> DataFrame:
+    """The posts with `embedding`; where the settings name a cache, no text is sent twice, over all stages and runs."""
+    if not settings.cache:
+        return embed(rows, post_text(), embedder_of(settings))
+    return calls.embed(rows, post_text(), embedder_of(settings), calls.CallCache(spark, settings.cache), settings.embedder_model)
+
+
+def answered(spark: SparkSession, settings: Settings, prompts: DataFrame, max_tokens: int) -> DataFrame:
+    """The prompts with `answer`, through the cache where the settings name one."""
+    if not settings.cache:
+        return complete(prompts, completer_of(settings), max_tokens)
+    return calls.complete(prompts, completer_of(settings), calls.CallCache(spark, settings.cache), settings.llm_model, max_tokens)
+
+
 @job("cluster")
 def cluster(spark, settings, sid, run, num_clusters: int = 0) -> DataFrame:
     """Embed and group the relevant posts, or all where none were classified; stage `clusters`. Returns each cluster's summary."""
     schema = f"{CLASSIFIED}, pos bigint"
     rows = storage.first_non_empty(read(spark, settings, "classified", sid, schema, "latest"), read(spark, settings, "preprocessed", sid, POSTS, "latest"))
     posts.not_empty(rows, "posts")
-    rows = embed(rows, post_text(), embedder_of(settings))
+    rows = embedded(spark, settings, rows)
     k = num_clusters or clusters.choose_k(rows)
     storage.write_stage(clusters.assign(rows, k).drop("embedding"), settings.root, "clusters", sid, run)
     return clusters.cluster_info(read(spark, settings, "clusters", sid, f"{CLUSTERED}, pos bigint", "latest"))
@@ -122,7 +136,7 @@ def refine(spark, settings, sid, run, keep: list[int] = (), merge: list[int] = (
 @job("embed")
 def build_vectors(spark, settings, sid, run) -> DataFrame:
     """Embed the clustered posts and put them into the session's index."""
-    rows = embed(posts.not_empty(clustered(spark, settings, sid), "clusters"), post_text(), embedder_of(settings))
+    rows = embedded(spark, settings, posts.not_empty(clustered(spark, settings, sid), "clusters"))
     return vectors.upsert_vectors(spark, f"{settings.root}/vectors/{sid}", rows)
 
 
@@ -132,7 +146,7 @@ def make_personas(spark, settings, sid, run, bk: str, examples: DataFrame | None
     rows = posts.not_empty(clustered(spark, settings, sid), "clusters")
     index = vectors.indexed(spark, f"{settings.root}/vectors/{sid}")
     hits = None if index is None else personas.retrieved(rows, index, embedder_of(settings))
-    answers = personas.parse_personas(complete(personas.persona_prompt(rows, bk, examples, hits), completer_of(settings), 8000))
+    answers = personas.parse_personas(answered(spark, settings, personas.persona_prompt(rows, bk, examples, hits), 8000))
     if answers.filter("state = 'error'").count():
         raise ValueError("the answer is no JSON array")
     empty = F.array().cast(answers.schema["personas"].dataType)

@@ -11,6 +11,7 @@ The root must be in a store whose create-if-absent is atomic, as HDFS or a local
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass, field, replace
 
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .storage import _path, delete, list_objects, stored
+from .storage import create_absent, delete, list_objects, newest_version, read_text, stored
 
-BUCKETS, ATTEMPTS = 64, 20
+BUCKETS, ATTEMPTS, PAUSE = 64, 20, 0.2
 
 
 class Conflict(Exception):
@@ -48,42 +49,32 @@ class Table:
     def create(cls, spark: SparkSession, root: str, schema: StructType, key: str = "id", buckets: int = BUCKETS, **properties) -> Table:
         """The table at `root`, made if there is none; one that is there must have the same properties."""
         table = cls(spark, root)
-        if table.manifest() is None:
-            table._commit(Manifest(0, key, buckets, schema.jsonValue(), properties))
-        there = table.manifest()
+        while (found := table._newest())[0] is None:
+            if not table._commit(Manifest(found[1], key, buckets, schema.jsonValue(), properties)):
+                time.sleep(PAUSE)  # another writer makes it
+        there = found[0]
         if there.properties != properties or there.key != key:
             raise ValueError(f"{root} has {there.properties} by {there.key}, not {properties} by {key}")
         return table
 
+    def _newest(self) -> tuple[Manifest | None, int]:
+        """(the newest manifest, the number that the next one takes)."""
+        found = newest_version(self.spark, f"{self.root}/manifests")
+        return Manifest(**found.body) if found.body else None, found.next
+
     def manifest(self, version: int | None = None) -> Manifest | None:
         """The newest manifest, or a certain one; one that is still being written does not count."""
-        for path in reversed(list_objects(self.spark, f"{self.root}/manifests")):
-            fs, at = _path(self.spark, path)
-            stream = fs.open(at)
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
-            try:
-                found = Manifest(**json.loads(text))
-            except ValueError:
-                continue
-            if version in (None, found.version):
-                return found
-        return None
+        if version is None:
+            return self._newest()[0]
+        text = read_text(self.spark, f"{self.root}/manifests/{version:012d}.json")
+        try:
+            return Manifest(**json.loads(text or ""))
+        except ValueError:
+            return None
 
     def _commit(self, made: Manifest) -> bool:
         """Whether the manifest's number was free."""
-        fs, at = _path(self.spark, f"{self.root}/manifests/{made.version:012d}.json")
-        if fs.exists(at):
-            return False
-        try:
-            out = fs.create(at, False)
-        except Exception as e:
-            if fs.exists(at):
-                return False
-            raise e
-        out.write(bytearray(json.dumps(made.__dict__).encode()))
-        out.close()
-        return True
+        return create_absent(self.spark, f"{self.root}/manifests/{made.version:012d}.json", json.dumps(made.__dict__))
 
     def _read(self, manifest: Manifest, buckets: list[int] | None = None) -> DataFrame:
         names = manifest.files if buckets is None else {str(b): manifest.files.get(str(b), []) for b in buckets}
@@ -129,12 +120,14 @@ class Table:
             for path in list_objects(self.spark, f"{self.root}/{folder}"):
                 place = path[path.index(folder) :]
                 files[place.split("_bucket=")[1].split("/")[0]].append(place)
-            on = base
+            on, number = base, base.version + 1
             while True:
-                made = replace(on, version=on.version + 1, files={**on.files, **files})
+                made = replace(on, version=number, files={**on.files, **files})
                 if self._commit(made):
                     return made
-                on = self.manifest()
+                last, (on, number) = on, self._newest()
+                if on.version == last.version:
+                    time.sleep(PAUSE)  # the writer that took the number has not ended, or is dead and will be passed over
                 if any(on.files.get(b) != base.files.get(b) for b in files):
                     break  # the same buckets: what was merged is not the newest any more
             delete(self.spark, f"{self.root}/{folder}")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import valid_json
 
+#: Seconds after which the writer of a version file that is not whole is taken for dead.
+DEAD_AFTER = 60.0
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -30,6 +35,8 @@ class Settings:
     llm: str = "offline"
     llm_headers: str = "{}"
     llm_model: str = ""
+    #: Folder of the answers of services, for calls that ask nothing twice; none if blank.
+    cache: str = ""
 
     @classmethod
     def from_env(cls) -> Settings:
@@ -83,6 +90,61 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; none where there is no file."""
+    fs, at = _path(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
+
+
+def create_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file where none is yet; whether it was free. The store's create must be atomic, as HDFS's or a local disk's."""
+    fs, at = _path(spark, path)
+    if fs.exists(at):
+        return False
+    try:
+        out = fs.create(at, False)
+    except Exception:
+        if fs.exists(at):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+@dataclass(frozen=True)
+class Version:
+    """The newest whole version file of a folder, if any, and the number that the next one takes."""
+
+    number: int
+    body: dict | None
+    next: int
+
+
+def newest_version(spark: SparkSession, folder: str, dead_after: float = DEAD_AFTER) -> Version:
+    """Files are named by their numbers and hold JSON objects.
+
+    One that is not whole is being written, so its number is not free; after `dead_after`
+    seconds its writer is taken for dead and the number is passed over.
+    """
+    passed = None
+    for path in reversed(list_objects(spark, folder)):
+        number, text = int(os.path.basename(path).partition(".")[0]), read_text(spark, path)
+        try:
+            return Version(number, json.loads(text or ""), number + 1 if passed is None else passed)
+        except ValueError:
+            fs, at = _path(spark, path)
+            age = time.time() - fs.getFileStatus(at).getModificationTime() / 1000
+            if age < dead_after or passed is None:
+                passed = number if age < dead_after else number + 1
+    return Version(0, None, 1 if passed is None else passed)
+
+
 def read_lines(spark: SparkSession, root: str, prefix: str, schema: str) -> DataFrame:
     """JSON Lines files with a prefix as rows with `pos`, in file and line order.
 
