@@ -13,7 +13,7 @@ from tidemark.operators.seen import SeenLinks
 from tidemark.sources import calls
 from tidemark.sources.bucketed import Table
 from tidemark.sources.providers import OfflineEmbedder
-from tidemark.sources.storage import list_objects, newest_version, read_text
+from tidemark.sources.storage import list_objects, newest_version, read_text, write_document
 
 # ---- calls
 
@@ -171,6 +171,17 @@ def test_of_two_writers_one_must_merge_anew(spark, tmp_path):
     assert ses.get_session(spark, root, "s").first().bk == "other"
 
 
+def test_documents_from_before_versions(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    write_document(spark.createDataFrame([("s", "old", "r1")], SID), f"{root}/sessions/s/session.json")
+    ses.save_session(spark.createDataFrame([("t", "new", "r1")], SID), root, "t")
+    assert [tuple(r) for r in ses.sessions(spark, root).collect()] == [("t", "new", "r1"), ("s", "old", "r1")]
+    ses.merge_session(spark, root, spark.createDataFrame([("s", "r2")], "sid string, step string"), "s")
+    assert tuple(ses.get_session(spark, root, "s").select("bk", "step").first()) == ("old", "r2")
+    ses.delete_session(spark, root, "s")
+    assert ses.get_session(spark, root, "s").isEmpty()
+
+
 def test_many_writers_lose_no_change(spark, tmp_path):
     root = f"file://{tmp_path}"
     ses.save_session(spark.createDataFrame([("s", "", "r1")], SID), root, "s")

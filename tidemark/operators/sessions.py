@@ -15,7 +15,7 @@ from ..sources.storage import Version, create_absent, delete, list_prefixes, new
 from .jobs import session_list
 from .keywords import add_keywords
 
-FOLDER, ATTEMPTS = "sessions", 20
+FOLDER, OLD, ATTEMPTS = "sessions", "session.json", 20
 
 
 class Conflict(Exception):
@@ -26,10 +26,17 @@ def _versions(root: str, sid: str) -> str:
     return f"{root}/{FOLDER}/{sid}/versions"
 
 
+def _document(spark: SparkSession, root: str, sid: str, found: Version) -> str | None:
+    """Where the session's document lies; one without versions was saved before there were any."""
+    if found.body is None:
+        return OLD if OLD in list_prefixes(spark, root, f"{FOLDER}/{sid}") else None
+    return found.body["document"]
+
+
 def read_version(spark: SparkSession, root: str, sid: str) -> tuple[DataFrame, Version]:
     """(the session's document as it is now, its version); no document gives no row."""
     found = newest_version(spark, _versions(root, sid))
-    name = (found.body or {}).get("document")
+    name = _document(spark, root, sid, found)
     return (read_document(spark, f"{root}/{FOLDER}/{sid}/{name}", SESSION) if name else spark.createDataFrame([], SESSION)), found
 
 
@@ -90,12 +97,12 @@ def sessions(spark: SparkSession, root: str, limit: int = 20) -> DataFrame:
     """sid, bk, step of the newest sessions, blank where there is no document."""
     sids = sorted(list_prefixes(spark, root, FOLDER), reverse=True)[:limit]
     table = spark.createDataFrame([(s,) for s in sids], "sid string")
-    current = [(s, (newest_version(spark, _versions(root, s)).body or {}).get("document")) for s in sids]
+    current = [(s, _document(spark, root, s, newest_version(spark, _versions(root, s)))) for s in sids]
     paths = [f"{root}/{FOLDER}/{s}/{name}" for s, name in current if name]
     if not paths:
         return session_list(table, spark.createDataFrame([], "sid string, bk string, step string"), limit)
     lines = spark.read.text(paths, wholetext=True)
-    docs = lines.select(F.from_json("value", "bk string, step string").alias("d"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -4).alias("sid"))
+    docs = lines.select(F.from_json("value", "bk string, step string").alias("d"), F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/(documents/)?[^/]+/[^/]+$", 1).alias("sid"))
     return session_list(table, docs.select("sid", "d.*"), limit)
 
 
