@@ -181,6 +181,22 @@ def test_ensemble(spark):
     assert {r.model for r in model.cv_scores().collect()} == {"lr", "rf", "gbt"}
 
 
+def test_scores_fit_no_folds(spark, monkeypatch):
+    fitted, real = [], classify.detached
+    monkeypatch.setattr(classify, "detached", lambda name, model, folder: fitted.append(folder.rpartition("/")[2]) or real(name, model, folder))
+    rows = [(f"good thing {i}", "nice", '"relevant"') for i in range(12)] + [(f"bad stuff {i}", "poor", "0") for i in range(12)]
+    labeled = spark.createDataFrame(rows, "title string, desc string, label string")
+    model = classify.fit_ensemble(labeled, folds=2, trees=2, rounds=1)
+    assert model.score(labeled).count() == 24 and sorted(fitted) == ["gbt", "lr", "rf"]
+    accuracy = {r.model: r.accuracy for r in model.cv_scores().collect()}
+    assert accuracy.keys() == {"lr", "rf", "gbt"} and all(0.5 < x <= 1 for x in accuracy.values())
+    assert len(model.cv_scores().collect()) == 3 and len(fitted) == 3 + 2 * 3, "the folds are fitted once"
+
+
+def test_fits_of_many_rows_have_many_tasks():
+    assert [classify.fit_tasks(n) for n in (5, 2500, 20_000, 300_000)] == [1, 2, 12, 30]
+
+
 def test_folds_are_stratified(spark):
     rows = [(i % 5 == 0, i) for i in range(60)]
     data = spark.createDataFrame([(int(y), i * 7919 % 1009) for y, i in rows], "y int, _h long")
