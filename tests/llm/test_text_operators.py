@@ -7,6 +7,8 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -468,6 +470,19 @@ def test_quality_classifier(spark, make):
     assert {r.doc_id for r in quality.keep_good(docs, model).collect()} == set(range(80))
 
 
+def test_quality_learns_in_a_task(spark, make, monkeypatch):
+    docs = make([(i, f"good calm words about river {i}" if i < 20 else f"CLICK $$$ now {i} %% win") for i in range(40)])
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "_descend", None)  # the driver's; tasks have their own
+    model = quality.fit(docs, labels)
+    monkeypatch.undo()
+    assert model.weights.dtype == np.float32 and len(model.weights) == quality.DIM
+    found = sorted(((r.doc_id, r.text) for r in docs.collect()))
+    data = [(*x, int(i < 20)) for (i, _), x in zip(found, quality.features(quality.Words.of(pa.array([t for _, t in found]))), strict=True)]
+    order = np.random.default_rng(7).permutation(40).tolist()
+    assert np.array_equal(model.weights, quality._descend([data[i] for i in order[10:]]).astype(np.float32))
+
+
 ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "zeta, eta theta iota kappa lambda mu nu xi omicron pi"), (3, "short item"), (4, None), (5, "?!"), (6, "beta"), (7, "a a a a a a a a a a a"), (2, "second of one id here are ten words long it is"), (None, "without id"), ("", "without id"), (None, "one more of none")]
 
 

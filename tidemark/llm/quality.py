@@ -15,13 +15,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, byte_views, coded, doc_of, hashes, mixed, slices, text_of, words_of
+from .common import MIX_A, byte_views, coded, doc_of, hashes, mixed, open_fs, shared_dir, slices, text_of, words_of
 
 #: Text bytes scored at a time.
 SCORED_BYTES = 2 << 20
+#: Rows that training reads at a time.
+PART_ROWS = 128
 #: Hashed features.
 DIM = 1 << 18
 #: Labelled rows that the classifier is fitted to: those with the smallest hashes of their ids.
@@ -209,12 +213,34 @@ def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 0.05)), float(theta[1])
 
 
+def _trained(path: str) -> Classifier:
+    """Fit to the rows of the files below `path`, a quarter of them for calibration."""
+    fs, at = open_fs(path)
+    files = sorted(f.path for f in fs.get_file_info(FileSelector(at)) if f.path.endswith(".parquet"))
+    data = []
+    for name in files:
+        with fs.open_input_file(name) as file:
+            for batch in pq.ParquetFile(file).iter_batches(PART_ROWS, columns=["index", "value", "y"]):
+                data += [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32), y) for i, v, y in zip(batch.column("index"), batch.column("value"), batch.column("y").to_pylist(), strict=True)]
+    order = np.random.default_rng(7).permutation(len(data)).tolist()
+    held, used = [data[i] for i in order[: len(data) // 4]], [data[i] for i in order[len(data) // 4 :]]
+    if any(len({y for *_, y in part}) < 2 for part in (held, used)):
+        held = used = data
+    if len({y for *_, y in data}) < 2:
+        return Classifier()
+    weights = _descend(used)
+    raw = np.array([weights[i] @ v for i, v, _ in held])
+    slope, offset = _calibrate(raw, np.array([y for *_, y in held]))
+    return Classifier(weights.astype(np.float32), slope, offset)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     """Fit to at most `rows` rows of labels (doc_id, quality 0 or 1), a quarter of them for calibration.
 
     Labels that are null or of no document are left out; without rows of both classes
-    the classifier accepts all. Only the texts of these rows go to Python; the driver
-    holds their features, at most `DIM` of each.
+    the classifier accepts all. Only the texts of these rows go to Python. Their features
+    go to a shared folder, at most `DIM` of each, from which one task learns; the driver
+    gets the weights.
     """
     spark = docs.sparkSession
     chosen = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
@@ -229,19 +255,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
             yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["doc_id", "y", "index", "value"])
 
     own = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(wanted), "doc_id")
-    got = own.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, index binary, value binary").collect()
-    got = sorted((r["doc_id"], r["index"], r["value"], r["y"]) for r in got)
-    data = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for _, i, v, y in got]  # views: the bytes are held once
-    order = np.random.default_rng(7).permutation(len(data)).tolist()
-    held, used = [data[i] for i in order[: len(data) // 4]], [data[i] for i in order[len(data) // 4 :]]
-    if any(len({y for *_, y in part}) < 2 for part in (held, used)):
-        held = used = data
-    if len({y for *_, y in data}) < 2:
-        return Classifier()
-    weights = _descend(used)
-    raw = np.array([weights[i] @ v for i, v, _ in held])
-    slope, offset = _calibrate(raw, np.array([y for *_, y in held]))
-    return Classifier(weights.astype(np.float32), slope, offset)
+    made = own.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, index binary, value binary")
+    at = shared_dir(spark, "quality")
+    made.repartition(1).sortWithinPartitions("doc_id", "index", "value", "y").write.parquet(at)
+
+    def train(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _trained(at)
+        yield pa.record_batch([pa.array([None if got.weights is None else got.weights.tobytes()], pa.binary()), pa.array([got.slope]), pa.array([got.offset])], names=["weights", "slope", "offset"])
+
+    got = spark.range(0, 1, 1, 1).mapInArrow(train, "weights binary, slope double, offset double").first()
+    return Classifier(None if got["weights"] is None else np.frombuffer(bytes(got["weights"]), np.float32), got["slope"], got["offset"])
 
 
 OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
