@@ -191,3 +191,26 @@ def test_scratch_needs_a_shared_folder_on_clusters(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         storage.scratch(Session, "x")
+
+
+def test_embedding_asks_once_and_holds_one_batch(spark):
+    from tidemark.operators import vectors
+
+    asked = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        dim = 4
+
+        def embed(self, texts):
+            asked.add(len(texts))
+            if "text 5" in texts:
+                raise OSError
+            return [[float(t.split()[-1]) + 1, 0.5, 0, 1.0] for t in texts]
+
+    rows = spark.range(0, 1000, 1, 2).select(F.col("id").alias("pos"), F.concat(F.lit("text "), "id").alias("title"), F.lit("").alias("desc"), F.lit("k").alias("kw"), F.lit("c").alias("cafe"), F.lit(0).alias("cluster"))
+    made = providers.embed(rows, F.col("title"), Counting(), 64)
+    got = {r.pos: r.embedding for r in made.collect()}
+    assert all(got[i] == ([0] * 4 if i < 64 else [i + 1, 0.5, 0, 1]) for i in range(1000)) and asked.value == 1000
+    asked.value = 0
+    best = vectors.search(vectors.records(made), [1.0, 0.0, 0.0, 0.0], 2).collect()
+    assert [r.id for r in best] == ["doc_999", "doc_998"] and asked.value == 1000, "the filter of zero vectors asks for none again"
