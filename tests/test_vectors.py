@@ -253,3 +253,18 @@ def test_summaries_bound_what_they_lose():
         summary.add(keys, n)
     exact, kept = collections.Counter(stream.tolist()), dict(zip(summary.keys.tolist(), summary.n.tolist()))
     assert summary.taken <= len(stream) / 100 and all(0 <= n - kept.get(x, 0) <= summary.taken for x, n in exact.items())
+
+
+def test_steps_bound_the_words_and_keep_every_row():
+    import pyarrow as pa
+
+    sizes = [3, 0, 5, 40, 2, 2, 0, 9, 1]
+    batch = pa.record_batch([pa.array(range(9)), pa.array([[f"w{i}"] * n for i, n in enumerate(sizes)], pa.list_(pa.string()))], names=["pos", "w"])
+    parts = [p.to_pylist() for p in vocabulary.steps(iter([batch, batch.slice(0, 0), batch.slice(2, 5)]), 10)]
+    assert [r for p in parts for r in p] == batch.to_pylist() + batch.to_pylist()[2:7]
+    assert all(len(p) == 1 or sum(len(r["w"]) for r in p) <= 10 for p in parts) and len(parts) == 7
+    summary = vocabulary.Summary(50)
+    for i in range(30):
+        summary.add(np.arange(i, i + 5, dtype=np.uint64), np.ones(5, np.int64))
+    summary.merge()
+    assert summary.taken == 0 and summary.keys.tolist() == [*range(34)] and summary.n.sum() == 150

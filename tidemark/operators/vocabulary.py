@@ -27,6 +27,8 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 COUNTERS = (200_000, 1_600_000)
 #: Candidates for each term of the vocabulary, since some have too few or too many rows.
 SPARE = 8
+#: Words of the rows that one vectorised step handles; a longer row is a step of its own.
+STEP_WORDS = 1 << 18
 
 
 def tokens(df: DataFrame, text: Column) -> DataFrame:
@@ -34,6 +36,17 @@ def tokens(df: DataFrame, text: Column) -> DataFrame:
     return df.select("pos", F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1).alias("w"))
 
 
+def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_WORDS) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the words in `w` reach `limit`; no row is cut."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("w")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def word_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of words as the first or only word of a term, and as its second."""
     h = pd.util.hash_array(np.array(words, object)) if words else np.zeros(0, np.uint64)
@@ -71,15 +84,29 @@ class Batch:
 
 
 class Summary:
-    """Counters of heavy hitters by hash; a term that has none occurred `taken` times at most."""
+    """Counters of heavy hitters by hash; a term that has none occurred `taken` times at most.
+
+    What is added waits until it is as long as the counters, so that many small steps
+    cost no sort of all counters each.
+    """
 
     def __init__(self, counters: int) -> None:
         self.counters, self.taken = counters, 0
         self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray, n: np.ndarray) -> None:
-        self.keys, place = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        self.n = np.bincount(place, np.concatenate([self.n, n]), len(self.keys)).astype(np.int64)
+        self.waiting.append((keys, n))
+        if sum(len(k) for k, _ in self.waiting) >= self.counters:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, n = (np.concatenate(x) for x in zip((self.keys, self.n), *self.waiting, strict=True))
+        self.waiting = []
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.n = keys[first], np.add.reduceat(n, first) if len(first) else n
         if len(self.keys) > self.counters:
             less = int(np.partition(self.n, -self.counters - 1)[-self.counters - 1])
             self.n -= less
@@ -92,11 +119,12 @@ def candidates(words: DataFrame, bigrams: bool, counters: int, wanted: int) -> t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Summary(counters)
-        for batch in batches:
-            if batch.num_rows:
-                each = pc.value_counts(pa.array(Batch(batch.column("w"), bigrams).hash))
-                own.add(each.field("values").to_numpy(), each.field("counts").to_numpy())
-        yield pa.record_batch([pa.array([None, *own.keys.view(np.int64).tolist()], pa.int64()), pa.array(np.concatenate([[own.taken], own.n]))], names=["key", "n"])
+        for batch in steps(batches):
+            each = pc.value_counts(pa.array(Batch(batch.column("w"), bigrams).hash))
+            own.add(each.field("values").to_numpy(), each.field("counts").to_numpy())
+        own.merge()
+        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([own.taken], pa.int64())], names=["key", "n"])
+        yield from pa.table([pa.array(own.keys.view(np.int64)), pa.array(own.n, pa.int64())], names=["key", "n"]).to_batches(10_000)
 
     merged = stored(words.select("w").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "summary")
     taken = merged.filter("key IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -110,9 +138,7 @@ def counted(words: DataFrame, bigrams: bool, among: np.ndarray | None) -> DataFr
     shared = None if among is None else words.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in steps(batches):
             b = Batch(batch.column("w"), bigrams)
             at = np.arange(len(b.hash)) if shared is None else np.flatnonzero(found(shared.value, b.hash) >= 0)
             own, terms = b.terms(at)
@@ -154,9 +180,7 @@ def tfidf(df: DataFrame, text: Column, max_features: int, min_df: int = 1, max_d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, hashed = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in steps(batches):
             b = Batch(batch.column("w"), bigrams)
             at = np.flatnonzero(found(hashed, b.hash) >= 0)
             own, terms = b.terms(at)
