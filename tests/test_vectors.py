@@ -268,3 +268,24 @@ def test_steps_bound_the_words_and_keep_every_row():
         summary.add(np.arange(i, i + 5, dtype=np.uint64), np.ones(5, np.int64))
     summary.merge()
     assert summary.taken == 0 and summary.keys.tolist() == [*range(34)] and summary.n.sum() == 150
+
+
+def test_nearest_keeps_k_of_many_copies():
+    import types
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 8)).astype(np.float32)
+    v[500:2900] = v[7]  # copies, over several tiles
+    asked = np.concatenate([v[[7]], rng.normal(size=(5, 8))]).astype(np.float64)
+    asked /= np.linalg.norm(asked, axis=1)[:, None]
+    ids = [f"doc_{i}" for i in range(3000)]
+    batches = [pa.record_batch([pa.array(ids[a:b]), pa.array(v[a:b].tolist(), pa.list_(pa.float32()))], names=["id", "values"]) for a, b in ((0, 0), (0, 2500), (2500, 3000))]
+    (out,) = vectors._nearest(types.SimpleNamespace(value=([*range(6)], asked)), 4, pa.int64())(iter(batches))
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1)[:, None]
+    for q in range(6):
+        got = [(r["id"], r["score"]) for r in out.to_pylist() if r["query_id"] == q]
+        score = np.round(np.array([sum(x) for x in (unit * asked[q]).tolist()]), 12)
+        want = sorted(range(3000), key=lambda i: (-score[i], ids[i]))[:4]
+        assert [x for x, _ in got] == [ids[i] for i in want] and [s for _, s in got] == pytest.approx([score[i] for i in want], abs=1e-9)
