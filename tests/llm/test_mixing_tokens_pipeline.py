@@ -32,6 +32,30 @@ def test_encoder_equals_the_library():
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library(ODD)
 
 
+def test_encoder_asks_the_model_for_many_pieces_at_once(monkeypatch):
+    """Pieces of a batch go to the library in a few calls, one for each PORTION of a kind of words."""
+    import pyarrow as pa
+
+    texts = [*ODD, *(" ".join(f"w{chr(97 + j % 26) * (j % 7)}{'ñ.' * (j % 3 == 0)} x{i * j}" for j in range(60)) for i in range(30)), "a\nb\n c\xa0 d"]
+    e, calls = tokens.Encoder(queries.TOKENIZER), []
+
+    class Counted:
+        def __init__(self, model):
+            self.ask = model.encode_batch_fast
+
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return self.ask(texts, **how)
+
+    e.model = Counted(e.model)
+    got = lambda: (lambda ids, sizes: [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])])(*e.encode(pa.array(texts)))
+    assert got() == library(texts) and 0 < sum(calls) <= 3
+    e.known, e.ids, e.sizes = e.known[:0], e.ids[:0], e.sizes[:0]
+    monkeypatch.setattr(tokens, "PORTION", 3)
+    monkeypatch.setattr(tokens, "REMEMBERED", 10)
+    assert got() == got() == library(texts) and len(e.known) == 10
+
+
 @pytest.mark.parametrize("length", [8, 2048])
 def test_tokens_round_trip(make, corpus, length):
     docs = make([*corpus, *enumerate(ODD, 200)], 3)

@@ -8,7 +8,8 @@ so a memory-mapped reader gets a sequence or a document without copying.
 
 The ids are those of the tokenizers library. Its byte-level BPE never joins a space
 that follows a non-space to what stands before it, so texts are cut there and each
-distinct piece is encoded once by the library's model; a text with other white space
+distinct piece is encoded once by the library's model, many in one call; ids stand for
+bytes, so their widths tell the pieces apart. A text with other white space
 around a single space, or with the literal of an added token, goes through the library
 as a whole, and so does every text where the file is no byte-level BPE.
 """
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, shared_dir, slices, stored, text_of
+from .common import byte_views, open_fs, shared_dir, slices, stored, text_of
 
 #: Pieces that a Python worker remembers; beyond that it encodes them anew.
 REMEMBERED = 250_000
@@ -36,6 +37,12 @@ REMEMBERED = 250_000
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: b for b in PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(PRINTED))}
+#: The same by byte, as UTF-16; a byte that no text has stands between pre-tokens, and becomes the line's end that the model's splitter takes.
+BETWEEN = b"\xff"
+SHOWN_BYTES = np.array([SHOWN[b] for b in range(255)] + [10], "<u2")
+SPACE_BYTES = np.array([b < 128 and chr(b).isspace() for b in range(256)])
+#: Pieces that the model gets at a time.
+PORTION = 1 << 16
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -44,33 +51,53 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         parts = json.loads(self.tokenizer.to_str())
-        before = parts.get("pre_tokenizer") or {}
-        #: Whether texts may be cut where a pre-token begins: byte-level BPE with its own pattern, and nothing before it.
-        self.cuts = parts["model"]["type"] == "BPE" and not parts.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        before, model, vocab = parts.get("pre_tokenizer") or {}, parts["model"], parts["model"].get("vocab")
+        #: Whether texts may be cut where a pre-token begins: byte-level BPE of all bytes with its own pattern, and nothing before it.
+        self.cuts = model["type"] == "BPE" and not parts.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.cuts = self.cuts and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and all(chr(c) in vocab for c in SHOWN.values())
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.tokenizer.model._resize_cache(0)
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, texts: list[str]) -> list[bytes]:
-        """Ids of pieces, each beginning where a pre-token begins."""
-        known, model, dtype = self.known, self.tokenizer.model.tokenize, self.dtype
-        out = [known.get(x) for x in texts]
-        for i, found in enumerate(out):
-            if found is None:
-                x = texts[i]
-                parts = (x,) if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()) else PATTERN.findall(x)
-                ids = [t.id for p in parts for t in model(p.encode().decode("latin-1").translate(SHOWN))]
-                out[i] = found = np.array(ids, dtype).tobytes()
-                if len(known) < REMEMBERED:
-                    known[x] = found
-        return out
+        self.known, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        if self.cuts:
+            self.tokenizer.model._resize_cache(0)
+            #: The same model for pre-tokens that are given one by one, and the bytes that an id stands for.
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = CharDelimiterSplit("\n")
+            self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.width[list(vocab.values())] = list(map(len, vocab))
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) by the library alone."""
+        found = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, self.dtype), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def pieces(self, pre_tokens: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece) of pieces of so many bytes, given as pre-tokens with `BETWEEN` between them."""
+        shown = SHOWN_BYTES[np.frombuffer(pre_tokens, np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.dtype)
+        to, ends = np.cumsum(self.width[ids]), np.cumsum(lengths)
+        until = np.searchsorted(to, ends, "right")
+        if (np.concatenate([[0], to])[until] != ends).any():
+            raise ValueError("ids of the tokenizer do not stand for the bytes of its text")
+        return ids, np.diff(until, prepend=0)
+
+    def words(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(the distinct words in the order of what follows, ids, number of ids of each) of words after a space."""
+        plain = pc.ascii_is_alpha(words)
+        found = [(np.zeros(0, self.dtype), np.zeros(0, np.int64))]
+        kinds = [words.filter(plain).cast(pa.binary()), words.filter(pc.invert(plain)).cast(pa.binary())]
+        for kind, between in zip(kinds, (BETWEEN + b" ", b" "), strict=True):
+            for at in range(0, len(kind), PORTION):
+                part = kind.slice(at, PORTION)
+                text = between + pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), between)[0].as_py()
+                if between == b" ":  # other words can be several pre-tokens
+                    text = BETWEEN.join([x.encode() for x in PATTERN.findall(text.decode())])
+                found.append(self.pieces(text, pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64) + 1))
+        return pa.concat_arrays(kinds).cast(pa.string()), *map(np.concatenate, zip(*found, strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text)."""
@@ -78,42 +105,67 @@ class Encoder:
         offsets = cut.offsets.to_numpy()
         offsets = (offsets - offsets[0]).astype(np.int64)
         coded = cut.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = coded.dictionary.to_pylist()
-        loose = np.fromiter((not x or x[0].isspace() or x[-1].isspace() for x in distinct), bool, len(distinct))
+        codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
         odd = np.zeros(len(texts), bool)
-        odd[doc[loose[codes]]] = True
+        odd[doc[loose_ends(distinct)[codes]]] = True
         odd &= np.diff(offsets) > 1
         if not self.cuts:
             odd[:] = True
         for x in self.added:
             odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
-        take = ~odd[doc]
-        codes, doc = codes[take], doc[take]
-        first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-        used = np.unique(codes[~first])
-        place = np.full(len(distinct), -1)
-        place[used] = np.arange(len(used))
-        found = self.pieces([" " + distinct[i] for i in used])
-        found += self.pieces([distinct[i] for i in codes[first]])
-        row = np.where(first, 0, place[codes])
-        row[first] = len(used) + np.arange(int(first.sum()))
+        first = np.zeros(len(codes), bool)
+        first[offsets[:-1]] = True
+        if odd.any():
+            take = ~odd[doc]
+            codes, doc, first = codes[take], doc[take], first[take]
+        used = np.zeros(len(distinct), bool)
+        used[codes[~first]] = True
+        used = np.flatnonzero(used)
+        words = distinct.take(pa.array(used))
+        at = pc.index_in(words, self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        fresh, ids, sizes = self.words(words.filter(pa.array(new)))
+        begin = [x.encode() for x in distinct.take(pa.array(codes[first])).to_pylist()]
+        begun = self.pieces(BETWEEN.join([y.encode() for x in begin for y in PATTERN.findall(x.decode())]), np.fromiter(map(len, begin), np.int64, len(begin))) if begin else (ids[:0], sizes[:0])
         whole = np.flatnonzero(odd)
+        others = self.whole(texts.take(pa.array(whole)).to_pylist()) if len(whole) else (ids[:0], sizes[:0])
+        flat, n_ids = (np.concatenate(x) for x in ((self.ids, ids, begun[0], others[0]), (self.sizes, sizes, begun[1], others[1])))
+        place = np.zeros(len(distinct), np.int64)
+        place[used] = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)
+        place[used[new]] = len(self.sizes) + pc.index_in(words.filter(pa.array(new)), fresh).to_numpy(zero_copy_only=False) if len(fresh) else 0
+        row = place[codes]
+        row[first] = len(self.sizes) + len(sizes) + np.arange(len(begin))
         if len(whole):
-            row = np.concatenate([row, len(found) + np.arange(len(whole))])
+            row = np.concatenate([row, len(n_ids) - len(whole) + np.arange(len(whole))])
             doc = np.concatenate([doc, whole])
-            found += self.whole(texts.take(pa.array(whole)).to_pylist())
             order = np.argsort(doc, kind="stable")
             row, doc = row[order], doc[order]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(found), self.dtype)
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[row]
+        self.remember(fresh, ids, sizes)
+        starts = np.cumsum(n_ids) - n_ids
+        n = n_ids[row]
         before = np.cumsum(n) - n
         ids = flat[np.repeat(starts[row] - before, n) + np.arange(int(n.sum()))] if len(row) else flat[:0]
         return ids, np.bincount(doc, n, len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
 
+    def remember(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = min(len(words), REMEMBERED - len(self.known))
+        if n > 0:
+            self.known, self.sizes = pa.concat_arrays([self.known, words.slice(0, n)]), np.concatenate([self.sizes, sizes[:n]])
+            self.ids = np.concatenate([self.ids, ids[: int(sizes[:n].sum())]])
+
+
+def loose_ends(words: pa.Array) -> np.ndarray:
+    """Which words are empty, or begin or end with white space."""
+    offsets, data = byte_views(words)
+    out = np.diff(offsets) == 0
+    if len(data):
+        ends = np.stack([data[np.minimum(offsets[:-1], len(data) - 1)], data[offsets[1:] - 1]])
+        out |= SPACE_BYTES[ends].any(0)
+        beyond = np.flatnonzero((ends > 127).any(0) & ~out)
+        out[beyond] = [x[0].isspace() or x[-1].isspace() for x in words.take(pa.array(beyond)).to_pylist()]
+    return out
+
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
