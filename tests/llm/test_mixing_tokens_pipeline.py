@@ -145,6 +145,28 @@ def test_keep_first_of_repeated_rows(make):
     assert got == sorted([(1, text), (3, "other words"), (3, "different text"), (None, "a b"), (4, None)], key=repr)
 
 
+def test_keep_first_joins_only_rows_that_may_go(make, spark, monkeypatch, tmp_path):
+    """Rows whose id is neither a copy's, nor repeated, nor null, stay without a join; tables between are removed."""
+    from tidemark.llm import neardup
+
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    docs = make([(i, text(i)) for i in range(200)] + [(300, text(7)), (301, text(7)), (8, "another text"), (None, "no id")]).withColumnsRenamed({"size": "_word", "score": "_id"})
+    asked, parted = [], neardup.parted
+
+    def seen(rows, wanted, keys):
+        asked.append(parted(rows, wanted, keys))
+        return asked[-1]
+
+    monkeypatch.setattr(neardup, "parted", seen)
+    monkeypatch.setattr(neardup, "shared_dir", lambda spark, name: f"{tmp_path}/{name}")
+    left = neardup.keep_first(docs)
+    assert left.columns == docs.columns
+    assert rows_of(left.select("doc_id", "text")) == sorted([*((i, text(i)) for i in range(200)), (8, "another text"), (None, "no id")], key=repr)
+    may_go, stay = asked[-1]
+    assert {r.doc_id for r in may_go.collect()} == {300, 301, 8, None} and stay.count() == 199
+    assert {x.name for x in tmp_path.iterdir()} == {"classes", "odd"}
+
+
 def test_pipeline_of_empty_tables_and_further_columns(spark, tmp_path):
     import corpus_pipeline
 

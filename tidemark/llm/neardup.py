@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import MIX_A, doc_of, free_name, join_counted, mixed, shared_dir, slices, stored, text_of
+from .common import MIX_A, doc_of, drop_dir, free_name, join_counted, mixed, shared_dir, slices, stored, text_of
 from .components import connected_components
 from .quality import Words
 
@@ -250,26 +250,30 @@ def _verified(items: DataFrame, threshold: float, least: list[int]) -> DataFrame
     return items.groupBy("task").applyInArrow(run, ITEM)
 
 
-def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that can have a key of `wanted`, so that a join need not shuffle the others.
+def parted(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the rows that can have a key of `wanted`, the others), so that a join need not shuffle the others.
 
     A bitmap of `MARKS` bits, as words of 64, is sent to all tasks; its size has that bound
     whatever `wanted` holds, and keys that share a bit only pass more rows on.
     """
-    slot = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
-    word, bit = F.shiftright(slot, 6).alias("_word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({', '.join(keys)}), 64L) AS int))")
-    marks = wanted.select(word, bit.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
-    return rows.withColumn("_word", word).join(F.broadcast(marks), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+    word, bits = (free_name(n, rows.columns) for n in ("_word", "_bits"))
+    slot = F.shiftright(F.pmod(F.xxhash64(*keys), F.lit(MARKS)), 6).alias(word)
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({', '.join(keys)}), 64L) AS int))")
+    marks = wanted.select(slot, bit.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    marked = rows.withColumn(word, slot).join(F.broadcast(marks), word, "left")
+    can = F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
+    first, rest = (marked.filter(x).select(*[f"`{c}`" for c in rows.columns]) for x in (can, ~can))
+    return first, rest
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, block: int = BLOCK, path: str | None = None) -> DataFrame:
     """doc_id, same, n_grams, class (a number of its own for each class of texts with words), class_id, n_links; one row for each row.
 
     A text is a set of grams, numbered when it is first written; documents, whose ids may
-    be null or repeated, only name it.
+    be null or repeated, only name it. Intermediate tables lie under `path`.
     """
     spark = docs.sparkSession
-    at = shared_dir(spark, "neardup")
+    at = path or shared_dir(spark, "neardup")
     least = least_matches(threshold)
     every = stored(sketches(docs), f"{at}/sketches")
     full = every.filter("n_grams > 0")
@@ -297,7 +301,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, b
     placed = placed.withColumn("task", task).withColumn("cross", (F.col("blocks") > 1) & (low != high))
     id_ = F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none")).alias("id")
     wanted = members.select("rep", F.struct(F.coalesce("first.doc_id", F.lit(0)).alias("i"), F.col("first.none").alias("none")).alias("id"), "first.place")
-    rows = likely(keyed(docs).select(id_, "place", "text"), wanted, ["id", "place"]).join(wanted, ["id", "place"]).dropDuplicates(["id", "place"])
+    rows = parted(keyed(docs).select(id_, "place", "text"), wanted, ["id", "place"])[0].join(wanted, ["id", "place"]).dropDuplicates(["id", "place"])
     sets = stored(_sets(rows), f"{at}/sets")
     found = stored(_verified(placed.join(sets, "rep"), threshold, least), f"{at}/verified")
     local = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -331,12 +335,16 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Texts without words stay, once for each id and text.
     """
     spark = docs.sparkSession
-    found = stored(classes(docs, threshold), shared_dir(spark, "classes"))
+    at = shared_dir(spark, "neardup")
+    found = stored(classes(docs, threshold, path=at), shared_dir(spark, "classes"))
+    drop_dir(spark, at)
     ids = docs.select(F.col("doc_id").cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 OR id IS NULL")
     ids = stored(ids, shared_dir(spark, "odd"))
-    own = docs["doc_id"].cast("long")
     gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("id")).distinct()
-    left = docs.join(gone, own == gone["id"], "left_anti")
+    key = free_name("_id", docs.columns)
+    docs, sure = (x.drop(key) for x in parted(docs.withColumn(key, F.col("doc_id").cast("long")), gone.union(ids.select("id")).toDF(key), [key]))
+    own = docs["doc_id"].cast("long")
+    left = sure.unionByName(docs.join(gone, own == gone["id"], "left_anti"))
     if ids.isEmpty():
         return left
     odd = docs.join(ids, own.eqNullSafe(ids["id"]), "left_semi")
@@ -354,5 +362,5 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     odd = odd.mapInArrow(digests, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
     firsts = odd.join(best, (odd[name] == best["_same"]) & odd["doc_id"].cast("long").eqNullSafe(best["_id"]), "left_semi").dropDuplicates([name])
     bare = odd.filter(F.col(f"`{name}`").isNull()).dropDuplicates(["doc_id", "text"])
-    plain = left.join(ids, own.eqNullSafe(ids["id"]), "left_anti")
-    return plain.unionByName(firsts.drop(name)).unionByName(bare.drop(name))
+    plain = docs.join(gone, own == gone["id"], "left_anti").join(ids, own.eqNullSafe(ids["id"]), "left_anti")
+    return sure.unionByName(plain).unionByName(firsts.drop(name)).unionByName(bare.drop(name))
