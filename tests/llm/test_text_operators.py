@@ -46,6 +46,18 @@ def test_substrings(make, corpus, window, size):
     assert got == window_hits([(i, words(t)) for i, t in corpus], window)
 
 
+def test_substrings_hash_words_at_once_and_sort_by_one_column(monkeypatch):
+    words = pa.array([f"{a}{b}" for a in ("", "x", "ñ", "ab", "long" * 50) for b in range(400)] + ["a\0", "a", "\0a", "aa"])
+    a, b = (substrings.word_hashes(words, x) for x in (substrings.MIX_A, substrings.MIX_B))
+    assert len({*a.tolist()}) == len({*b.tolist()}) == len(words) and not {*a.tolist()} & {*b.tolist()}
+    monkeypatch.setattr(substrings, "HASHED", 7)
+    assert (substrings.word_hashes(words, substrings.MIX_A) == a).all() and (substrings.word_hashes(words[5:9], substrings.MIX_A) == a[5:9]).all()
+    x, y = np.array([3, 1, 3, 1, 3], np.uint64), np.array([5, 0, 4, 0, 5], np.uint64)  # two contents under one hash
+    at, own, times = substrings.distinct_names(x, y)
+    assert [(x[i], y[i], n) for i, n in zip(at, times)] == [(1, 0, 2), (3, 4, 1), (3, 5, 2)] and own.tolist() == [2, 0, 1, 0, 2]
+    assert substrings.sorted_by(x[:0], y[:0])[0].tolist() == []
+
+
 def test_substrings_of_periodic_text(make):
     rows = [(i, "a b " * n + "c") for i, n in ((1, 60), (2, 45))] + [(3, "a " * 50), (4, "x y z " * 30), (5, "q " + "x y z " * 12)]
     assert rows_of(substrings.repeats(make(rows), 35, 200)) == window_hits([(i, words(t)) for i, t in rows], 35)

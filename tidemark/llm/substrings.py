@@ -25,12 +25,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BLOB, CHUNK_BYTES, bucket_bits, buckets, cuts_of, dealt, load, loaded, make_chunks, packed, tasks_of, total_words, unpacked, with_answers
-from .common import MIX_A, MIX_B, doc_of, drop_dir, mixed, open_fs, release, shared_dir, stored, text_of
+from .common import MIX_A, MIX_B, byte_views, coded, doc_of, drop_dir, mixed, open_fs, release, shared_dir, stored, text_of, words_of
 from .quality import Words
 
 ROUNDS = 5
@@ -52,6 +51,40 @@ def arrays_of(blob: bytes) -> dict[str, np.ndarray]:
     return {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
 
 
+#: Bytes of words that are hashed at a time.
+HASHED = 1 << 18
+
+
+def word_hashes(words: pa.Array, seed: np.uint64) -> np.ndarray:
+    """64-bit hashes of strings that are not empty: sums of a mixed value for each byte and its place, mixed again."""
+    offsets, data = byte_views(words)
+    out = np.zeros(len(words), np.uint64)
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + HASHED, "right")) - 1)
+        lo, hi = offsets[at], offsets[to]
+        begins = offsets[at:to] - lo
+        place = np.arange(hi - lo) - np.repeat(begins, np.diff(offsets[at : to + 1]))
+        with np.errstate(over="ignore"):
+            out[at:to] = np.add.reduceat(mixed((place.astype(np.uint64) << np.uint64(8) | data[lo:hi]) * MIX_A + seed), begins)
+        at = to
+    return mixed(out ^ seed)
+
+
+def sorted_by(first: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order by `first` in which equal rows lie together, whether each differs from the one before).
+
+    Where rows agree in `first`, a 64-bit hash, but not in the others, all columns are sorted.
+    """
+    differs = lambda order, x: x[order[1:]] != x[order[:-1]]
+    order, new = np.argsort(first), np.ones(len(first), bool)
+    new[1:] = differs(order, first)
+    if any((differs(order, x) & ~new[1:]).any() for x in others):
+        order = np.lexsort((*reversed(others), first))
+        new[1:] = np.any([differs(order, x) for x in (first, *others)], axis=0)
+    return order, new
+
+
 class Symbols:
     """Named symbols of a chunk in order, with the words [lo, hi) of their evidence; `part` tells stretches apart."""
 
@@ -106,10 +139,8 @@ def sent_symbols(joined: tuple[np.ndarray, ...], bits: int) -> tuple[np.ndarray,
     fresh = np.flatnonzero((r > 1) | (s > 0))
     with np.errstate(over="ignore"):
         h = mixed(mixed(mixed(a[fresh] * MIX_A + r[fresh].astype(np.uint64)) + b[fresh]) * MIX_B + s[fresh].astype(np.uint64))
-    order = np.lexsort((s[fresh], r[fresh], b[fresh], a[fresh], h))
+    order, new = sorted_by(h, a[fresh], b[fresh], r[fresh], s[fresh])
     at = fresh[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (a[at[1:]] != a[at[:-1]]) | (b[at[1:]] != b[at[:-1]]) | (r[at[1:]] != r[at[:-1]]) | (s[at[1:]] != s[at[:-1]])
     place = np.full(len(a), -1, np.int32)
     place[at] = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
@@ -171,7 +202,7 @@ def first_windows(w: Words, window: int) -> np.ndarray:
 
 def window_names(w: Words, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit names of the windows that begin at the words `first`."""
-    second = np.fromiter((xxhash.xxh3_64_intdigest(x, seed=1) for x in w.distinct.cast(pa.binary()).to_pylist()), np.uint64, len(w.distinct))
+    second = word_hashes(w.distinct, MIX_B)
     found = []
     for h, factor in ((w.hash, MIX_A), (second, MIX_B)):
         with np.errstate(over="ignore"):
@@ -189,9 +220,7 @@ def window_names(w: Words, first: np.ndarray, window: int) -> tuple[np.ndarray,
 
 def distinct_names(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places of the distinct pairs (x, y), sorted; for each pair its place among them; times of each)."""
-    order = np.lexsort((y, x))
-    new = np.ones(len(order), bool)
-    new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    order, new = sorted_by(x, y)
     own = np.empty(len(order), np.int64)
     own[order] = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
@@ -227,7 +256,9 @@ def repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, r
         fs.create_dir(f"{folder}/kept-{k}", recursive=True)
 
     def words(rows: pa.RecordBatch) -> Words:
-        return Words.of(text_of(rows.column("text")))
+        offsets, flat = words_of(text_of(rows.column("text")))
+        codes, distinct = coded(flat)
+        return Words(offsets, codes, distinct, word_hashes(distinct, MIX_A))
 
     def keep(round_: int, **columns: bytes) -> tuple[int, bytes]:
         """Write what a chunk keeps for the next round to a new file, and name it in a row."""
