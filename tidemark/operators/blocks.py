@@ -31,7 +31,7 @@ SLOTS = 31
 #: Rows of a block at most; a row's number has 16 bits.
 BLOCK = 1 << 14
 #: Values of all blocks that one task fits by itself.
-HERE = 1 << 24
+HERE = 1 << 25
 #: Copies of a text beyond which they are dealt over the blocks.
 COPIES = 1000
 COLUMNS = {"id": "long", "y": "binary", "rows": "binary", "starts": "binary", "times": "binary", "norm": "binary"}
@@ -169,7 +169,7 @@ class Blocks:
     def fit(self, learn: Callable[[Passes, Slots], Any], whole: bool = False, limit: int | None = None) -> Any:
         """What `learn` makes of the blocks, in one task if these are few; with `whole` they have all columns."""
         rows, slots = self.df.select(*(COLUMNS if whole else list(COLUMNS)[:4])), self.slots
-        if self.values > (HERE if limit is None else limit):
+        if self.values > (getattr(learn, "here", HERE) if limit is None else limit):
             return learn(spread(rows.coalesce(parts(rows))), slots)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import uuid
 from collections import OrderedDict
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import numpy as np
 
@@ -25,8 +26,8 @@ from .blocks import SLOTS, Block, Passes, Slots
 
 #: Bytes of margins that a worker keeps from pass to pass; it can make them again from the trees.
 KEPT = 1 << 26
-#: Nodes of a forest whose sums are taken in one pass, and rows of a step over them.
-NODES, STEP = 1024, 256
+#: Nodes of a forest whose sums are taken in one pass, nodes that are split at a time, and rows of a step over them.
+NODES, SPLIT, STEP = 512, 64, 256
 #: Parts of one in which gradients are counted, and where the number of rows begins in a sum; gradients lie within 4.
 UNIT, COUNT = 1 << 27, 46
 #: Where the number of rows with label 1 begins, in a block's sums and in all.
@@ -81,6 +82,15 @@ class Forest:
 
 
 _margins: OrderedDict[tuple, tuple[int, np.ndarray]] = OrderedDict()
+_held = np.zeros((3, 1), np.int64)
+
+
+def held(n: int) -> np.ndarray:
+    """Three rows of n numbers whose memory is used again by each block; the first number of the last is 0."""
+    global _held
+    if _held.shape[1] < n:
+        _held = np.zeros((3, n), np.int64)
+    return _held[:, :n]
 
 
 def routed(b: Block, split: np.ndarray, ends: np.ndarray, levels: int) -> np.ndarray:
@@ -126,15 +136,16 @@ class Gradients:
         y = 2.0 * b.y - 1
         gradient = 4 * y / (1 + np.exp(2 * y * self.margin(b))) if len(self.split) > 1 else y
         z = (1 << COUNT) + np.rint((gradient + 4) * UNIT).astype(np.int64)
-        node, rows = routed(b, self.split[-1], self.ends[-1], self.level), b.rows.astype(np.int64)
+        node, (rows, each, upto) = routed(b, self.split[-1], self.ends[-1], self.level), held(len(b.rows) + 1)
+        rows[1:] = b.rows
         out = np.empty((len(self.nodes), 2, len(b.starts)), np.int64)
         for k, i in enumerate(self.nodes):
             own = np.where(node == i, z, 0)
-            upto = np.concatenate([[0], own.take(rows).cumsum()])
-            # below starts[1:] and starts[:-1]: differences are right even where the running sum wraps around
-            each = np.append(np.diff(upto[b.starts]), own.sum())
-            out[k, 0] = each >> COUNT
-            out[k, 1] = (each & ((1 << COUNT) - 1)) - 4 * UNIT * out[k, 0]
+            own.take(rows[1:], out=each[1:], mode="clip")
+            np.cumsum(each[1:], out=upto[1:])
+            sums = np.append(np.diff(upto.take(b.starts)), own.sum())  # right even where the running sum wraps around
+            out[k, 0] = sums >> COUNT
+            out[k, 1] = (sums & ((1 << COUNT) - 1)) - 4 * UNIT * out[k, 0]
         return out.ravel()
 
 
@@ -236,6 +247,8 @@ class Counts:
 
 @dataclass
 class Growing:
+    #: Values that one task fits by itself: fewer than elsewhere, since passes are few and long.
+    here: ClassVar[int] = 1 << 22
     count: int = 100
     depth: int = 10
     seed: int = 42
@@ -257,17 +270,19 @@ class Growing:
                 place = np.full((len(trees), 2**level), -1)
                 place[np.searchsorted(trees, some[:, 0]), some[:, 1] - (2**level - 1)] = np.arange(len(some))
                 got = passes(Counts(self.seed, level, slots.base, trees, feature, least.astype(np.uint8), place, drawn))
-                grown += self.split(some, drawn, got, slots, split, n, ones)
+                cells, every = got[: -len(some)].reshape(*drawn.shape, SLOTS), got[-len(some) :]
+                for k in range(0, len(some), SPLIT):
+                    own = slice(k, k + SPLIT)
+                    grown += self.split(some[own], drawn[own], cells[own], every[own], slots, split, n, ones)
             open_ = sorted(grown)
         prune(split, n, ones)
         return Forest(full(split, np.where(n, ones / np.maximum(1, n), 0.5), slots))
 
-    def split(self, some: np.ndarray, drawn: np.ndarray, got: np.ndarray, slots: Slots, split: np.ndarray, n: np.ndarray, ones: np.ndarray) -> list[tuple[int, int]]:
+    def split(self, some: np.ndarray, drawn: np.ndarray, cells: np.ndarray, every: np.ndarray, slots: Slots, split: np.ndarray, n: np.ndarray, ones: np.ndarray) -> list[tuple[int, int]]:
         """Splits the nodes by their best gains; the children that can be split further."""
-        cells = got[: len(got) - len(some)].reshape(*drawn.shape, SLOTS)
         low = (1 << ALL_ONES) - 1
         tree, node = some.T
-        all_, all_ones = got[len(got) - len(some) :] & low, got[len(got) - len(some) :] >> ALL_ONES
+        all_, all_ones = every & low, every >> ALL_ONES
         n[tree, node], ones[tree, node] = all_, all_ones
         if not drawn.shape[1]:
             return []
